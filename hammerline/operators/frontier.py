@@ -38,11 +38,16 @@ def oldest_pending(df: DataFrame, order: list[str], n: int = 1) -> DataFrame:
     return df.where("status = 'pending'").orderBy(*order).limit(n)
 
 
+def seconds(ts: str) -> Column:
+    """A timestamp, with or without a zone, as seconds."""
+    return F.col(ts).cast("timestamp").cast("double")
+
+
 def throughput(snapshots: DataFrame, by: list[str], ts: str = "ts", done: str = "done") -> DataFrame:
     """Done per minute between successive snapshots; null for the first."""
     w = Window.partitionBy(*by).orderBy(ts)
-    seconds = F.greatest(F.lit(1.0), (F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)))
-    return snapshots.withColumn("per_minute", (F.col(done) - F.lag(done).over(w)) * 60.0 / seconds)
+    passed = F.greatest(F.lit(1.0), seconds(ts) - F.lag(seconds(ts)).over(w))
+    return snapshots.withColumn("per_minute", (F.col(done) - F.lag(done).over(w)) * 60.0 / passed)
 
 
 def unprocessed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
