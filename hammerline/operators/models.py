@@ -42,7 +42,7 @@ def pipeline(categories: list[str], numbers: list[str], estimator=None, one_hot:
     stages = [index]
     inputs = [f"{c}_i" for c in categories]
     if one_hot:
-        stages.append(OneHotEncoder(inputCols=inputs, outputCols=[f"{c}_v" for c in categories], dropLast=True, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=inputs, outputCols=[f"{c}_v" for c in categories], dropLast=True))
         inputs = [f"{c}_v" for c in categories]
     stages.append(VectorAssembler(inputCols=[*inputs, *numbers], outputCol="features", handleInvalid="keep"))
     return Pipeline(stages=stages + ([estimator] if estimator else []))

@@ -17,8 +17,11 @@ def unseen(stream: DataFrame, key: str, ts: str | None = None, late: str = "1 da
 
 def per_minute(stream: DataFrame, ts: str = "ts", late: str = "10 minutes", by: list[str] = ()) -> DataFrame:
     """ST4: rows per minute of event time."""
-    rows = stream.withWatermark(ts, late) if stream.isStreaming else stream
-    return rows.groupBy(F.window(ts, "1 minute").alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("minute"), *by, "n")
+    kind = dict(stream.dtypes)[ts]
+    # A watermark needs a timestamp with a zone; the minute comes back in the column's own type.
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if stream.isStreaming else stream
+    counted = rows.groupBy(F.window(ts, "1 minute").alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("w.start").cast(kind).alias("minute"), *by, "n")
 
 
 def upsert_into(stream: DataFrame, path: str, schema: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
@@ -38,14 +41,9 @@ def upsert_into(stream: DataFrame, path: str, schema: str, keys: list[str], orde
 
 def latest_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The newest version of an upserted table, empty before the first batch."""
-    try:
-        versions = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(path)
-        newest = versions.select(F.max(F.regexp_extract("path", r"/v=(\d+)/", 1).cast("long"))).first()[0]
-    except Exception as e:  # an absent folder has no version
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        newest = None
-    return read_or_empty(spark, f"{path}/v={newest}", schema)
+    versions = read_or_empty(spark, path, f"{schema}, v int")
+    newest = versions.agg(F.max("v")).first()[0]
+    return versions.where(F.col("v") == F.lit(newest)).drop("v")
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
