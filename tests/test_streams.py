@@ -6,15 +6,16 @@ from hammerline.streaming import jobs
 SF = "/root/testdata/sf0.001"
 
 
-def events(spark, tmp_path):
+def events(spark, tmp_path, files=1):
     rows = spark.read.parquet(f"{SF}/events.parquet")
     folder = str(tmp_path / "in")
     rows.repartition(3).write.mode("overwrite").parquet(folder)
-    return rows, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return rows, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def test_upsert_stream(spark, tmp_path):
-    rows, stream = events(spark, tmp_path)
+    # One batch holds all files: across batches the one that arrives last wins, whatever its time.
+    rows, stream = events(spark, tmp_path, 9)
     out, schema = str(tmp_path / "out"), "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     for _ in range(2):
         jobs.upsert_into(stream, out, schema, ["user_id"], ["ts", "event_id"], str(tmp_path / "c")).awaitTermination()
