@@ -22,8 +22,8 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for the kind to be looked for.
-HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: What a text must hold for the kind to be looked for: cheap tests that spare most texts the patterns.
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][0-9 -]{11}", "phone": r"\+[0-9]"}
 
 #: A term discloses an entity from this share of its information, seen in so many different lines and documents.
 DISCLOSED, LINES = 0.8, 3
@@ -76,8 +76,7 @@ def found(clean: Column, kind: str) -> Column:
     empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
     start = F.struct(F.length(marked[0]).alias("at"), empty.alias("out"))
     all_finds = F.aggregate(F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(0))), start, step)["out"]
-    hint = HINTS[kind]
-    wanted = F.contains(clean, F.lit(hint)) if hint else clean.rlike("[0-9][0-9 -]{11}")
+    wanted = clean.rlike(HINTS[kind])
     return F.when(wanted, F.filter(all_finds, lambda x: _valid(kind, x["v"]))).otherwise(empty)
 
 
@@ -92,29 +91,27 @@ def _terms(text: Column) -> Column:
     return F.split(text, _SPLIT_TERMS)
 
 
-def _term(part: Column) -> Column:
-    return F.lower(F.regexp_extract(part, r"^[\p{L}\p{N}]+", 0))
+def _distinct_terms(text: Column) -> Column:
+    """One row for each different term of a text."""
+    return F.explode(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= TERM_CHARS)))
 
 
 def disclosing_terms(rows: DataFrame, disclosed: float = DISCLOSED, lines: int = LINES) -> DataFrame:
     """The terms (term, share) that disclose an entity, from rows (key, text, find_<kind>)."""
     finds = F.concat(*[F.col(f"find_{k}") for k in KINDS])
-    marked = rows.withColumn("finds", finds).where(F.size("finds") > 0)
     # The line of a find: what surrounds it up to the nearest line ends.
-    one = marked.select("key", "text", F.explode("finds").alias("f"))
+    one = rows.select("key", "text", F.explode(finds).alias("f"))
     before = F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("f.s")), "\n", -1)
     after = F.substring_index(F.substring(F.col("text"), F.col("f.e") + 1, F.length("text")), "\n", 1)
     near = one.select("key", F.col("f.v").alias("entity"), F.concat(before, F.lit("\u0001"), after).alias("line"))
-    met = near.select("key", "entity", F.xxhash64("line").alias("line"), F.explode(F.array_distinct(F.transform(_terms(F.col("line")), _term))).alias("term"))
-    met = met.where(F.length("term") >= TERM_CHARS)
+    met = near.select("key", "entity", F.xxhash64("line").alias("line"), _distinct_terms(F.col("line")).alias("term"))
     pairs = met.groupBy("entity", "term").agg(F.countDistinct("line").alias("lines"), F.countDistinct("key").alias("both")).where((F.col("lines") >= lines) & (F.col("both") >= lines))
     pairs = cut(pairs)
     n = rows.count()
-    wanted = _bounded(cut(pairs.select("term").distinct()))
-    in_text = rows.select(F.explode(F.array_distinct(F.transform(_terms(F.col("text")), _term))).alias("term"))
-    df_term = in_text.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    # All terms are counted, merged in the tasks first, and then met with the pairs.
+    df_term = rows.select(_distinct_terms(F.col("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     df_entity = near.groupBy("entity").agg(F.countDistinct("key").alias("df_entity"))
-    known = pairs.join(df_term, "term").join(df_entity, "entity")
+    known = df_term.join(_bounded(pairs), "term").join(df_entity, "entity")
     pmi = F.log(n * F.col("both") / (F.col("df_entity") * F.col("df_term")))
     share = known.withColumn("share", F.try_divide(pmi, F.log(n / F.col("df_entity"))))
     return cut(share.where(F.col("share") >= disclosed).groupBy("term").agg(F.max("share").alias("share")))
@@ -130,7 +127,7 @@ def with_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", disc
     rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text)))
     plain = rows.select(F.col("_key").alias("key"), _clean(F.col(text)).alias("text"))
     terms = _bounded(disclosing_terms(with_base(plain, "text"), disclosed, lines))
-    held = plain.select("key", F.explode(F.array_distinct(F.transform(_terms(F.col("text")), _term))).alias("term"))
+    held = plain.select("key", _distinct_terms(F.col("text")).alias("term"))
     held = held.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("_terms"))
     # Terms per text are few rows where few terms disclose; their number is checked before they are broadcast.
     held = _bounded(cut(held.withColumnRenamed("key", "_key")))
