@@ -232,7 +232,7 @@ def _scored(batch: pa.RecordBatch, models: dict[str, GramArrays]) -> pa.RecordBa
 
 def score_documents(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """(id, lang, base counts, log_ppl) per row; the model is fitted on all rows."""
-    model = cut(kneser_ney(count_grams(docs, text, lang)))
+    model = cut(kneser_ney(cut(count_grams(docs, text, lang))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang"))
     kind = f"id {rows.schema['id'].dataType.simpleString()}, lang string, {_STATS}"
     if model.count() <= BROADCAST_GRAMS:
@@ -276,6 +276,9 @@ def quality_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", id
     band = band.select("lang", (F.col("q")[1] - wide(0, 1)).alias("band_low"), (F.col("q")[1] + wide(1, 2)).alias("band_high"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(True))
     slack = BAND_SHORT / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
+    # A band for each language: few rows, but as many as there are languages, so the number is checked.
+    band = cut(band)
+    band = F.broadcast(band) if band.count() <= 100_000 else band
     out = stats.join(band, "lang", "left").withColumns({"band_low": F.col("band_low") - slack, "band_high": F.col("band_high") + slack})
     out = out.withColumn("kept", ~F.col("base_failed") & inside)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "band_low", "band_high", "kept")
