@@ -1,7 +1,8 @@
 """Shingle Jaccard self-join through count-vector R-trees.
 
 A document is the set of hashes of its word shingles.  Hashing the members of
-a set into `GROUPS` groups turns it into a point of group counts, and the
+a set into groups turns it into a point of group counts (larger sets have
+more groups, in powers of two, so that any two can be compared), and the
 summed coordinate minima of two points (or of the upper corners of two boxes)
 bound the overlap of the sets from above.  Points are packed into an R-tree;
 whole boxes and then points whose bound is too small are passed over and the
@@ -36,9 +37,12 @@ from pyspark.sql import DataFrame, functions as F
 from hammerline.llm import _text as X
 from hammerline.llm._spark import components, cut
 
-GROUPS = 128
+#: A point has a group for four members or so, a power of two between these.
+GROUPS_LEAST, GROUPS_MOST = 64, 8192
 LEAF = 16
 BLOCK = 512
+#: Names of nodes are broadcast up to this many.
+BROADCAST_NODES = 2_000_000
 #: Frequent shingles are looked for in this many texts, and this many at most are kept.
 SAMPLE_TEXTS, FREQUENT_MAX = 4000, 20_000
 
@@ -70,8 +74,23 @@ def node_of(s: np.ndarray) -> int:
     return int(X.mix(np.array([X.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0].view(np.int64))
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype(np.uint16)
+def groups_for(n: int) -> int:
+    g = GROUPS_LEAST
+    while g < min(n // 4, GROUPS_MOST):
+        g *= 2
+    return g
+
+
+def point(s: np.ndarray, groups: int = 0) -> np.ndarray:
+    g = groups or groups_for(len(s))
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (g - 1), minlength=g), 65535).astype(np.uint16)
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """Points (the last axis) with fewer groups: a coarser group's count is the sum of the finer ones'."""
+    if p.shape[-1] == groups:
+        return p
+    return np.minimum(p.reshape(*p.shape[:-1], -1, groups).sum(-2, dtype=np.uint32), 65535).astype(np.uint16)
 
 
 def needed(n_a, n_b, percent: int):
@@ -94,8 +113,9 @@ class CountTree:
     """An R-tree over count vectors, packed bottom-up in size order, searched by overlap bound."""
 
     def __init__(self, sets: list[np.ndarray]):
-        points = np.stack([point(s) for s in sets])
         sizes = np.array([len(s) for s in sets])
+        self.groups = groups_for(int(sizes.min()))
+        points = np.stack([point(s, self.groups) for s in sets])
         # Sorting by size and then by the heaviest group keeps boxes tight in the coordinate that prunes most.
         self.order = np.lexsort((points.argmax(1), sizes))
         self.sets = sets
@@ -107,7 +127,7 @@ class CountTree:
 
     def candidates(self, s: np.ndarray, percent: int) -> np.ndarray:
         """Indexes of the sets whose bound allows a link with s, the highest bound first."""
-        q, n = point(s), len(s)
+        q, n = point(s, self.groups), len(s)
         at = np.arange(len(self.levels[-1][0]))
         bound = np.empty(0)
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -124,9 +144,11 @@ class CountTree:
         return any(linked(self.sets[i], s, percent) for i in self.candidates(s, percent))
 
 
-def _frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Shingles found in at least three texts of a bounded sample, the most frequent first dropped never."""
-    rows = docs.select(text).limit(SAMPLE_TEXTS).toArrow()
+def _frequent(docs: DataFrame, text: str, width: int, n: int) -> np.ndarray:
+    """Shingles found in at least three texts of a bounded sample."""
+    share = max(1, n // SAMPLE_TEXTS)
+    rows = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(share)) == 0)
+    rows = rows.limit(4 * SAMPLE_TEXTS).toArrow()
     sets = list(shingle_sets(rows.column(0), width)) if rows.num_rows else []
     if not sets:
         return np.empty(0, np.uint64)
@@ -169,7 +191,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
 
     id_type = docs.schema["id"].dataType.simpleString()
     named = cut(docs.mapInArrow(name_rows, f"id {id_type}, n long, node long"))
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, "text", width))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, "text", width, named.count()))
 
     def prefixes(batches):
         seen: set[int] = set()
@@ -201,38 +223,25 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     often = often.join(F.broadcast(ends.select("token", "pivot")), "token").select("token", "node", "pivot")
     cells = cut(rare.unionByName(often))
 
-    involved = cells.select("node").distinct()
-    involved = cut(involved)
-    few = involved.count() <= 2_000_000
-
-    def set_rows(batches):
-        for batch in batches:
-            nodes, blobs = [], []
-            for s in shingle_sets(batch.column(0), width):
-                if len(s):
-                    nodes.append(node_of(s))
-                    blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "members"])
-
-    # The nodes' names are broadcast only up to a checked count; beyond it the join shuffles.
-    sets = docs.select("text").mapInArrow(set_rows, "node long, members binary")
-    sets = sets.join(F.broadcast(involved) if few else involved, "node", "left_semi")
-    sets = cut(sets.dropDuplicates(["node"]))
+    # Points are small; sets are fetched only for nodes of pairs that the points leave.
+    points = cut(_of_nodes(docs, cells.select("node").distinct(), width, True))
 
     # Step 1: each node with the pivot it meets most often.
     met = cells.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("k"))
-    best = met.groupBy("node").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot"))
+    best = met.groupBy("node").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("b")).withColumnRenamed("node", "a")
+    best = _allowed(best, points.withColumnRenamed("node", "cls").withColumns({"lo": F.col("n"), "hi": F.col("n")}), percent)
+    sets = cut(_of_nodes(docs, best.select(F.col("a").alias("node")).union(best.select("b")).distinct(), width, False))
 
     def verified(batches):
         for batch in batches:
-            a, b = _sets(batch, "members"), _sets(batch, "pivot_members")
-            yield batch.select(["node", "pivot"]).filter(pa.array([linked(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_()))
+            a, b = _sets(batch, "members"), _sets(batch, "members2")
+            yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    pairs = best.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("members").alias("pivot_members")), "pivot")
-    links = cut(pairs.select("node", "members", "pivot", "pivot_members").mapInArrow(verified, "node long, pivot long").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    pairs = best.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("members2")), "b")
+    links = cut(pairs.select("a", "b", "members", "members2").mapInArrow(verified, "a long, b long").distinct())
 
     for exhaustive in (False, True):
-        links = cut(links.unionByName(_class_links(cells, sets, links, percent, exhaustive)))
+        links = cut(links.unionByName(_class_links(docs, width, cells, points, links, percent, exhaustive)))
 
     comp = components(links)
     ids = named.join(comp, "node", "left").withColumn("key", F.coalesce("comp", "node"))
@@ -242,10 +251,59 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _class_links(cells: DataFrame, sets: DataFrame, links: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
+def _of_nodes(docs: DataFrame, nodes: DataFrame, width: int, as_points: bool) -> DataFrame:
+    """The points (node, corner, n) or the sets (node, members) of these nodes; a node that several tasks hold comes from each."""
+    nodes = cut(nodes)
+    few = nodes.count() <= BROADCAST_NODES
+
+    def rows(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            own, blobs, n = [], [], []
+            for s in shingle_sets(batch.column(0), width):
+                if len(s) and (node := node_of(s)) not in seen:
+                    seen.add(node)
+                    own.append(node)
+                    blobs.append((point(s) if as_points else s).tobytes())
+                    n.append(len(s))
+            cols = [pa.array(own, pa.int64()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], ["node", "corner", "n"]) if as_points else pa.RecordBatch.from_arrays(cols, ["node", "members"])
+
+    made = docs.select("text").mapInArrow(rows, "node long, corner binary, n int" if as_points else "node long, members binary")
+    # The nodes' names are broadcast only up to a checked count; beyond it the join shuffles.
+    return made.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+
+
+def _allowed(pairs: DataFrame, box: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) whose boxes (cls, corner, lo, hi) may hold two linked sets."""
+    names = pairs.columns
+
+    def test(batches):
+        for batch in batches:
+            if batch.num_rows:
+                p, q = ([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(c)] for c in ("pa", "pb"))
+                lo_a, hi_a, lo_b, hi_b = (batch.column(c).to_numpy().astype(np.int64) for c in ("loa", "hia", "lob", "hib"))
+                bound = np.empty(len(p), np.int64)
+                kinds: dict[tuple[int, int], list[int]] = {}
+                for i, (x, y) in enumerate(zip(p, q, strict=True)):
+                    kinds.setdefault((len(x), len(y)), []).append(i)
+                for g, at in kinds.items():
+                    for k in range(0, len(at), 1024):
+                        some = at[k : k + 1024]
+                        x, y = np.stack([p[i] for i in some]), np.stack([q[i] for i in some])
+                        bound[some] = np.minimum(folded(x, min(g)), folded(y, min(g))).sum(1, dtype=np.int64)
+                ok = (bound >= needed(lo_a, lo_b, percent)) & (100 * hi_a >= percent * lo_b) & (100 * hi_b >= percent * lo_a)
+                yield batch.select(names).filter(pa.array(ok))
+
+    side = lambda x: box.select(F.col("cls").alias(x), F.col("corner").alias("p" + x), F.col("lo").alias("lo" + x), F.col("hi").alias("hi" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, "pa", "pb", "loa", "hia", "lob", "hib")
+    return cut(both.mapInArrow(test, pairs.schema).distinct())
+
+
+def _class_links(docs: DataFrame, width: int, cells: DataFrame, points: DataFrame, links: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
     """Links (a, b) found between classes that meet in a cell: with its largest class, or (exhaustive) all with all."""
     comp = components(links)
-    member = cut(sets.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("cls")))
+    member = cut(points.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("cls")))
     weight = member.groupBy("cls").agg(F.count(F.lit(1)).alias("weight"))
     meet = cells.join(member, "node").select("token", "cls").distinct().join(weight, "cls")
     big = meet.groupBy("token").agg(F.max(F.struct("weight", "cls")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -258,42 +316,24 @@ def _class_links(cells: DataFrame, sets: DataFrame, links: DataFrame, percent: i
         pairs = meet.join(big, "token").select(F.col("top.cls").alias("a"), F.col("top.weight").alias("wa"), F.col("cls").alias("b"), F.col("weight").alias("wb")).where("a <> b")
     pairs = cut(pairs.select("a", "b", "wa", "wb").distinct())
 
-    def boxes(batches):
-        for batch in batches:
-            s = _sets(batch, "members")
-            if s:
-                p = np.stack([point(x) for x in s])
-                n = np.array([len(x) for x in s], np.int32)
-                yield from _box_batches(batch.column("cls").to_numpy(), p, n, n)
-
     def merged(batches):
         for batch in batches:
             if batch.num_rows:
-                p = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column("corner")])
+                p = [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column("corner")]
                 yield from _box_batches(batch.column("cls").to_numpy(), p, batch.column("lo").to_numpy(), batch.column("hi").to_numpy())
 
     kind = "cls long, corner binary, lo int, hi int"
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    of = cut(sets.join(member.join(wanted, "cls", "left_semi"), "node"))
-    box = of.mapInArrow(boxes, kind).repartition("cls").sortWithinPartitions("cls").mapInArrow(merged, kind)
-    # A class cut by a batch's end has two boxes; the pair then passes if any of them allows it.
-    box = cut(box)
-
-    def allowed(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p, q = (np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(c)]) for c in ("pa", "pb"))
-            lo_a, hi_a, lo_b, hi_b = (batch.column(c).to_numpy().astype(np.int64) for c in ("loa", "hia", "lob", "hib"))
-            bound = np.minimum(p, q).sum(1, dtype=np.int64)
-            ok = (bound >= needed(lo_a, lo_b, percent)) & (100 * hi_a >= percent * lo_b) & (100 * hi_b >= percent * lo_a)
-            yield batch.select(["a", "b", "wa", "wb"]).filter(pa.array(ok))
-
-    side = lambda x: box.select(F.col("cls").alias(x), F.col("corner").alias("p" + x), F.col("lo").alias("lo" + x), F.col("hi").alias("hi" + x))
-    kept = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb", "pa", "pb", "loa", "hia", "lob", "hib")
-    kept = cut(kept.mapInArrow(allowed, "a long, b long, wa long, wb long").distinct())
+    member = cut(member.join(wanted, "cls", "left_semi"))
+    box = points.join(member, "node").select("cls", "corner", F.col("n").alias("lo"), F.col("n").alias("hi"))
+    # Classes are merged before and after the shuffle.  One cut by a batch's end has two boxes; its pair passes if any of them allows it.
+    box = cut(box.sortWithinPartitions("cls").mapInArrow(merged, kind).repartition("cls").sortWithinPartitions("cls").mapInArrow(merged, kind))
+    kept = _allowed(pairs, box, percent)
 
     # Blocks of the larger class against blocks of the smaller ones that may link with it.
+    wanted = kept.select(F.col("a").alias("cls")).union(kept.select(F.col("b").alias("cls"))).distinct()
+    member = cut(member.join(wanted, "cls", "left_semi"))
+    of = cut(_of_nodes(docs, member.select("node"), width, False).join(member, "node"))
     load = kept.groupBy("a").agg(F.sum("wb").alias("load"), F.max("wa").alias("wa"))
     load = load.select("a", F.ceil(F.col("load") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("wa") / BLOCK).cast("int").alias("na"))
     grid = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -315,14 +355,20 @@ def _class_links(cells: DataFrame, sets: DataFrame, links: DataFrame, percent: i
     return left.groupBy("a", "i", "j").cogroup(right.groupBy("a2", "i2", "j2")).applyInArrow(search, "a long, b long")
 
 
-def _box_batches(cls: np.ndarray, corner: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-    """One row per class: the upper corner of its members' boxes and their least and largest size."""
+def _box_batches(cls: np.ndarray, corner: list[np.ndarray], lo: np.ndarray, hi: np.ndarray):
+    """One row per class: the upper corner of its members' boxes, in its coarsest member's groups, and their least and largest size."""
     order = np.argsort(cls, kind="stable")
     cls = cls[order]
     cuts = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-    top = np.maximum.reduceat(corner[order], cuts)
+    tops = []
+    for own in np.split(order, cuts[1:]):
+        g = min(len(corner[i]) for i in own)
+        top = folded(corner[own[0]], g)
+        for i in own[1:]:
+            top = np.maximum(top, folded(corner[i], g))
+        tops.append(top.tobytes())
     yield pa.RecordBatch.from_arrays(
-        [pa.array(cls[cuts]), pa.array([x.tobytes() for x in top], pa.binary()), pa.array(np.minimum.reduceat(lo[order], cuts).astype(np.int32)), pa.array(np.maximum.reduceat(hi[order], cuts).astype(np.int32))],
+        [pa.array(cls[cuts]), pa.array(tops, pa.binary()), pa.array(np.minimum.reduceat(lo[order], cuts).astype(np.int32)), pa.array(np.maximum.reduceat(hi[order], cuts).astype(np.int32))],
         ["cls", "corner", "lo", "hi"],
     )
 
