@@ -31,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
 from hammerline.llm._spark import cut, shuffle_parts
 from hammerline.llm.induced import neighbours_share, suffix_array
 
-CORE = 20
+CORE = 28
 #: 2**FILTER_BITS bits are broadcast, whatever the size of the input.
 FILTER_BITS = 27
 #: Longer texts are searched in overlapping parts of this many bytes.
@@ -119,16 +120,15 @@ def _shared_anchors(docs: DataFrame, length: int) -> np.ndarray:
         twice: list[np.ndarray] = []
 
         def out():
-            v = np.sort(np.concatenate(held))
-            new = np.concatenate([[True], v[1:] != v[:-1]])
-            u = v[new]
-            # The lowest bit says that the anchor occurs in several rows of this task.
-            multi = np.diff(np.append(np.flatnonzero(new), len(v))) > 1
-            u = (u & ~np.uint64(1)) | multi.astype(np.uint64)
-            part = ((u >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            # 40 bits of an anchor are enough to find most that occur once; the lowest of 41 says that it is in several rows here.
+            v = np.sort(np.concatenate(held) >> np.uint64(24))
+            new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            multi = np.diff(np.append(new, len(v))) > 1
+            u = (v[new] << np.uint64(1)) | multi.astype(np.uint64)
+            part = (u >> np.uint64(1)) * np.uint64(parts) >> np.uint64(40)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             p = [k for k in range(parts) if cuts[k + 1] > cuts[k]]
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([u[cuts[k] : cuts[k + 1]].tobytes() for k in p], pa.binary())], ["p", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([_squeezed(u[cuts[k] : cuts[k + 1]]) for k in p], pa.binary())], ["p", "blob"])
 
         n = 0
         for batch in batches:
@@ -148,48 +148,144 @@ def _shared_anchors(docs: DataFrame, length: int) -> np.ndarray:
             yield out()
 
     def meet(table: pa.Table) -> pa.Table:
-        v = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("blob")]))
+        v = np.sort(np.concatenate([_unsqueezed(x.as_py())[0] for x in table.column("blob")]))
         whole = v >> np.uint64(1)
-        same = whole[1:] == whole[:-1]
-        found = np.concatenate([v[:-1][same], v[v & np.uint64(1) > 0]])
-        return pa.table({"a": np.unique(found & ~np.uint64(1)).view(np.int64)})
+        found = np.concatenate([whole[1:][whole[1:] == whole[:-1]], whole[v & np.uint64(1) > 0]])
+        return pa.table({"a": (np.unique(found) << np.uint64(24)).view(np.int64)})
 
     return _bit_filter(docs.select("text").mapInArrow(blobs, "p int, blob binary").groupBy("p").applyInArrow(meet, "a long"), "a")
 
 
-def _piece_rows(docs: DataFrame, length: int, bits, content: bool) -> DataFrame:
-    """The pieces whose anchor passes the filter, with their row or (content) with their bytes."""
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, plane by plane; the first column, in order, as differences."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (first, *columns[1:])]
+    return len(first).to_bytes(8, "little") + zstandard.compress(b"".join(planes), 1)
 
-    def rows(batches):
-        mine = bits.value
+
+def _unsqueezed(x: bytes, kinds: tuple = (np.uint64,)) -> list[np.ndarray]:
+    n = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(zstandard.decompress(x[8:]), np.uint8).reshape(len(kinds), 8, n)
+    out = [np.ascontiguousarray(planes[i].T).view(k).ravel() for i, k in enumerate(kinds)]
+    out[0] = np.cumsum(out[0], dtype=kinds[0])
+    return out
+
+
+def _found(docs: DataFrame, length: int):
+    """For each batch of (rid, row, text) its parts and their pieces: t, base, rids, rows, anchor, piece, start, end, text index."""
+
+    def each(batches):
         for batch in batches:
             rid, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for t, base in _parts(batch.column(2), length):
                 anchor, start, end, of = pieces(t, length)
-                ok = _hit(mine, anchor)
-                anchor, start, end, of = anchor[ok], start[ok], end[ok], of[ok]
-                if not len(anchor):
-                    continue
-                piece = X.mix(t.hashes(start, end) ^ anchor)
-                cols = [pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64))]
-                if content:
-                    piece, first = np.unique(piece, return_index=True)
-                    cols = [c.take(pa.array(first)) for c in cols]
-                    cols.append(pa.array([t.data[start[k] : end[k]].tobytes() for k in first], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(cols, ["anchor", "piece", "bytes"])
-                else:
-                    at = of + t.first
-                    cols += [pa.array(rid[at]), pa.array(row[at]), pa.array(start - t.offsets[of] + base), pa.array((end - start).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, ["anchor", "piece", "rid", "row", "start", "len"])
-
-    schema = "anchor long, piece long, bytes binary" if content else "anchor long, piece long, rid long, row long, start long, len int"
-    return docs.select("rid", "row", "text").mapInArrow(rows, schema)
-
-
-def _shard_runs(table: pa.Table, length: int) -> pa.Table:
-    """For each piece of a shard the ranges whose strings occur in a piece with a smaller id."""
-    blobs = [x.as_buffer() for x in table.column("bytes")]
-    lo = table.column("lo").to_numpy()
+                yield t, base, rid[of + t.first], row[of + t.first], anchor, X.mix(t.hashes(start, end) ^ anchor), start, end, of
+
+    return each
+
+
+def _merged_kinds(anchor, piece, lo, hi) -> tuple[np.ndarray, ...]:
+    """One entry per anchor and piece, in that order, with the smallest lo and the largest hi."""
+    o = np.lexsort((piece, anchor))
+    anchor, piece, lo, hi = anchor[o], piece[o], lo[o], hi[o]
+    head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])])) if len(o) else np.empty(0, np.int64)
+    return (anchor[head], piece[head], np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)) if len(head) else (anchor, piece, lo, hi)
+
+
+def _piece_kinds(docs: DataFrame, length: int, bits) -> DataFrame:
+    """(anchor, piece, lo, hi, n): pieces of shared anchors, their smallest and largest id, and the anchor's number of pieces.
+
+    Pieces are merged in the task and dealt by anchor, so that all pieces of an
+    anchor meet after one shuffle, packed as compressed columns; an anchor has
+    one entry for each task and different piece, however often it occurs.
+    """
+    each = _found(docs, length)
+    parts = max(shuffle_parts(docs.sparkSession), 1)
+
+    def rows(batches):
+        held: list = []
+        n = 0
+
+        def out():
+            cols = _merged_kinds(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+            part = ((cols[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            p = [k for k in range(parts) if cuts[k + 1] > cuts[k]]
+            anchor, piece, lo, hi = cols
+            blobs = [_squeezed(anchor[b], piece[b], lo[b], hi[b] - lo[b]) for b in (slice(cuts[k], cuts[k + 1]) for k in p)]
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(blobs, pa.binary())], ["p", "blob"])
+
+        for _, _, rid, _, anchor, piece, _, _, _ in each(batches):
+            ok = _hit(bits.value, anchor)
+            held.append((anchor[ok], piece[ok], rid[ok], rid[ok]))
+            n += int(ok.sum())
+            if n > 2_000_000:
+                yield out()
+                n = 0
+        if held:
+            yield out()
+
+    def meet(table: pa.Table) -> pa.Table:
+        cols = [_unsqueezed(x.as_py(), (np.uint64, np.uint64, np.int64, np.int64)) for x in table.column("blob")]
+        anchor, piece, lo, wide = (np.concatenate(c) for c in zip(*cols, strict=True))
+        anchor, piece, lo, hi = _merged_kinds(anchor, piece, lo, lo + wide)
+        head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        n = np.diff(np.append(head, len(anchor)))
+        shared = np.repeat(np.minimum.reduceat(lo, head) < np.maximum.reduceat(hi, head), n)
+        n = np.repeat(n, n)
+        return pa.table({"anchor": anchor[shared].view(np.int64), "piece": piece[shared].view(np.int64), "lo": lo[shared], "hi": hi[shared], "n": n[shared]})
+
+    made = docs.select("rid", "row", "text").mapInArrow(rows, "p int, blob binary")
+    return made.groupBy("p").applyInArrow(meet, "anchor long, piece long, lo long, hi long, n long")
+
+
+def _piece_bytes(docs: DataFrame, length: int, bits) -> DataFrame:
+    """(anchor, piece, bytes) of the pieces whose anchor passes the filter; a piece comes once from each task that holds it."""
+    each = _found(docs, length)
+
+    def rows(batches):
+        seen: set[int] = set()
+        for t, _, _, _, anchor, piece, start, end, _ in each(batches):
+            ok = np.flatnonzero(_hit(bits.value, anchor))
+            ok = ok[[not (p in seen or seen.add(p)) for p in piece[ok].tolist()]] if len(ok) else ok
+            blobs = [t.data[a:b].tobytes() for a, b in zip(start[ok].tolist(), end[ok].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[ok].view(np.int64)), pa.array(piece[ok].view(np.int64)), pa.array(blobs, pa.binary())], ["anchor", "piece", "bytes"])
+
+    return docs.select("rid", "row", "text").mapInArrow(rows, "anchor long, piece long, bytes binary")
+
+
+def _piece_places(docs: DataFrame, length: int, bits) -> DataFrame:
+    """(piece, rid, row, at) of the pieces that pass the filter; at holds the start in the row and, in the low 16 bits, the length."""
+    each = _found(docs, length)
+
+    def rows(batches):
+        for t, base, rid, row, _, piece, start, end, of in each(batches):
+            ok = _hit(bits.value, piece)
+            at = ((start - t.offsets[of] + base) << 16) | (end - start)
+            yield pa.RecordBatch.from_arrays([pa.array(piece[ok].view(np.int64)), pa.array(rid[ok]), pa.array(row[ok]), pa.array(at[ok])], ["piece", "rid", "row", "at"])
+
+    return docs.select("rid", "row", "text").mapInArrow(rows, "piece long, rid long, row long, at long")
+
+
+def _shard_runs(known: pa.Table, told: pa.Table, length: int) -> pa.Table:
+    """For each piece of a shard the ranges whose strings occur in a piece with a smaller id.
+
+    known: (piece, lo); told: (piece2, bytes), where a piece may come several times.
+    """
+    if not known.num_rows or not told.num_rows:
+        return pa.table({"piece": pa.array([], pa.int64()), "run": pa.array([], pa.int32())})
+    key, first = np.unique(told.column("piece2").to_numpy(), return_index=True)
+    told = told.take(pa.array(first))
+    o = np.argsort(known.column("piece").to_numpy())
+    known = known.take(pa.array(o))
+    at = np.searchsorted(known.column("piece").to_numpy(), key)
+    at[at == known.num_rows] = 0
+    both = known.column("piece").to_numpy()[at] == key
+    told, piece, lo = told.filter(pa.array(both)), key[both], known.column("lo").to_numpy()[at[both]]
+    if not len(piece):
+        return pa.table({"piece": pa.array([], pa.int64()), "run": pa.array([], pa.int32())})
+    blobs = [x.as_buffer() for x in told.column("bytes")]
     size = np.array([len(b) for b in blobs])
     head = np.cumsum(size + 1) - (size + 1)
     data = np.frombuffer(b"\0".join(blobs) + b"\0", np.uint8)
@@ -205,14 +301,17 @@ def _shard_runs(table: pa.Table, length: int) -> pa.Table:
     order, of = order[gone], of[gone]
     o = np.argsort(order)
     starts, ends, of = _runs(order[o], order[o] + length, of[o])
-    return pa.table({"anchor": table.column("anchor").take(pa.array(of)), "piece": table.column("piece").take(pa.array(of)), "a": pa.array((starts - head[of]).astype(np.int32)), "b": pa.array((ends - head[of]).astype(np.int32))})
+    return pa.table({"piece": pa.array(piece[of]), "run": pa.array((((starts - head[of]) << 16) | (ends - starts)).astype(np.int32))})
 
 
 def _runs(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Union of ranges, sorted by start, that belong to increasing owners."""
     if not len(a):
         return a, b, of
-    top = np.maximum.accumulate(b)
+    # An owner's ranges reach no further than its own end, which a running maximum over all owners would.
+    owner = np.cumsum(np.concatenate([[0], (of[1:] != of[:-1]).astype(np.int64)]))
+    span = int(b.max()) + 1
+    top = np.maximum.accumulate(owner * span + b) - owner * span
     new = np.concatenate([[True], (a[1:] > top[:-1]) | (of[1:] != of[:-1])])
     head = np.flatnonzero(new)
     return a[head], np.maximum.reduceat(b, head), of[head]
@@ -223,33 +322,42 @@ def removed_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = keyed.withColumn("rid", F.coalesce(F.col("id").cast("long"), F.lit(_LAST))).withColumn("row", F.xxhash64("rid", "text"))
     sc = docs.sparkSession.sparkContext
-    rows = cut(_piece_rows(keyed, length, sc.broadcast(_shared_anchors(keyed, length)), False))
-    kinds = cut(rows.groupBy("anchor", "piece").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.first("len").alias("len")))
-    by_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("alo"), F.max("hi").alias("ahi")).where("alo < ahi")
-    by_anchor = cut(by_anchor.select("anchor", "n"))
-    mixed = by_anchor.where("n > 1")
-    # Bytes are fetched only for anchors with different pieces.
-    told = _piece_rows(keyed, length, sc.broadcast(_bit_filter(mixed.select("anchor"), "anchor")), True)
-    told = told.groupBy("anchor", "piece").agg(F.first("bytes").alias("bytes"))
-    told = cut(told.join(mixed, "anchor").join(kinds.select("anchor", "piece", "lo"), ["anchor", "piece"]))
-    total = told.where(F.col("n") <= CROWDED).agg(F.sum(F.length("bytes"))).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
-
-    few = told.where(F.col("n") <= CROWDED).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    runs = few.select("shard", "anchor", "piece", "lo", "bytes").groupBy("shard").applyInArrow(lambda t: _shard_runs(t, length), "anchor long, piece long, a int, b int")
-    single = told.where(F.col("n") > CROWDED).select("anchor", "piece", "lo", F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("a"), "bytes")
+    kinds = cut(_piece_kinds(keyed, length, sc.broadcast(_shared_anchors(keyed, length))))
+    mixed = kinds.where("n > 1")
+    # Bytes are fetched only for anchors with different pieces; a shard's number is part of no result.
+    told = _piece_bytes(keyed, length, sc.broadcast(_bit_filter(mixed.select("anchor"), "anchor")))
+    mean = 2 * length
+    shards = max(1, -(-mixed.where(F.col("n") <= CROWDED).count() * mean // SHARD_BYTES))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
+    few = mixed.where(F.col("n") <= CROWDED).select(shard.alias("s"), "piece", "lo")
+    runs = few.groupBy("s").cogroup(told.select(shard.alias("s2"), F.col("piece").alias("piece2"), "bytes").groupBy("s2")).applyInArrow(lambda a, b: _shard_runs(a, b, length), "piece long, run int")
+
+    single = told.join(mixed.where(F.col("n") > CROWDED), ["anchor", "piece"]).select("anchor", "piece", "lo", F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("a"), "bytes")
     single = single.select("anchor", "piece", "lo", "a", F.sha2(F.substring("bytes", F.col("a") + 1, length), 256).alias("s"))
     least = single.groupBy("anchor", "s").agg(F.min("lo").alias("least"))
-    crowded = single.join(least, ["anchor", "s"]).where("least < lo").select("anchor", "piece", F.col("a").cast("int"), (F.col("a") + length).cast("int").alias("b"))
-    runs = runs.unionByName(crowded).groupBy("anchor", "piece").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    fate = kinds.join(by_anchor.select("anchor"), "anchor", "left_semi").join(runs, ["anchor", "piece"], "left").where("lo < hi or runs is not null")
-    fate = fate.select("anchor", "piece", "lo", "runs")
-    gone = rows.join(fate, ["anchor", "piece"])
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("len").alias("b")))
-    gone = gone.select("row", "start", F.when(F.col("rid") > F.col("lo"), whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
-    gone = gone.select("row", F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"]).alias("b"))).alias("runs"))
+    crowded = single.join(least, ["anchor", "s"]).where("least < lo").select("piece", F.shiftleft("a", 16).bitwiseOR(F.lit(length)).alias("run")).distinct()
+    runs = cut(runs.unionByName(crowded).groupBy("piece").agg(F.collect_list("run").alias("runs")))
+
+    fate = cut(kinds.select("piece", "lo", "hi").join(runs, "piece", "left").where("lo < hi or runs is not null").select("piece", "lo", "runs"))
+    places = _piece_places(keyed, length, sc.broadcast(_bit_filter(fate.select("piece"), "piece")))
+    gone = places.join(fate, "piece")
+    part = lambda r: F.shiftleft(F.shiftright("at", 16) + F.shiftright(r, 16), 16).bitwiseOR(r.bitwiseAND(F.lit(65535)).cast("long"))
+    gone = gone.select("row", F.explode(F.when(F.col("rid") > F.col("lo"), F.array("at")).otherwise(F.transform("runs", part))).alias("at"))
+
+    def merged(batches):
+        """Ranges of a row come together; they leave as few as they can be, one row each time a batch ends or the row does."""
+        for batch in batches:
+            row, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if len(row):
+                a, b, of = _runs(at >> 16, (at >> 16) + (at & 65535), row)
+                head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                cut_at = pa.array(np.append(head, len(of)).astype(np.int32))
+                pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(of[head]), pa.ListArray.from_arrays(cut_at, pairs)], ["row", "runs"])
+
+    runs = gone.repartition("row").sortWithinPartitions("row", "at").mapInArrow(merged, "row long, runs array<struct<a: bigint, b: bigint>>")
     # Rows that are equal in id and text have the same ranges, so it does not matter that they are merged.
-    return keyed, gone.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return keyed, runs.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def _with_ranges(keyed: DataFrame, runs: DataFrame) -> DataFrame:
