@@ -338,6 +338,7 @@ def removed_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     crowded = single.join(least, ["anchor", "s"]).where("least < lo").select("piece", F.shiftleft("a", 16).bitwiseOR(F.lit(length)).alias("run")).distinct()
     runs = cut(runs.unionByName(crowded).groupBy("piece").agg(F.collect_list("run").alias("runs")))
 
+    runs = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
     fate = cut(kinds.select("piece", "lo", "hi").join(runs, "piece", "left").where("lo < hi or runs is not null").select("piece", "lo", "runs"))
     places = _piece_places(keyed, length, sc.broadcast(_bit_filter(fate.select("piece"), "piece")))
     gone = places.join(fate, "piece")
@@ -345,19 +346,27 @@ def removed_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     gone = gone.select("row", F.explode(F.when(F.col("rid") > F.col("lo"), F.array("at")).otherwise(F.transform("runs", part))).alias("at"))
 
     def merged(batches):
-        """Ranges of a row come together; they leave as few as they can be, one row each time a batch ends or the row does."""
+        """Ranges come in the order of rows and starts; each row leaves once, with as few ranges as can be."""
+
+        def out(row, at):
+            a, b, of = _runs(at >> 16, (at >> 16) + (at & 65535), row)
+            head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(of[head]), pa.ListArray.from_arrays(pa.array(np.append(head, len(of)).astype(np.int32)), pairs)], ["row", "runs"])
+
+        row = at = np.empty(0, np.int64)
         for batch in batches:
-            row, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if len(row):
-                a, b, of = _runs(at >> 16, (at >> 16) + (at & 65535), row)
-                head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                cut_at = pa.array(np.append(head, len(of)).astype(np.int32))
-                pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                yield pa.RecordBatch.from_arrays([pa.array(of[head]), pa.ListArray.from_arrays(cut_at, pairs)], ["row", "runs"])
+            row, at = np.concatenate([row, batch.column(0).to_numpy()]), np.concatenate([at, batch.column(1).to_numpy()])
+            if len(row) and row[0] != row[-1]:
+                k = int(np.searchsorted(row, row[-1]))  # the last row may go on in the next batch
+                yield out(row[:k], at[:k])
+                row, at = row[k:], at[k:]
+        if len(row):
+            yield out(row, at)
 
-    runs = gone.repartition("row").sortWithinPartitions("row", "at").mapInArrow(merged, "row long, runs array<struct<a: bigint, b: bigint>>")
     # Rows that are equal in id and text have the same ranges, so it does not matter that they are merged.
-    return keyed, runs.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = gone.repartition("row").sortWithinPartitions("row", "at").mapInArrow(merged, "row long, runs array<struct<a: bigint, b: bigint>>")
+    return keyed, runs
 
 
 def _with_ranges(keyed: DataFrame, runs: DataFrame) -> DataFrame:
