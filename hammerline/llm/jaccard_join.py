@@ -44,7 +44,7 @@ BLOCK = 512
 #: Names of nodes are broadcast up to this many.
 BROADCAST_NODES = 2_000_000
 #: Frequent shingles are looked for in this many texts, and this many at most are kept.
-SAMPLE_TEXTS, FREQUENT_MAX = 4000, 20_000
+SAMPLE_TEXTS, FREQUENT_MAX = 4000, 200_000
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -145,7 +145,7 @@ class CountTree:
 
 
 def _frequent(docs: DataFrame, text: str, width: int, n: int) -> np.ndarray:
-    """Shingles found in at least three texts of a bounded sample."""
+    """Shingles found in at least two texts of a bounded sample."""
     share = max(1, n // SAMPLE_TEXTS)
     rows = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(share)) == 0)
     rows = rows.limit(4 * SAMPLE_TEXTS).toArrow()
@@ -153,7 +153,7 @@ def _frequent(docs: DataFrame, text: str, width: int, n: int) -> np.ndarray:
     if not sets:
         return np.empty(0, np.uint64)
     u, c = np.unique(np.concatenate(sets), return_counts=True)
-    u, c = u[c >= 3], c[c >= 3]
+    u, c = u[c >= 2], c[c >= 2]
     return np.sort(u[np.argsort(-c, kind="stable")][:FREQUENT_MAX])
 
 
@@ -304,16 +304,19 @@ def _class_links(docs: DataFrame, width: int, cells: DataFrame, points: DataFram
     """Links (a, b) found between classes that meet in a cell: with its largest class, or (exhaustive) all with all."""
     comp = components(links)
     member = cut(points.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("cls")))
-    weight = member.groupBy("cls").agg(F.count(F.lit(1)).alias("weight"))
+    weight = points.select("node", "n").join(member, "node").groupBy("cls").agg(F.countDistinct("node").alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     meet = cells.join(member, "node").select("token", "cls").distinct().join(weight, "cls")
-    big = meet.groupBy("token").agg(F.max(F.struct("weight", "cls")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    big = meet.groupBy("token").agg(F.max(F.struct("weight", "cls", "lo", "hi")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Classes of too different sizes are no pair; that is known before pairs are made.
+    sizes = lambda lo_a, hi_a, lo_b, hi_b: (100 * F.col(hi_a) >= percent * F.col(lo_b)) & (100 * F.col(hi_b) >= percent * F.col(lo_a))
     if exhaustive:
-        meet = cut(meet.join(big.select("token"), "token").select("token", "cls", "weight"))
-        other = meet.select("token", F.col("cls").alias("b"), F.col("weight").alias("wb"))
-        pairs = meet.select("token", F.col("cls").alias("a"), F.col("weight").alias("wa")).join(other, "token")
-        pairs = pairs.where(F.struct("wa", "a") > F.struct("wb", "b"))
+        meet = cut(meet.join(big.select("token"), "token").select("token", "cls", "weight", "lo", "hi"))
+        other = meet.select("token", F.col("cls").alias("b"), F.col("weight").alias("wb"), F.col("lo").alias("lob"), F.col("hi").alias("hib"))
+        pairs = meet.select("token", F.col("cls").alias("a"), F.col("weight").alias("wa"), F.col("lo").alias("loa"), F.col("hi").alias("hia"))
+        pairs = pairs.join(other, (pairs["token"] == other["token"]) & (F.struct("wa", "a") > F.struct("wb", "b")) & sizes("loa", "hia", "lob", "hib"))
     else:
-        pairs = meet.join(big, "token").select(F.col("top.cls").alias("a"), F.col("top.weight").alias("wa"), F.col("cls").alias("b"), F.col("weight").alias("wb")).where("a <> b")
+        pairs = meet.join(big, "token").where((F.col("top.cls") != F.col("cls")) & sizes("top.lo", "top.hi", "lo", "hi"))
+        pairs = pairs.select(F.col("top.cls").alias("a"), F.col("top.weight").alias("wa"), F.col("cls").alias("b"), F.col("weight").alias("wb"))
     pairs = cut(pairs.select("a", "b", "wa", "wb").distinct())
 
     def merged(batches):
