@@ -15,7 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text is handled on its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+#: Rows of a batch that are brought into plain form at once.
+SLICE_ROWS = 512
 
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
@@ -124,18 +127,18 @@ def texts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
     """The column's texts, as many at once as have `limit` bytes together, one at least."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    _, off, buf = column.buffers()
-    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(buf, np.uint8) if buf is not None else np.empty(0, np.uint8)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
-        b = min(b, len(column))
-        yield Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a)
-        a = b
+    for row in range(0, len(column), SLICE_ROWS):
+        # A slice at a time, so that a batch is never copied whole.
+        part = pc.fill_null(column.slice(row, SLICE_ROWS).cast(pa.large_string()), "")
+        _, off, buf = part.buffers()
+        offsets = np.frombuffer(off, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(buf, np.uint8) if buf is not None else np.empty(0, np.uint8)
+        a = 0
+        while a < len(part):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+            b = min(b, len(part))
+            yield Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], row + a)
+            a = b
 
 
 def windows(hashes: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

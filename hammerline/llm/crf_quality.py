@@ -119,7 +119,15 @@ class LineField:
     shift: float = 0.0
 
     def marginals(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
-        u = (with_neighbours(x, of) - self.mean) / self.scale @ self.weights
+        # The neighbours' part is the same product, moved by a line: no wide matrix is made.
+        w = self.weights / self.scale
+        k = x.shape[1]
+        own, before, after = (x @ w[:k], x @ w[k : 2 * k], x @ w[2 * k : 3 * k])
+        head = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.empty(0, bool)
+        tail = np.concatenate([of[1:] != of[:-1], [True]]) if len(of) else np.empty(0, bool)
+        u = own + w[-3] * head + w[-2] * tail + w[-1] - self.mean @ w
+        u[1:] += np.where(head[1:], 0, before[:-1])
+        u[:-1] += np.where(tail[:-1], 0, after[1:])
         return forward_backward(np.clip(u, -30, 30), of, self.trans)[0]
 
     def raw(self, x: np.ndarray, of: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
