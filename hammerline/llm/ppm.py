@@ -6,7 +6,8 @@ different, gives a seen symbol its count over n + d and keeps d over n + d for
 escaping to the next shorter context, where the symbols of the longer one are
 excluded; below the empty context the symbols left are alike.  Spark counts
 the contexts of the training texts; a task holds them as the levels of a trie
-in sorted arrays.
+in sorted arrays.  A trie too large to be broadcast stays a table: its contexts
+meet the texts' distinct grams in groups, with the same scores.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from hammerline.llm._spark import cut
 ORDER = 3
 #: Symbols: a byte is its value + 2, the end of a text 1; 0 stands before its beginning.
 _END, _ALPHABET = 1, 257
-#: The trie is broadcast up to this many entries; beyond that its counts are cut to shorter contexts.
-BROADCAST_ENTRIES = 6_000_000
+#: The trie is broadcast up to this many entries; beyond that it is dealt out in groups of about GROUP_ENTRIES, and
+#: of the scores of the texts' grams those of the most frequent are broadcast, COMMON_GRAMS at most.
+BROADCAST_ENTRIES, GROUP_ENTRIES, COMMON_GRAMS = 6_000_000, 500_000, 2_000_000
+#: Entries of contexts of 0 and 1 symbols: few at every size, so they are at hand in each group.
+_SHORT, _LOW_BITS = 2, 18
 
 
 def held_out(id_col: str = "doc_id"):
@@ -49,15 +53,19 @@ def symbol_codes(t: X.Texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray
 
 
 class Trie:
-    """Contexts of 0..order symbols with their followers' counts, and code lengths of grams."""
+    """Contexts of 0..order symbols with their followers' counts, and code lengths of grams.
 
-    def __init__(self, code: np.ndarray, count: np.ndarray, order: int):
+    `short` gives codes and counts for the contexts of 0 and 1 symbols where `code` holds only a group of the others.
+    """
+
+    def __init__(self, code: np.ndarray, count: np.ndarray, order: int, short: tuple[np.ndarray, np.ndarray] | None = None):
         self.order = order
         self.levels = []
         for k in range(order + 1):
-            c = code & np.uint64((1 << 9 * (k + 1)) - 1)
+            c, n = short if short is not None and k < _SHORT else (code, count)
+            c = c & np.uint64((1 << 9 * (k + 1)) - 1)
             o = np.argsort(c, kind="stable")
-            c, n = c[o], count[o].astype(np.float64)
+            c, n = c[o], n[o].astype(np.float64)
             head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
             c, n = c[head], np.add.reduceat(n, head) if len(head) else n
             ctx = c >> np.uint64(9)
@@ -155,14 +163,28 @@ def count_codes(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
     return docs.select(text).mapInArrow(partial, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def fit_trie(docs: DataFrame, text: str = "text", order: int = ORDER) -> Trie:
-    """The trie of the texts' contexts; where it would pass BROADCAST_ENTRIES, contexts are one shorter."""
-    counts = cut(count_codes(docs, text, order))
-    while order and counts.count() > BROADCAST_ENTRIES:
-        order -= 1
-        counts = cut(counts.groupBy(F.col("code").bitwiseAND(F.lit((1 << 9 * (order + 1)) - 1).cast("long")).alias("code")).agg(F.sum("n").alias("n")))
-    got = counts.toArrow()
-    return Trie(got.column("code").to_numpy().view(np.uint64), got.column("n").to_numpy(), order)
+def gram_scores(counts: DataFrame, asked: DataFrame, entries: int, order: int = ORDER) -> DataFrame:
+    """(code, n, score): log10 of each asked gram (code, n) in the trie of `counts`, of so many entries, which stays a table.
+
+    Grams whose contexts end in the same two symbols meet in one group, so contexts
+    of two symbols and more are whole there.
+    """
+    sc = counts.sparkSession.sparkContext
+    low = counts.groupBy(F.col("code").bitwiseAND(F.lit((1 << _LOW_BITS) - 1).cast("long")).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    short = sc.broadcast((low.column("code").to_numpy().view(np.uint64), low.column("n").to_numpy()))
+    groups = -(-entries // GROUP_ENTRIES)
+    ending = F.shiftright("code", 9).bitwiseAND(F.lit((1 << _LOW_BITS) - 1).cast("long"))
+    dealt = lambda df: df.select("code", "n", F.pmod(F.xxhash64(ending), F.lit(groups)).alias("part"))
+
+    def score(own: pa.Table, grams: pa.Table) -> pa.Table:
+        # Without own contexts the longer ones are all unseen, and the short ones decide.
+        k = order if own.num_rows else min(order, _SHORT - 1)
+        trie = Trie(own.column("code").to_numpy().view(np.uint64), own.column("n").to_numpy(), k, short.value)
+        code = grams.column("code").to_numpy().view(np.uint64)
+        out = trie.log10(code & np.uint64((1 << 9 * (k + 1)) - 1))
+        return pa.table({"code": grams.column("code"), "n": grams.column("n"), "score": out})
+
+    return dealt(counts).groupBy("part").cogroup(dealt(asked).groupBy("part")).applyInArrow(score, "code long, n long, score double")
 
 
 #: The most frequent words are broadcast, so many at most; the others are joined.
@@ -199,8 +221,8 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(partial, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _common(counts: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The least count from which on there are at most so many words; those words, sorted, and their counts."""
+def _common(counts: DataFrame, most: int, key: str = "word", value: str = "n") -> tuple[int, np.ndarray, np.ndarray]:
+    """The least count from which on there are at most so many keys; those keys, sorted, and their values."""
     sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()
     least, held = 100_001, 0
     for r in sizes:
@@ -208,10 +230,27 @@ def _common(counts: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
         if held > most:
             break
         least = r["n"]
-    got = counts.where(F.col("n") >= least).toArrow() if sizes else None
-    word = got.column("word").to_numpy().view(np.uint64) if got else np.empty(0, np.uint64)
-    o = np.argsort(word)
-    return least, word[o], got.column("n").to_numpy()[o] if got else np.empty(0, np.int64)
+    got = counts.where(F.col("n") >= least).select(key, value).toArrow() if sizes else None
+    found = got.column(key).to_numpy().view(np.uint64) if got else np.empty(0, np.uint64)
+    o = np.argsort(found)
+    return least, found[o], got.column(value).to_numpy()[o] if got else np.empty(0, np.int64)
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked value stands among sorted keys, and whether it does."""
+    at = np.searchsorted(keys, asked)
+    at[at == len(keys)] = 0
+    return at, keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+
+
+def _listed(name: str, values: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
+    """For each of n texts the different values that it holds, with how many times."""
+    o = np.lexsort((values, of))
+    values, of = values[o], of[o]
+    head = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (of[1:] != of[:-1])])) if len(values) else np.empty(0, np.int64)
+    times = np.diff(np.append(head, len(values)))
+    pairs = pa.StructArray.from_arrays([pa.array(values[head].view(np.int64)), pa.array(times.astype(np.int32))], [name, "times"])
+    return pa.ListArray.from_arrays(np.searchsorted(of[head], np.arange(n + 1)).astype(np.int32), pairs)
 
 
 def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, common_words: int = COMMON_WORDS) -> DataFrame:
@@ -223,11 +262,21 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     empty table gives an empty result.
 
     Texts are never shuffled: a task scores the frequent words itself, and only
-    the occurrences of the others meet their counts in a join.
+    the occurrences of the others meet their counts in a join.  Where the trie is
+    too large to be broadcast, the same holds for grams and their scores.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("held", held_out("id"))
-    trie = sc.broadcast(fit_trie(rows.where("not held"), "text", order))
+    grams = cut(count_codes(rows.where("not held"), "text", order))
+    entries = grams.count()
+    dealt = entries > BROADCAST_ENTRIES and order >= _SHORT
+    if dealt:
+        scores = cut(gram_scores(grams, count_codes(rows, "text", order), entries, order))
+        often, *model = _common(scores, COMMON_GRAMS, "code", "score")
+    else:
+        got = grams.toArrow()
+        model = Trie(got.column("code").to_numpy().view(np.uint64), got.column("n").to_numpy(), order)
+    trie = sc.broadcast(model)
     counts = cut(count_words(rows.where("not held"), "text"))
     sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     ends = rows.where("not held").count()
@@ -244,35 +293,38 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 t = t.lower()
                 s, e, of = t.pieces(X.SPACE)
                 h = t.hashes(s, e)
-                at = np.searchsorted(keys, h)
-                at[at == len(keys)] = 0
-                known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+                at, known = _found(keys, h)
                 sums = lambda w, at=of[known], t=t: np.bincount(at, w, minlength=t.n)
-                code, cof = symbol_codes(t, model.order)
-                rare, d = h[~known], of[~known]
-                o = np.lexsort((rare, d))
-                rare, d = rare[o], d[o]
-                head = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (d[1:] != d[:-1])])) if len(rare) else np.empty(0, np.int64)
-                times = np.diff(np.append(head, len(rare)))
-                ends_at = np.searchsorted(d[head], np.arange(t.n + 1)).astype(np.int32)
+                code, cof = symbol_codes(t, order)
+                if dealt:
+                    where, met = _found(model[0], code)
+                    bits, left = np.zeros(len(code)), ~met
+                    bits[met] = model[1][where[met]]
+                else:
+                    bits, left = model.log10(code), np.zeros(len(code), bool)
                 cols[0].append(np.bincount(of, minlength=t.n) + 1)
                 cols[1].append(sums(None).astype(np.int64) + (ends > 0))
                 cols[2].append(sums(np.log10(n[at[known]] + 0.1)) + np.log10(ends + 0.1))
-                cols[3].append(np.bincount(cof, model.log10(code), minlength=t.n))
-                pairs = pa.StructArray.from_arrays([pa.array(rare[head].view(np.int64)), pa.array(times.astype(np.int32))], ["word", "times"])
-                cols[4].append(pa.ListArray.from_arrays(ends_at, pairs))
+                cols[3].append(np.bincount(cof, bits, minlength=t.n))
+                cols[4].append(_listed("word", h[~known], of[~known], t.n))
+                cols[5].append(_listed("code", code[left], cof[left], t.n))
             join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.empty(0, kind))
+            lists = lambda x, name: pa.concat_arrays(x) if x else pa.array([], pa.list_(pa.struct([(name, pa.int64()), ("times", pa.int32())])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), join(cols[0], np.int64), join(cols[1], np.int64), join(cols[2], float), join(cols[3], float), pa.concat_arrays(cols[4]) if cols[4] else pa.array([], pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int32())])))],
-                ["id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+                [batch.column(0), batch.column(2), join(cols[0], np.int64), join(cols[1], np.int64), join(cols[2], float), join(cols[3], float), lists(cols[4], "word"), lists(cols[5], "code")],
+                ["id", "held_out", "n_tokens", "known", "logs", "score", "rare", "grams"],
             )
 
-    kind = f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word: bigint, times: int>>"
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word: bigint, times: int>>, grams array<struct<code: bigint, times: int>>"
     # The checkpoint fixes the keys.
     found = cut(rows.select("id", "text", "held").mapInArrow(score, kind).withColumn("key", F.monotonically_increasing_id()))
     rare = found.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.times").join(counts.where(F.col("n") < least), "word", "left")
     n = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("key").agg(F.sum(F.col("times") * F.log10(n + 0.1)).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("met"))
-    out = found.drop("rare").join(rare, "key", "left")
+    out = found.drop("rare", "grams").join(rare, "key", "left")
+    if dealt:
+        rest = found.select("key", F.explode("grams").alias("r")).select("key", "r.code", "r.times").join(scores.where(F.col("n") < often).select("code", F.col("score").alias("bits")), "code")
+        rest = rest.groupBy("key").agg(F.sum(F.col("times") * F.col("bits")).alias("rest"))
+        out = out.join(rest, "key", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
     base = F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(down)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(big_n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -235,6 +235,25 @@ def test_partial_matching(table, rows, empty):
     assert score_documents(empty).count() == 0
 
 
+def test_partial_matching_keeps_its_order_beyond_the_broadcast(spark, monkeypatch):
+    from hammerline.llm import ppm
+
+    own = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()] + ODD + [(900100, "\u0436\u0437 \u4e2d\u6587 \U0001f600")]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    want = {r.doc_id: r for r in ppm.score_documents(docs).collect()}
+    monkeypatch.setattr(ppm, "BROADCAST_ENTRIES", 10)
+    monkeypatch.setattr(ppm, "GROUP_ENTRIES", 1000)
+    brute = B.PartialMatching(own)
+    for common in (0, 500, 10**6):
+        monkeypatch.setattr(ppm, "COMMON_GRAMS", common)
+        got = {r.doc_id: r for r in ppm.score_documents(docs).collect()}
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert r.score == pytest.approx(want[i].score, rel=1e-9) and r.base_score == pytest.approx(want[i].base_score, rel=1e-9)
+    for i, t in own[::9] + own[-8:]:
+        assert got[i].score == pytest.approx(brute.score(t), rel=1e-5)
+
+
 def test_multi_index(spark):
     from hammerline.llm.multi_index import MultiIndex, nearest_vectors
 
