@@ -3,9 +3,11 @@
 Four kinds of personal data are found by pattern.  Each value found is a
 protected entity c with information content IC(c) = log(N / df(c)) over the N
 documents of the corpus.  A term t that stands in the same lines reveals
-PMI(c, t) = log(N * df(c, t) / (df(c) * df(t))) of it.  Where that is more than
-a share of IC(c), on the evidence of several documents and different lines, t discloses c:
-its occurrences are spans as well, and sanitising generalises or removes them.
+PMI(c, t) = log(N * df(c, t) / (df(c) * (df(t) + 1))) of it: smoothed as if every
+term stood in one more document, without c.  Where that is more than a share of
+IC(c), on the evidence of several documents and different lines, or of all that
+c has if these are fewer, t discloses c: its occurrences are spans as well, and
+sanitising generalises or removes them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ KINDS = {
 #: What a text must hold for the kind to be looked for: cheap tests that spare most texts the patterns.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][0-9 -]{11}", "phone": r"\+[0-9]"}
 
-#: A term discloses an entity from this share of its information, seen in so many different lines and documents.
+#: A term discloses an entity from this share of its information, seen in so many different lines and documents, or in all of
+#: an entity that has fewer.
 DISCLOSED, LINES = 0.8, 3
 #: Terms are runs of letters and digits of this length at least, lower-cased.
 TERM_CHARS = 4
@@ -105,14 +108,14 @@ def disclosing_terms(rows: DataFrame, disclosed: float = DISCLOSED, lines: int =
     after = F.substring_index(F.substring(F.col("text"), F.col("f.e") + 1, F.length("text")), "\n", 1)
     near = one.select("key", F.col("f.v").alias("entity"), F.concat(before, F.lit("\u0001"), after).alias("line"))
     met = near.select("key", "entity", F.xxhash64("line").alias("line"), _distinct_terms(F.col("line")).alias("term"))
-    pairs = met.groupBy("entity", "term").agg(F.countDistinct("line").alias("lines"), F.countDistinct("key").alias("both")).where((F.col("lines") >= lines) & (F.col("both") >= lines))
-    pairs = cut(pairs)
+    entities = near.groupBy("entity").agg(F.countDistinct("key").alias("df_entity"), F.countDistinct(F.xxhash64("line")).alias("all_lines"))
+    pairs = met.groupBy("entity", "term").agg(F.countDistinct("line").alias("lines"), F.countDistinct("key").alias("both")).join(entities, "entity")
+    pairs = cut(pairs.where((F.col("lines") >= F.least(F.lit(lines), "all_lines")) & (F.col("both") >= F.least(F.lit(lines), "df_entity"))))
     n = rows.count()
     # All terms are counted, merged in the tasks first, and then met with the pairs.
     df_term = rows.select(_distinct_terms(F.col("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    df_entity = near.groupBy("entity").agg(F.countDistinct("key").alias("df_entity"))
-    known = df_term.join(_bounded(pairs), "term").join(df_entity, "entity")
-    pmi = F.log(n * F.col("both") / (F.col("df_entity") * F.col("df_term")))
+    known = df_term.join(_bounded(pairs), "term")
+    pmi = F.log(n * F.col("both") / (F.col("df_entity") * (F.col("df_term") + 1)))
     share = known.withColumn("share", F.try_divide(pmi, F.log(n / F.col("df_entity"))))
     return cut(share.where(F.col("share") >= disclosed).groupBy("term").agg(F.max("share").alias("share")))
 

@@ -320,6 +320,50 @@ def test_personal_data(spark, table, rows, empty):
     assert sanitise(table).columns == table.columns
 
 
+def disclosing(rows, share=0.8, floor=3):
+    """The terms that disclose an entity, by plain recomputation."""
+    import collections
+    import re
+
+    terms = lambda s: {w for w in re.findall(r"[^\W_]+", s.lower()) if len(w) >= 4}
+    met, entities, df = collections.defaultdict(set), collections.defaultdict(set), collections.Counter(w for _, t in rows for w in terms(t or ""))
+    for i, t in rows:
+        for x in B.personal(t):
+            a, b = map(int, x.split(":")[1:])
+            line = t[:a].split("\n")[-1] + "\1" + t[b:].split("\n")[0]
+            entities[t[a:b]].add((i, line))
+            for w in terms(line):
+                met[t[a:b], w].add((i, line))
+    out = set()
+    for (c, w), seen in met.items():
+        own, enough = entities[c], [min(floor, len({x[k] for x in entities[c]})) for k in (0, 1)]
+        n, both = len({i for i, _ in own}), len({i for i, _ in seen})
+        if both >= enough[0] and len({x for _, x in seen}) >= enough[1] and n < len(rows) and math.log(len(rows) * both / (n * (df[w] + 1))) >= share * math.log(len(rows) / n):
+            out.add(w)
+    return out
+
+
+def test_terms_that_disclose_rare_entities(spark):
+    from hammerline.llm.pii import personal_spans
+
+    odd = [(i, f"some plain words that many texts hold, number {i}") for i in range(400)]
+    odd += [(1000, "write to zq@rare.eu or blimfang about plain words"), (1001, "call +49 30 1234567 kwolp\nplain"), (1002, "call +49 30 1234567 kwolp trinx\nplain"), (1003, "blimfang again")]
+    got = {r.doc_id: r.spans for r in personal_spans(spark.createDataFrame(odd, "doc_id long, text string")).collect()}
+    at = odd[400][1].index("blimfang")
+    assert f"term:{at}:{at + 8}" in got[1000] and got[1003] == "term:0:8" and not any(got[i] for i in range(400))
+    # One entity in two texts: the term of both discloses it, that of only one does not.
+    assert "term:20:25" in got[1002] and "term:26:31" not in got[1002]
+    own = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    found = {}
+    texts = dict(own)
+    for r in personal_spans(spark.createDataFrame(own, "doc_id long, text string")).collect():
+        for x in r.spans.split(","):
+            if x.startswith("term:"):
+                a, b = map(int, x.split(":")[1:])
+                found.setdefault(texts[r.doc_id][a:b].lower(), []).append(x)
+    assert set(found) == disclosing(own) and len(found) > 0
+
+
 def test_rows_without_ids_and_repeated_rows(spark):
     from hammerline.llm import crf_quality, jaccard_join, license_scan, packing, pieces, pii, ppm, quality_rules, suffix_dedup
     import public_tokenizers as P
