@@ -3,13 +3,14 @@
 Every line is good or bad.  A line's score is linear in its own features and
 those of the lines before and after it, and neighbouring labels interact
 through a transition matrix.  The field is fitted on a bounded sample of
-labelled documents, whose lines carry the document's label; its forward-backward
+labelled documents, read whole, whose lines carry the document's label; its forward-backward
 marginals, averaged with line lengths as weights, give a document's quality, and
 a one-variable logistic fit on the same sample turns that into a probability.
 """
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
 
-#: The most labelled rows used in fitting, and the most lines of each.
-SAMPLE_ROWS, SAMPLE_LINES = 8000, 400
+#: The most labelled rows used in fitting, each with all of its lines.
+SAMPLE_ROWS = 8000
+#: Lines fitted at once, of one document at least; lines sent to the driver in a row.
+CHUNK_LINES, SENT_LINES = 200_000, 20_000
 STEPS, RATE, RIDGE = 250, 0.08, 1e-4
 
 FEATURES = 22
@@ -72,14 +75,18 @@ def line_features(t: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.minimum(out, 6).astype(np.float32), lof, n
 
 
-def with_neighbours(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Own, previous and next line's features, a flag for the first and the last line, and a constant."""
-    before, after = np.zeros_like(x), np.zeros_like(x)
-    head = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.empty(0, bool)
-    tail = np.concatenate([of[1:] != of[:-1], [True]]) if len(of) else np.empty(0, bool)
-    before[1:], after[:-1] = x[:-1], x[1:]
-    before[head], after[tail] = 0, 0
-    return np.concatenate([x, before, after, head[:, None], tail[:, None], np.ones((len(x), 1), np.float32)], 1, dtype=np.float32)
+def ends(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line is the first, and the last, of its text."""
+    if not len(of):
+        return np.empty(0, bool), np.empty(0, bool)
+    new = of[1:] != of[:-1]
+    return np.concatenate([[True], new]), np.concatenate([new, [True]])
+
+
+def neighbours_sums(x: np.ndarray, head: np.ndarray, tail: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Sums, weighted by r, of own, previous and next line's features, the flags for first and last lines, and a constant."""
+    before, after = np.where(head[1:], 0, r[1:]), np.where(tail[:-1], 0, r[:-1])
+    return np.concatenate([r @ x, before @ x[:-1], after @ x[1:], [r[head].sum(), r[tail].sum(), r.sum()]])
 
 
 def forward_backward(u: np.ndarray, of: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,17 +125,19 @@ class LineField:
     slope: float = 1.0
     shift: float = 0.0
 
-    def marginals(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def line_scores(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
         # The neighbours' part is the same product, moved by a line: no wide matrix is made.
         w = self.weights / self.scale
         k = x.shape[1]
         own, before, after = (x @ w[:k], x @ w[k : 2 * k], x @ w[2 * k : 3 * k])
-        head = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.empty(0, bool)
-        tail = np.concatenate([of[1:] != of[:-1], [True]]) if len(of) else np.empty(0, bool)
+        head, tail = ends(of)
         u = own + w[-3] * head + w[-2] * tail + w[-1] - self.mean @ w
         u[1:] += np.where(head[1:], 0, before[:-1])
         u[:-1] += np.where(tail[:-1], 0, after[1:])
-        return forward_backward(np.clip(u, -30, 30), of, self.trans)[0]
+        return np.clip(u, -30, 30)
+
+    def marginals(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return forward_backward(self.line_scores(x, of), of, self.trans)[0]
 
     def raw(self, x: np.ndarray, of: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
         w = length + 1
@@ -140,28 +149,39 @@ class LineField:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x, of, length, n) + self.shift, -30, 30)))
 
 
-def fit_field(x: np.ndarray, of: np.ndarray, length: np.ndarray, labels: np.ndarray) -> LineField:
-    """Maximum likelihood by Adam steps; each document weighs as the root of its number of lines."""
-    z = with_neighbours(x, of)
-    mean, scale = z.mean(0), z.std(0)
+def fit_field(x: np.ndarray, length: np.ndarray, lines: np.ndarray, labels: np.ndarray) -> LineField:
+    """Maximum likelihood by Adam steps, from all lines of documents of so many lines; each document weighs as the root of that number."""
+    stop = np.cumsum(lines)
+    chunks, a = [], 0
+    while a < len(lines):
+        b = max(a + 1, int(np.searchsorted(stop, stop[a] - lines[a] + CHUNK_LINES, side="right")))
+        chunks.append((slice(a, b), slice(int(stop[a] - lines[a]), int(stop[b - 1])), np.repeat(np.arange(b - a), lines[a:b])))
+        a = b
+    total = np.zeros((2, 3 * x.shape[1] + 3))
+    for _, at, of in chunks:
+        own, one = x[at].astype(np.float64), np.ones(len(of))
+        total += np.stack([neighbours_sums(own, *ends(of), one), neighbours_sums(own**2, *ends(of), one)])
+    mean, square = total / len(x)
+    scale = np.sqrt(np.maximum(square - mean**2, 0))
     mean[-1], scale[scale < 1e-6] = 0, 1
-    z = (z - mean) / scale
-    y = labels[of].astype(float)
-    lines = np.bincount(of)
-    weight = 1 / np.sqrt(lines)[of]
-    w, trans = np.zeros(z.shape[1]), np.zeros((2, 2))
-    inner = np.flatnonzero(of[1:] == of[:-1])
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[inner].astype(int), y[inner + 1].astype(int)), 1)
+    weight_sum = np.sqrt(lines).sum()
+    # Lines carry their document's label, so labels only follow themselves.
+    seen = np.diag(np.bincount(labels.astype(int), lines - 1, minlength=2))
+    w, trans = np.zeros(len(mean)), np.zeros((2, 2))
     m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for k in range(1, STEPS + 1):
-        p, both = forward_backward(np.clip(z @ w, -30, 30), of, trans)
-        g = np.concatenate([z.T @ ((y - p) * weight) / weight.sum() - RIDGE * w, ((seen - both) / len(y) - 0.02 * trans).ravel()])
+        field, grown, both = LineField(mean, scale, w, trans), np.zeros(len(w)), np.zeros((2, 2))
+        for docs, at, of in chunks:
+            p, met = forward_backward(field.line_scores(x[at], of), of, trans)
+            left = (labels[docs][of] - p) / np.sqrt(lines[docs])[of]
+            grown += (neighbours_sums(x[at], *ends(of), left) - mean * left.sum()) / scale
+            both += met
+        g = np.concatenate([grown / weight_sum - RIDGE * w, ((seen - both) / len(x) - 0.02 * trans).ravel()])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         step = RATE * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8) * min(1, 3 * (1 - k / (STEPS + 1)))
         w, trans = w + step[:-4], trans + step[-4:].reshape(2, 2)
     field = LineField(mean, scale, w, trans)
-    r = field.raw(x, of, length, len(labels))
+    r = np.concatenate([field.raw(x[at], of, length[at], docs.stop - docs.start) for docs, at, of in chunks])
     design, b = np.stack([r, np.ones(len(r))], 1), np.array([1.0, 0.0])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
@@ -188,21 +208,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         for batch in batches:
             for t in X.texts(batch.column(0)):
                 x, of, n = line_features(t)
-                cut = np.searchsorted(of, np.arange(t.n + 1))
-                ends = np.minimum(cut[1:], cut[:-1] + SAMPLE_LINES)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(t.first, t.n), pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cut[:-1], ends, strict=True)], pa.binary())],
-                    ["quality", "x", "n"],
-                )
-
-    got = rows.select("text", "quality").mapInArrow(lines, "quality int, x binary, n binary").toArrow()
-    y = got.column("quality").to_numpy() if got.num_rows else np.empty(0)
-    if len(np.unique(y)) < 2:
-        return None
-    x = [np.frombuffer(b.as_buffer(), np.float32).reshape(-1, FEATURES) for b in got.column("x")]
-    n = [np.frombuffer(b.as_buffer(), np.float64) for b in got.column("n")]
-    of = np.repeat(np.arange(len(x)), [len(a) for a in x])
-    return fit_field(np.concatenate(x), of, np.concatenate(n), y)
+                begin = np.searchsorted(of, np.arange(t.n + 1))
+                for d in range(t.n):
+                    for a in range(begin[d], begin[d + 1], SENT_LINES):
+                        b = min(a + SENT_LINES, begin[d + 1])
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(1).slice(t.first + d, 1), pa.array([a == begin[d]]), pa.array([x[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["quality", "first", "x", "n"]
+                        )
+
+    # The lines go to files: whole documents need not fit into memory together.
+    with tempfile.TemporaryFile() as xs, tempfile.TemporaryFile() as ns:
+        y, count = [], []
+        for r in rows.select("text", "quality").mapInArrow(lines, "quality int, first boolean, x binary, n binary").toLocalIterator(prefetchPartitions=True):
+            if r["first"]:
+                y.append(r["quality"])
+                count.append(0)
+            count[-1] += len(r["n"]) // 8
+            xs.write(r["x"])
+            ns.write(r["n"])
+        if len(set(y)) < 2:
+            return None
+        xs.flush()
+        ns.flush()
+        return fit_field(np.memmap(xs, np.float32, "r").reshape(-1, FEATURES), np.memmap(ns, np.float64, "r"), np.array(count), np.array(y, float))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

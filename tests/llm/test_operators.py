@@ -124,6 +124,20 @@ def test_line_field(spark, table, empty):
     assert {r.score for r in quality_scores(table, labels.limit(0)).collect()} == {0.5}
 
 
+def test_line_field_learns_from_whole_documents(spark, monkeypatch):
+    from hammerline.llm import crf_quality as Q
+
+    # Good and bad documents differ only after line 450.
+    late = {1: "A plain sentence, with some words in it.\n" * 60, 0: "### $$$ !!! 000\n" * 60}
+    docs = spark.createDataFrame([(i, "same words here\n" * 450 + late[i % 2]) for i in range(24)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    scores = lambda: {r.doc_id: r.score for r in Q.quality_scores(docs, labels).collect()}
+    once = scores()
+    assert all((s >= 0.5) == i % 2 for i, s in once.items())
+    monkeypatch.setattr(Q, "CHUNK_LINES", 1100)
+    assert scores() == pytest.approx(once, abs=1e-6)
+
+
 def test_forward_backward():
     import itertools
 
