@@ -362,8 +362,17 @@ def a16_max_over_views(g):
     "boxes",
 )
 def a17_vehicle_severity(g):
-    views = g.make("boxes").where("box_id % 3 > 0").select("vin", (F.col("box_id") % 9 / 2 + 1).alias("severity"), (F.col("box_id") % 5 == 0).alias("anchor"))
-    return S.vehicle_severity(views)
+    return S.vehicle_severity(views(g.make("boxes").where("box_id % 3 > 0")))
+
+
+def views(boxes):
+    return boxes.select("vin", (F.col("box_id") % 9 / 2 + 1).alias("severity"), (F.col("box_id") % 5 == 0).alias("anchor"))
+
+
+@query()
+def a17_vehicle_severity_all(g):
+    """The same over every box: the SQL above is fixed to two thirds of them."""
+    return S.vehicle_severity(views(g.make("boxes")))
 
 
 # Windows, sorts and sets
@@ -762,10 +771,20 @@ def d4_confidence_gate(g):
     "boxes",
 )
 def d5_union_area(g):
-    v = g.make("boxes").where("box_id % 5 = 0").groupBy("vin", "view_no").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("b"))
+    return areas(g.make("boxes").where("box_id % 5 = 0"))
+
+
+def areas(boxes):
+    v = boxes.groupBy("vin", "view_no").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("b"))
     return v.select("vin", "view_no", S.union_area(F.col("b")).alias("area"))
 
 
+@query()
+def d5_union_area_all(g):
+    """The same over every box: the SQL above is fixed to a fifth of them."""
+    return areas(g.make("boxes"))
+
+
 @query("SELECT vin, view_no, (max(x2) - min(x1)) * (max(y2) - min(y1)) AS area FROM boxes GROUP BY ALL", "boxes")
 def d6_hull_area(g):
     v = g.make("boxes").groupBy("vin", "view_no").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("b"))

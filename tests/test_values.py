@@ -142,3 +142,27 @@ def test_pages(spark):
 def test_throughput(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:00:00", 0), ("a", "2024-01-01 00:00:30", 10)], "w string, ts string, done int").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [r.per_minute for r in frontier.throughput(df, ["w"]).orderBy("ts").collect()] == [None, 20.0]
+
+
+def test_areas_and_severities_over_every_box(spark):
+    from hammerline import registry
+    from hammerline.plans.standins import standin
+
+    sf = "/root/testdata/sf0.001"
+    cells, views = {}, {}
+    for b in standin(spark, sf, "boxes").collect():
+        own = cells.setdefault((b.vin, b.view_no), set())
+        own.update((x, y) for x in range(math.floor(b.x1), math.ceil(b.x2)) for y in range(math.floor(b.y1), math.ceil(b.y2)))
+        views.setdefault(b.vin, []).append((b.box_id % 9 / 2 + 1, b.box_id % 5 == 0))
+    got = registry.queries()["d5_union_area_all"](spark, sf).collect()
+    assert {(r.vin, r.view_no): r.area for r in got} == {k: len(c) for k, c in cells.items()} and len(got) == len(cells)
+
+    def severity(own):
+        s = sorted(x for x, _ in own)
+        at = lambda q: s[int(q * (len(s) - 1))] + (q * (len(s) - 1) % 1) * (s[min(int(q * (len(s) - 1)) + 1, len(s) - 1)] - s[int(q * (len(s) - 1))])
+        if max(own)[1]:
+            return s[-1]
+        return max(at(0.75) - 0.5, at(0.5)) if s[-1] - s[0] >= 1.5 else at(0.75)
+
+    got = registry.queries()["a17_vehicle_severity_all"](spark, sf).collect()
+    assert {r.vin: (r.severity, r.coverage) for r in got} == {v: (pytest.approx(severity(own)), len(own)) for v, own in views.items()}
