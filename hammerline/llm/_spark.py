@@ -6,24 +6,39 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows and bytes of a batch that goes to a Python worker: a worker holds two of them beside its own tables.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir; the plan starts anew from those files.
 
-    Only where no folder is configured (as in local tests) one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where none is configured, one is made, but only for a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder; the plan starts anew from those files."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from here on the session hands them to Python in batches of bounded size."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table as (node, comp), comp the smallest node reachable.
 
     Alternates large-star and small-star contractions, so the number of rounds
@@ -32,7 +47,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e)
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every larger neighbour of u links to the least of u's neighbourhood.
@@ -47,4 +62,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             return e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
             )
-    raise RuntimeError("components did not settle")

@@ -15,14 +15,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text is handled on its own.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 
 #: Rows of a batch that are brought into plain form at once.
 SLICE_ROWS = 512
 
-_MULT = 0x9E3779B97F4A7C15
-_INV = pow(_MULT, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Hashes of byte ranges are polynomials modulo this prime, at a base drawn once.
+_PRIME = (1 << 61) - 1
+_P = np.uint64(_PRIME)
+_BASE = int(np.random.default_rng(20240607).integers(1 << 60, _PRIME))
+#: Ranges of at most this many bytes are hashed in one sum, which then stays below 2**64.
+_SPAN = 1 << 24
+_BYTE = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 #: The bytes 0x20 and 0x09-0x0D separate words.
 SPACE = np.zeros(256, bool)
@@ -37,17 +41,40 @@ NOT_TERM[0x30:0x3A] = NOT_TERM[0x41:0x5B] = NOT_TERM[0x61:0x7B] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) <= n:
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for values below it: the halves' products fit into 64 bits."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    mid, small = ah * bl + al * bh, al * bl
+    out = ((ah * bh) << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & np.uint64((1 << 29) - 1)) << half)
+    return _fold(out + (small & _P) + (small >> np.uint64(61)))
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = _product(out[:more], np.full(more, pow(base, have, _PRIME), np.uint64))
+        have += more
+    return out
+
+
+_tables: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Upper and lower bits of the base's powers, and the powers of its inverse."""
+    if not _tables or len(_tables[0]) <= n:
         size = max(n + 1, CHUNK_BYTES + 1)
-        for key, base in (("up", _MULT), ("down", _INV)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[key] = np.cumprod(table, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+        up = _powers_of(_BASE, size)
+        _tables[:] = [up >> np.uint64(31), up & np.uint64((1 << 31) - 1), _powers_of(pow(_BASE, -1, _PRIME), size)]
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,7 +93,7 @@ class Texts:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int):
         self.data, self.offsets, self.first = data, offsets, first
         self.n = len(offsets) - 1
-        self._sums: np.ndarray | None = None
+        self._sums: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def lengths(self) -> np.ndarray:
@@ -110,14 +137,31 @@ class Texts:
         return starts, ends, text
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range, from prefix sums of a polynomial; lengths count."""
-        up, down = _power_tables(len(self.data))
+        """A 64-bit hash of each byte range, from prefix sums of a polynomial modulo a prime; lengths count."""
+        size = (ends - starts).astype(np.uint64)
+        return mix(self._residues(starts, ends) + size * np.uint64(0xD6E8FEB86659FD93))
+
+    def _residues(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        upper, lower, down = _power_tables(len(self.data))
         if self._sums is None:
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=sums[1:])
-            self._sums = sums
-        raw = (self._sums[ends] - self._sums[starts]) * down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            n = len(self.data)
+            value = self.data.astype(np.uint64) + np.uint64(1)
+            self._sums = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+            # Sums wrap around at 2**64, but a range's own part is below that and so its difference is right.
+            np.cumsum(value * upper[:n], out=self._sums[0][1:])
+            np.cumsum(value * lower[:n], out=self._sums[1][1:])
+        if len(starts) and int((ends - starts).max()) > _SPAN:
+            return np.array([self._long_residue(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+        high, low = self._sums[0][ends] - self._sums[0][starts], self._sums[1][ends] - self._sums[1][starts]
+        both = (high >> np.uint64(30)) + ((high & np.uint64((1 << 30) - 1)) << np.uint64(31)) + (low & _P) + (low >> np.uint64(61))
+        return _product(_fold(both), down[starts])
+
+    def _long_residue(self, a: int, b: int) -> int:
+        out = 0
+        for at in range(a, b, _SPAN):
+            part = self._residues(np.array([at]), np.array([min(b, at + _SPAN)]))[0]
+            out = (out + int(part) * pow(_BASE, at - a, _PRIME)) % _PRIME
+        return out
 
     def string(self, i: int) -> str:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-8", "replace")
@@ -141,6 +185,28 @@ def texts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
             a = b
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0xC6A4A7935BD1E995)
+    x += b
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def byte_windows(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of `width` bytes, put together from runs whose lengths are powers of two."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    run, size, out, have = _BYTE[data], 1, None, 0
+    while True:
+        if width & size:
+            out = run[:n] if out is None else _joined(out, run[have : have + n])
+            have += size
+        if 2 * size > width:
+            return mix(out)
+        run, size = _joined(run[:-size], run[size:]), 2 * size
+
+
 def windows(hashes: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start index of each run of `width` hashes that lies in one text."""
     n = len(hashes) - width + 1
@@ -153,6 +219,12 @@ def windows(hashes: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndarray,
     return mix(out[at]), at
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes start, start + 1, ... of ranges of these sizes, one range after the other."""
+    stop = np.cumsum(size)
+    return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start - stop + size, size)
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Whether each key occurs twice or more."""
     s = np.sort(keys)

@@ -2,8 +2,9 @@
 
 Where no token can cross the border of a chunk, each distinct chunk needs to be
 encoded once; a text's ids are its chunks' ids joined by position.  A task
-keeps the chunks it has met in one table, as sorted hashes beside one flat
-array of ids, and starts the table anew when it is full, so memory is bounded.
+keeps the chunks it has met in one table, as sorted hashes beside flat arrays
+of bytes and ids, and starts the table anew when it is full, so memory is
+bounded.  A hash only finds an entry: the chunk's bytes are compared with it.
 """
 
 from __future__ import annotations
@@ -16,48 +17,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
+from hammerline.llm._spark import small_batches
 
-#: Chunks kept in a task's table.
-TABLE_CHUNKS = 500_000
-
+#: Chunks kept in a task's table; new ones wait beside the sorted keys until there are so many.
+TABLE_CHUNKS, WAITING = 400_000, 20_000
 
 #: Makes the ids of new chunks, given by their index: all ids one after the other, and the number of each chunk's.
 Encoder = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+class _Grown:
+    """An array that is appended to."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.empty(1024, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.empty(self.n + 2 * len(x), self.room.dtype)])
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+class _Ranges:
+    """Arrays of different lengths, one after the other."""
+
+    def __init__(self, kind):
+        self.flat, self.start, self.size = _Grown(kind), _Grown(np.int64), _Grown(np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start.add(self.flat.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.flat.add(flat)
+
+    def of(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size.all[entry]
+        return self.flat.all[X.spread(self.start.all[entry], size)], size
+
+
 class ChunkTable:
-    """Distinct chunks by hash, with their ids."""
+    """Distinct chunks with their ids.  They are found by hash, and their bytes are compared with the chunk's at every use."""
 
     def __init__(self, limit: int = TABLE_CHUNKS):
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
-
-    def lookup(self, h: np.ndarray, encode: Encoder) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks (hashes h) one after the other and the number of each; encode is asked for unknown ones."""
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == distinct[inside]
-        if not known.all():
-            if len(self.keys) + (~known).sum() > self.limit:
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.keys = [none, none]
+        self.bytes, self.ids = _Ranges(np.uint8), _Ranges(np.uint32)
+
+    def _find(self, distinct: np.ndarray) -> np.ndarray:
+        entry = np.full(len(distinct), -1)
+        for keys, own in self.keys:
+            if len(keys):
+                at = np.searchsorted(keys, distinct)
+                at[at == len(keys)] = 0
+                entry = np.where(keys[at] == distinct, own[at], entry)
+        return entry
+
+    def _insert(self, keys: np.ndarray, entry: np.ndarray) -> None:
+        merge = lambda x, y: (np.insert(x[0], np.searchsorted(x[0], y[0]), y[0]), np.insert(x[1], np.searchsorted(x[0], y[0]), y[1]))
+        self.keys[1] = merge(self.keys[1], (keys, entry))
+        if len(self.keys[1][0]) > WAITING:
+            self.keys = [merge(*self.keys), (np.empty(0, np.uint64), np.empty(0, np.int64))]
+
+    def lookup(self, t: X.Texts, s: np.ndarray, e: np.ndarray, encode: Encoder, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks s..e one after the other, the number of each, and each one's entry (-1: none); encode is asked for unknown ones."""
+        distinct, first, back = np.unique(t.hashes(s, e) if hashes is None else hashes, return_index=True, return_inverse=True)
+        entry = self._find(distinct)
+        new = entry < 0
+        if new.any():
+            if self.bytes.size.n + new.sum() > self.limit:
                 self._clear()
-                known[:] = False
-            ids, size = encode(first[~known])
-            start = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, ids])
-            # Both sides are sorted, so the new entries go in where they belong without sorting the table again.
-            place = np.searchsorted(self.keys, distinct[~known])
-            self.keys, self.start, self.size = np.insert(self.keys, place, distinct[~known]), np.insert(self.start, place, start), np.insert(self.size, place, size)
-            at = np.searchsorted(self.keys, distinct)
-        at = at[back]
-        size = self.size[at]
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return self.ids[np.repeat(self.start[at], size) + inner], size
+                entry[:], new[:] = -1, True
+            own = first[new]
+            ids, size = encode(own)
+            entry[new] = self.bytes.size.n + np.arange(len(own))
+            self.ids.add(ids, size)
+            self.bytes.add(t.data[X.spread(s[own], (e - s)[own])], (e - s)[own])
+            self._insert(distinct[new], entry[new])
+        entry = entry[back]
+        wrong = self._differs(t, s, e, entry)
+        flat, size = self.ids.of(entry)
+        if not wrong.any():
+            return flat, size, entry
+        # Another chunk has this hash: these chunks are encoded by themselves.
+        ids, more = encode(np.flatnonzero(wrong))
+        start, n = self.ids.start.all[entry].copy(), size.copy()
+        start[wrong], n[wrong] = self.ids.flat.n + np.cumsum(more) - more, more
+        return np.concatenate([self.ids.flat.all, ids])[X.spread(start, n)], n, np.where(wrong, -1, entry)
+
+    def _differs(self, t: X.Texts, s: np.ndarray, e: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        wrong = self.bytes.size.all[entry] != e - s
+        size = np.where(wrong, 0, e - s)
+        unlike = np.flatnonzero(t.data[X.spread(s, size)] != self.bytes.flat.all[X.spread(self.bytes.start.all[entry], size)])
+        wrong[np.searchsorted(np.cumsum(size), unlike, side="right")] = True
+        return wrong
 
 
 _tables: dict[tuple, ChunkTable] = {}
@@ -82,16 +142,56 @@ def _marked(data: np.ndarray) -> np.ndarray:
 _RARE = ("▁", "\0", "�")
 
 
+class PieceTable:
+    """The chunks of one model with their ids and the texts that those decode to."""
+
+    def __init__(self, model: str):
+        import sentencepiece
+
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        # The library puts a marker before what it is given, so a chunk is given without its first space; a lone space is one marker.
+        self.lone = [self.sp.piece_to_id("▁")]
+        self.table = ChunkTable()
+        self._begin()
+
+    def _begin(self) -> None:
+        # Of each entry the text that its ids decode to, and whether that is the chunk itself.
+        self.bytes, self.texts, self.same = self.table.bytes, _Ranges(np.uint8), _Grown(bool)
+
+    def encode(self, t: X.Texts, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = [x or self.lone for x in self.sp.encode([t.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s.tolist(), e.tolist(), strict=True)], num_threads=1)]
+        size = np.array([len(x) for x in out], np.int64)
+        return np.fromiter((i for x in out for i in x), np.uint32, int(size.sum())), size
+
+    def lookup(self, t: X.Texts, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = self.table.lookup(t, s, e, lambda new: self.encode(t, s[new], e[new]))
+        if self.bytes is not self.table.bytes:  # the table began anew
+            self._begin()
+        for a in range(self.same.n, self.table.ids.size.n, 10_000):
+            new = np.arange(a, min(a + 10_000, self.table.ids.size.n))
+            flat, size = self.table.ids.of(new)
+            made = [x.encode() for x in self.sp.decode([x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])])]
+            self.texts.add(np.frombuffer(b"".join(made), np.uint8), np.array([len(x) for x in made]))
+            chunks, size = self.bytes.of(new)
+            stop = np.cumsum(size)
+            self.same.add(np.array([x == chunks[b - n : b].tobytes() for x, b, n in zip(made, stop.tolist(), size.tolist(), strict=True)], bool))
+        return out
+
+
+_pieces: dict[str, PieceTable] = {}
+
+
 def piece_ids(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: (id, ids, decoded), ids with the begin and end id.
 
     The model's pieces must not hold the whitespace marker behind another
     character, which is checked; then no merge crosses from a word into the next
-    marker, and each distinct marked word is segmented once.  Decoding joins the
-    chunks' own texts.  Texts with the marker itself, or that begin with a
-    space, go through the library whole.  A null text is an empty one; ids may
-    be null or repeat; only the two named columns are read; an empty table gives
-    an empty result.
+    marker, and each distinct marked word is segmented, and its ids decoded, once.
+    A text's ids are those of its words by position, and its decoded text those
+    that the words' ids decode to.  Texts with the marker itself, with NUL or
+    U+FFFD, or that begin with a space, go through the library whole.  A null
+    text is an empty one; ids may be null or repeat; only the two named columns
+    are read; an empty table gives an empty result.
     """
     import sentencepiece
 
@@ -100,11 +200,10 @@ def piece_ids(docs: DataFrame, model: str, text: str = "text", id_col: str = "do
         raise ValueError("a piece holds the whitespace marker behind another character")
 
     def run(batches):
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        # The library puts a marker before what it is given, so a chunk is given without its first space; a lone space is one marker.
-        lone = [sp.piece_to_id("▁")]
-        table = task_table(("pieces", model))
-        bos, eos = sp.bos_id(), sp.eos_id()
+        if model not in _pieces:
+            _pieces[model] = PieceTable(model)
+        own = _pieces[model]
+        bos, eos = own.sp.bos_id(), own.sp.eos_id()
         for batch in batches:
             ids: list = []
             texts: list = []
@@ -115,36 +214,36 @@ def piece_ids(docs: DataFrame, model: str, text: str = "text", id_col: str = "do
                 e = np.append(s[1:], len(t.data))
                 of = t.text_of(s)
                 lead = (t.data[s] == 32) & ~np.isin(s, t.offsets[:-1])
-                s2 = s + lead
                 whole = np.zeros(t.n, bool)
+                raw = t.data.tobytes()
                 for mark in _RARE:
-                    raw, m = t.data.tobytes(), mark.encode()
-                    at = raw.find(m)
+                    at = raw.find(m := mark.encode())
                     while at >= 0:
                         whole[int(t.text_of(np.array([at]))[0])] = True
                         at = raw.find(m, at + 1)
                 full = t.lengths > 0
                 whole[full] |= t.data[t.offsets[:-1][full]] == 32
-
-                def encode(new, t=t, s2=s2, e=e):
-                    out = [x or lone for x in sp.encode([t.data[s2[i] : e[i]].tobytes().decode("utf-8", "replace") for i in new.tolist()], num_threads=1)]
-                    size = np.array([len(x) for x in out], np.int64)
-                    return np.fromiter((i for x in out for i in x), np.uint32, int(size.sum())), size
-
-                flat, size = table.lookup(t.hashes(s2, e), encode)
+                flat, size, entry = own.lookup(t, s + lead, e)
+                whole[of[entry < 0]] = True
                 total = np.bincount(of, size, minlength=t.n).astype(np.int64)
                 stop = np.cumsum(total)
+                changed = np.bincount(of[~own.same.all[entry]], minlength=t.n) > 0
+                first = np.searchsorted(of, np.arange(t.n + 1))
                 for d in range(t.n):
                     if whole[d]:
-                        own = sp.encode(t.string(d), add_bos=True, add_eos=True)
-                        ids.append(np.array(own, np.uint32))
-                        texts.append(sp.decode(own))
-                    else:
-                        ids.append(np.concatenate([[bos], flat[stop[d] - total[d] : stop[d]], [eos]]).astype(np.uint32))
+                        one = own.sp.encode(t.string(d), add_bos=True, add_eos=True)
+                        ids.append(np.array(one, np.uint32))
+                        texts.append(own.sp.decode(one))
+                        continue
+                    ids.append(np.concatenate([[bos], flat[stop[d] - total[d] : stop[d]], [eos]]).astype(np.uint32))
+                    if changed[d]:
+                        at = range(first[d], first[d + 1])
+                        texts.append(b"".join(b" " * int(lead[c]) + own.texts.of(entry[c : c + 1])[0].tobytes() for c in at).decode())
+                    else:  # every word's ids decode to the word
                         texts.append(t.string(d))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = small_batches(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
@@ -193,7 +292,7 @@ def word_bpe_ids(vocabulary: str):
         at = at[~np.isin(at, t.offsets)]
         s, e = np.sort(np.concatenate([s, at])), np.sort(np.concatenate([e, at]))
         of = t.text_of(s)
-        flat, size = table.lookup(t.hashes(s, e), lambda new: encode_new(t, s[new], e[new]))
+        flat, size, _ = table.lookup(t, s, e, lambda new: encode_new(t, s[new], e[new]))
         return flat, np.bincount(of, size, minlength=t.n).astype(np.int64)
 
     return encode
