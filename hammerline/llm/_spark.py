@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of a batch that goes to a Python worker: a worker holds two of them beside its own tables.
@@ -34,6 +35,21 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def most_frequent(counts: DataFrame, most: int, key: str = "word", value: str = "n") -> tuple[int, np.ndarray, np.ndarray]:
+    """The least count from which on there are at most so many keys; those keys, sorted, and their values."""
+    sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()
+    least, held = 100_001, 0
+    for r in sizes:
+        held += r["k"]
+        if held > most:
+            break
+        least = r["n"]
+    got = counts.where(F.col("n") >= least).select(key, value).toArrow() if sizes else None
+    found = got.column(key).to_numpy().view(np.uint64) if got else np.empty(0, np.uint64)
+    o = np.argsort(found)
+    return least, found[o], got.column(value).to_numpy()[o] if got else np.empty(0, np.int64)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

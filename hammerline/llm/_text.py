@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 #: Bytes of text handled at once; one longer text is handled on its own.
 CHUNK_BYTES = 1 << 17
@@ -235,3 +236,18 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     at = np.searchsorted(twice, keys)
     at[at == len(twice)] = 0
     return twice[at] == keys
+
+
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, plane by plane; the first column, in order, as differences."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (first, *columns[1:])]
+    return len(first).to_bytes(8, "little") + zstandard.compress(b"".join(planes), 1)
+
+
+def unsqueezed(x: bytes, kinds: tuple = (np.uint64,)) -> list[np.ndarray]:
+    n = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(zstandard.decompress(x[8:]), np.uint8).reshape(len(kinds), 8, n)
+    out = [np.ascontiguousarray(planes[i].T).view(k).ravel() for i, k in enumerate(kinds)]
+    out[0] = np.cumsum(out[0], dtype=kinds[0])
+    return out

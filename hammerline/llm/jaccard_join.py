@@ -13,17 +13,19 @@ the boxes of unrelated documents overlap in that many dimensions.  So the
 search is dealt out first: two sets with Jaccard >= t share a member among the
 first n - ceil(t n) + 1 of each in any common order, so sets meet in the cells
 of those members.  Frequent members come last in that order; which ones count
-as frequent is read from a bounded sample and affects cost, not results.
+as frequent is told by counts kept in the tasks that read the texts, and
+affects cost, not results.
 
   1. each set is verified against the cell mate it meets most often, and the
      verified links contract to classes;
-  2. classes that still meet in some cell are compared as boxes; those whose
-     bounds allow a link are searched set by set through R-trees, first each
-     class with its cell's largest class, then all that are left.
-
-The last step covers every pair of classes that meet in any cell, so no link
-is lost; pairs inside a class need no more tests.  Copies share one set and
-are one node throughout.
+  2. each class is compared, as a box, with the largest class of its cells;
+  3. the classes that still share a cell are searched through an R-tree for
+     each cell: only pairs whose bound allows a link leave it.
+
+Pairs of classes from 2 and 3 are searched set by set through R-trees.  Step 3
+covers every pair of classes that meet in any cell, so no link is lost; pairs
+inside a class need no more tests.  Copies share one set and are one node
+throughout.  Sets are compared as 64-bit hashes of their members.
 """
 
 from __future__ import annotations
@@ -35,16 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
-from hammerline.llm._spark import components, cut
+from hammerline.llm._spark import components, cut, most_frequent, small_batches
 
 #: A point has a group for four members or so, a power of two between these.
 GROUPS_LEAST, GROUPS_MOST = 64, 8192
 LEAF = 16
-BLOCK = 512
+#: Sets of a block that is searched at once; classes of a cell's block; queries that go down a tree together.
+BLOCK, CELL_BLOCK, TOGETHER = 512, 1024, 32
 #: Names of nodes are broadcast up to this many.
 BROADCAST_NODES = 2_000_000
-#: Frequent shingles are looked for in this many texts, and this many at most are kept.
-SAMPLE_TEXTS, FREQUENT_MAX = 4000, 200_000
+#: A task counts shingles over so many at a time and reports those it has met so often; so many of them are held as frequent.
+COUNTED, OFTEN, FREQUENT_MAX = 1_000_000, 3, 200_000
+#: Rows of a group in which equal shingles meet; a frequent shingle is split when it has more.
+GROUP_ROWS = 300_000
+#: Names that a task remembers, so that copies which it holds are handled once.
+REMEMBERED = 200_000
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -110,59 +117,63 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class CountTree:
-    """An R-tree over count vectors, packed bottom-up in size order, searched by overlap bound."""
+    """An R-tree over count vectors, or over the upper corners of boxes of them, packed bottom-up in size order and searched by overlap bound."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets])
-        self.groups = groups_for(int(sizes.min()))
-        points = np.stack([point(s, self.groups) for s in sets])
+    def __init__(self, points: np.ndarray, low: np.ndarray, high: np.ndarray):
         # Sorting by size and then by the heaviest group keeps boxes tight in the coordinate that prunes most.
-        self.order = np.lexsort((points.argmax(1), sizes))
-        self.sets = sets
-        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
-        while len(self.levels[-1][0]) > 1:
+        self.order = np.lexsort((points.argmax(1), low))
+        self.levels = [(points[self.order], low[self.order], high[self.order])]
+        while len(self.levels[-1][0]) > LEAF:
             p, lo, hi = self.levels[-1]
             cuts = np.arange(0, len(p), LEAF)
             self.levels.append((np.maximum.reduceat(p, cuts), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)))
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray]) -> CountTree:
+        sizes = np.array([len(s) for s in sets])
+        groups = groups_for(int(sizes.min()))
+        return cls(np.stack([point(s, groups) for s in sets]), sizes, sizes)
+
+    @property
+    def groups(self) -> int:
+        return self.levels[0][0].shape[1]
+
+    def pairs(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry, bound) of the entries whose bound allows a link with a query point (or box) of that size."""
+        out = []
+        for first in range(0, len(points), TOGETHER):
+            n = min(TOGETHER, len(points) - first)
+            top = len(self.levels[-1][0])
+            q, at = np.repeat(np.arange(first, first + n), top), np.tile(np.arange(top), n)
+            for depth in range(len(self.levels) - 1, -1, -1):
+                p, lo, hi = self.levels[depth]
+                least = np.maximum(lo[at], -(-percent * low[q] // 100))
+                fit = (100 * hi[at] >= percent * low[q]) & (percent * lo[at] <= 100 * high[q])
+                q, at, least = q[fit], at[fit], least[fit]
+                bound = np.minimum(p[at], points[q]).sum(1, dtype=np.int64)
+                ok = bound >= needed(least, low[q], percent)
+                q, at, bound = q[ok], at[ok], bound[ok]
+                if depth:
+                    q, at = np.repeat(q, LEAF), (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+                    inside = at < len(self.levels[depth - 1][0])
+                    q, at = q[inside], at[inside]
+            out.append((q, self.order[at], bound))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+
     def candidates(self, s: np.ndarray, percent: int) -> np.ndarray:
-        """Indexes of the sets whose bound allows a link with s, the highest bound first."""
-        q, n = point(s, self.groups), len(s)
-        at = np.arange(len(self.levels[-1][0]))
-        bound = np.empty(0)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            p, lo, hi = self.levels[depth]
-            bound = np.minimum(p[at], q).sum(1, dtype=np.int64)
-            ok = (bound >= needed(np.maximum(lo[at], -(-percent * n // 100)), n, percent)) & (100 * hi[at] >= percent * n) & (percent * lo[at] <= 100 * n)
-            at, bound = at[ok], bound[ok]
-            if depth:
-                at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-                at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at[np.argsort(-bound, kind="stable")]]
-
-    def first_link(self, s: np.ndarray, percent: int) -> bool:
-        return any(linked(self.sets[i], s, percent) for i in self.candidates(s, percent))
-
-
-def _frequent(docs: DataFrame, text: str, width: int, n: int) -> np.ndarray:
-    """Shingles found in at least two texts of a bounded sample."""
-    share = max(1, n // SAMPLE_TEXTS)
-    rows = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(share)) == 0)
-    rows = rows.limit(4 * SAMPLE_TEXTS).toArrow()
-    sets = list(shingle_sets(rows.column(0), width)) if rows.num_rows else []
-    if not sets:
-        return np.empty(0, np.uint64)
-    u, c = np.unique(np.concatenate(sets), return_counts=True)
-    u, c = u[c >= 2], c[c >= 2]
-    return np.sort(u[np.argsort(-c, kind="stable")][:FREQUENT_MAX])
-
-
-def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Entries that may link with the set s, the highest bound first."""
+        size = np.array([len(s)])
+        _, at, bound = self.pairs(point(s, self.groups)[None], size, size, percent)
+        return at[np.argsort(-bound, kind="stable")]
+
+
+def _member(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x stands among the sorted values, and whether it does."""
     if not len(sorted_values):
-        return np.zeros(len(x), bool)
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
     at = np.searchsorted(sorted_values, x)
     at[at == len(sorted_values)] = 0
-    return sorted_values[at] == x
+    return at, sorted_values[at] == x
 
 
 def _sets(table: pa.RecordBatch, name: str) -> list[np.ndarray]:
@@ -179,58 +190,34 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     members have none.  Only the two named columns are read, so others may have
     any names; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    docs = small_batches(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
+    sc = docs.sparkSession.sparkContext
+    id_type = docs.schema["id"].dataType.simpleString()
+    read = cut(docs.mapInArrow(_named(width), f"id {id_type}, n long, node long, corner binary, times binary"))
+    named = read.where("n >= 0").select("id", "n", "node")
 
-    def name_rows(batches):
+    def listed(batches):
         for batch in batches:
-            n, node = [], []
-            for s in shingle_sets(batch.column(1), width):
-                n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["id", "n", "node"])
+            for token, times in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (token, times)], ["token", "n"])
 
-    id_type = docs.schema["id"].dataType.simpleString()
-    named = cut(docs.mapInArrow(name_rows, f"id {id_type}, n long, node long"))
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, "text", width, named.count()))
+    often = read.where("n < 0").select("corner", "times").mapInArrow(listed, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    frequent = sc.broadcast(most_frequent(cut(often), FREQUENT_MAX, "token")[1:])
 
-    def prefixes(batches):
-        seen: set[int] = set()
-        often = frequent.value
-        for batch in batches:
-            tokens, nodes = [], []
-            for s in shingle_sets(batch.column(0), width):
-                if not len(s) or (node := node_of(s)) in seen:
-                    continue
-                seen.add(node)
-                k = len(s) - -(-percent * len(s) // 100) + 1
-                hot = _member(often, s)
-                first = np.concatenate([s[~hot], s[hot]])[:k]
-                tokens.append(first)
-                nodes.append(np.full(len(first), node, np.int64))
-            if tokens:
-                t = np.concatenate(tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(_member(often, t))], ["token", "node", "hot"])
-
-    rows = docs.select("text").mapInArrow(prefixes, "token long, node long, hot boolean")
-    from pyspark.sql import Window
-
-    over = Window.partitionBy("token")
-    rare = rows.where("not hot").withColumn("pivot", F.min("node").over(over)).withColumn("top", F.max("node").over(over))
-    rare = rare.where("pivot < top").select("token", "node", "pivot")
-    # Tokens known to be frequent are pre-aggregated; there are FREQUENT_MAX of them at most.
-    often = rows.where("hot").groupBy("token", "node").agg(F.lit(1).alias("one")).select("token", "node")
-    ends = often.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
-    often = often.join(F.broadcast(ends.select("token", "pivot")), "token").select("token", "node", "pivot")
-    cells = cut(rare.unionByName(often))
-
-    # Points are small; sets are fetched only for nodes of pairs that the points leave.
-    points = cut(_of_nodes(docs, cells.select("node").distinct(), width, True))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total * (100 - percent) // 100 // GROUP_ROWS))
+    dealt = docs.select("text").mapInArrow(_prefixes(width, percent, parts, frequent), "p int, blob binary")
+    cells = cut(dealt.groupBy("p").applyInArrow(lambda t: _meet(t, frequent), "token long, node long, pivot long"))
+
+    # Points are small; sets are made anew only for nodes of pairs that the points leave.
+    points = read.where("corner is not null and n > 0").join(cells.select("node").distinct(), "node", "left_semi")
+    points = cut(points.groupBy("node").agg(F.first("corner").alias("corner"), F.first("n").cast("int").alias("n")))
 
     # Step 1: each node with the pivot it meets most often.
     met = cells.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("k"))
     best = met.groupBy("node").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("b")).withColumnRenamed("node", "a")
     best = _allowed(best, points.withColumnRenamed("node", "cls").withColumns({"lo": F.col("n"), "hi": F.col("n")}), percent)
-    sets = cut(_of_nodes(docs, best.select(F.col("a").alias("node")).union(best.select("b")).distinct(), width, False))
+    sets = cut(_of_nodes(docs, named, best.select(F.col("a").alias("node")).union(best.select("b")).distinct(), width))
 
     def verified(batches):
         for batch in batches:
@@ -241,7 +228,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     links = cut(pairs.select("a", "b", "members", "members2").mapInArrow(verified, "a long, b long").distinct())
 
     for exhaustive in (False, True):
-        links = cut(links.unionByName(_class_links(docs, width, cells, points, links, percent, exhaustive)))
+        links = cut(links.unionByName(_class_links(docs, named, width, cells, points, links, percent, exhaustive)))
 
     comp = components(links)
     ids = named.join(comp, "node", "left").withColumn("key", F.coalesce("comp", "node"))
@@ -251,27 +238,128 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _of_nodes(docs: DataFrame, nodes: DataFrame, width: int, as_points: bool) -> DataFrame:
-    """The points (node, corner, n) or the sets (node, members) of these nodes; a node that several tasks hold comes from each."""
-    nodes = cut(nodes)
-    few = nodes.count() <= BROADCAST_NODES
+def _named(width: int):
+    """For each text (id, n, node, corner), corner only where the task meets a node first; rows with n = -1 tell frequent shingles."""
 
     def rows(batches):
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        count, kind = 0, pa.null()
+        names = ["id", "n", "node", "corner", "times"]
+
+        def often() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            u, c = u[c >= OFTEN], c[c >= OFTEN].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.array([u.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names)
+
         for batch in batches:
-            own, blobs, n = [], [], []
+            kind = batch.column(0).type
+            n, node, corner = [], [], []
+            for s in shingle_sets(batch.column(1), width):
+                n.append(len(s))
+                node.append(node_of(s) if len(s) else None)
+                corner.append(None)
+                if len(s) and node[-1] not in seen:
+                    if len(seen) == REMEMBERED:
+                        seen.clear()
+                    seen.add(node[-1])
+                    corner[-1] = point(s).tobytes()
+                    held.append(s)
+                    count += len(s)
+                    if count > COUNTED:
+                        yield often()
+                        count = 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(corner, pa.binary()), pa.nulls(len(n), pa.binary())], names)
+        if held:
+            yield often()
+
+    return rows
+
+
+def _prefixes(width: int, percent: int, parts: int, frequent):
+    """The prefix members of each node, packed by the group in which equal ones meet."""
+
+    def rows(batches):
+        seen: set[int] = set()
+        tokens: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        often, times = frequent.value
+
+        def out() -> pa.RecordBatch:
+            t, node = np.concatenate(tokens), np.concatenate(nodes)
+            tokens.clear()
+            nodes.clear()
+            at, hot = _member(often, t)
+            salts = np.ones(len(t), np.uint64)
+            salts[hot] += (times[at[hot]] // GROUP_ROWS).astype(np.uint64)
+            part = (X.mix(t + X.mix(node.view(np.uint64)) % salts) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            o = np.lexsort((t, part))
+            t, node, part = t[o], node[o], part[o]
+            head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            blobs = [X.squeezed(t[a:b], node[a:b]) for a, b in zip(head.tolist(), [*head[1:].tolist(), len(t)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), pa.array(blobs, pa.binary())], ["p", "blob"])
+
+        count = 0
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), width):
+                if not len(s) or (node := node_of(s)) in seen:
+                    continue
+                if len(seen) == REMEMBERED:
+                    seen.clear()
+                seen.add(node)
+                k = len(s) - -(-percent * len(s) // 100) + 1
+                at, hot = _member(often, s)
+                if hot.any():
+                    rest = s[hot][np.argsort(times[at[hot]], kind="stable")]
+                    s = np.concatenate([s[~hot], rest])
+                tokens.append(s[:k].copy())
+                nodes.append(np.full(k, node, np.int64))
+                count += k
+                if count > COUNTED:
+                    yield out()
+                    count = 0
+        if tokens:
+            yield out()
+
+    return rows
+
+
+def _meet(table: pa.Table, frequent) -> pa.Table:
+    """(token, node, pivot): the nodes of each token that several share, or that is frequent and may be split, and their smallest."""
+    t, node = (np.concatenate(c) for c in zip(*[X.unsqueezed(x.as_py(), (np.uint64, np.int64)) for x in table.column("blob")], strict=True))
+    o = np.lexsort((node, t))
+    t, node = t[o], node[o]
+    new = np.concatenate([[True], t[1:] != t[:-1]])
+    one = new.copy()
+    one[1:] |= node[1:] != node[:-1]
+    t, node, new = t[one], node[one], new[one]
+    head = np.flatnonzero(new)
+    n = np.diff(np.append(head, len(t)))
+    keep = np.repeat((n > 1) | _member(frequent.value[0], t[head])[1], n)
+    return pa.table({"token": t[keep].view(np.int64), "node": node[keep], "pivot": np.repeat(node[head], n)[keep]})
+
+
+def _of_nodes(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, members) of these nodes, from one text of each."""
+    nodes = cut(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("own")))
+    # The nodes' names are broadcast only up to a checked count; beyond it the joins shuffle.
+    few = (lambda x: F.broadcast(x)) if nodes.count() <= BROADCAST_NODES else (lambda x: x)
+
+    def rows(batches):
+        for batch in batches:
+            own, blobs = [], []
             for s in shingle_sets(batch.column(0), width):
-                if len(s) and (node := node_of(s)) not in seen:
-                    seen.add(node)
-                    own.append(node)
-                    blobs.append((point(s) if as_points else s).tobytes())
-                    n.append(len(s))
-            cols = [pa.array(own, pa.int64()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], ["node", "corner", "n"]) if as_points else pa.RecordBatch.from_arrays(cols, ["node", "members"])
+                if len(s):
+                    own.append(node_of(s))
+                    blobs.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["node", "members"])
 
-    made = docs.select("text").mapInArrow(rows, "node long, corner binary, n int" if as_points else "node long, members binary")
-    # The nodes' names are broadcast only up to a checked count; beyond it the join shuffles.
-    return made.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    ids = nodes.select("own").distinct()
+    texts = docs.join(few(ids), docs["id"].eqNullSafe(ids["own"]), "left_semi").select("text")
+    made = texts.mapInArrow(rows, "node long, members binary").join(few(nodes.select("node")), "node", "left_semi")
+    # Rows that share an id can hold one set several times.
+    return made.groupBy("node").agg(F.first("members").alias("members"))
 
 
 def _allowed(pairs: DataFrame, box: DataFrame, percent: int) -> DataFrame:
@@ -300,24 +388,23 @@ def _allowed(pairs: DataFrame, box: DataFrame, percent: int) -> DataFrame:
     return cut(both.mapInArrow(test, pairs.schema).distinct())
 
 
-def _class_links(docs: DataFrame, width: int, cells: DataFrame, points: DataFrame, links: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
-    """Links (a, b) found between classes that meet in a cell: with its largest class, or (exhaustive) all with all."""
+def _class_links(docs: DataFrame, named: DataFrame, width: int, cells: DataFrame, points: DataFrame, links: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
+    """Links (a, b) found between classes that meet in a cell: with its largest class, or (exhaustive) among all."""
     comp = components(links)
-    member = cut(points.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("cls")))
-    weight = points.select("node", "n").join(member, "node").groupBy("cls").agg(F.countDistinct("node").alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    meet = cells.join(member, "node").select("token", "cls").distinct().join(weight, "cls")
-    big = meet.groupBy("token").agg(F.max(F.struct("weight", "cls", "lo", "hi")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Classes of too different sizes are no pair; that is known before pairs are made.
-    sizes = lambda lo_a, hi_a, lo_b, hi_b: (100 * F.col(hi_a) >= percent * F.col(lo_b)) & (100 * F.col(hi_b) >= percent * F.col(lo_a))
-    if exhaustive:
-        meet = cut(meet.join(big.select("token"), "token").select("token", "cls", "weight", "lo", "hi"))
-        other = meet.select("token", F.col("cls").alias("b"), F.col("weight").alias("wb"), F.col("lo").alias("lob"), F.col("hi").alias("hib"))
-        pairs = meet.select("token", F.col("cls").alias("a"), F.col("weight").alias("wa"), F.col("lo").alias("loa"), F.col("hi").alias("hia"))
-        pairs = pairs.join(other, (pairs["token"] == other["token"]) & (F.struct("wa", "a") > F.struct("wb", "b")) & sizes("loa", "hia", "lob", "hib"))
-    else:
-        pairs = meet.join(big, "token").where((F.col("top.cls") != F.col("cls")) & sizes("top.lo", "top.hi", "lo", "hi"))
-        pairs = pairs.select(F.col("top.cls").alias("a"), F.col("top.weight").alias("wa"), F.col("cls").alias("b"), F.col("weight").alias("wb"))
-    pairs = cut(pairs.select("a", "b", "wa", "wb").distinct())
+    member = cut(points.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("cls")))
+    weight = points.select("node", "n").join(member, "node").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    meet = cut(cells.join(member, "node").select("token", "cls").distinct())
+    # Tokens that the same classes share are searched once.
+    cell = meet.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("m > 1")
+    meet = cut(meet.join(cell.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m"), "token"))
+    pairs = None
+    if not exhaustive:
+        sized = meet.join(weight, "cls")
+        big = sized.groupBy("token").agg(F.max(F.struct("weight", "cls", "lo", "hi")).alias("top"))
+        # Classes of too different sizes are no pair; that is known before pairs are made.
+        like = (100 * F.col("top.hi") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("top.lo"))
+        pairs = sized.join(big, "token").where((F.col("top.cls") != F.col("cls")) & like)
+        pairs = cut(pairs.select(F.col("top.cls").alias("a"), F.col("cls").alias("b")).distinct())
 
     def merged(batches):
         for batch in batches:
@@ -326,17 +413,20 @@ def _class_links(docs: DataFrame, width: int, cells: DataFrame, points: DataFram
                 yield from _box_batches(batch.column("cls").to_numpy(), p, batch.column("lo").to_numpy(), batch.column("hi").to_numpy())
 
     kind = "cls long, corner binary, lo int, hi int"
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    member = cut(member.join(wanted, "cls", "left_semi"))
-    box = points.join(member, "node").select("cls", "corner", F.col("n").alias("lo"), F.col("n").alias("hi"))
-    # Classes are merged before and after the shuffle.  One cut by a batch's end has two boxes; its pair passes if any of them allows it.
+    # Classes are merged before and after the shuffle; one cut by a batch's end is merged once more below.
+    wanted = (meet.select("cls") if exhaustive else pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))).distinct()
+    box = points.join(member.join(wanted, "cls", "left_semi"), "node").select("cls", "corner", F.col("n").alias("lo"), F.col("n").alias("hi"))
     box = cut(box.sortWithinPartitions("cls").mapInArrow(merged, kind).repartition("cls").sortWithinPartitions("cls").mapInArrow(merged, kind))
-    kept = _allowed(pairs, box, percent)
+    kept = _cell_pairs(meet, box, percent) if exhaustive else _allowed(pairs, box, percent)
+    weights = lambda x: weight.select(F.col("cls").alias(x), F.col("weight").alias("w" + x))
+    kept = kept.join(weights("a"), "a").join(weights("b"), "b")
+    turned = F.struct("wa", "a") < F.struct("wb", "b")
+    kept = cut(kept.select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("wa", "wb"), ("wb", "wa"))]).distinct())
 
     # Blocks of the larger class against blocks of the smaller ones that may link with it.
     wanted = kept.select(F.col("a").alias("cls")).union(kept.select(F.col("b").alias("cls"))).distinct()
     member = cut(member.join(wanted, "cls", "left_semi"))
-    of = cut(_of_nodes(docs, member.select("node"), width, False).join(member, "node"))
+    of = cut(_of_nodes(docs, named, member.select("node"), width).join(member, "node"))
     load = kept.groupBy("a").agg(F.sum("wb").alias("load"), F.max("wa").alias("wa"))
     load = load.select("a", F.ceil(F.col("load") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("wa") / BLOCK).cast("int").alias("na"))
     grid = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -347,10 +437,11 @@ def _class_links(docs: DataFrame, width: int, cells: DataFrame, points: DataFram
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if left.num_rows and right.num_rows:
-            tree = CountTree(_sets(left, "members"))
+            sets = _sets(left, "members")
+            tree = CountTree.of_sets(sets)
             a, done = left.column("a")[0].as_py(), set()
             for b, s in zip(right.column("b2").to_pylist(), _sets(right, "members2"), strict=True):
-                if b not in done and tree.first_link(s, percent):
+                if b not in done and any(linked(sets[i], s, percent) for i in tree.candidates(s, percent)):
                     done.add(b)
                     found.append((a, b))
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
@@ -358,6 +449,42 @@ def _class_links(docs: DataFrame, width: int, cells: DataFrame, points: DataFram
     return left.groupBy("a", "i", "j").cogroup(right.groupBy("a2", "i2", "j2")).applyInArrow(search, "a long, b long")
 
 
+def _cell_pairs(meet: DataFrame, box: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that share a cell of meet (token, cls, m) and whose boxes may hold two linked sets.
+
+    Each cell is searched through an R-tree over its classes' boxes.  Many small cells share a group; a large one is cut
+    to blocks, each of which is searched for every other.
+    """
+    rows = meet.join(box, "cls").withColumn("k", F.ceil(F.col("m") / CELL_BLOCK).cast("int"))
+    groups = max(1, -(-(meet.count()) // 4096))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("token", "cls", "corner", "lo", "hi", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k")
+    key = F.when(F.col("k") == 1, F.pmod(F.xxhash64("token"), F.lit(groups))).otherwise(F.xxhash64("token", "i", "j"))
+
+    def search(table: pa.Table) -> pa.Table:
+        token, i, j, own, cls = (table.column(c).to_numpy() for c in ("token", "i", "j", "own", "cls"))
+        lo, hi = table.column("lo").to_numpy().astype(np.int64), table.column("hi").to_numpy().astype(np.int64)
+        corner = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("corner")]
+        o = np.lexsort((cls, j, i, token))
+        new = (token[o][1:] != token[o][:-1]) | (i[o][1:] != i[o][:-1]) | (j[o][1:] != j[o][:-1])
+        a, b = [], []
+        for cell in np.split(o, np.flatnonzero(new) + 1):
+            g = min(len(corner[r]) for r in cell)
+            p = np.stack([folded(corner[r], g) for r in cell])
+            # A block against itself, or the first block against the second.
+            left, right = own[cell] == i[cell], own[cell] == j[cell]
+            x, y = cell[left], cell[right]
+            q, at, _ = CountTree(p[left], lo[x], hi[x]).pairs(p[right], lo[y], hi[y], percent) if len(x) and len(y) else (np.empty(0, np.int64),) * 3
+            c, d = cls[x[at]], cls[y[q]]
+            once = c < d if i[cell[0]] == j[cell[0]] else c != d
+            a.append(c[once])
+            b.append(d[once])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return cut(rows.withColumn("g", key).groupBy("g").applyInArrow(search, "a long, b long").distinct())
+
+
 def _box_batches(cls: np.ndarray, corner: list[np.ndarray], lo: np.ndarray, hi: np.ndarray):
     """One row per class: the upper corner of its members' boxes, in its coarsest member's groups, and their least and largest size."""
     order = np.argsort(cls, kind="stable")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
-from hammerline.llm._spark import cut
+from hammerline.llm._spark import cut, most_frequent, small_batches
 
 ORDER = 3
 #: Symbols: a byte is its value + 2, the end of a text 1; 0 stands before its beginning.
@@ -221,21 +221,6 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(partial, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _common(counts: DataFrame, most: int, key: str = "word", value: str = "n") -> tuple[int, np.ndarray, np.ndarray]:
-    """The least count from which on there are at most so many keys; those keys, sorted, and their values."""
-    sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()
-    least, held = 100_001, 0
-    for r in sizes:
-        held += r["k"]
-        if held > most:
-            break
-        least = r["n"]
-    got = counts.where(F.col("n") >= least).select(key, value).toArrow() if sizes else None
-    found = got.column(key).to_numpy().view(np.uint64) if got else np.empty(0, np.uint64)
-    o = np.argsort(found)
-    return least, found[o], got.column(value).to_numpy()[o] if got else np.empty(0, np.int64)
-
-
 def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each asked value stands among sorted keys, and whether it does."""
     at = np.searchsorted(keys, asked)
@@ -272,7 +257,7 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     dealt = entries > BROADCAST_ENTRIES and order >= _SHORT
     if dealt:
         scores = cut(gram_scores(grams, count_codes(rows, "text", order), entries, order))
-        often, *model = _common(scores, COMMON_GRAMS, "code", "score")
+        often, *model = most_frequent(scores, COMMON_GRAMS, "code", "score")
     else:
         got = grams.toArrow()
         model = Trie(got.column("code").to_numpy().view(np.uint64), got.column("n").to_numpy(), order)
@@ -282,7 +267,7 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     ends = rows.where("not held").count()
     big_n, v = int(sums[0] or 0) + ends, int(sums[1]) + (ends > 0)
     down = float(np.log10(big_n + 0.1 * (v + 1)))
-    least, *table = _common(counts, common_words)
+    least, *table = most_frequent(counts, common_words)
     common = sc.broadcast(table)
 
     def score(batches):

@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
@@ -128,7 +127,7 @@ def _shared_anchors(docs: DataFrame, length: int) -> np.ndarray:
             part = (u >> np.uint64(1)) * np.uint64(parts) >> np.uint64(40)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             p = [k for k in range(parts) if cuts[k + 1] > cuts[k]]
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([_squeezed(u[cuts[k] : cuts[k + 1]]) for k in p], pa.binary())], ["p", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([X.squeezed(u[cuts[k] : cuts[k + 1]]) for k in p], pa.binary())], ["p", "blob"])
 
         n = 0
         for batch in batches:
@@ -148,7 +147,7 @@ def _shared_anchors(docs: DataFrame, length: int) -> np.ndarray:
             yield out()
 
     def meet(table: pa.Table) -> pa.Table:
-        v = np.sort(np.concatenate([_unsqueezed(x.as_py())[0] for x in table.column("blob")]))
+        v = np.sort(np.concatenate([X.unsqueezed(x.as_py())[0] for x in table.column("blob")]))
         whole = v >> np.uint64(1)
         found = np.concatenate([whole[1:][whole[1:] == whole[:-1]], whole[v & np.uint64(1) > 0]])
         return pa.table({"a": (np.unique(found) << np.uint64(24)).view(np.int64)})
@@ -156,21 +155,6 @@ def _shared_anchors(docs: DataFrame, length: int) -> np.ndarray:
     return _bit_filter(docs.select("text").mapInArrow(blobs, "p int, blob binary").groupBy("p").applyInArrow(meet, "a long"), "a")
 
 
-def _squeezed(*columns: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, plane by plane; the first column, in order, as differences."""
-    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (first, *columns[1:])]
-    return len(first).to_bytes(8, "little") + zstandard.compress(b"".join(planes), 1)
-
-
-def _unsqueezed(x: bytes, kinds: tuple = (np.uint64,)) -> list[np.ndarray]:
-    n = int.from_bytes(x[:8], "little")
-    planes = np.frombuffer(zstandard.decompress(x[8:]), np.uint8).reshape(len(kinds), 8, n)
-    out = [np.ascontiguousarray(planes[i].T).view(k).ravel() for i, k in enumerate(kinds)]
-    out[0] = np.cumsum(out[0], dtype=kinds[0])
-    return out
-
-
 def _found(docs: DataFrame, length: int):
     """For each batch of (rid, row, text) its parts and their pieces: t, base, rids, rows, anchor, piece, start, end, text index."""
 
@@ -213,7 +197,7 @@ def _piece_kinds(docs: DataFrame, length: int, bits) -> DataFrame:
             cuts = np.searchsorted(part, np.arange(parts + 1))
             p = [k for k in range(parts) if cuts[k + 1] > cuts[k]]
             anchor, piece, lo, hi = cols
-            blobs = [_squeezed(anchor[b], piece[b], lo[b], hi[b] - lo[b]) for b in (slice(cuts[k], cuts[k + 1]) for k in p)]
+            blobs = [X.squeezed(anchor[b], piece[b], lo[b], hi[b] - lo[b]) for b in (slice(cuts[k], cuts[k + 1]) for k in p)]
             return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(blobs, pa.binary())], ["p", "blob"])
 
         for _, _, rid, _, anchor, piece, _, _, _ in each(batches):
@@ -227,7 +211,7 @@ def _piece_kinds(docs: DataFrame, length: int, bits) -> DataFrame:
             yield out()
 
     def meet(table: pa.Table) -> pa.Table:
-        cols = [_unsqueezed(x.as_py(), (np.uint64, np.uint64, np.int64, np.int64)) for x in table.column("blob")]
+        cols = [X.unsqueezed(x.as_py(), (np.uint64, np.uint64, np.int64, np.int64)) for x in table.column("blob")]
         anchor, piece, lo, wide = (np.concatenate(c) for c in zip(*cols, strict=True))
         anchor, piece, lo, hi = _merged_kinds(anchor, piece, lo, lo + wide)
         head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))

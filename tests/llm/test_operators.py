@@ -105,7 +105,7 @@ def test_count_tree_bounds():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(300) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(200)]
-    tree = CountTree(sets)
+    tree = CountTree.of_sets(sets)
     for s in sets[:40]:
         found = set(tree.candidates(s, 75).tolist())
         assert {i for i, x in enumerate(sets) if linked(x, s, 75)} <= found
