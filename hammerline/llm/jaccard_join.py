@@ -44,8 +44,8 @@ GROUPS_LEAST, GROUPS_MOST = 64, 8192
 LEAF = 16
 #: Sets of a block that is searched at once; classes of a cell's block; queries that go down a tree together.
 BLOCK, CELL_BLOCK, TOGETHER = 512, 1024, 32
-#: Names of nodes are broadcast up to this many.
-BROADCAST_NODES = 2_000_000
+#: Names of nodes, and places where they are compared, are broadcast up to this many.
+BROADCAST_NODES, BROADCAST_ROUTES = 2_000_000, 500_000
 #: A task counts shingles over so many at a time and reports those it has met so often; so many of them are held as frequent.
 COUNTED, OFTEN, FREQUENT_MAX = 1_000_000, 3, 200_000
 #: Rows of a group in which equal shingles meet; a frequent shingle is split when it has more.
@@ -100,6 +100,20 @@ def folded(p: np.ndarray, groups: int) -> np.ndarray:
     return np.minimum(p.reshape(*p.shape[:-1], -1, groups).sum(-2, dtype=np.uint32), 65535).astype(np.uint16)
 
 
+def bounds(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+    """The summed coordinate minima of each pair of points, in the finest groups that both have."""
+    out = np.empty(len(p), np.int64)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(p, q, strict=True)):
+        kinds.setdefault((len(x), len(y)), []).append(i)
+    for g, at in kinds.items():
+        for k in range(0, len(at), 1024):
+            some = at[k : k + 1024]
+            x, y = np.stack([p[i] for i in some]), np.stack([q[i] for i in some])
+            out[some] = np.minimum(folded(x, min(g)), folded(y, min(g))).sum(1, dtype=np.int64)
+    return out
+
+
 def needed(n_a, n_b, percent: int):
     """The least overlap that makes 100 * overlap >= percent * union."""
     return -(-percent * (n_a + n_b) // (100 + percent))
@@ -341,25 +355,27 @@ def _meet(table: pa.Table, frequent) -> pa.Table:
 
 
 def _of_nodes(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, members) of these nodes, from one text of each."""
+    """(node, members) of these nodes, from one text of each; where rows share an id, a node can come once from each task that holds it."""
     nodes = cut(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("own")))
     # The nodes' names are broadcast only up to a checked count; beyond it the joins shuffle.
     few = (lambda x: F.broadcast(x)) if nodes.count() <= BROADCAST_NODES else (lambda x: x)
 
     def rows(batches):
+        seen: set[int] = set()
         for batch in batches:
             own, blobs = [], []
             for s in shingle_sets(batch.column(0), width):
-                if len(s):
-                    own.append(node_of(s))
+                if len(s) and (node := node_of(s)) not in seen:
+                    if len(seen) == REMEMBERED:
+                        seen.clear()
+                    seen.add(node)
+                    own.append(node)
                     blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["node", "members"])
 
     ids = nodes.select("own").distinct()
     texts = docs.join(few(ids), docs["id"].eqNullSafe(ids["own"]), "left_semi").select("text")
-    made = texts.mapInArrow(rows, "node long, members binary").join(few(nodes.select("node")), "node", "left_semi")
-    # Rows that share an id can hold one set several times.
-    return made.groupBy("node").agg(F.first("members").alias("members"))
+    return texts.mapInArrow(rows, "node long, members binary").join(few(nodes.select("node")), "node", "left_semi")
 
 
 def _allowed(pairs: DataFrame, box: DataFrame, percent: int) -> DataFrame:
@@ -371,16 +387,7 @@ def _allowed(pairs: DataFrame, box: DataFrame, percent: int) -> DataFrame:
             if batch.num_rows:
                 p, q = ([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(c)] for c in ("pa", "pb"))
                 lo_a, hi_a, lo_b, hi_b = (batch.column(c).to_numpy().astype(np.int64) for c in ("loa", "hia", "lob", "hib"))
-                bound = np.empty(len(p), np.int64)
-                kinds: dict[tuple[int, int], list[int]] = {}
-                for i, (x, y) in enumerate(zip(p, q, strict=True)):
-                    kinds.setdefault((len(x), len(y)), []).append(i)
-                for g, at in kinds.items():
-                    for k in range(0, len(at), 1024):
-                        some = at[k : k + 1024]
-                        x, y = np.stack([p[i] for i in some]), np.stack([q[i] for i in some])
-                        bound[some] = np.minimum(folded(x, min(g)), folded(y, min(g))).sum(1, dtype=np.int64)
-                ok = (bound >= needed(lo_a, lo_b, percent)) & (100 * hi_a >= percent * lo_b) & (100 * hi_b >= percent * lo_a)
+                ok = (bounds(p, q) >= needed(lo_a, lo_b, percent)) & (100 * hi_a >= percent * lo_b) & (100 * hi_b >= percent * lo_a)
                 yield batch.select(names).filter(pa.array(ok))
 
     side = lambda x: box.select(F.col("cls").alias(x), F.col("corner").alias("p" + x), F.col("lo").alias("lo" + x), F.col("hi").alias("hi" + x))
@@ -424,15 +431,17 @@ def _class_links(docs: DataFrame, named: DataFrame, width: int, cells: DataFrame
     kept = cut(kept.select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("wa", "wb"), ("wb", "wa"))]).distinct())
 
     # Blocks of the larger class against blocks of the smaller ones that may link with it.
-    wanted = kept.select(F.col("a").alias("cls")).union(kept.select(F.col("b").alias("cls"))).distinct()
-    member = cut(member.join(wanted, "cls", "left_semi"))
-    of = cut(_of_nodes(docs, named, member.select("node"), width).join(member, "node"))
     load = kept.groupBy("a").agg(F.sum("wb").alias("load"), F.max("wa").alias("wa"))
     load = load.select("a", F.ceil(F.col("load") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("wa") / BLOCK).cast("int").alias("na"))
     grid = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = of.join(load, F.col("cls") == F.col("a")).select("a", F.pmod(F.xxhash64("node"), F.col("na")).cast("int").alias("i"), grid(F.col("nb")).alias("j"), "members")
-    right = kept.select("a", "b").join(load, "a").join(of.withColumnRenamed("cls", "b"), "b")
-    right = right.select(F.col("a").alias("a2"), grid(F.col("na")).alias("i2"), F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("j2"), F.col("b").alias("b2"), F.col("members").alias("members2"))
+    left = member.join(load, F.col("cls") == F.col("a")).select("node", "a", F.pmod(F.xxhash64("node"), F.col("na")).cast("int").alias("i"), grid(F.col("nb")).alias("j"))
+    right = kept.select("a", "b").join(load, "a").join(member.withColumnRenamed("cls", "b"), "b")
+    right = right.select("node", F.col("a").alias("a2"), grid(F.col("na")).alias("i2"), F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("j2"), F.col("b").alias("b2"))
+    left, right = cut(left), cut(right)
+    # Sets go from where they are made to where they are compared.
+    of = cut(_of_nodes(docs, named, left.select("node").union(right.select("node")).distinct(), width))
+    near = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROUTES else x
+    left, right = of.join(near(left), "node").drop("node"), of.withColumnRenamed("members", "members2").join(near(right), "node").drop("node")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
@@ -476,10 +485,13 @@ def _cell_pairs(meet: DataFrame, box: DataFrame, percent: int) -> DataFrame:
             left, right = own[cell] == i[cell], own[cell] == j[cell]
             x, y = cell[left], cell[right]
             q, at, _ = CountTree(p[left], lo[x], hi[x]).pairs(p[right], lo[y], hi[y], percent) if len(x) and len(y) else (np.empty(0, np.int64),) * 3
-            c, d = cls[x[at]], cls[y[q]]
-            once = c < d if i[cell[0]] == j[cell[0]] else c != d
-            a.append(c[once])
-            b.append(d[once])
+            x, y = x[at], y[q]
+            once = cls[x] < cls[y] if i[cell[0]] == j[cell[0]] else cls[x] != cls[y]
+            x, y = x[once], y[once]
+            # The tree has the groups of the cell's coarsest box; what is left is compared in its own.
+            ok = bounds([corner[r] for r in x], [corner[r] for r in y]) >= needed(np.maximum(lo[x], -(-percent * lo[y] // 100)), np.maximum(lo[y], -(-percent * lo[x] // 100)), percent)
+            a.append(cls[x[ok]])
+            b.append(cls[y[ok]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return cut(rows.withColumn("g", key).groupBy("g").applyInArrow(search, "a long, b long").distinct())
