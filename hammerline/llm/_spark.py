@@ -50,10 +50,6 @@ def most_frequent(counts: DataFrame, most: int, key: str = "word", value: str =
     return least, found[o], got.column(value).to_numpy()[o] if got else np.empty(0, np.int64)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table as (node, comp), comp the smallest node reachable.
 

@@ -34,19 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
-from hammerline.llm._spark import cut, shuffle_parts
+from hammerline.llm._spark import cut, small_batches
 from hammerline.llm.induced import neighbours_share, suffix_array
 
 CORE = 28
 #: 2**FILTER_BITS bits are broadcast, whatever the size of the input.
 FILTER_BITS = 27
 #: Longer texts are searched in overlapping parts of this many bytes.
-PART = 8 << 20
+PART = 1 << 20
 #: Anchors with more different pieces are grouped string by string.
 CROWDED = 4096
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+#: Entries that a task gathers before they leave, and entries of a group in which equal anchors meet.
+GATHERED, GROUP_ENTRIES = 500_000, 300_000
+#: Names of pieces that a task remembers, so that it sends their bytes once.
+REMEMBERED = 200_000
 #: Removed ranges are broadcast up to this many rows; beyond that, texts are shuffled to them.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 _LAST = (1 << 63) - 1
 
 
@@ -65,9 +69,8 @@ def pieces(t: X.Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     n, empty = len(t.data), np.empty(0, np.int64)
     if n < length:
         return empty.astype(np.uint64), empty, empty, empty
-    i = np.arange(n - CORE + 1)
-    core = t.hashes(i, i + CORE)
-    key = (core & np.uint64(0xFFFFFFFFFF000000)) | i.astype(np.uint64)
+    core = X.byte_windows(t.data, CORE)
+    key = (core & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(core), dtype=np.uint64)
     width, span = length - CORE + 1, 1
     low = key
     while span < width:
@@ -109,10 +112,14 @@ def _hit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[(b >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8))) & 1 > 0
 
 
-def _shared_anchors(docs: DataFrame, length: int) -> np.ndarray:
+def _groups(docs: DataFrame, length: int) -> int:
+    """So many groups that each has about GROUP_ENTRIES pieces: there is one for about every length / 4 bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-4 * size // (length * GROUP_ENTRIES)))
+
+
+def _shared_anchors(docs: DataFrame, length: int, parts: int) -> np.ndarray:
     """A bit filter of the anchors that occur in two or more rows."""
-    parts = max(shuffle_parts(docs.sparkSession), 1)
-    flush = 2_000_000
 
     def blobs(batches):
         held: list[np.ndarray] = []
@@ -140,7 +147,7 @@ def _shared_anchors(docs: DataFrame, length: int) -> np.ndarray:
                     a = a[np.concatenate([[True], (a[1:] != a[:-1]) | (f[1:] != f[:-1])])]
                     held.append(a)
                     n += len(a)
-            if n > flush:
+            if n > GATHERED:
                 yield out()
                 held, n = [], 0
         if held:
@@ -176,7 +183,7 @@ def _merged_kinds(anchor, piece, lo, hi) -> tuple[np.ndarray, ...]:
     return (anchor[head], piece[head], np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)) if len(head) else (anchor, piece, lo, hi)
 
 
-def _piece_kinds(docs: DataFrame, length: int, bits) -> DataFrame:
+def _piece_kinds(docs: DataFrame, length: int, bits, parts: int) -> DataFrame:
     """(anchor, piece, lo, hi, n): pieces of shared anchors, their smallest and largest id, and the anchor's number of pieces.
 
     Pieces are merged in the task and dealt by anchor, so that all pieces of an
@@ -184,7 +191,6 @@ def _piece_kinds(docs: DataFrame, length: int, bits) -> DataFrame:
     one entry for each task and different piece, however often it occurs.
     """
     each = _found(docs, length)
-    parts = max(shuffle_parts(docs.sparkSession), 1)
 
     def rows(batches):
         held: list = []
@@ -204,7 +210,7 @@ def _piece_kinds(docs: DataFrame, length: int, bits) -> DataFrame:
             ok = _hit(bits.value, anchor)
             held.append((anchor[ok], piece[ok], rid[ok], rid[ok]))
             n += int(ok.sum())
-            if n > 2_000_000:
+            if n > GATHERED:
                 yield out()
                 n = 0
         if held:
@@ -233,6 +239,8 @@ def _piece_bytes(docs: DataFrame, length: int, bits) -> DataFrame:
         for t, _, _, _, anchor, piece, start, end, _ in each(batches):
             ok = np.flatnonzero(_hit(bits.value, anchor))
             ok = ok[[not (p in seen or seen.add(p)) for p in piece[ok].tolist()]] if len(ok) else ok
+            if len(seen) > REMEMBERED:
+                seen.clear()
             blobs = [t.data[a:b].tobytes() for a, b in zip(start[ok].tolist(), end[ok].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(anchor[ok].view(np.int64)), pa.array(piece[ok].view(np.int64)), pa.array(blobs, pa.binary())], ["anchor", "piece", "bytes"])
 
@@ -240,25 +248,27 @@ def _piece_bytes(docs: DataFrame, length: int, bits) -> DataFrame:
 
 
 def _piece_places(docs: DataFrame, length: int, bits) -> DataFrame:
-    """(piece, rid, row, at) of the pieces that pass the filter; at holds the start in the row and, in the low 16 bits, the length."""
+    """(anchor, piece, rid, row, at) of the pieces that pass the filter; at holds the start in the row and, in the low 16 bits, the length."""
     each = _found(docs, length)
 
     def rows(batches):
-        for t, base, rid, row, _, piece, start, end, of in each(batches):
+        for t, base, rid, row, anchor, piece, start, end, of in each(batches):
             ok = _hit(bits.value, piece)
             at = ((start - t.offsets[of] + base) << 16) | (end - start)
-            yield pa.RecordBatch.from_arrays([pa.array(piece[ok].view(np.int64)), pa.array(rid[ok]), pa.array(row[ok]), pa.array(at[ok])], ["piece", "rid", "row", "at"])
+            cols = (anchor[ok].view(np.int64), piece[ok].view(np.int64), rid[ok], row[ok], at[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "piece", "rid", "row", "at"])
 
-    return docs.select("rid", "row", "text").mapInArrow(rows, "piece long, rid long, row long, at long")
+    return docs.select("rid", "row", "text").mapInArrow(rows, "anchor long, piece long, rid long, row long, at long")
 
 
 def _shard_runs(known: pa.Table, told: pa.Table, length: int) -> pa.Table:
     """For each piece of a shard the ranges whose strings occur in a piece with a smaller id.
 
-    known: (piece, lo); told: (piece2, bytes), where a piece may come several times.
+    known: (anchor, piece, lo); told: (piece2, bytes), where a piece may come several times.
     """
+    none = pa.table({"anchor": pa.array([], pa.int64()), "piece": pa.array([], pa.int64()), "run": pa.array([], pa.int32())})
     if not known.num_rows or not told.num_rows:
-        return pa.table({"piece": pa.array([], pa.int64()), "run": pa.array([], pa.int32())})
+        return none
     key, first = np.unique(told.column("piece2").to_numpy(), return_index=True)
     told = told.take(pa.array(first))
     o = np.argsort(known.column("piece").to_numpy())
@@ -266,9 +276,9 @@ def _shard_runs(known: pa.Table, told: pa.Table, length: int) -> pa.Table:
     at = np.searchsorted(known.column("piece").to_numpy(), key)
     at[at == known.num_rows] = 0
     both = known.column("piece").to_numpy()[at] == key
-    told, piece, lo = told.filter(pa.array(both)), key[both], known.column("lo").to_numpy()[at[both]]
+    told, piece, lo, anchor = told.filter(pa.array(both)), key[both], *(known.column(c).to_numpy()[at[both]] for c in ("lo", "anchor"))
     if not len(piece):
-        return pa.table({"piece": pa.array([], pa.int64()), "run": pa.array([], pa.int32())})
+        return none
     blobs = [x.as_buffer() for x in told.column("bytes")]
     size = np.array([len(b) for b in blobs])
     head = np.cumsum(size + 1) - (size + 1)
@@ -285,7 +295,7 @@ def _shard_runs(known: pa.Table, told: pa.Table, length: int) -> pa.Table:
     order, of = order[gone], of[gone]
     o = np.argsort(order)
     starts, ends, of = _runs(order[o], order[o] + length, of[o])
-    return pa.table({"piece": pa.array(piece[of]), "run": pa.array((((starts - head[of]) << 16) | (ends - starts)).astype(np.int32))})
+    return pa.table({"anchor": anchor[of], "piece": piece[of], "run": pa.array((((starts - head[of]) << 16) | (ends - starts)).astype(np.int32))})
 
 
 def _runs(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,61 +312,72 @@ def _runs(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def removed_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The input as (id, text, rid, row) and the byte ranges to remove as (row, runs)."""
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("rid", F.coalesce(F.col("id").cast("long"), F.lit(_LAST))).withColumn("row", F.xxhash64("rid", "text"))
+    """The input as (id, text, rid, row) and the byte ranges to remove as (rid, row, runs)."""
+    keyed = small_batches(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    keyed = keyed.select("id", "text", *_row_key(F.col("id"), F.col("text")))
     sc = docs.sparkSession.sparkContext
-    kinds = cut(_piece_kinds(keyed, length, sc.broadcast(_shared_anchors(keyed, length))))
+    parts = _groups(keyed, length)
+    kinds = cut(_piece_kinds(keyed, length, sc.broadcast(_shared_anchors(keyed, length, parts)), parts))
     mixed = kinds.where("n > 1")
     # Bytes are fetched only for anchors with different pieces; a shard's number is part of no result.
     told = _piece_bytes(keyed, length, sc.broadcast(_bit_filter(mixed.select("anchor"), "anchor")))
     mean = 2 * length
     shards = max(1, -(-mixed.where(F.col("n") <= CROWDED).count() * mean // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    few = mixed.where(F.col("n") <= CROWDED).select(shard.alias("s"), "piece", "lo")
-    runs = few.groupBy("s").cogroup(told.select(shard.alias("s2"), F.col("piece").alias("piece2"), "bytes").groupBy("s2")).applyInArrow(lambda a, b: _shard_runs(a, b, length), "piece long, run int")
+    few = mixed.where(F.col("n") <= CROWDED).select(shard.alias("s"), "anchor", "piece", "lo")
+    told_to = told.select(shard.alias("s2"), F.col("piece").alias("piece2"), "bytes")
+    runs = few.groupBy("s").cogroup(told_to.groupBy("s2")).applyInArrow(lambda a, b: _shard_runs(a, b, length), "anchor long, piece long, run int")
 
     single = told.join(mixed.where(F.col("n") > CROWDED), ["anchor", "piece"]).select("anchor", "piece", "lo", F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("a"), "bytes")
     single = single.select("anchor", "piece", "lo", "a", F.sha2(F.substring("bytes", F.col("a") + 1, length), 256).alias("s"))
     least = single.groupBy("anchor", "s").agg(F.min("lo").alias("least"))
-    crowded = single.join(least, ["anchor", "s"]).where("least < lo").select("piece", F.shiftleft("a", 16).bitwiseOR(F.lit(length)).alias("run")).distinct()
-    runs = cut(runs.unionByName(crowded).groupBy("piece").agg(F.collect_list("run").alias("runs")))
+    crowded = single.join(least, ["anchor", "s"]).where("least < lo").select("anchor", "piece", F.shiftleft("a", 16).bitwiseOR(F.lit(length)).alias("run")).distinct()
+    runs = cut(runs.unionByName(crowded).groupBy("anchor", "piece").agg(F.collect_list("run").alias("runs")))
 
     runs = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
-    fate = cut(kinds.select("piece", "lo", "hi").join(runs, "piece", "left").where("lo < hi or runs is not null").select("piece", "lo", "runs"))
+    # A piece is told by its own hash and its anchor's, 128 bits together.
+    fate = cut(kinds.select("anchor", "piece", "lo", "hi").join(runs, ["anchor", "piece"], "left").where("lo < hi or runs is not null").select("anchor", "piece", "lo", "runs"))
     places = _piece_places(keyed, length, sc.broadcast(_bit_filter(fate.select("piece"), "piece")))
-    gone = places.join(fate, "piece")
+    gone = places.join(fate, ["anchor", "piece"])
     part = lambda r: F.shiftleft(F.shiftright("at", 16) + F.shiftright(r, 16), 16).bitwiseOR(r.bitwiseAND(F.lit(65535)).cast("long"))
-    gone = gone.select("row", F.explode(F.when(F.col("rid") > F.col("lo"), F.array("at")).otherwise(F.transform("runs", part))).alias("at"))
+    gone = gone.select("rid", "row", F.explode(F.when(F.col("rid") > F.col("lo"), F.array("at")).otherwise(F.transform("runs", part))).alias("at"))
 
     def merged(batches):
         """Ranges come in the order of rows and starts; each row leaves once, with as few ranges as can be."""
 
-        def out(row, at):
-            a, b, of = _runs(at >> 16, (at >> 16) + (at & 65535), row)
+        def out(rid, row, at):
+            new = np.concatenate([[True], (rid[1:] != rid[:-1]) | (row[1:] != row[:-1])])
+            a, b, of = _runs(at >> 16, (at >> 16) + (at & 65535), np.cumsum(new))
             head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            return pa.RecordBatch.from_arrays([pa.array(of[head]), pa.ListArray.from_arrays(pa.array(np.append(head, len(of)).astype(np.int32)), pairs)], ["row", "runs"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(of)).astype(np.int32)), pairs)
+            return pa.RecordBatch.from_arrays([pa.array(rid[new]), pa.array(row[new]), lists], ["rid", "row", "runs"])
 
-        row = at = np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * 3
         for batch in batches:
-            row, at = np.concatenate([row, batch.column(0).to_numpy()]), np.concatenate([at, batch.column(1).to_numpy()])
-            if len(row) and row[0] != row[-1]:
-                k = int(np.searchsorted(row, row[-1]))  # the last row may go on in the next batch
-                yield out(row[:k], at[:k])
-                row, at = row[k:], at[k:]
-        if len(row):
-            yield out(row, at)
+            held = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, batch.columns, strict=True)]
+            rid, row, at = held
+            if len(row) and (row[0], rid[0]) != (row[-1], rid[-1]):
+                k = int(np.flatnonzero((rid != rid[-1]) | (row != row[-1]))[-1]) + 1  # the last row may go on in the next batch
+                yield out(rid[:k], row[:k], at[:k])
+                held = [x[k:] for x in held]
+        if len(held[0]):
+            yield out(*held)
 
     # Rows that are equal in id and text have the same ranges, so it does not matter that they are merged.
-    runs = gone.repartition("row").sortWithinPartitions("row", "at").mapInArrow(merged, "row long, runs array<struct<a: bigint, b: bigint>>")
+    runs = gone.repartition("rid", "row").sortWithinPartitions("rid", "row", "at").mapInArrow(merged, "rid long, row long, runs array<struct<a: bigint, b: bigint>>")
     return keyed, runs
 
 
+def _row_key(id_col, text) -> tuple:
+    """(rid, row): the id, a null one as the largest, and a hash of the text, which tells rows apart that share an id."""
+    return F.coalesce(id_col.cast("long"), F.lit(_LAST)).alias("rid"), F.xxhash64(text).alias("row")
+
+
 def _with_ranges(keyed: DataFrame, runs: DataFrame) -> DataFrame:
     runs = cut(runs)
     small = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
-    return keyed.join(F.broadcast(runs) if small <= BROADCAST_ROWS * 4 else runs, "row", "left")
+    return keyed.join(F.broadcast(runs) if small <= BROADCAST_ROWS * 4 else runs, ["rid", "row"], "left")
 
 
 def _row_runs(cell) -> tuple[np.ndarray, np.ndarray]:
@@ -376,7 +397,7 @@ def _kept(data: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
 def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: (id, n_bytes, n_removed, n_spans, kept_sha256, spans as [start, end) byte pairs).
 
-    A null text is empty.  A null id is larger than any other; equal ids are not
+    Ids are integers.  A null text is empty.  A null id is larger than any other; equal ids are not
     smaller than each other, so rows that share an id remove nothing from one
     another.  Texts shorter than `length` bytes are kept whole.  Only the two
     named columns are read; an empty table gives an empty result.
@@ -406,11 +427,12 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
 def drop_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """The rows of `docs` with repeated strings cut from `text`; a character that loses a byte goes whole. Null texts stay null."""
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.coalesce("text", F.lit(""))))
+    rid, row = _row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumns({"_rid": rid, "_row": row})
     _, runs = removed_ranges(docs, length)
-    runs = cut(runs.withColumnRenamed("row", "_row"))
+    runs = cut(runs.withColumnsRenamed({"rid": "_rid", "row": "_row"}))
     small = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
-    joined = keyed.join(F.broadcast(runs) if small <= BROADCAST_ROWS * 4 else runs, "_row", "left").drop("_row")
+    joined = keyed.join(F.broadcast(runs) if small <= BROADCAST_ROWS * 4 else runs, ["_rid", "_row"], "left").drop("_rid", "_row")
     names = docs.columns
 
     def cut_out(batches):
