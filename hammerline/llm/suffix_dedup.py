@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hammerline.llm import _text as X
 from hammerline.llm._spark import cut, small_batches
@@ -184,7 +184,7 @@ def _merged_kinds(anchor, piece, lo, hi) -> tuple[np.ndarray, ...]:
 
 
 def _piece_kinds(docs: DataFrame, length: int, bits, parts: int) -> DataFrame:
-    """(anchor, piece, lo, hi, n): pieces of shared anchors, their smallest and largest id, and the anchor's number of pieces.
+    """(anchor, piece, lo, n): pieces of shared anchors, their smallest id, and the anchor's number of pieces, negative for a piece of one id.
 
     Pieces are merged in the task and dealt by anchor, so that all pieces of an
     anchor meet after one shuffle, packed as compressed columns; an anchor has
@@ -223,11 +223,18 @@ def _piece_kinds(docs: DataFrame, length: int, bits, parts: int) -> DataFrame:
         head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         n = np.diff(np.append(head, len(anchor)))
         shared = np.repeat(np.minimum.reduceat(lo, head) < np.maximum.reduceat(hi, head), n)
-        n = np.repeat(n, n)
-        return pa.table({"anchor": anchor[shared].view(np.int64), "piece": piece[shared].view(np.int64), "lo": lo[shared], "hi": hi[shared], "n": n[shared]})
+        n = np.repeat(n, n) * np.where(lo < hi, 1, -1)
+        return pa.table({"blob": pa.array([X.squeezed(anchor[shared], piece[shared], lo[shared], n[shared])], pa.binary())})
+
+    def unpacked(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                cols = X.unsqueezed(x.as_py(), (np.int64,) * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "piece", "lo", "n"])
 
     made = docs.select("rid", "row", "text").mapInArrow(rows, "p int, blob binary")
-    return made.groupBy("p").applyInArrow(meet, "anchor long, piece long, lo long, hi long, n long")
+    # The groups are kept packed: they take less than half the space that rows would.
+    return cut(made.groupBy("p").applyInArrow(meet, "blob binary")).mapInArrow(unpacked, "anchor long, piece long, lo long, n long")
 
 
 def _piece_bytes(docs: DataFrame, length: int, bits) -> DataFrame:
@@ -248,17 +255,17 @@ def _piece_bytes(docs: DataFrame, length: int, bits) -> DataFrame:
 
 
 def _piece_places(docs: DataFrame, length: int, bits) -> DataFrame:
-    """(anchor, piece, rid, row, at) of the pieces that pass the filter; at holds the start in the row and, in the low 16 bits, the length."""
+    """(high, piece, rid, row, at) of the pieces that pass the filter; high has the anchor's upper half, at holds the start in the row and, in the low 16 bits, the length."""
     each = _found(docs, length)
 
     def rows(batches):
         for t, base, rid, row, anchor, piece, start, end, of in each(batches):
             ok = _hit(bits.value, piece)
             at = ((start - t.offsets[of] + base) << 16) | (end - start)
-            cols = (anchor[ok].view(np.int64), piece[ok].view(np.int64), rid[ok], row[ok], at[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "piece", "rid", "row", "at"])
+            cols = ((anchor[ok].view(np.int64) >> 32).astype(np.int32), piece[ok].view(np.int64), rid[ok], row[ok], at[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["high", "piece", "rid", "row", "at"])
 
-    return docs.select("rid", "row", "text").mapInArrow(rows, "anchor long, piece long, rid long, row long, at long")
+    return docs.select("rid", "row", "text").mapInArrow(rows, "high int, piece long, rid long, row long, at long")
 
 
 def _shard_runs(known: pa.Table, told: pa.Table, length: int) -> pa.Table:
@@ -311,34 +318,47 @@ def _runs(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.
     return a[head], np.maximum.reduceat(b, head), of[head]
 
 
-def removed_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _crowded_runs(many: DataFrame, told: DataFrame, length: int) -> DataFrame:
+    """(anchor, piece, run) of pieces of crowded anchors, string by string."""
+    single = told.join(many, ["anchor", "piece"]).select("anchor", "piece", "lo", F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("a"), "bytes")
+    single = single.select("anchor", "piece", "lo", "a", F.sha2(F.substring("bytes", F.col("a") + 1, length), 256).alias("s"))
+    least = single.groupBy("anchor", "s").agg(F.min("lo").alias("least"))
+    return single.join(least, ["anchor", "s"]).where("least < lo").select("anchor", "piece", F.shiftleft("a", 16).bitwiseOR(F.lit(length)).alias("run")).distinct()
+
+
+def _row_keys(docs: DataFrame, id_col: str, text: str) -> tuple[Column, Column]:
+    """What tells rows apart: the id, a null one as the largest, and, where ids repeat, a hash of the text."""
+    rid = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    again = docs.groupBy(rid.alias("rid")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return rid, F.xxhash64(F.coalesce(text, F.lit(""))) if again else F.lit(0).cast("long")
+
+
+def removed_ranges(docs: DataFrame, keys: tuple[Column, Column], length: int = 50, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The input as (id, text, rid, row) and the byte ranges to remove as (rid, row, runs)."""
-    keyed = small_batches(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    keyed = keyed.select("id", "text", *_row_key(F.col("id"), F.col("text")))
+    keyed = small_batches(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), keys[0].alias("rid"), keys[1].alias("row")))
     sc = docs.sparkSession.sparkContext
     parts = _groups(keyed, length)
-    kinds = cut(_piece_kinds(keyed, length, sc.broadcast(_shared_anchors(keyed, length, parts)), parts))
-    mixed = kinds.where("n > 1")
+    kinds = _piece_kinds(keyed, length, sc.broadcast(_shared_anchors(keyed, length, parts)), parts)
+    mixed = kinds.where("abs(n) > 1")
+    few, many = mixed.where(F.abs("n") <= CROWDED), mixed.where(F.abs("n") > CROWDED)
     # Bytes are fetched only for anchors with different pieces; a shard's number is part of no result.
-    told = _piece_bytes(keyed, length, sc.broadcast(_bit_filter(mixed.select("anchor"), "anchor")))
-    mean = 2 * length
-    shards = max(1, -(-mixed.where(F.col("n") <= CROWDED).count() * mean // SHARD_BYTES))
+    told = _piece_bytes(keyed, length, sc.broadcast(_bit_filter(few.select("anchor"), "anchor")))
+    shards = max(1, -(-few.count() * 2 * length // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    few = mixed.where(F.col("n") <= CROWDED).select(shard.alias("s"), "anchor", "piece", "lo")
-    told_to = told.select(shard.alias("s2"), F.col("piece").alias("piece2"), "bytes")
-    runs = few.groupBy("s").cogroup(told_to.groupBy("s2")).applyInArrow(lambda a, b: _shard_runs(a, b, length), "anchor long, piece long, run int")
-
-    single = told.join(mixed.where(F.col("n") > CROWDED), ["anchor", "piece"]).select("anchor", "piece", "lo", F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("a"), "bytes")
-    single = single.select("anchor", "piece", "lo", "a", F.sha2(F.substring("bytes", F.col("a") + 1, length), 256).alias("s"))
-    least = single.groupBy("anchor", "s").agg(F.min("lo").alias("least"))
-    crowded = single.join(least, ["anchor", "s"]).where("least < lo").select("anchor", "piece", F.shiftleft("a", 16).bitwiseOR(F.lit(length)).alias("run")).distinct()
-    runs = cut(runs.unionByName(crowded).groupBy("anchor", "piece").agg(F.collect_list("run").alias("runs")))
-
+    told = told.select(shard.alias("s2"), F.col("piece").alias("piece2"), "bytes")
+    runs = few.select(shard.alias("s"), "anchor", "piece", "lo").groupBy("s").cogroup(told.groupBy("s2")).applyInArrow(lambda a, b: _shard_runs(a, b, length), "anchor long, piece long, run int")
+    if many.limit(1).count():
+        runs = runs.unionByName(_crowded_runs(many, _piece_bytes(keyed, length, sc.broadcast(_bit_filter(many.select("anchor"), "anchor"))), length))
+    runs = cut(runs.groupBy("anchor", "piece").agg(F.collect_list("run").alias("runs")))
+
+    gone = kinds.where("n > 0").select("piece").union(runs.select("piece"))
+    places = _piece_places(keyed, length, sc.broadcast(_bit_filter(gone, "piece")))
+    # A piece is told by its own hash and half of its anchor's, 96 bits together.
     runs = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
-    # A piece is told by its own hash and its anchor's, 128 bits together.
-    fate = cut(kinds.select("anchor", "piece", "lo", "hi").join(runs, ["anchor", "piece"], "left").where("lo < hi or runs is not null").select("anchor", "piece", "lo", "runs"))
-    places = _piece_places(keyed, length, sc.broadcast(_bit_filter(fate.select("piece"), "piece")))
-    gone = places.join(fate, ["anchor", "piece"])
+    fate = mixed.join(runs, ["anchor", "piece"], "left").where("n > 0 or runs is not null").select("anchor", "piece", "lo", "runs")
+    alone = kinds.where("n = 1").select("anchor", "piece", "lo", F.lit(None).cast("array<int>").alias("runs"))
+    fate = fate.union(alone).withColumn("high", F.shiftright("anchor", 32).cast("int")).drop("anchor")
+    gone = places.join(fate, ["high", "piece"])
     part = lambda r: F.shiftleft(F.shiftright("at", 16) + F.shiftright(r, 16), 16).bitwiseOR(r.bitwiseAND(F.lit(65535)).cast("long"))
     gone = gone.select("rid", "row", F.explode(F.when(F.col("rid") > F.col("lo"), F.array("at")).otherwise(F.transform("runs", part))).alias("at"))
 
@@ -369,11 +389,6 @@ def removed_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     return keyed, runs
 
 
-def _row_key(id_col, text) -> tuple:
-    """(rid, row): the id, a null one as the largest, and a hash of the text, which tells rows apart that share an id."""
-    return F.coalesce(id_col.cast("long"), F.lit(_LAST)).alias("rid"), F.xxhash64(text).alias("row")
-
-
 def _with_ranges(keyed: DataFrame, runs: DataFrame) -> DataFrame:
     runs = cut(runs)
     small = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
@@ -402,7 +417,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     another.  Texts shorter than `length` bytes are kept whole.  Only the two
     named columns are read; an empty table gives an empty result.
     """
-    keyed, runs = removed_ranges(docs, length, id_col, text)
+    keyed, runs = removed_ranges(docs, _row_keys(docs, id_col, text), length, id_col, text)
 
     def out(batches):
         for batch in batches:
@@ -427,9 +442,9 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
 def drop_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """The rows of `docs` with repeated strings cut from `text`; a character that loses a byte goes whole. Null texts stay null."""
-    rid, row = _row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))
-    keyed = docs.withColumns({"_rid": rid, "_row": row})
-    _, runs = removed_ranges(docs, length)
+    keys = _row_keys(docs, "doc_id", "text")
+    keyed = docs.withColumns({"_rid": keys[0], "_row": keys[1]})
+    _, runs = removed_ranges(docs, keys, length)
     runs = cut(runs.withColumnsRenamed({"rid": "_rid", "row": "_row"}))
     small = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
     joined = keyed.join(F.broadcast(runs) if small <= BROADCAST_ROWS * 4 else runs, ["_rid", "_row"], "left").drop("_rid", "_row")
