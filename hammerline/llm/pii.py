@@ -1,13 +1,16 @@
 """Personal data and what gives it away, in DataFrame functions only.
 
-Four kinds of personal data are found by pattern.  Each value found is a
-protected entity c with information content IC(c) = log(N / df(c)) over the N
-documents of the corpus.  A term t that stands in the same lines reveals
-PMI(c, t) = log(N * df(c, t) / (df(c) * (df(t) + 1))) of it: smoothed as if every
-term stood in one more document, without c.  Where that is more than a share of
-IC(c), on the evidence of several documents and different lines, or of all that
-c has if these are fewer, t discloses c: its occurrences are spans as well, and
-sanitising generalises or removes them.
+Four kinds of personal data, and secrets (long runs of letters and digits mixed),
+are found by pattern.  Each value found is a protected entity c with information
+content IC(c) = log(N / df(c)) over the N documents of the corpus.  A term t that
+stands near, in the line of a find and between its neighbours of the same kind,
+reveals PMI(c, t) = log(N * df(c, t) / (df(c) * (df(t) + 1))) of it: smoothed as
+if every term stood in one more document, without c.  Where that is more than a
+share of IC(c), on the evidence of several documents and different places, or of
+all that c has if these are fewer, t discloses c: its occurrences are spans as
+well, and sanitising generalises or removes them.
+
+All frequencies count documents: rows that are equal in id and text are one.
 """
 
 from __future__ import annotations
@@ -24,12 +27,17 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A secret is a run of so many letters and digits at least, with some of both.
+SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+"
+PATTERNS = KINDS | {"secret": SECRET}
 #: What a text must hold for the kind to be looked for: cheap tests that spare most texts the patterns.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][0-9 -]{11}", "phone": r"\+[0-9]"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][0-9 -]{11}", "phone": r"\+[0-9]", "secret": "[A-Za-z0-9]{24}"}
 
-#: A term discloses an entity from this share of its information, seen in so many different lines and documents, or in all of
+#: A term discloses an entity from this share of its information, seen in so many different places and documents, or in all of
 #: an entity that has fewer.
-DISCLOSED, LINES = 0.8, 3
+DISCLOSED, PLACES = 0.8, 3
+#: Terms are sought in so many code points before and after a find.
+NEAR_CHARS = 200
 #: Terms are runs of letters and digits of this length at least, lower-cased.
 TERM_CHARS = 4
 #: Term tables are broadcast up to this many rows.
@@ -64,29 +72,40 @@ def _valid(kind: str, body: Column) -> Column:
         return F.length(_digits(body)).between(13, 19) & _luhn(_digits(body))
     if kind == "phone":
         return F.length(_digits(body)).between(9, 15)
+    if kind == "secret":
+        return (F.length(_digits(body)) >= 3) & (F.length(_digits(body)) <= F.length(body) - 3)
     return F.lit(True)
 
 
-def found(clean: Column, kind: str) -> Column:
-    """array<struct<s, e, v>>: the kind's valid finds, as code point offsets and the text found."""
-    marked = F.split(F.regexp_replace(clean, KINDS[kind], "\u0001$0\u0002"), "\u0001")
+def found(clean: Column, kind: str, near: bool = False) -> Column:
+    """array<struct<s, e, v>>: the kind's valid finds, as code point offsets and the text found.
+
+    With `near` also what stands before and after a find: in its line, up to the
+    kind's next match (valid or not) and NEAR_CHARS code points at most.
+    """
+    marked = F.split(F.regexp_replace(clean, PATTERNS[kind], "\u0001$0\u0002"), "\u0001")
     body = lambda part: F.substring_index(part, "\u0002", 1)
+    rest = lambda part: F.substring_index(part, "\u0002", -1)
+    tail = lambda part: F.right(F.substring_index(rest(part), "\n", -1), F.lit(NEAR_CHARS))
+    head = lambda part: F.left(F.substring_index(rest(part), "\n", 1), F.lit(NEAR_CHARS))
 
     def step(acc, part):
-        find = F.struct(acc["at"].alias("s"), (acc["at"] + F.length(body(part))).alias("e"), body(part).alias("v"))
-        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(find)).alias("out"))
+        more = [acc["tail"].alias("before"), head(part).alias("after")] if near else []
+        find = F.struct(acc["at"].alias("s"), (acc["at"] + F.length(body(part))).alias("e"), body(part).alias("v"), *more)
+        kept = [tail(part).alias("tail")] if near else []
+        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), *kept, F.concat(acc["out"], F.array(find)).alias("out"))
 
-    empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    start = F.struct(F.length(marked[0]).alias("at"), empty.alias("out"))
+    empty = F.array().cast("array<struct<s:int,e:int,v:string" + (",before:string,after:string" if near else "") + ">>")
+    start = F.struct(F.length(marked[0]).alias("at"), *([tail(marked[0]).alias("tail")] if near else []), empty.alias("out"))
     all_finds = F.aggregate(F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(0))), start, step)["out"]
     wanted = clean.rlike(HINTS[kind])
     return F.when(wanted, F.filter(all_finds, lambda x: _valid(kind, x["v"]))).otherwise(empty)
 
 
-def with_base(docs: DataFrame, text: str) -> DataFrame:
+def with_base(docs: DataFrame, text: str, near: bool = False) -> DataFrame:
     """The rows with one column of finds for each kind, named find_<kind>."""
     out = docs.withColumn("_clean", _clean(F.col(text)))
-    return out.withColumns({f"find_{k}": found(F.col("_clean"), k) for k in KINDS}).drop("_clean")
+    return out.withColumns({f"find_{k}": found(F.col("_clean"), k, near) for k in PATTERNS}).drop("_clean")
 
 
 def _terms(text: Column) -> Column:
@@ -99,21 +118,26 @@ def _distinct_terms(text: Column) -> Column:
     return F.explode(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= TERM_CHARS)))
 
 
-def disclosing_terms(rows: DataFrame, disclosed: float = DISCLOSED, lines: int = LINES) -> DataFrame:
-    """The terms (term, share) that disclose an entity, from rows (key, text, find_<kind>)."""
-    finds = F.concat(*[F.col(f"find_{k}") for k in KINDS])
-    # The line of a find: what surrounds it up to the nearest line ends.
-    one = rows.select("key", "text", F.explode(finds).alias("f"))
-    before = F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("f.s")), "\n", -1)
-    after = F.substring_index(F.substring(F.col("text"), F.col("f.e") + 1, F.length("text")), "\n", 1)
-    near = one.select("key", F.col("f.v").alias("entity"), F.concat(before, F.lit("\u0001"), after).alias("line"))
-    met = near.select("key", "entity", F.xxhash64("line").alias("line"), _distinct_terms(F.col("line")).alias("term"))
-    entities = near.groupBy("entity").agg(F.countDistinct("key").alias("df_entity"), F.countDistinct(F.xxhash64("line")).alias("all_lines"))
-    pairs = met.groupBy("entity", "term").agg(F.countDistinct("line").alias("lines"), F.countDistinct("key").alias("both")).join(entities, "entity")
-    pairs = cut(pairs.where((F.col("lines") >= F.least(F.lit(lines), "all_lines")) & (F.col("both") >= F.least(F.lit(lines), "df_entity"))))
-    n = rows.count()
+def disclosing_terms(rows: DataFrame, disclosed: float = DISCLOSED, places: int = PLACES) -> DataFrame:
+    """The terms (term, share) that disclose an entity, from rows (key, text)."""
+    # Equal rows share a key and weigh one together; where there are none, no row needs a weight.
+    again = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    extra = again.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    n = rows.count() - extra
+    finds = F.concat(*[F.col(f"find_{k}") for k in PATTERNS])
+    near = with_base(rows, "text", True).select("key", F.explode(finds).alias("f"))
+    near = near.select("key", F.col("f.v").alias("entity"), F.concat("f.before", F.lit("\u0001"), "f.after").alias("place"))
+    met = near.select("key", "entity", F.xxhash64("place").alias("place"), _distinct_terms(F.col("place")).alias("term"))
+    entities = near.groupBy("entity").agg(F.countDistinct("key").alias("df_entity"), F.countDistinct(F.xxhash64("place")).alias("all_places"))
+    pairs = met.groupBy("entity", "term").agg(F.countDistinct("place").alias("places"), F.countDistinct("key").alias("both")).join(entities, "entity")
+    pairs = cut(pairs.where((F.col("places") >= F.least(F.lit(places), "all_places")) & (F.col("both") >= F.least(F.lit(places), "df_entity"))))
     # All terms are counted, merged in the tasks first, and then met with the pairs.
-    df_term = rows.select(_distinct_terms(F.col("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    held = rows
+    weight = F.lit(1.0)
+    if extra:
+        held = rows.join(_bounded(again.withColumnRenamed("n", "_times")), "key", "left")
+        weight = 1.0 / F.coalesce("_times", F.lit(1))
+    df_term = held.select(weight.alias("w"), _distinct_terms(F.col("text")).alias("term")).groupBy("term").agg(F.round(F.sum("w")).alias("df_term"))
     known = df_term.join(_bounded(pairs), "term")
     pmi = F.log(n * F.col("both") / (F.col("df_entity") * (F.col("df_term") + 1)))
     share = known.withColumn("share", F.try_divide(pmi, F.log(n / F.col("df_entity"))))
@@ -125,11 +149,11 @@ def _bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def with_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", disclosed: float = DISCLOSED, lines: int = LINES) -> DataFrame:
-    """The rows with find_<kind> for the base kinds and find_term for disclosing terms."""
+def with_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", disclosed: float = DISCLOSED, places: int = PLACES) -> DataFrame:
+    """The rows with find_<kind> for the base kinds and secrets, and find_term for disclosing terms."""
     rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text)))
     plain = rows.select(F.col("_key").alias("key"), _clean(F.col(text)).alias("text"))
-    terms = _bounded(disclosing_terms(with_base(plain, "text"), disclosed, lines))
+    terms = _bounded(disclosing_terms(plain, disclosed, places))
     held = plain.select("key", _distinct_terms(F.col("text")).alias("term"))
     held = held.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("_terms"))
     # Terms per text are few rows where few terms disclose; their number is checked before they are broadcast.
@@ -152,17 +176,20 @@ def _written(kinds) -> Column:
     return F.concat_ws(",", F.concat(*[write(k) for k in kinds]))
 
 
-def personal_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", disclosed: float = DISCLOSED, lines: int = LINES) -> DataFrame:
-    """One row per input row: (id, n_email, n_ip, n_card, n_phone, base_spans, spans).
+def personal_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", disclosed: float = DISCLOSED, places: int = PLACES) -> DataFrame:
+    """One row per input row: (id, n_email, n_ip, n_card, n_phone, base_spans, spans, n_secret, n_found).
 
     Spans are kind:start:end in code points, comma-joined by kind and start;
-    terms come last.  A null text is an empty one; ids may be null or repeat
-    (repeated rows count as one document in no statistic: each row counts); only
-    the two named columns are read; an empty table gives an empty result.
+    secrets and terms come last.  n_found counts all finds but terms.  A null
+    text is an empty one; ids may be null or repeat; rows equal in id and text
+    count as one document in all statistics, but each has its row.  Only the two
+    named columns are read; an empty table gives an empty result.
     """
-    rows = with_spans(docs.select(F.col(id_col).alias(id_col), F.col(text).alias(text)), text, id_col, disclosed, lines)
-    counts = [F.size(f"find_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select(id_col, *counts, _written(KINDS).alias("base_spans"), _written([*KINDS, "term"]).alias("spans"))
+    rows = with_spans(docs.select(F.col(id_col).alias(id_col), F.col(text).alias(text)), text, id_col, disclosed, places)
+    count = lambda k: F.size(f"find_{k}").cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
+    total = sum((count(k) for k in PATTERNS), F.lit(0).cast("long"))
+    return rows.select(id_col, *counts, _written(KINDS).alias("base_spans"), _written([*PATTERNS, "term"]).alias("spans"), count("secret").alias("n_secret"), total.alias("n_found"))
 
 
 def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -176,7 +203,7 @@ def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     tag = lambda k: F.transform(
         F.col(f"find_{k}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (F.when(x["v"].rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("")) if k == "term" else F.lit(f"[{k.upper()}]")).alias("r"))
     )
-    spans = F.array_sort(F.concat(*[tag(k) for k in [*KINDS, "term"]]))
+    spans = F.array_sort(F.concat(*[tag(k) for k in [*PATTERNS, "term"]]))
 
     def step(acc, x):
         between = F.substring(F.col(text), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))

@@ -40,7 +40,7 @@ def op3_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_notices(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_information_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_spans(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_secret", "n_found")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

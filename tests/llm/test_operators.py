@@ -334,25 +334,34 @@ def test_personal_data(spark, table, rows, empty):
     assert sanitise(table).columns == table.columns
 
 
-def disclosing(rows, share=0.8, floor=3):
+def disclosing(rows, share=0.8, floor=3, near=200):
     """The terms that disclose an entity, by plain recomputation."""
     import collections
     import re
 
+    rows = list(dict.fromkeys(rows))
+    kinds = B.PII | {"secret": "(?<![A-Za-z0-9])[A-Za-z0-9]{24,}"}
     terms = lambda s: {w for w in re.findall(r"[^\W_]+", s.lower()) if len(w) >= 4}
     met, entities, df = collections.defaultdict(set), collections.defaultdict(set), collections.Counter(w for _, t in rows for w in terms(t or ""))
     for i, t in rows:
-        for x in B.personal(t):
-            a, b = map(int, x.split(":")[1:])
-            line = t[:a].split("\n")[-1] + "\1" + t[b:].split("\n")[0]
-            entities[t[a:b]].add((i, line))
-            for w in terms(line):
-                met[t[a:b], w].add((i, line))
+        valid = {tuple(map(int, x.split(":")[1:])) for x in B.personal(t)}
+        for kind, pattern in kinds.items():
+            finds = list(re.finditer(pattern, t or ""))
+            for before, m, after in zip([None, *finds], finds, [*finds[1:], None], strict=False):
+                digits = len(re.sub("[^0-9]", "", m[0]))
+                if m.span() not in valid if kind != "secret" else not 3 <= digits <= len(m[0]) - 3:
+                    continue
+                left = t[before.end() if before else 0 : m.start()].split("\n")[-1][-near:]
+                right = t[m.end() : after.start() if after else len(t)].split("\n")[0][:near]
+                place = left + "\1" + right
+                entities[m[0]].add((i, place))
+                for w in terms(place):
+                    met[m[0], w].add((i, place))
     out = set()
     for (c, w), seen in met.items():
         own, enough = entities[c], [min(floor, len({x[k] for x in entities[c]})) for k in (0, 1)]
         n, both = len({i for i, _ in own}), len({i for i, _ in seen})
-        if both >= enough[0] and len({x for _, x in seen}) >= enough[1] and n < len(rows) and math.log(len(rows) * both / (n * (df[w] + 1))) >= share * math.log(len(rows) / n):
+        if df[w] and both >= enough[0] and len({x for _, x in seen}) >= enough[1] and n < len(rows) and math.log(len(rows) * both / (n * (df[w] + 1))) >= share * math.log(len(rows) / n):
             out.add(w)
     return out
 
@@ -368,6 +377,7 @@ def test_terms_that_disclose_rare_entities(spark):
     # One entity in two texts: the term of both discloses it, that of only one does not.
     assert "term:20:25" in got[1002] and "term:26:31" not in got[1002]
     own = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    own += own[:40] + [(2000, " ".join(f"a{i}@b{i}.eu w{i}rd" for i in range(3000))), (2001, 'key = "0a1b2c3d4e5f60718293a4b5" of grumbold')]
     found = {}
     texts = dict(own)
     for r in personal_spans(spark.createDataFrame(own, "doc_id long, text string")).collect():
@@ -375,7 +385,7 @@ def test_terms_that_disclose_rare_entities(spark):
             if x.startswith("term:"):
                 a, b = map(int, x.split(":")[1:])
                 found.setdefault(texts[r.doc_id][a:b].lower(), []).append(x)
-    assert set(found) == disclosing(own) and len(found) > 0
+    assert set(found) == disclosing(own) and "grumbold" in found
 
 
 def test_rows_without_ids_and_repeated_rows(spark):
