@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hammerline.llm import _text as X
-from hammerline.llm._spark import cut
+from hammerline.llm._spark import cut, small_batches
 
 ORDER = 4
 #: The model is broadcast up to this many n-grams; beyond that, documents meet their language's model in groups.
 BROADCAST_GRAMS = 4_000_000
 #: A band reaches this many quartile distances from the median, and this far at least.
-BAND_REACH, BAND_LEAST = 6.0, 0.25
+BAND_REACH, BAND_LEAST = 4.0, 0.02
 #: A short text's mean varies more, so its band is wider by this much over the root of its characters.
-BAND_SHORT = 4.0
+BAND_SHORT = 2.0
 _START = 1
 NO_LANGUAGE = "und"
 
@@ -64,11 +64,10 @@ def base_counts(t: X.Texts) -> dict[str, np.ndarray]:
 
 
 def grams(t: X.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-grams that end at each character, four 16-bit symbols each, and their text."""
-    cp = np.frombuffer(t.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    before = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])[t.offsets]
+    """The ORDER-grams that end at each character, four 16-bit symbols each, and their text; characters above U+FFFF are two symbols."""
+    s = np.frombuffer(t.data.tobytes().decode("utf-8", "replace").encode("utf-16-le"), np.uint16)
+    before = np.concatenate([[0], np.cumsum(((t.data & 0xC0) != 0x80).astype(np.int64) + (t.data >= 0xF0))])[t.offsets]
     of = np.repeat(np.arange(t.n), np.diff(before))
-    s = np.where(cp < 65536, cp, cp & 0xFFFF)
     s = np.where((s >= 65) & (s <= 90), s + 32, s)
     s = np.where((s >= 48) & (s <= 57), 48, s)
     s = np.where((s <= 32), 32, s)
@@ -232,6 +231,7 @@ def _scored(batch: pa.RecordBatch, models: dict[str, GramArrays]) -> pa.RecordBa
 
 def score_documents(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """(id, lang, base counts, log_ppl) per row; the model is fitted on all rows."""
+    docs = small_batches(docs)
     model = cut(kneser_ney(cut(count_grams(docs, text, lang))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang"))
     kind = f"id {rows.schema['id'].dataType.simpleString()}, lang string, {_STATS}"
@@ -285,6 +285,7 @@ def quality_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", id
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that quality_verdicts keeps; rows with the same id are judged together: one that is kept keeps them."""
-    kept = quality_verdicts(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of `docs` that quality_verdicts keeps; rows are told apart by id, text and language, so equal rows share a verdict."""
+    key = F.struct("doc_id", F.xxhash64("text", "lang").alias("h"))
+    kept = quality_verdicts(docs.select(key.alias("key"), "text", "lang"), id_col="key").where("kept").select(F.col("key").alias("_kept")).distinct()
+    return docs.join(kept, key.eqNullSafe(F.col("_kept")), "left_semi")

@@ -74,6 +74,64 @@ def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
         Q.BROADCAST_GRAMS = Q_limit
 
 
+def test_bands_reject_noise_among_the_supplied_documents(spark):
+    from hammerline.llm.quality_rules import quality_verdicts
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    long = docs.where("length(text) between 1500 and 6000").orderBy("doc_id").limit(20).collect()
+    noise = [(10**6 + k, "".join(np.random.default_rng(k).permutation(list(r.text))), r.lang) for k, r in enumerate(long)]
+    noise += [(10**6 + 50, "\U0001f600\U00020000 \U0001f4a9\U00030000 " * 200, "en")]
+    found = quality_verdicts(docs.union(spark.createDataFrame(noise, docs.schema)))
+    got = {r.doc_id: r for r in found.collect()}
+    assert not any(got[i].kept for i, *_ in noise) and not any(got[i].base_failed for i, *_ in noise[:20])
+    good = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()]
+    fine = [got[i].kept for i in good if not got[i].base_failed]
+    assert np.mean(fine) > 0.98
+    bad = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 0").collect()]
+    assert np.mean([got[i].kept for i in bad]) < np.mean([not got[i].base_failed for i in bad])
+
+
+def test_regular_strings_of_two_letters_differ(spark):
+    """Words that a polynomial modulo 2**64 cannot tell apart."""
+    import public_tokenizers as P
+    import sentencepiece
+    from hammerline.llm import jaccard_join, packing, pieces, ppm, quality_rules
+    from tokenizers import Tokenizer
+
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = {1: word, 2: other, 3: f"{word} {other}", 4: f"{word}\n{other}", 5: " ".join([word] * 8 + [other] * 8)}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == B.classes({i: B.shingles(t) for i, t in texts.items()})
+    for r in quality_rules.quality_verdicts(docs).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == B.base_rules(texts[r.doc_id])
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for r in pieces.piece_ids(docs, P.path("piece_bpe_32k.model")).collect():
+        assert np.frombuffer(r.ids, np.uint32).tolist() == sp.encode(texts[r.doc_id], add_bos=True, add_eos=True) and r.decoded == texts[r.doc_id]
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for r in packing.pack_documents(docs, P.path("word_bpe_49k.json")).where("piece = 0").collect():
+        ids = np.array([*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], "<u4")[:4096]
+        assert r.ids_crc32 == zlib.crc32(ids.tobytes())
+    uni = B.Unigrams(list(texts.items()))
+    for r in ppm.score_documents(docs).collect():
+        want = uni.score(texts[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3] and r.base_score == pytest.approx(want[3], rel=1e-6)
+
+
+def test_chunks_with_equal_hashes_keep_their_own_ids():
+    from hammerline.llm import _text as X
+    from hammerline.llm.pieces import ChunkTable
+
+    data = np.frombuffer(b"abcdabxy", np.uint8)
+    t = X.Texts(data, np.array([0, 8]), 0)
+    s, e = np.array([0, 2, 4, 6]), np.array([2, 4, 6, 8])
+    encode = lambda new: (np.repeat(s[new] * 10 + data[s[new]], 2).astype(np.uint32), np.full(len(new), 2))
+    flat, size, entry = ChunkTable().lookup(t, s, e, encode, hashes=np.array([7, 7, 7, 9], np.uint64))
+    assert size.tolist() == [2, 2, 2, 2] and flat[::2].tolist() == [97, 20 + 99, 97, 60 + 120] and entry.tolist() == [0, -1, 0, 1]
+
+
 def test_jaccard_components(table, rows, empty):
     from hammerline.llm.jaccard_join import jaccard_components, keep_one
 

@@ -34,5 +34,22 @@ def test_stages(spark, tmp_path):
             assert {r.doc_id for r in docs.collect()} == {i for i, _ in given}
 
 
+def test_awkward_rows_and_empty_tables(spark):
+    line = "the quick brown fox jumps over the lazy dog while seven wizards mix potions near a quiet river bank at dawn "
+    rows = [(None, " ".join(reversed(line.split())), None), (1, None, "en"), (2, "", "en"), (3, line + "write to a@b.eu", "en"), (3, line + "write to a@b.eu", "en"), (4, line + "write to a@b.eu", "en"), (3, None, "en"), (5, "word " * 30000, "en"), (None, None, None)]
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, node long")
+    want = {"quality rules": [None, 3, 3, 4], "n-gram Jaccard join": [None, 1, 2, 3, 3, 3, 5, None], "suffix-array dedup": [r[0] for r in rows], "PII": [r[0] for r in rows]}
+    order = lambda ids: sorted(ids, key=lambda i: (i is None, i or 0))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name in want:
+            got = out.collect()
+            assert out.columns == docs.columns and {r.node for r in got} == {7}
+            assert order(r.doc_id for r in got) == order(want[name]), name
+        else:
+            assert {r.doc_id for r in out.collect()} == {None, 1, 2, 3, 4, 5}
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
