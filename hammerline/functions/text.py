@@ -28,7 +28,7 @@ NO_DAMAGE = ["", "NONE", "N/A", "NA", "NULL", "NAN"]
 DAMAGE_REGION = {
     "NONE": "NONE", "FRONT END": "FRONT_END", "REAR END": "REAR_END", "SIDE": "SIDE", "FRONT & REAR": "FRONT_REAR", "ALL OVER": "ALL_OVER",
     "TOP/ROOF": "TOP_ROOF", "UNDERCARRIAGE": "UNDERCARRIAGE", "MINOR DENT/SCRATCHES": "MINOR", "HAIL": "ALL_OVER", "STORM DAMAGE": "ALL_OVER",
-    "ROLLOVER": "ALL_OVER", "STRIP": "ALL_OVER", "VANDALISM": "ALL_OVER", "BURN": "ALL_OVER", "PARTIAL REPAIR": "ALL_OVER",
+    "ROLLOVER": "ALL_OVER", "STRIP": "ALL_OVER", "STRIPPED": "ALL_OVER", "VANDALISM": "ALL_OVER", "BURN": "ALL_OVER", "PARTIAL REPAIR": "ALL_OVER",
     "BURN - ENGINE": "ALL_OVER", "BURN - INTERIOR": "ALL_OVER",
 }
 # Damage label to ordinal score; anything else is 2.
@@ -47,6 +47,11 @@ def collapse(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """The text without whitespace at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def clean_category(c: Column) -> Column:
     """Collapsed and upper-cased; null or blank to UNKNOWN."""
     return F.coalesce(F.nullif(F.upper(collapse(c)), F.lit("")), F.lit("UNKNOWN"))
@@ -108,8 +113,8 @@ def normal_vin(c: Column) -> Column:
 
 
 def vin_from_url(url: Column) -> Column:
-    """11 to 20 letters and digits behind the car path, up to an underscore; null without."""
-    return F.nullif(F.upper(F.regexp_extract(url, r"(?i)/car/([a-z0-9]{11,20})_", 1)), F.lit(""))
+    """11 to 20 characters that a VIN can hold behind the car path, up to an underscore; null without."""
+    return F.nullif(F.upper(F.regexp_extract(url, r"(?i)/en/car/([a-hj-npr-z0-9]{11,20})_", 1)), F.lit(""))
 
 
 def page_of_url(url: Column) -> Column:
@@ -120,13 +125,12 @@ def page_of_url(url: Column) -> Column:
 def drive_type(c: Column) -> Column:
     """X11: AWD, 4WD, FWD or RWD from a description, else the trimmed text."""
     low = F.lower(c)
-    has = lambda *words: low.rlike("|".join(words))
     return (
-        F.when(has("all wheel", r"\bawd\b"), "AWD")
-        .when(has("4x4", "four wheel", r"\b4wd\b"), "4WD")
-        .when(has("front wheel", "front whl", r"\bfwd\b"), "FWD")
-        .when(has("rear wheel", "rear whl", r"\brwd\b"), "RWD")
-        .otherwise(F.trim(c))
+        F.when(low.rlike("all wheel"), "AWD")
+        .when(low.rlike("four wheel|4x4"), "4WD")
+        .when(low.rlike("front[- ]wheel"), "FWD")
+        .when(low.rlike("rear[- ]wheel"), "RWD")
+        .otherwise(stripped(c))
     )
 
 
@@ -136,16 +140,20 @@ def digits_as_int(c: Column) -> Column:
 
 
 def mileage(c: Column) -> Column:
-    """struct(value, unit), unit mi, km or null."""
-    unit = F.when(F.lower(c).rlike(r"(\s|\d)mi"), "mi").when(F.lower(c).rlike(r"(\s|\d)km"), "km")
+    """struct(value, unit), unit mi or km where it stands behind a space, in lower case, else null."""
+    unit = F.when(c.rlike(r"(?U)\s+mi"), "mi").when(c.rlike(r"(?U)\s+km"), "km")
     return F.struct(digits_as_int(c).alias("value"), unit.alias("unit"))
 
 
 def heading(c: Column) -> Column:
-    """struct(raw, year, vin) of a vehicle page's heading."""
-    vin = F.nullif(F.upper(F.regexp_extract(c, r"(?i)vin:?\s*([a-hj-npr-z0-9]{11,17})\b", 1)), F.lit(""))
-    raw = F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)[,\s]*vin:?\s*[a-hj-npr-z0-9]{11,17}\b.*$", ""), r"\s+", " "))
-    return F.struct(raw.alias("raw"), F.nullif(F.regexp_extract(raw, r"\b((19|20)\d{2})\b", 1), F.lit("")).cast("int").alias("year"), vin.alias("vin"))
+    """struct(raw, year, vin) of a vehicle page's heading: raw is without a leading year and without the VIN."""
+    text = collapse(c)
+    vin = F.nullif(F.upper(F.regexp_extract(text, r"(?i)\bvin\s*:\s*([a-hj-npr-z0-9]{11,20})\b", 1)), F.lit(""))
+    left = F.trim(F.regexp_replace(text, r"(?i)\bvin\s*:\b.*$", ""))
+    year = F.nullif(F.regexp_extract(left, r"^(\d{4})\s+.*$", 1), F.lit("")).cast("int")
+    raw = F.regexp_replace(left, r"^\d{4}\s+(?=.*$)", "")
+    raw = F.trim(F.regexp_replace(raw, r"(?i)\bvin\s*:\s*[a-hj-npr-z0-9]{11,20}\b", ""))
+    return F.struct(F.nullif(raw, F.lit("")).alias("raw"), year.alias("year"), vin.alias("vin"))
 
 
 def split_damages(c: Column) -> Column:
@@ -156,9 +164,9 @@ def split_damages(c: Column) -> Column:
 
 
 def damage_label(c: Column) -> Column:
-    """Upper-cased label; null, blank and words for nothing become NONE."""
-    label = F.upper(collapse(c))
-    return F.when(label.isin(NO_DAMAGE), "NONE").otherwise(label)
+    """Upper-cased label without outer blanks; null, blank and words for nothing become NONE."""
+    label = F.upper(stripped(c))
+    return F.when(label.isNull() | label.isin(NO_DAMAGE), "NONE").otherwise(label)
 
 
 def damage_region(c: Column) -> Column:
@@ -220,14 +228,31 @@ def folder_number(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"^\s*(\d+)", 1), F.lit("")).try_cast("bigint"), F.lit(10**18))
 
 
-def page_outcome(status: Column, html: Column, remaining: Column) -> Column:
-    """H8: one label of a fetched page, the first that holds."""
+# What pages hold, in lower case, by which they are told apart.
+LIMITED_MARKS = ["too many attempts", "please contact support", "rate limit", "too many requests"]
+SIGN_IN_MARK = 'class="btn btn-info">sign in<'
+LOGIN_FORM_MARKS = ['form method="post" action="https://autohelperbot.com/en/login"', 'name="password"']
+LIST_MARKS = ["copart and iaai lot sales history", 'class="lot_list"']
+DETAIL_MARKS = ['type="application/ld+json"', 'class="params"', "auction date", "primary damage", "vin"]
+CHALLENGE_MARKS = [
+    "checking your browser before accessing", "just a moment...", "cf-browser-verification", "attention required!",
+    "/cdn-cgi/challenge-platform/", "please enable javascript and cookies to continue",
+]
+
+
+def page_outcome(status: Column, html: Column, remaining: Column, url: Column | None = None, listing: bool = False) -> Column:
+    """H8: one label of a fetched list or detail page, the first that holds."""
     low = F.lower(F.coalesce(html, F.lit("")))
+    end = F.lower(F.coalesce(url, F.lit(""))) if url is not None else F.lit("")
+    marks = lambda words: [F.contains(low, F.lit(w)) for w in words]
+    some = lambda words: F.greatest(F.lit(False), *marks(words))
+    login = F.endswith(end, F.lit("/login")) | F.contains(end, F.lit("/login?"))
+    form = F.least(F.lit(True), *marks(LOGIN_FORM_MARKS))
     return (
-        F.when((status == 429) | (F.coalesce(remaining, F.lit("")) == "0"), "rate_limited")
-        .when(status.isin(401, 403), "auth")
+        F.when((status == 429) | some(LIMITED_MARKS) | (F.coalesce(remaining.try_cast("int"), F.lit(1)) <= 0), "rate_limited")
+        .when(status.isin(401, 403) | login | some([SIGN_IN_MARK]) | form, "auth")
         .when((status >= 400) | status.isNull(), "http_error")
-        .when(low.rlike("<h1|/en/car/|ld\\+json"), "valid")
-        .when(low.rlike("captcha|just a moment|cf-challenge"), "challenge")
+        .when(some(LIST_MARKS if listing else DETAIL_MARKS), "valid")
+        .when(some(CHALLENGE_MARKS), "challenge")
         .otherwise("unexpected")
     )

@@ -59,13 +59,24 @@ def first_filled(*sources: Column) -> Column:
 
 
 def currency(html: Column, offer: Column) -> Column:
-    """H6: the offer's, else the page's element, else USD."""
-    return F.coalesce(first_filled(offer, F.regexp_extract(html, r"""(?i)itemprop=["']priceCurrency["'][^>]*content=["']([A-Z]{3})""", 1)), F.lit("USD"))
+    """H6: the offer's, else that of the sale's or the price range's element, else USD; in upper case."""
+    shown = F.regexp_extract(html, r"""(?is)class=["'][^"']*\b(?:lot_sold|lot_price_range)\b.*?class=["'][^"']*\bcurrency\b[^>]*>([^<]*)<""", 1)
+    return F.coalesce(F.upper(first_filled(offer, shown)), F.lit("USD"))
 
 
 def auction_source(html: Column) -> Column:
-    """H7: COPART, IAAI, OTHER where the page names an auction, else null."""
-    low = F.lower(html)
+    """H7: COPART, IAAI or OTHER by the link, or else the image, in the Auction row of the lot's information; null without."""
+    info = F.regexp_extract(html, r"""(?is)class=["'][^"']*\blot_information\b(.*)$""", 1)
+    row = F.lower(F.regexp_extract(info, r"(?is)<b\b[^>]*>\s*auction\s*:*\s*</b>(.*?)</div>", 1))
+    link = F.regexp_extract(row, r"""(?s)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']""", 1)
+    image = F.regexp_extract(row, r"(?s)<img\b([^>]*)>", 1)
+    name = lambda x: F.when(F.contains(x, F.lit("copart")), "COPART").when(F.contains(x, F.lit("iaai")), "IAAI").otherwise("OTHER")
+    return F.when(row.rlike(r"<a\b[^>]*?\bhref"), name(link)).when(row.rlike(r"<img\b"), name(image))
+
+
+def named_house(card: Column) -> Column:
+    """COPART, IAAI, or OTHER where a list card names an auction, else null."""
+    low = F.lower(card)
     return F.when(F.contains(low, F.lit("copart")), "COPART").when(F.contains(low, F.lit("iaai")), "IAAI").when(low.rlike(r"\bauction\b"), "OTHER")
 
 
@@ -85,7 +96,7 @@ def list_rows(pages: DataFrame) -> DataFrame:
     out = c.select(
         "page_id", X.canonical_url(X.resolve_url(F.col("url"), href)).alias("detail_url"), F.coalesce(X.normal_vin(kv("vin")), X.vin_from_url(href)).alias("vin"), visible(F.regexp_extract("card", r"(?is)<h[1-4][^>]*>(.*?)</h[1-4]>", 1)).alias("title"),
         kv("status").alias("status"), kv("sold price").alias("sold_price"), kv("seller").alias("seller_type"), kv("engine").alias("engine"), kv("mileage").alias("mileage"), kv("sale date").alias("sale_date"), kv("repair price").alias("repair_price"),
-        kv("market price").alias("market_price"), damages["primary"].alias("primary_damage"), auction_source(F.col("card")).alias("auction"), F.try_element_at(photo_urls(F.col("card")), F.lit(1)).alias("image_url"), F.regexp_extract("card", r"""(?i)\balt=["']([^"']*)""", 1).alias("image_alt"),
+        kv("market price").alias("market_price"), damages["primary"].alias("primary_damage"), named_house(F.col("card")).alias("auction"), F.try_element_at(photo_urls(F.col("card")), F.lit(1)).alias("image_url"), F.regexp_extract("card", r"""(?i)\balt=["']([^"']*)""", 1).alias("image_alt"),
     )
     return out.where((F.coalesce("detail_url", F.lit("")) != "") | (F.coalesce("vin", F.lit("")) != ""))
 

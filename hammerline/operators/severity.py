@@ -190,8 +190,9 @@ def layout_photos(auction: Column, urls: Column, at_most: bool = False) -> Colum
 
 
 def ordered_photos(auction: Column, urls: Column) -> Column:
-    """The first photos by the house's layout."""
-    return F.slice(urls, F.lit(1), F.coalesce(X.expected_photos(auction), F.size(urls)))
+    """The first photos by the house's layout; null for a house without one."""
+    n = X.expected_photos(auction)
+    return F.when(n.isNotNull(), F.slice(urls, F.lit(1), F.coalesce(n, F.lit(1))))
 
 
 def damage_severity(vehicles: DataFrame, views: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def damage_severity(vehicles: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def vehicle_severity(views: DataFrame, key: str = "vin", gap: float = 1.5, penalty: float = 0.5, quantile: float = 0.75) -> DataFrame:
-    """One severity per vehicle: the worst view if it is anchored, else the upper quartile, damped where views differ widely."""
+    """One severity per vehicle: the worst view if it is anchored, else the upper quartile, damped where views differ widely; in half steps from 1 to 5."""
     scored = F.col("severity")
     top = F.max(scored)
     a = views.groupBy(key).agg(
@@ -218,7 +219,7 @@ def vehicle_severity(views: DataFrame, key: str = "vin", gap: float = 1.5, penal
     )
     spread = F.col("hi") - F.col("lo") >= gap
     value = F.when(F.col("hi").isNull(), 1.0).when(F.col("anchored"), F.col("hi")).otherwise(F.when(spread, F.greatest(F.col("q") - penalty, F.col("mid"))).otherwise(F.col("q")))
-    return a.select(key, value.alias("severity"), "coverage")
+    return a.select(key, N.clip(N.half_steps(value), 1.0, 5.0).alias("severity"), "coverage")
 
 
 def error_rows(df: DataFrame, errors: str = "errors") -> DataFrame:

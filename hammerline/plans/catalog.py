@@ -358,7 +358,7 @@ def a16_max_over_views(g):
 @query(
     ", v AS (SELECT vin, CAST(box_id % 9 AS DOUBLE) / 2 + 1 AS severity, (box_id % 5 = 0) AS anchor FROM boxes WHERE box_id % 3 > 0), "
     "a AS (SELECT vin, max(severity) AS hi, min(severity) AS lo, quantile_cont(severity, 0.75) AS q, median(severity) AS mid, count(severity) AS coverage, max(struct_pack(s := severity, a := anchor::INT)) AS top FROM v GROUP BY vin) "
-    "SELECT vin, CAST(CASE WHEN top.a = 1 THEN hi WHEN hi - lo >= 1.5 THEN greatest(q - 0.5, mid) ELSE q END AS DOUBLE) AS severity, coverage FROM a",
+    "SELECT vin, greatest(1.0::DOUBLE, least(5.0::DOUBLE, round_even(CAST(CASE WHEN top.a = 1 THEN hi WHEN hi - lo >= 1.5 THEN greatest(q - 0.5, mid) ELSE q END AS DOUBLE) * 2, 0) / 2)) AS severity, coverage FROM a",
     "boxes",
 )
 def a17_vehicle_severity(g):
@@ -519,7 +519,7 @@ def x10_page_of_url(g):
     return g.make("urls").select("page_id", X.page_of_url(F.col("url")).alias("v"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'AWD' WHEN 1 THEN '4WD' WHEN 2 THEN 'FWD' WHEN 3 THEN 'RWD' ELSE trim(o_orderpriority) END AS v FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'AWD' WHEN 1 THEN '4WD' WHEN 2 THEN 'FWD' WHEN 3 THEN 'rwd' ELSE trim(o_orderpriority) END AS v FROM orders")
 def x11_drive_type(g):
     k = F.col("o_orderkey") % 5
     return g("orders").select("o_orderkey", X.drive_type(F.when(k == 0, "All wheel drive").when(k == 1, "4x4 w/front whl drv").when(k == 2, " Front Wheel Drive").when(k == 3, "rwd").otherwise(F.col("o_orderpriority"))).alias("v"))
@@ -530,14 +530,14 @@ def x12_digits_as_int(g):
     return g("customer").select("c_custkey", X.digits_as_int(F.col("c_name")).alias("v"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey END AS value, CASE o_orderkey % 3 WHEN 0 THEN 'mi' WHEN 1 THEN 'km' END AS unit FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey END AS value, CASE o_orderkey % 3 WHEN 0 THEN 'mi' END AS unit FROM orders")
 def x13_mileage(g):
     k = F.col("o_orderkey")
     text = F.when(k % 3 == 0, F.concat(k, F.lit(" mi"))).when(k % 3 == 1, F.concat(k, F.lit("km"))).otherwise("none")
     return g("orders").select("o_orderkey", X.mileage(text).alias("m")).select("o_orderkey", "m.*")
 
 
-@query("SELECT o_orderkey, year(o_orderdate) || ' Kia Rio' AS raw, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'SALWG2RV7KA836801' END AS vin FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Kia Rio,' ELSE 'Kia Rio' END AS raw, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'SALWG2RV7KA836801' END AS vin FROM orders")
 def x14_heading(g):
     text = F.concat(F.year("o_orderdate"), F.lit(" Kia  Rio"), F.when(F.col("o_orderkey") % 2 == 0, ", VIN: salwg2rv7ka836801").otherwise(""))
     return g("orders").select("o_orderkey", X.heading(text).alias("h")).select("o_orderkey", "h.*")
@@ -549,12 +549,12 @@ def x15_split_damages(g):
     return g("orders").select("o_orderkey", X.split_damages(text).alias("d")).select("o_orderkey", "d.*")
 
 
-@query(f"SELECT order_id, line, {_LABEL.format('primary_damage')} AS v FROM listings", "listings")
+@query("SELECT order_id, line, CASE WHEN primary_damage IS NULL OR upper(trim(primary_damage)) IN ('', 'NONE', 'N/A', 'NA', 'NULL', 'NAN') THEN 'NONE' ELSE upper(trim(primary_damage)) END AS v FROM listings", "listings")
 def x16_damage_label(g):
     return g.make("listings").select("order_id", "line", X.damage_label(F.col("primary_damage")).alias("v"))
 
 
-@query("SELECT order_id, line, CASE primary_damage WHEN 'FRONT END' THEN 'FRONT_END' WHEN 'Rear  end' THEN 'REAR_END' WHEN 'THEFT' THEN 'OTHER' ELSE 'NONE' END AS v FROM listings", "listings")
+@query("SELECT order_id, line, CASE WHEN primary_damage = 'FRONT END' THEN 'FRONT_END' WHEN primary_damage IS NULL OR primary_damage = 'NONE' THEN 'NONE' ELSE 'OTHER' END AS v FROM listings", "listings")
 def x17_damage_region(g):
     return g.make("listings").select("order_id", "line", X.damage_region(F.col("primary_damage")).alias("v"))
 
@@ -710,20 +710,30 @@ def h3_vehicle_rows(g):
     return P.vehicle_rows(g("pages"))
 
 
-@query("SELECT page_id, 'USD' AS currency, CASE WHEN contains(lower(html), 'copart') THEN 'COPART' WHEN contains(lower(html), 'iaai') THEN 'IAAI' WHEN regexp_matches(lower(html), '\\bauction\\b') THEN 'OTHER' END AS source FROM pages WHERE NOT contains(html, 'priceCurrency')")
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'CAD' WHEN 1 THEN 'EUR' ELSE 'USD' END AS currency, CASE page_id % 5 WHEN 1 THEN 'OTHER' WHEN 2 THEN 'COPART' WHEN 3 THEN 'IAAI' END AS source FROM pages")
 def h6_currency_and_source(g):
-    rows = g("pages").where(~F.contains("html", F.lit("priceCurrency")))
+    k, lot = F.col("page_id") % 5, '<div class="lot_information"><div><b>VIN:</b> copart</div><div><b> Auction: </b>{}</div></div>'
+    more = F.when(k == 0, '<script type="application/ld+json">{"@type": "Vehicle", "offers": {"priceCurrency": " cad"}}</script> iaai')
+    more = more.when(k == 1, '<p class="lot_sold">5 <span class="x currency"> eur </span></p>' + lot.format('<a href="https://h.example/">copart</a>'))
+    more = more.when(k == 2, lot.format('<a class="y" href="https://www.Copart.com/lot/1"><img title="IAAI"></a>')).when(k == 3, lot.format('<img src="/i.png" title="IAAI">')).otherwise("")
+    rows = g("pages").select("page_id", F.concat("html", more).alias("html"))
     return rows.select("page_id", P.currency(F.col("html"), P.vehicle_json(F.col("html"))["offers"]["priceCurrency"]).alias("currency"), P.auction_source(F.col("html")).alias("source"))
 
 
-_OUT = "CASE WHEN page_id % 7 = 0 THEN 'rate_limited' WHEN page_id % 7 = 1 THEN 'auth' WHEN page_id % 7 = 2 THEN 'http_error' WHEN regexp_matches(lower(html), '<h1|/en/car/|ld\\+json') THEN 'valid' WHEN regexp_matches(lower(html), 'captcha|just a moment|cf-challenge') THEN 'challenge' ELSE 'unexpected' END"
+_HAS = lambda words: "(" + " OR ".join(f"contains(lower(html), '{w}')" for w in words) + ")"
+_OUT = (
+    f"CASE WHEN page_id % 7 = 0 OR {_HAS(['too many attempts', 'please contact support', 'rate limit', 'too many requests'])} THEN 'rate_limited' WHEN page_id % 7 = 1 OR ends_with(lower(url), '/login') OR contains(lower(url), '/login?') "
+    "OR contains(lower(html), 'class=\"btn btn-info\">sign in<') THEN 'auth' WHEN page_id % 7 = 2 THEN 'http_error' "
+    f"WHEN {_HAS(['type=\"application/ld+json\"', 'class=\"params\"', 'auction date', 'primary damage', 'vin'])} THEN 'valid' "
+    f"WHEN {_HAS(['checking your browser before accessing', 'just a moment...', 'cf-browser-verification', 'attention required!', '/cdn-cgi/challenge-platform/', 'please enable javascript and cookies to continue'])} THEN 'challenge' ELSE 'unexpected' END"
+)
 
 
 @query(f"SELECT {_OUT} AS outcome, count(*) AS n FROM pages GROUP BY 1")
 def h8_page_outcome(g):
     k = F.col("page_id") % 7
     status = F.when(k == 0, 429).when(k == 1, 403).when(k == 2, 500).otherwise(200)
-    return g("pages").select(X.page_outcome(status, F.col("html"), F.lit("5")).alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return g("pages").select(X.page_outcome(status, F.col("html"), F.lit("5"), F.col("url")).alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT page_id, page_id % 10 <> 3 AS mismatch FROM urls", "urls")

@@ -36,7 +36,7 @@ SQL = {
         FROM {orders}""",
     "urls": """
         SELECT page_id, concat(url, CASE page_id % 4 WHEN 0 THEN '?page=7&x=1' WHEN 1 THEN '///' WHEN 2 THEN '#top' ELSE '' END) AS url, html,
-            concat('https://host.example/en/car/', CAST(page_id AS STRING), '-a?x=1') AS car_url, concat('https://h.example/car/salwg2rv7ka', CAST(page_id % 10 AS STRING), '_x') AS vin_url
+            concat('https://host.example/en/car/', CAST(page_id AS STRING), '-a?x=1') AS car_url, concat('https://h.example/en/car/salwg2rv7ka', CAST(page_id % 10 AS STRING), '_x') AS vin_url
         FROM {pages}""",
 }
 

@@ -166,3 +166,29 @@ def test_areas_and_severities_over_every_box(spark):
 
     got = registry.queries()["a17_vehicle_severity_all"](spark, sf).collect()
     assert {r.vin: (r.severity, r.coverage) for r in got} == {v: (pytest.approx(severity(own)), len(own)) for v, own in views.items()}
+
+
+def test_listing_texts_follow_the_sources_rules(spark):
+    assert values(spark, X.drive_type, ["Front-Wheel Drive", "rear wheel", "awd", " Fwd "]) == ["FWD", "RWD", "awd", "Fwd"]
+    assert values(spark, X.vin_from_url, ["/en/car/salwg2rv7ka836801_x", "/car/SALWG2RV7KA836801_", "/en/car/SALWG2RV7IO836801_"]) == ["SALWG2RV7KA836801", None, None]
+    assert [tuple(r) for r in values(spark, X.mileage, ["9km", "9  mi", "5 KM"])] == [(9, None), (9, "mi"), (5, None)]
+    heads = ["2019 Land Rover  Se vin: SALWG2RV7KA836801", "Kia 2019 vin:salwg2rv7ka836801234", "2020", "  "]
+    assert [tuple(r) for r in values(spark, X.heading, heads)] == [("Land Rover Se", 2019, "SALWG2RV7KA836801"), ("Kia 2019", None, "SALWG2RV7KA836801234"), ("2020", None, None), (None, None, None)]
+    assert values(spark, X.damage_label, [" rear  end\t", "n/a", None]) == ["REAR  END", "NONE", "NONE"]
+    assert values(spark, X.damage_region, ["Stripped", "Rear end", "rear  end"]) == ["ALL_OVER", "REAR_END", "OTHER"]
+
+
+def test_unsupported_house_has_no_photos(spark):
+    rows = spark.createDataFrame([("Copart", list("abcdefgh")), ("iaai", ["a"]), ("other", ["a"])], "a string, u array<string>")
+    assert [r[0] for r in rows.select(S.ordered_photos(F.col("a"), F.col("u"))).collect()] == [list("abcdef"), ["a"], None]
+
+
+def test_page_outcomes(spark):
+    cases = [
+        (200, "Rate limit reached", None, "", "rate_limited"), (200, "", "0", "", "rate_limited"), (200, "", "x", "https://h/en/login", "auth"), (200, 'a class="btn btn-info">Sign in<', None, "", "auth"), (500, "vin", None, "", "http_error"),
+        (200, "<b>Primary damage</b>", None, "", "valid"), (200, "Just a moment...", None, "", "challenge"), (200, "<h1>captcha</h1>", None, "", "unexpected"),
+    ]
+    df = spark.createDataFrame(cases, "s int, h string, r string, u string, want string")
+    assert all(r.want == r.got for r in df.withColumn("got", X.page_outcome(F.col("s"), F.col("h"), F.col("r"), F.col("u"))).collect())
+    lists = spark.createDataFrame([('<div class="lot_list">', "valid"), ("vin", "unexpected")], "h string, want string")
+    assert all(r.want == r.got for r in lists.withColumn("got", X.page_outcome(F.lit(200), F.col("h"), F.lit(None).cast("string"), listing=True)).collect())
