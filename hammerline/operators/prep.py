@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from hammerline.functions import numbers as N, text as X
+from hammerline.sources.fix import fixed
 
 CATEGORIES = ["make", "model", "fuel_type", "transmission", "drive_type", "primary_damage", "secondary_damage", "seller_type", "color"]
 NUMBERS = ["sold_price", "mileage", "year", "engine_volume", "cylinders"]
@@ -23,10 +25,15 @@ def with_missing(df: DataFrame, defaults: dict) -> DataFrame:
     return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
 
 
+def _double(df: DataFrame, name: str) -> Column:
+    """The column as finite doubles; only texts need to be parsed."""
+    return N.number(F.col(name)) if isinstance(df.schema[name].dataType, StringType) else N.finite(F.col(name).cast("double"))
+
+
 def rowwise(df: DataFrame, rate: float = 0.73) -> DataFrame:
     """M3: categories cleaned, numbers coerced, sentinels to null, prices in USD and their currency relabelled."""
     df = with_missing(df, {c: None for c in [*CATEGORIES, *NUMBERS, "currency", "primary_damage_severity", "secondary_damage_severity"]})
-    out = {c: X.clean_category(F.col(c).cast("string")) for c in [*CATEGORIES, "currency"]} | {c: N.number(F.col(c)) for c in NUMBERS}
+    out = {c: X.clean_category(F.col(c).cast("string")) for c in [*CATEGORIES, "currency"]} | {c: _double(df, c) for c in NUMBERS}
     df = df.withColumns(out)
     return df.withColumns({"mileage": N.real_mileage(F.col("mileage")), "sold_price": N.in_usd(F.col("sold_price"), F.col("currency"), rate), "currency": F.when(F.col("currency") == "CAD", "USD").otherwise(F.col("currency"))})
 
@@ -60,7 +67,7 @@ class PrepStats:
 
 
 def fit(train: DataFrame, keep_at_least: dict[str, int] = KEEP_AT_LEAST) -> PrepStats:
-    """M4: statistics of cleaned training rows: A4 and A5 as one aggregate, A6 as one count over all columns."""
+    """M4: statistics of cleaned training rows: A4 and A5 as one aggregate, A6 as one count over all columns; both are made once."""
     rows = train.where(F.col("sold_price").isNotNull() & plausible_year(F.col("year")) & plausible_mileage(F.col("mileage")) & (F.col("sold_price") >= 1000))
     numbers = rows.agg(
         F.coalesce(F.percentile("sold_price", F.lit(0.995)), F.lit(100_000.0)).alias("upper_price_quantile"),
@@ -69,11 +76,12 @@ def fit(train: DataFrame, keep_at_least: dict[str, int] = KEEP_AT_LEAST) -> Prep
     )
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(n).alias("least")) for c, n in keep_at_least.items()])).alias("x")).select("x.*")
     keep = long.groupBy("column", "value", "least").count().where("count >= least").select("column", "value")
-    return PrepStats(numbers, keep)
+    return PrepStats(fixed(numbers), fixed(keep))
 
 
 def checked_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast where it has at most so many rows; the count stops there."""
+    """The table, made once and marked for broadcast where it has at most so many rows; the count stops there."""
+    table = fixed(table)
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """The rows as files in the folder of spark.checkpoint.dir; a folder is made only where none is configured."""
+    """The rows as files in the folder of spark.checkpoint.dir; where none is configured, one is made, but only for a local master."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
