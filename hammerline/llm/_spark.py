@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -27,6 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files that no table needs any more.
+
+    It removes them when the driver's garbage is collected, which a driver with
+    little work does seldom (spark.cleaner.periodicGC.interval: half an hour).
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """The same rows; from here on the session hands them to Python in batches of bounded size."""
     conf = df.sparkSession.conf

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
-from hammerline.llm._spark import components, cut, most_frequent, small_batches
+from hammerline.llm._spark import components, cut, most_frequent, release, small_batches
 
 #: A point has a group for four members or so, a power of two between these.
 GROUPS_LEAST, GROUPS_MOST = 64, 8192
@@ -223,6 +223,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     dealt = docs.select("text").mapInArrow(_prefixes(width, percent, parts, frequent), "p int, blob binary")
     cells = cut(dealt.groupBy("p").applyInArrow(lambda t: _meet(t, frequent), "token long, node long, pivot long"))
 
+    del dealt
+    release(docs.sparkSession)
+
     # Points are small; sets are made anew only for nodes of pairs that the points leave.
     points = read.where("corner is not null and n > 0").join(cells.select("node").distinct(), "node", "left_semi")
     points = cut(points.groupBy("node").agg(F.first("corner").alias("corner"), F.first("n").cast("int").alias("n")))
@@ -242,6 +245,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     links = cut(pairs.select("a", "b", "members", "members2").mapInArrow(verified, "a long, b long").distinct())
 
     for exhaustive in (False, True):
+        release(docs.sparkSession)
         links = cut(links.unionByName(_class_links(docs, named, width, cells, points, links, percent, exhaustive)))
 
     comp = components(links)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hammerline.llm import _text as X
-from hammerline.llm._spark import cut, small_batches
+from hammerline.llm._spark import cut, release, small_batches
 from hammerline.llm.induced import neighbours_share, suffix_array
 
 CORE = 28
@@ -339,6 +339,7 @@ def removed_ranges(docs: DataFrame, keys: tuple[Column, Column], length: int = 5
     sc = docs.sparkSession.sparkContext
     parts = _groups(keyed, length)
     kinds = _piece_kinds(keyed, length, sc.broadcast(_shared_anchors(keyed, length, parts)), parts)
+    release(docs.sparkSession)
     mixed = kinds.where("abs(n) > 1")
     few, many = mixed.where(F.abs("n") <= CROWDED), mixed.where(F.abs("n") > CROWDED)
     # Bytes are fetched only for anchors with different pieces; a shard's number is part of no result.
@@ -350,6 +351,8 @@ def removed_ranges(docs: DataFrame, keys: tuple[Column, Column], length: int = 5
     if many.limit(1).count():
         runs = runs.unionByName(_crowded_runs(many, _piece_bytes(keyed, length, sc.broadcast(_bit_filter(many.select("anchor"), "anchor"))), length))
     runs = cut(runs.groupBy("anchor", "piece").agg(F.collect_list("run").alias("runs")))
+    del told
+    release(docs.sparkSession)
 
     gone = kinds.where("n > 0").select("piece").union(runs.select("piece"))
     places = _piece_places(keyed, length, sc.broadcast(_bit_filter(gone, "piece")))
