@@ -86,7 +86,8 @@ def pieces(t: X.Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     start, stop = bounds[:-1], bounds[1:]
     keep = inside[start]
     start, stop = start[keep], stop[keep]
-    return core[at[start]], start, stop - 1 + length, t.text_of(start)
+    # Least hashes are small numbers; mixed once more they spread evenly over groups and filters.
+    return X.mix(core[at[start]]), start, stop - 1 + length, t.text_of(start)
 
 
 def _bit_filter(anchors: DataFrame, name: str) -> np.ndarray:
