@@ -1,12 +1,25 @@
-"""Typed rows from stored pages (page_id, url, html), with column expressions only."""
+"""Typed rows from stored pages (page_id, url, html).
+
+Elements nest, which no pattern can follow: ``elements`` cuts them out in Arrow batches; everything else is column expressions.
+Absent fields of list and detail pages are empty strings, those of vehicle records null. A null page is one without elements.
+"""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hammerline.functions import text as X
 
-_VEHICLE = "struct<`@type`:string,name:string,vehicleIdentificationNumber:string,vehicleTransmission:string,fuelType:string,driveWheelConfiguration:string,color:string,image:array<string>,offers:struct<price:string,priceCurrency:string>>"
+_VEHICLE = (
+    "struct<`@type`:string,vehicleTransmission:string,vehicleEngine:struct<fuelType:string>,driveWheelConfiguration:string,color:string,"
+    "knownVehicleDamages:string,offers:struct<priceCurrency:string>>"
+)
+# Tags that hold nothing.
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 def visible(c: Column) -> Column:
@@ -22,6 +35,71 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), 1))
 
 
+def elements(html: Column, *selectors: str, outer: bool = False) -> Column:
+    """Markup of the elements, in order, that a selector names; outer leaves out those inside another one.
+
+    A selector is tag.class.class with its ancestors before it, parted by blanks; the tag may be absent. A closing tag also
+    closes what is still open inside; without one, an element reaches to the end. Comments, scripts and styles hold no elements.
+    """
+    wanted = [[(step.split(".")[0], set(step.split(".")[1:])) for step in s.split()] for s in selectors]
+    token = re.compile(r"""<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-z][a-z0-9-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.I | re.S)
+    classed = re.compile(r"""(?<![\w-])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+    void = _VOID
+
+    def fits(element, step):
+        return (not step[0] or step[0] == element[0]) and step[1] <= element[1]
+
+    def chosen(element, above, steps):
+        if not fits(element, steps[-1]):
+            return False
+        left = len(steps) - 1
+        for other in reversed(above):
+            left -= left > 0 and fits(other, steps[left - 1])
+        return left == 0
+
+    def cut(text):
+        spans, stack, count, inside = [], [], {}, 0
+        for m in token.finditer(text or ""):
+            name = (m.group(3) or "").lower()
+            if not name or (m.group(2) and not count.get(name)):
+                continue
+            if m.group(2):
+                while True:
+                    other, _, span = stack.pop()
+                    count[other] -= 1
+                    if span is not None:
+                        span[1], inside = m.start(), inside - 1
+                    if other == name:
+                        break
+                continue
+            kind = classed.search(m.group(4))
+            element = (name, set("".join(g or "" for g in kind.groups()).split()) if kind else set())
+            span = None
+            if not (outer and inside) and any(chosen(element, stack, steps) for steps in wanted):
+                span = [m.start(), m.end() if name in void else len(text)]
+                spans.append(span)
+            if name not in void:
+                stack.append((*element, span))
+                count[name], inside = count.get(name, 0) + 1, inside + (span is not None)
+        return [text[a:b] for a, b in spans]
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(cut)
+
+    return found(html)
+
+
+def _first(html: Column, *selectors: str) -> Column:
+    return F.coalesce(F.try_element_at(elements(html, *selectors), F.lit(1)), F.lit(""))
+
+
+def attribute(element: Column, name: str) -> Column:
+    """An attribute of the opening tag at the start of an element; empty without."""
+    opening = F.regexp_extract(element, r"""(?s)^<(?:"[^"]*"|'[^']*'|[^>"'])*>""", 0)
+    return F.trim(F.replace(F.regexp_extract(opening, rf"""(?is)(?<![\w-]){name}\s*=\s*(["'])(.*?)\1""", 2), F.lit("&amp;"), F.lit("&")))
+
+
 def listing_links(html: Column, base: Column, path: str = "/en/car/") -> Column:
     """Links to listings, absolute and canonical, in order, each once."""
     found = F.filter(links(html), lambda u: F.contains(u, F.lit(path)))
@@ -29,28 +107,63 @@ def listing_links(html: Column, base: Column, path: str = "/en/car/") -> Column:
 
 
 def photo_urls(html: Column, formats: bool = False) -> Column:
-    """H4: gallery links to images, or else image sources; without queries, in order, each once; formats keeps jpg, jpeg and png only."""
-    gallery = F.filter(links(html), lambda u: u.rlike(r"(?i)\.(jpe?g|png|webp)(\?|$)"))
-    tags = F.regexp_extract_all(html, F.lit(r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']"""), 1)
-    found = F.array_distinct(F.transform(F.when(F.size(gallery) > 0, gallery).otherwise(tags), X.without_query))
-    return F.filter(found, lambda u: u.rlike(r"(?i)\.(jpe?g|png)$")) if formats else found
+    """H4: links of the gallery, or else image sources of the sliders without queries; in order, each once.
+
+    With formats, only gallery links that name a jpg, jpeg or png, and no other source.
+    """
+    gallery = F.filter(elements(html, "a"), lambda a: attribute(a, "data-fancybox") == "gallery")
+    hrefs = F.array_distinct(F.filter(F.transform(gallery, lambda a: attribute(a, "href")), lambda u: u != ""))
+    if formats:
+        return F.filter(hrefs, lambda u: u.rlike(r"(?i)\.(jpg|jpeg|png)"))
+    images = F.transform(elements(html, ".mySwiper2 img", ".mySwiper img"), lambda i: X.without_query(attribute(i, "src")))
+    return F.when(F.size(hrefs) > 0, hrefs).otherwise(F.array_distinct(F.filter(images, lambda u: u != "")))
 
 
-def vehicle_json(html: Column) -> Column:
-    """JS1: the first JSON-LD object of type Vehicle, alone or in a list, as a struct; null without."""
+def vehicles_json(html: Column, lists: bool = True) -> Column:
+    """The JSON-LD objects of type Vehicle, as structs in order; lists also reads those inside a list."""
     scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*application/ld\+json[^>]*>\s*(.*?)\s*</script>"""), 1)
-    parsed = F.flatten(F.transform(scripts, lambda s: F.when(F.startswith(s, F.lit("[")), F.from_json(s, f"array<{_VEHICLE}>")).otherwise(F.array(F.from_json(s, _VEHICLE)))))
-    return F.try_element_at(F.filter(parsed, lambda v: v["@type"] == "Vehicle"), F.lit(1))
+    many = lambda s: F.from_json(s, f"array<{_VEHICLE}>") if lists else F.array().cast(f"array<{_VEHICLE}>")
+    parsed = F.transform(scripts, lambda s: F.when(F.startswith(s, F.lit("[")), many(s)).otherwise(F.array(F.from_json(s, _VEHICLE))))
+    return F.filter(F.flatten(F.filter(parsed, lambda a: a.isNotNull())), lambda v: v["@type"] == "Vehicle")
+
+
+def vehicle_json(html: Column, lists: bool = True) -> Column:
+    """JS1: the first JSON-LD object of type Vehicle, as a struct; null without."""
+    return F.try_element_at(vehicles_json(html, lists), F.lit(1))
+
+
+def _pair(row: Column) -> Column:
+    """struct(key, value) of a row: its first bold text, lower-cased without colon, and its values element's text or the rest of its own."""
+    raw = visible(F.regexp_extract(row, r"(?is)<b\b[^>]*>(.*?)</b>", 1))
+    values = F.regexp_extract(row, r"""(?is)<div\b[^>]*\bclass\s*=\s*["'][^"']*(?<![\w-])values(?![\w-])[^>]*>(.*?)(?:</div>|\z)""", 0)
+    rest = visible(F.regexp_replace(row, r"(?is)^(.*?)<b\b[^>]*>.*?</b>", "$1 "))
+    value = F.when(values != "", visible(values)).otherwise(F.regexp_replace(rest, r"^[ :]+|[ :]+$", ""))
+    return F.struct(F.regexp_replace(F.lower(raw), r"[\s:]+$", "").alias("key"), value.alias("value"), (values != "").alias("apart"))
+
+
+def _rows(html: Column, *selectors: str) -> Column:
+    return F.filter(F.transform(F.filter(elements(html, *selectors), lambda r: r.rlike(r"(?i)<b\b")), _pair), lambda p: p["key"] != "")
 
 
-def labels(html: Column) -> Column:
-    """JS3: label to value of a page's list and table rows, the last of a label wins; labels lower-cased without colon."""
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<(?:dt|th|span class=\"label\")[^>]*>.*?</(?:dt|th|span)>\s*<(?:dd|td|span)[^>]*>.*?</(?:dd|td|span)>"), 0)
-    key = lambda r: F.regexp_replace(F.lower(visible(F.regexp_extract(r, r"(?is)^<[^>]*>(.*?)</(?:dt|th|span)>", 1))), r"\s*:$", "")
-    value = lambda r: visible(F.regexp_extract(r, r"(?is)</(?:dt|th|span)>\s*<[^>]*>(.*)</(?:dd|td|span)>$", 1))
-    pairs = F.transform(rows, lambda r: F.struct(key(r).alias("key"), value(r).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+def _labelled(rows: Column, *labels: str) -> Column:
+    """The first text, in the labels' order, that is not empty; of rows with one label the first counts."""
+    of = lambda name: F.try_element_at(F.filter(rows, lambda p: p["key"] == name), F.lit(1))["value"]
+    return F.coalesce(*[F.nullif(of(x), F.lit("")) for x in labels])
+
+
+def lot_labels(html: Column) -> Column:
+    """JS3: label to value of the lot's information, the last of a label wins, with winning_bet and average_price where the page shows them."""
+    rows = elements(_first(html, ".lot_information"), "div", "li", "tr", "p")
+    own = F.filter(rows, lambda r: r.rlike(r"(?i)^<\w+[^>]*>[^<]*(?:</?(?:td|th|i|a|span|strong|img)\b[^>]*>[^<]*){0,6}<b\b"))
+    pairs = F.filter(F.transform(own, _pair), lambda p: p["key"] != "")
+    amount = lambda text, label: F.trim(F.regexp_extract(text, rf"(?i){label}:\s*\$?\s*([\d\s]+)", 1))
+    ranges = F.transform(elements(html, ".lot_price_range .text-left"), lambda r: amount(visible(r), "average price"))
+    average = F.coalesce(F.try_element_at(F.filter(ranges, lambda a: a != ""), F.lit(1)), F.lit(""))
+    extra = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
+    shown = F.array(extra("winning_bet", amount(visible(_first(html, ".lot_sold")), "winning bet")), extra("average_price", average))
+    found = F.concat(F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))), F.filter(shown, lambda p: p["value"] != ""))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return F.map_from_entries(F.aggregate(found, none, lambda kept, p: F.concat(F.filter(kept, lambda q: q["key"] != p["key"]), F.array(p))))
 
 
 def first_filled(*sources: Column) -> Column:
@@ -58,70 +171,81 @@ def first_filled(*sources: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(s), F.lit("")) for s in sources])
 
 
-def currency(html: Column, offer: Column) -> Column:
-    """H6: the offer's, else that of the sale's or the price range's element, else USD; in upper case."""
-    shown = F.regexp_extract(html, r"""(?is)class=["'][^"']*\b(?:lot_sold|lot_price_range)\b.*?class=["'][^"']*\bcurrency\b[^>]*>([^<]*)<""", 1)
-    return F.coalesce(F.upper(first_filled(offer, shown)), F.lit("USD"))
+def currency(html: Column) -> Column:
+    """H6: the first currency of a vehicle's offer, else that of the sale's or the price range's element, else USD; in upper case."""
+    offers = F.filter(F.transform(vehicles_json(html), lambda v: F.trim(v["offers"]["priceCurrency"])), lambda c: c != "")
+    shown = visible(_first(html, ".lot_sold .currency", ".lot_price_range .currency"))
+    return F.coalesce(F.upper(first_filled(F.try_element_at(offers, F.lit(1)), shown)), F.lit("USD"))
 
 
 def auction_source(html: Column) -> Column:
     """H7: COPART, IAAI or OTHER by the link, or else the image, in the Auction row of the lot's information; null without."""
-    info = F.regexp_extract(html, r"""(?is)class=["'][^"']*\blot_information\b(.*)$""", 1)
-    row = F.lower(F.regexp_extract(info, r"(?is)<b\b[^>]*>\s*auction\s*:*\s*</b>(.*?)</div>", 1))
-    link = F.regexp_extract(row, r"""(?s)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']""", 1)
-    image = F.regexp_extract(row, r"(?s)<img\b([^>]*)>", 1)
+    rows = F.filter(elements(_first(html, ".lot_information"), ".lot_information div"), lambda r: _pair(r)["key"] == "auction")
+    row = F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit(""))
+    link = F.lower(F.regexp_extract(row, r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']""", 1))
+    image = F.lower(F.regexp_extract(row, r"(?is)<img\b([^>]*)>", 1))
     name = lambda x: F.when(F.contains(x, F.lit("copart")), "COPART").when(F.contains(x, F.lit("iaai")), "IAAI").otherwise("OTHER")
-    return F.when(row.rlike(r"<a\b[^>]*?\bhref"), name(link)).when(row.rlike(r"<img\b"), name(image))
-
-
-def named_house(card: Column) -> Column:
-    """COPART, IAAI, or OTHER where a list card names an auction, else null."""
-    low = F.lower(card)
-    return F.when(F.contains(low, F.lit("copart")), "COPART").when(F.contains(low, F.lit("iaai")), "IAAI").when(low.rlike(r"\bauction\b"), "OTHER")
+    return F.when(row.rlike(r"(?i)<a\b[^>]*?\bhref"), name(link)).when(row.rlike(r"(?i)<img\b"), name(image))
 
 
 def price(lot: Column) -> Column:
     """JS4: the winning bet, else the average price, as a number."""
     at = lambda k: X.digits_as_int(F.try_element_at(lot, F.lit(k)))
-    return F.coalesce(at("winning bet"), at("average price"))
+    return F.coalesce(at("winning_bet"), at("average_price"))
 
 
 def list_rows(pages: DataFrame) -> DataFrame:
-    """One row per listing card of a list page; cards without a link and a VIN are dropped."""
-    cards = F.regexp_extract_all("html", F.lit(r"""(?is)<article\b[^>]*>.*?</article>"""), 0)
-    c = pages.select("page_id", "url", F.explode(cards).alias("card")).withColumn("kv", labels(F.col("card")))
-    kv = lambda k: F.try_element_at(F.col("kv"), F.lit(k))
-    href = F.try_element_at(links(F.col("card")), F.lit(1))
-    damages = X.split_damages(kv("damage"))
+    """One row per lot card of a list page, absent fields empty; cards without a link and a VIN are dropped."""
+    c = pages.select("page_id", "url", F.explode(elements(F.col("html"), "div.lot_list div.row.py-2", outer=True)).alias("card"))
+    c = c.select(
+        "page_id", "url", F.col("card"), _rows(F.col("card"), "div.params div.mt-1").alias("kv"), _first(F.col("card"), ".title a.ajax_link").alias("link"), _first(F.col("card"), ".image_box img").alias("image"),
+        visible(_first(F.col("card"), ".title .text-success")).alias("sold_price"), visible(_first(F.col("card"), ".title .badge")).alias("status"), visible(_first(F.col("card"), ".who_sell")).alias("seller_type"),
+        elements(F.col("card"), "a.btn.btn-info.btn-sm").alias("buttons"), elements(F.col("card"), "img").alias("images"),
+    )
+    kv = lambda k: F.coalesce(_labelled(F.filter("kv", lambda p: p["apart"]), k), F.lit(""))
+    href = attribute(F.col("link"), "href")
+    button = F.try_element_at(F.filter("buttons", lambda b: attribute(b, "target") == "_blank"), F.lit(1))
+    house = F.try_element_at(F.filter(F.transform("images", lambda i: attribute(i, "alt")), lambda a: a.isin("copart", "iaai")), F.lit(1))
     out = c.select(
-        "page_id", X.canonical_url(X.resolve_url(F.col("url"), href)).alias("detail_url"), F.coalesce(X.normal_vin(kv("vin")), X.vin_from_url(href)).alias("vin"), visible(F.regexp_extract("card", r"(?is)<h[1-4][^>]*>(.*?)</h[1-4]>", 1)).alias("title"),
-        kv("status").alias("status"), kv("sold price").alias("sold_price"), kv("seller").alias("seller_type"), kv("engine").alias("engine"), kv("mileage").alias("mileage"), kv("sale date").alias("sale_date"), kv("repair price").alias("repair_price"),
-        kv("market price").alias("market_price"), damages["primary"].alias("primary_damage"), named_house(F.col("card")).alias("auction"), F.try_element_at(photo_urls(F.col("card")), F.lit(1)).alias("image_url"), F.regexp_extract("card", r"""(?i)\balt=["']([^"']*)""", 1).alias("image_alt"),
+        "page_id", F.when(href != "", X.canonical_url(X.resolve_url(F.col("url"), href))).otherwise("").alias("detail_url"), kv("vin").alias("vin"), visible(F.col("link")).alias("title"), "status", "sold_price", "seller_type",
+        kv("engine").alias("engine"), kv("mileage").alias("mileage"), kv("auction date").alias("sale_date"), kv("cost of repair").alias("repair_price"), kv("market value").alias("market_price"), kv("primary damage").alias("primary_damage"),
+        F.coalesce(house, F.lit("")).alias("auction"), F.coalesce(attribute(button, "href"), F.lit("")).alias("auction_url"), attribute(F.col("image"), "src").alias("image_url"), attribute(F.col("image"), "alt").alias("image_alt"),
     )
-    return out.where((F.coalesce("detail_url", F.lit("")) != "") | (F.coalesce("vin", F.lit("")) != ""))
+    return out.where((F.col("detail_url") != "") | (F.col("vin") != ""))
 
 
 def detail_rows(pages: DataFrame) -> DataFrame:
-    """H2: transmission, fuel, drive, secondary damage, color and photos of a detail page; structured data first, labels as a fallback."""
-    p = pages.withColumn("v", vehicle_json(F.col("html"))).withColumn("kv", labels(F.col("html")))
-    kv = lambda k: F.try_element_at(F.col("kv"), F.lit(k))
-    photos = F.when(F.size("v.image") > 0, F.col("v.image")).otherwise(photo_urls(F.col("html")))
+    """H2: transmission, fuel, drive, secondary damage, color and photos of a detail page; structured data first, labels as a fallback.
+
+    Keeps the page's vin where the table has that column.
+    """
+    rows, plain = _rows(F.col("html"), "div.params div.mt-1", "div.params li", "table tr"), _rows(F.col("html"), "div.mt-2", "div.mb-2", "div.mb-4")
+    own = [F.col("vin")] if "vin" in pages.columns else []
+    p = pages.select("url", *own, vehicle_json(F.col("html"), lists=False).alias("v"), rows.alias("rows"), plain.alias("plain"), photo_urls(F.col("html")).alias("photos"))
+
+    def field(structured: Column, labels: list[str], simple: str) -> Column:
+        return F.coalesce(F.nullif(structured, F.lit("")), _labelled(F.col("rows"), *labels), _labelled(F.col("plain"), simple), F.lit(""))
+
     return p.select(
-        X.canonical_url(F.col("url")).alias("detail_url"), F.coalesce(X.normal_vin(F.col("v.vehicleIdentificationNumber")), X.normal_vin(kv("vin"))).alias("vin"), first_filled(F.col("v.vehicleTransmission"), kv("transmission")).alias("transmission"),
-        first_filled(F.col("v.fuelType"), kv("fuel")).alias("fuel_type"), X.drive_type(first_filled(F.col("v.driveWheelConfiguration"), kv("drive"))).alias("drive_type"), first_filled(kv("secondary damage"), X.split_damages(kv("damage"))["secondary"]).alias("secondary_damage"),
-        first_filled(F.col("v.color"), kv("color")).alias("color"), F.to_json(photos).alias("photo_urls_json"),
+        X.canonical_url(F.col("url")).alias("detail_url"), *own, field(F.col("v.vehicleTransmission"), ["transmission"], "transmission").alias("transmission"), field(F.col("v.vehicleEngine.fuelType"), ["fuel type", "fuel"], "fuel").alias("fuel_type"),
+        field(F.col("v.driveWheelConfiguration"), ["drive", "drive type"], "drive").alias("drive_type"), field(X.split_damages(F.col("v.knownVehicleDamages"))["secondary"], ["secondary damage"], "secondary damage").alias("secondary_damage"),
+        field(F.col("v.color"), ["color"], "color").alias("color"), F.to_json("photos").alias("photo_urls_json"),
     )
 
 
 def vehicle_rows(pages: DataFrame) -> DataFrame:
     """H3, H9: one wide record per vehicle page, with a flag where the URL's VIN is another than the page's."""
-    h1 = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    p = pages.withColumn("kv", labels(F.col("html"))).withColumn("h", X.heading(visible(h1))).withColumn("v", vehicle_json(F.col("html")))
+    html = F.col("html")
+    p = pages.select(
+        "url", lot_labels(html).alias("kv"), X.heading(visible(_first(html, "h1"))).alias("h"), currency(html).alias("currency"), auction_source(html).alias("auction_source"),
+        F.nullif(visible(_first(html, ".who_sell")), F.lit("")).alias("seller"), X.join_bar(photo_urls(html, formats=True)).alias("images"),
+    )
     kv = lambda k: F.try_element_at(F.col("kv"), F.lit(k))
-    miles, damages = X.mileage(kv("mileage")), X.split_damages(kv("damage"))
+    shown = F.nullif(X.normal_vin(first_filled(kv("vin"), F.col("h.vin"))), F.lit(""))
+    miles, of_url = X.mileage(kv("mileage")), X.vin_from_url(F.col("url"))
     return p.select(
-        X.record_id(F.col("url")).alias("record_id"), "url", F.coalesce(F.col("h.vin"), X.normal_vin(kv("vin"))).alias("vin"), F.col("h.year").alias("year"), F.col("h.raw").alias("raw"), price(F.col("kv")).alias("price"), currency(F.col("html"), F.col("v.offers.priceCurrency")).alias("currency"),
-        kv("seller").alias("seller"), auction_source(F.col("html")).alias("auction_source"), miles["value"].alias("mileage"), miles["unit"].alias("mileage_unit"), kv("engine").alias("engine"), kv("fuel").alias("fuel"), kv("transmission").alias("transmission"), kv("color").alias("color"),
-        damages["primary"].alias("damage_primary"), damages["secondary"].alias("damage_secondary"), X.drive_type(kv("drive")).alias("drive"), kv("key").alias("key"), X.digits_as_int(kv("repair cost")).alias("cost_of_repair"), X.digits_as_int(kv("market value")).alias("market_value"), X.join_bar(photo_urls(F.col("html"))).alias("images"),
-        F.coalesce(X.vin_from_url(F.col("url")) != F.coalesce(F.col("h.vin"), X.normal_vin(kv("vin"))), F.lit(False)).alias("vin_mismatch"),
+        X.record_id(F.col("url")).alias("record_id"), "url", F.coalesce(shown, of_url).alias("vin"), F.col("h.year").alias("year"), F.col("h.raw").alias("raw"), price(F.col("kv")).alias("price"), "currency", "seller", "auction_source",
+        miles["value"].alias("mileage"), miles["unit"].alias("mileage_unit"), kv("engine").alias("engine"), kv("fuel").alias("fuel"), kv("transmission").alias("transmission"), kv("color").alias("color"),
+        kv("primary damage").alias("damage_primary"), kv("secondary damage").alias("damage_secondary"), X.drive_type(kv("drive")).alias("drive"), kv("key").alias("key"), X.digits_as_int(kv("cost of repair")).alias("cost_of_repair"),
+        X.digits_as_int(kv("market value")).alias("market_value"), "images", F.coalesce(of_url != shown, F.lit(False)).alias("vin_mismatch"),
     )

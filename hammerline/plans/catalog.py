@@ -688,26 +688,95 @@ def h5_listing_links(g):
     return g("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?i)(<a\b[^>]*?\bhref\s*=)"), 1)).cast("long").alias("n"))
 
 
-@query()
+_GALLERY = """<div class="mySwiper2 x"><div><img src="/s/1.jpg?w=9"></div></div><img src="/logo.png">"""
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/p/' || page_id || '.JPG?a=1|/p/2.webp' WHEN 1 THEN '/s/1.jpg' ELSE '' END AS v, CASE page_id % 3 WHEN 0 THEN '/p/' || page_id || '.JPG?a=1' ELSE '' END AS formats FROM pages")
 def h4_photo_urls(g):
-    return g("pages").select("page_id", X.join_bar(P.photo_urls(F.col("html"))).alias("v"))
+    link = F.concat(F.lit('<a href="/p/'), F.col("page_id"), F.lit('.JPG?a=1" data-fancybox="gallery"><img src="x.png"></a>'))
+    more = F.when(F.col("page_id") % 3 == 0, F.concat(link, link, F.lit('<a data-fancybox="gallery" href="/p/2.webp">2</a>'))).otherwise("")
+    more = F.concat(more, F.when(F.col("page_id") % 3 < 2, _GALLERY).otherwise('<img src="/logo.png">'))
+    rows = g("pages").select("page_id", F.concat("html", more).alias("html"))
+    return rows.select("page_id", X.join_bar(P.photo_urls(F.col("html"))).alias("v"), X.join_bar(P.photo_urls(F.col("html"), formats=True)).alias("formats"))
 
 
-@query()
+_CARD = (
+    '<div class="row py-2"><div class="image_box"><a><img src=" /i.jpg " alt="A car"></a></div><div class="x title"><a href="/en/other">o</a><a class="ajax_link y" href="/en/car/{}-kia?x=1"> 2019  Kia <i>Rio</i></a>'
+    '<span class="badge">Sold</span><span class="text-success">$ 1 200</span></div><span class="who_sell">Insurance &amp; co</span><div class="params"><div class="mt-1"><b>Vin:</b><div class="values">{}</div></div>'
+    '<div class="mt-1"><b> Mileage : </b><div class="values"><span>12 000</span> mi</div></div><div class="mt-1"><b>Engine:</b> not apart</div><div class="mt-1"><b>Engine:</b><div class="values">1.6L</div></div>'
+    '<div class="row py-2"><b>inner</b></div></div><img alt="iaai" src="/h.png"><a class="btn btn-info btn-sm" href="/n">n</a><a class="btn btn-sm btn-info" target="_blank" href="https://a.example/{}">go</a></div>'
+)
+
+
+@query(
+    "SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/en/car/' || page_id || '-kia' AS detail_url, 'VIN' || page_id AS vin, '2019 Kia Rio' AS title, 'Sold' AS status, '$ 1 200' AS sold_price, 'Insurance & co' AS seller_type, '1.6L' AS engine, '12 000 mi' AS mileage, "
+    "'' AS sale_date, '' AS repair_price, '' AS market_price, '' AS primary_damage, 'iaai' AS auction, 'https://a.example/' || page_id AS auction_url, '/i.jpg' AS image_url, 'A car' AS image_alt FROM pages "
+    "UNION ALL SELECT page_id, '', 'V2', '', '', '', '', '', '', '', '', '', 'SIDE', '', '', '', '' FROM pages WHERE page_id % 2 = 0"
+)
 def h1_list_rows(g):
-    card = lambda title, link: F.concat(F.lit('<article class="card"><a href="'), link, F.lit('"></a><h2>'), title, F.lit("</h2><dl><dt>VIN:</dt><dd>salwg2rv7ka836801</dd><dt>Damage</dt><dd>Front end, Side</dd></dl></article>"))
-    rows = g("pages").select("page_id", "url", F.concat(card(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.concat(F.lit("/en/car/"), F.col("page_id"))), card(F.lit("2"), F.lit("/en/car/x?y"))).alias("html"))
+    full = F.lit(_CARD)
+    for part in ("page_id", F.concat(F.lit("VIN"), "page_id"), "page_id"):
+        value = F.col(part).cast("string") if isinstance(part, str) else part
+        full = F.concat(F.substring_index(full, "{}", 1), value, F.substr(full, F.locate("{}", full) + 2))
+    poor = F.when(F.col("page_id") % 2 == 0, '<div class="row py-2"><div class="params"><div class="mt-1"><b>Vin:</b><div class="values">V2</div></div><div class="mt-1"><b>Primary damage</b><div class="values">SIDE</div></div></div></div>').otherwise("")
+    empty = '<div class="row py-2"><div class="title">no link</div></div>'
+    rows = g("pages").select("page_id", "url", F.concat(F.lit('<div class="row py-2">outside</div><div class="lot_list">'), full, poor, F.lit(empty + "</div>"), "html").alias("html"))
     return P.list_rows(rows)
 
 
-@query()
+@query(
+    "SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS detail_url, 'V' || page_id AS vin, CASE page_id % 3 WHEN 0 THEN 'Manual' WHEN 1 THEN 'Automatic' ELSE '' END AS transmission, CASE page_id % 3 WHEN 0 THEN 'Gas' WHEN 1 THEN 'Diesel' ELSE '' END AS fuel_type, "
+    "CASE page_id % 3 WHEN 0 THEN 'Rear' WHEN 1 THEN 'All wheel' ELSE '' END AS drive_type, CASE page_id % 3 WHEN 0 THEN 'Side' WHEN 1 THEN 'Roof' ELSE '' END AS secondary_damage, CASE page_id % 3 WHEN 0 THEN 'Red' WHEN 1 THEN 'Blue' ELSE '' END AS color, "
+    "CASE page_id % 3 WHEN 0 THEN '[\"/g.webp\"]' ELSE '[]' END AS photo_urls_json FROM pages"
+)
 def h2_detail_rows(g):
-    return P.detail_rows(g("pages"))
+    structured = (
+        '<script type="application/ld+json">{"@type":"Thing"}</script><script type="application/ld+json">{"@type":"Vehicle","vehicleTransmission":"Manual","vehicleEngine":{"fuelType":"Gas"},"driveWheelConfiguration":"","color":"Red",'
+        '"knownVehicleDamages":"Front end, Side"}</script><div class="params"><ul><li><b>Drive type:</b> Rear</li><li><b>Color:</b> Green</li></ul></div><a data-fancybox="gallery" href="/g.webp"></a>'
+    )
+    plain = (
+        '<script type="application/ld+json">[{"@type":"Vehicle","color":"Red"}]</script><table><tr><td><b>Transmission:</b></td><td>Automatic</td></tr></table><div class="params"><div class="mt-1"><b>Fuel</b><div class="values">Diesel</div></div></div>'
+        '<div class="mt-2"><b>Drive:</b> All wheel</div><div class="mb-4"><b>Secondary damage:</b><span> Roof</span></div><div class="params"><div class="mt-1"><b>Color:</b> Blue</div></div>'
+    )
+    k = F.col("page_id") % 3
+    rows = g("pages").select("page_id", "url", F.concat(F.lit("V"), "page_id").alias("vin"), F.concat(F.when(k == 0, structured).when(k == 1, plain).otherwise(""), "html").alias("html"))
+    return P.detail_rows(rows).withColumn("page_id", F.substring("vin", 2, 20).cast("long"))
 
 
-@query()
+_LOT = (
+    '<h1>2019 Land Rover Sport vin: SALWG2RV7KA836801</h1><span class="who_sell">Dealer</span><div class="lot_information"><div><div class="mt-2"><b>VIN:</b> salwg2rv7ka836801</div><div class="mt-2"><b>Mileage:</b> 12 345 mi</div>'
+    '<div class="mt-2"><b>Auction:</b> <img title="Copart"></div><div class="mt-2"><b>Primary damage:</b> Front end</div><div class="mt-2"><b>Drive:</b> Rear-wheel drive</div><div class="mt-2"><b>Cost of repair:</b> $ 2 500</div>'
+    '<div class="mt-2"><b>Key:</b> no</div><div class="mt-2"><b>Key:</b> yes</div></div></div><div class="lot_price_range"><div class="text-left">Average price: $ 7 000</div></div>'
+)
+
+
+@query(
+    "SELECT page_id, 'SALWG2RV7KA836801' AS vin, 2019 AS year, 'Land Rover Sport' AS raw, CASE WHEN page_id % 2 = 0 THEN 1200 ELSE 7000 END AS price, 'USD' AS currency, 'Dealer' AS seller, 'COPART' AS auction_source, 12345 AS mileage, 'mi' AS mileage_unit, 'Front end' AS damage_primary, "
+    "NULL::VARCHAR AS damage_secondary, 'RWD' AS drive, 'yes' AS key, 2500 AS cost_of_repair, page_id % 10 <> 3 AS vin_mismatch FROM pages"
+)
 def h3_vehicle_rows(g):
-    return P.vehicle_rows(g("pages"))
+    sold = F.when(F.col("page_id") % 2 == 0, '<div class="lot_sold">Winning bet: $1 200</div>').otherwise("")
+    url = F.concat(F.lit("https://h.example/en/car/"), F.when(F.col("page_id") % 10 == 3, "salwg2rv7ka836801").otherwise("salwg2rv7ka836802"), F.lit("_"), "page_id")
+    rows = g("pages").select(url.alias("url"), F.concat(F.lit(_LOT), sold, "html").alias("html"))
+    out = P.vehicle_rows(rows).withColumn("page_id", F.substring_index("url", "_", -1).cast("long"))
+    whole = [F.col(c).cast("int").alias(c) for c in ("year", "price", "mileage", "cost_of_repair")]
+    return out.select("page_id", "vin", "raw", "currency", "seller", "auction_source", "mileage_unit", "damage_primary", "damage_secondary", "drive", "key", "vin_mismatch", *whole)
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Red' WHEN 1 THEN 'Blue' END AS color, CASE WHEN page_id % 3 = 0 THEN 'Red' END AS alone FROM pages")
+def js1_vehicle_json(g):
+    k = F.col("page_id") % 3
+    more = F.when(k == 0, '<script type="application/ld+json"> {"@type":"Vehicle","color":"Red"} </script>').when(k == 1, '<script type="application/ld+json">[{"@type":"Thing","color":"x"},{"@type":"Vehicle","color":"Blue"}]</script>')
+    rows = g("pages").select("page_id", F.concat("html", more.otherwise('<script type="application/ld+json">no json</script>')).alias("html"))
+    return rows.select("page_id", P.vehicle_json(F.col("html"))["color"].alias("color"), P.vehicle_json(F.col("html"), lists=False)["color"].alias("alone"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'average_price=7 000|key=yes|winning_bet=1 200' ELSE 'average_price=7 000|key=yes' END AS v FROM pages")
+def js3_lot_labels(g):
+    sold = F.when(F.col("page_id") % 2 == 0, '<div class="lot_sold">Winning bet: $1 200</div>').otherwise("")
+    rows = g("pages").select("page_id", F.map_entries(P.lot_labels(F.concat(F.lit(_LOT), sold, "html"))).alias("kv"))
+    kept = F.filter("kv", lambda e: e["key"].isin("key", "winning_bet", "average_price"))
+    return rows.select("page_id", F.array_join(F.array_sort(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"]))), "|").alias("v"))
 
 
 @query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'CAD' WHEN 1 THEN 'EUR' ELSE 'USD' END AS currency, CASE page_id % 5 WHEN 1 THEN 'OTHER' WHEN 2 THEN 'COPART' WHEN 3 THEN 'IAAI' END AS source FROM pages")
@@ -717,7 +786,7 @@ def h6_currency_and_source(g):
     more = more.when(k == 1, '<p class="lot_sold">5 <span class="x currency"> eur </span></p>' + lot.format('<a href="https://h.example/">copart</a>'))
     more = more.when(k == 2, lot.format('<a class="y" href="https://www.Copart.com/lot/1"><img title="IAAI"></a>')).when(k == 3, lot.format('<img src="/i.png" title="IAAI">')).otherwise("")
     rows = g("pages").select("page_id", F.concat("html", more).alias("html"))
-    return rows.select("page_id", P.currency(F.col("html"), P.vehicle_json(F.col("html"))["offers"]["priceCurrency"]).alias("currency"), P.auction_source(F.col("html")).alias("source"))
+    return rows.select("page_id", P.currency(F.col("html")).alias("currency"), P.auction_source(F.col("html")).alias("source"))
 
 
 _HAS = lambda words: "(" + " OR ".join(f"contains(lower(html), '{w}')" for w in words) + ")"

@@ -129,14 +129,32 @@ def test_upsert_twice_and_ids(spark):
     assert T.require_columns(old, ["k"], [("w", "v")]).columns == ["k", "w", "t"]
 
 
+def test_elements_follow_the_nesting(spark):
+    def cut(html, *selectors, **more):
+        return spark.createDataFrame([(html,)], "h string").select(pages.elements(F.col("h"), *selectors, **more)).first()[0]
+
+    assert cut("<div class='a b'>1<div>2</div>3</div><div class=b>4", "div.b") == ["<div class='a b'>1<div>2</div>3", "<div class=b>4"]
+    assert cut("<DIV class=a><p>1<p>2</div><p>3", ".a p") == ["<p>1<p>2", "<p>2"]
+    assert cut("<!-- <p>1 --><script>'<p>'</script></b><p title='>'>x</p>", "p") == ["<p title='>'>x"]
+    assert cut("<i class=a><i class=a><i class=b></i></i></i>", ".a", outer=True) == ["<i class=a><i class=a><i class=b></i></i>"]
+    assert cut("<i class=a-b><img class=a><u></u></i>", ".a") == ["<img class=a>"]
+    assert cut("<i class=a><u class=b></u></i>", ".b .a") == [] and cut(None, "p") == [] and cut("", "p") == []
+    deep = "<div class=a>" * 20000
+    assert len(cut(deep, ".a", outer=True)) == 1 and cut("<p>" + "x" * 3_000_000, "p") == ["<p>" + "x" * 3_000_000]
+
+
 def test_pages(spark):
-    html = """<h1>2019 Kia Rio, VIN: salwg2rv7ka836801</h1><script type="application/ld+json">[{"@type":"Thing"},{"@type":"Vehicle","fuelType":"Gas","image":["p.jpg"],"offers":{"priceCurrency":"CAD"}}]</script>
-    <dl><dt>Mileage:</dt><dd>12 345 mi</dd><dt>Damage</dt><dd>Front end, Side</dd><dt>Winning bet</dt><dd>$1 200</dd><dt>Drive</dt><dd>x</dd><dt>Drive</dt><dd>All wheel drive</dd></dl>"""
-    df = spark.createDataFrame([(1, "https://h/en/car/77-a?x=1", html)], "page_id long, url string, html string")
-    v = pages.vehicle_rows(df).first()
-    assert (v.record_id, v.vin, v.year, v.price, v.currency, v.mileage, v.mileage_unit, v.damage_primary, v.damage_secondary, v.drive) == ("77-a", "SALWG2RV7KA836801", 2019, 1200, "CAD", 12345, "mi", "Front end", "Side", "AWD")
-    d = pages.detail_rows(df).first()
-    assert (d.fuel_type, d.secondary_damage, d.photo_urls_json) == ("Gas", "Side", '["p.jpg"]')
+    html = """<h1>2019 Kia Rio vin: salwg2rv7ka836801</h1><script type="application/ld+json">[{"@type":"Thing"},{"@type":"Vehicle","color":"Red","offers":{"priceCurrency":" cad"}}]</script>
+    <div class="lot_information x"><div class="mt-2"><b>Mileage:</b> 12 345 mi</div><ul><li><i class="y"></i><b>Drive:</b> x</li><li><b>Drive</b> All wheel drive</li></ul><table><tr><td><b>Engine</b></td><td>1.6</td></tr></table></div>
+    <p class="lot_sold">Winning bet: $1 200</p>"""
+    rows = [(1, "https://h/en/car/77-a?x=1", html), (2, None, None), (3, "https://h/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    v, *bare = pages.vehicle_rows(df).collect()
+    assert (v.record_id, v.vin, v.year, v.raw, v.price, v.currency, v.mileage, v.mileage_unit, v.drive, v.engine) == ("77-a", "SALWG2RV7KA836801", 2019, "Kia Rio", 1200, "CAD", 12345, "mi", "AWD", "1.6")
+    assert all(r.vin is None and r.price is None and r.currency == "USD" and r["images"] == "" for r in bare)
+    d = pages.detail_rows(df).collect()
+    assert [(r.color, r.transmission, r.photo_urls_json) for r in d] == [("", "", "[]")] * 3
+    assert pages.list_rows(df).count() == 0 and pages.list_rows(df.where("false")).count() == 0
 
 
 def test_throughput(spark):
