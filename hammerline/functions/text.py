@@ -70,25 +70,38 @@ def _quote(word: str) -> str:
     return "".join("\\" + ch if ch in ".&-/" else ch for ch in word)
 
 
+def title_steps(c: Column) -> list[tuple]:
+    """The columns, each from those before it, that end in a title's year, make, model and rest."""
+    plain_trim = lambda x, i: (i > 0) & (x.isin(TRIM_STARTERS) | x.rlike(r"^(\d\.\dT?|V\d|I\d)$"))
+
+    def plain(v):
+        tokens = F.split(v["tail"], " ")
+        cut = F.array_position(F.transform(tokens, plain_trim), F.lit(True)).cast("int")
+        return F.when(cut > 0, F.array_join(F.slice(tokens, F.lit(1), F.greatest(cut - 1, F.lit(0))), " ")).otherwise(v["tail"])
+
+    return [
+        ("title", lambda v: normal_title(c)),
+        ("dated", lambda v: v["title"].rlike(r"^(19|20)\d{2}\b")),
+        ("after", lambda v: F.trim(F.substring(v["title"], F.lit(5), F.length(v["title"])))),
+        ("many", lambda v: F.regexp_extract(v["after"], f"^({_one_of(MULTIWORD_MAKES)})(?= |$)", 1)),
+        ("own_make", lambda v: F.when(v["many"] != "", v["many"]).otherwise(F.substring_index(v["after"], " ", 1))),
+        ("tail", lambda v: F.trim(F.substring(v["after"], F.length(v["own_make"]) + 1, F.length(v["after"])))),
+        ("known", lambda v: F.regexp_extract(v["tail"], f"^({_one_of(MULTIWORD_MODELS)})(?= |$)", 1)),
+        ("pair", lambda v: F.regexp_extract(v["tail"], r"^([A-Z]+ [0-9]{1,4}[A-Z]*)(?= |$)", 1)),
+        ("own_model", lambda v: F.when(v["known"] != "", v["known"]).when(v["pair"] != "", v["pair"]).otherwise(plain(v))),
+        ("year", lambda v: F.when(v["dated"], F.substring(v["title"], 1, 4).cast("int"))),
+        ("make", lambda v: F.when(v["dated"], v["own_make"])),
+        ("model", lambda v: F.when(v["dated"], v["own_model"]).otherwise(v["title"])),
+        ("rest", lambda v: F.when(v["dated"], F.trim(F.substring(v["tail"], F.length(v["own_model"]) + 1, F.length(v["tail"])))).when(v["title"].isNotNull(), "")),
+    ]
+
+
 def parse_title(c: Column) -> Column:
     """struct(year, make, model, rest) of a listing title."""
-    t = normal_title(c)
-    has_year = t.rlike(r"^(19|20)\d{2}\b")
-    after = F.trim(F.substring(t, F.lit(5), F.length(t)))
-    many = F.regexp_extract(after, f"^({_one_of(MULTIWORD_MAKES)})(?= |$)", 1)
-    make = F.when(many != "", many).otherwise(F.substring_index(after, " ", 1))
-    tail = F.trim(F.substring(after, F.length(make) + 1, F.length(after)))
-    known = F.regexp_extract(tail, f"^({_one_of(MULTIWORD_MODELS)})(?= |$)", 1)
-    pair = F.regexp_extract(tail, r"^([A-Z]+ [0-9]{1,4}[A-Z]*)(?= |$)", 1)
-    tokens = F.split(tail, " ")
-    starts = lambda x, i: (i > 0) & (x.isin(TRIM_STARTERS) | x.rlike(r"^(\d\.\dT?|V\d|I\d)$"))
-    cut = F.array_position(F.transform(tokens, starts), F.lit(True)).cast("int")
-    plain = F.when(cut > 0, F.array_join(F.slice(tokens, F.lit(1), F.greatest(cut - 1, F.lit(0))), " ")).otherwise(tail)
-    model = F.when(known != "", known).when(pair != "", pair).otherwise(plain)
-    rest = F.trim(F.substring(tail, F.length(model) + 1, F.length(tail)))
-    return F.when(has_year, F.struct(F.substring(t, 1, 4).cast("int").alias("year"), make.alias("make"), model.alias("model"), rest.alias("rest"))).otherwise(
-        F.struct(F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("make"), t.alias("model"), F.when(t.isNotNull(), F.lit("")).alias("rest"))
-    )
+    found: dict[str, Column] = {}
+    for name, step in title_steps(c):
+        found[name] = step(found)
+    return F.struct(*[found[n].alias(n) for n in ("year", "make", "model", "rest")])
 
 
 def canonical_url(c: Column) -> Column:

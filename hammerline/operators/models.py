@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hammerline.functions import numbers as N, text as X
 from hammerline.operators import metrics as M
+from hammerline.sources import tables as T
 
 
 def median_table(train: DataFrame, numbers: list[str]) -> DataFrame:
@@ -73,7 +74,8 @@ def benchmark(train: DataFrame, test: DataFrame, target: str, categories: list[s
     """Three metric rows (linear, log, blend) for each kind of model."""
     rows = []
     for name, settings in kinds.items():
-        kind, one_hot = settings.pop("kind", name), settings.pop("one_hot", True)
+        kind, one_hot = settings.get("kind", name), settings.get("one_hot", True)
+        settings = {k: v for k, v in settings.items() if k not in ("kind", "one_hot")}
         p = predict_pair(test, fit_pair(train, target, categories, numbers, kind, one_hot, **settings))
         rows.append(M.stacked(p, target, {f"{name}_{v}": f"p_{v}" for v in ("linear", "log", "blend")}))
     return reduce(DataFrame.unionByName, rows)
@@ -193,5 +195,50 @@ def load_bundle(spark, path: str) -> tuple[dict[str, PipelineModel], dict[str, D
     return {n: PipelineModel.load(f"{path}/models/{n}") for n in index["models"]}, {n: spark.read.parquet(f"{path}/tables/{n}") for n in index["tables"]}, index["facts"]
 
 
+def load_classifier(spark, path: str) -> PipelineModel:
+    """The classifier of a bundle, by the name classifier or else model, or the bare model of the folder."""
+    models, _, _ = load_bundle(spark, path)
+    for name in ("classifier", "model"):
+        if name in models:
+            return models[name]
+    raise ValueError(f"no classifier in {path}")
+
+
+def expert_metrics(test: DataFrame, experts: dict[str, PipelineModel], counts: DataFrame, target: str) -> DataFrame:
+    """Each expert on the test rows of its own class, with train_count; classes without test rows have no row."""
+    rows = test.withColumn("segment", N.price_class(F.col(target))).where(F.col("segment").isin(list(experts)))
+    own = [M.by_segment(model.transform(rows.where(F.col("segment") == label)), "segment", target, "p") for label, model in experts.items()]
+    if not own:
+        raise ValueError("no experts")
+    return reduce(DataFrame.unionByName, own).join(F.broadcast(counts.withColumnRenamed("count", "train_count")), "segment")
+
+
+def scored_by_pair(df: DataFrame, path: str) -> DataFrame:
+    """Rows with both component predictions and their blend, by the bundle of a pair.
+
+    The bundle has models linear and log, and as facts features, linear_weight, log_weight, min_price and max_price.
+    """
+    models, _, facts = load_bundle(df.sparkSession, path)
+    rows = T.require_columns(df, facts["features"])
+    weights = (facts["linear_weight"], facts["log_weight"])
+    return predict_pair(rows, (models["linear"], models["log"]), weights, facts["min_price"], facts["max_price"])
+
+
+def scored_by_experts(df: DataFrame, path: str) -> DataFrame:
+    """Rows with the soft and the hard routed price, by the bundle of classifier, experts and overall model.
+
+    The bundle has models classifier, overall and expert_<k>, and as facts features, experts (class to model name), top_k
+    (null: all classes) and temperature. A null category is UNKNOWN; no secondary damage is NONE.
+    """
+    models, _, facts = load_bundle(df.sparkSession, path)
+    rows = T.require_columns(df, facts["features"])
+    texts = {c: F.coalesce(c, F.lit("UNKNOWN")) for c, kind in rows.dtypes if kind == "string" and c in facts["features"]}
+    if "secondary_damage" in texts:
+        texts["secondary_damage"] = F.when(texts["secondary_damage"] == "UNKNOWN", "NONE").otherwise(texts["secondary_damage"])
+    names = class_names(models["classifier"])
+    routed = with_expert_predictions(with_probabilities(rows.withColumns(texts) if texts else rows, models["classifier"]), {c: models[m] for c, m in facts["experts"].items()}, models["overall"])
+    return soft_mixture(hard_routed(routed, names), names, facts.get("top_k") or len(names), facts.get("temperature") or 1.0)
+
+
 def base_column(c: Column, categories: list[str]) -> Column:
     return X.base_feature(c, categories)

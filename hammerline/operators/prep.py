@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from hammerline.functions import numbers as N, text as X
+from hammerline.sources import tables as T
 from hammerline.sources.fix import fixed
 
 CATEGORIES = ["make", "model", "fuel_type", "transmission", "drive_type", "primary_damage", "secondary_damage", "seller_type", "color"]
@@ -131,6 +132,44 @@ def oof_group_median(df: DataFrame, fold: Column, k: int, keys: list[str] = KEYS
     return out.withColumn(name, F.coalesce("_m", "_all")).select(*df.columns, name)
 
 
+def feature_columns(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+    """The feature columns alone, in their order; an absent one is an error."""
+    return T.require_columns(df, columns).select(*columns)
+
+
+def scoring_rows(df: DataFrame, stats: PrepStats, medians: DataFrame, overall: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+    """M7: raw listings prepared for scoring with saved statistics only: cleaned, filtered by year and mileage, the saved median of
+    their key, null categories UNKNOWN, numbers finite or null."""
+    rows = with_group_median(apply(rowwise(df), stats, training=False), medians, overall)
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")) for c in CATEGORIES}
+    return feature_columns(rows.withColumns(texts | {c: _double(rows, c) for c in columns if c not in CATEGORIES}), columns)
+
+
+def with_parsed_title(df: DataFrame, column: str = "title", prefix: str = "") -> DataFrame:
+    """The row with year, make, model and rest of its title; steps are columns, so that each pattern is matched once."""
+    made: dict[str, Column] = {}
+    out = df
+    for name, step in X.title_steps(F.col(column)):
+        out = out.withColumn(f"_title_{name}", step(made))
+        made[name] = F.col(f"_title_{name}")
+    kept = {f"{prefix}{n}": made[n] for n in ("year", "make", "model", "rest")}
+    return out.select(*[c for c in df.columns if c not in kept], *[v.alias(n) for n, v in kept.items()])
+
+
+def listing_detail_severity(listings: DataFrame, details: DataFrame, severity: DataFrame, details_order: list[str], severity_order: list[str]) -> DataFrame:
+    """Listings beside the last detail of their detail_url and the last severity of their vin, in the orders given.
+
+    Of columns on both sides the listing's stays; damage_*_severity becomes *_damage_severity. Null keys find nothing.
+    """
+    lone = T.latest_per_key(details.where("detail_url IS NOT NULL"), ["detail_url"], details_order)
+    lone = lone.drop(*[c for c in lone.columns if c in listings.columns and c != "detail_url"])
+    out = listings.join(lone, "detail_url", "left")
+    last = T.latest_per_key(severity.where("vin IS NOT NULL"), ["vin"], severity_order)
+    for k in ("primary", "secondary"):
+        last = last.withColumnRenamed(f"damage_{k}_severity", f"{k}_damage_severity")
+    return out.join(last.drop(*[c for c in last.columns if c in out.columns and c != "vin"]), "vin", "left")
+
+
 def hash_split(df: DataFrame, key: str, percent: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """M1: train and test by a hash of the key: the same under any partitioning."""
     test = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < percent

@@ -232,6 +232,24 @@ def j8_list_detail_severity(g):
     return rows.select("o_orderkey", "c_mktsegment", F.col("n_name").alias("nation"))
 
 
+@query(
+    "SELECT o.o_orderkey, n.n_name AS color, CASE WHEN s.n > 0 THEN s.n END AS primary_damage_severity FROM orders o LEFT JOIN nation n ON o.o_custkey % 30 = n.n_nationkey "
+    "LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1) s ON o.o_orderkey = s.l_orderkey"
+)
+def j8_listing_detail_severity(g):
+    orders, twice = g("orders"), g("nation").withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
+    listings = orders.select("o_orderkey", (F.col("o_custkey") % 30).cast("string").alias("detail_url"), F.col("o_orderkey").cast("string").alias("vin"))
+    details = twice.select(F.col("n_nationkey").cast("string").alias("detail_url"), "turn", F.when(F.col("turn") == 2, F.col("n_name")).alias("color"), F.lit("detail").alias("vin"))
+    severity = g("lineitem").select(F.col("l_orderkey").cast("string").alias("vin"), F.col("l_linenumber").alias("damage_primary_severity"))
+    return prep.listing_detail_severity(listings, details, severity, ["turn"], ["damage_primary_severity"]).select("o_orderkey", "color", "primary_damage_severity")
+
+
+@query("SELECT order_id, line, make, fuel_type, mileage, year FROM cleaned".replace("SELECT", sql_of(CLEANED) + "SELECT", 1), "listings")
+def p1_feature_columns(g):
+    columns = ["order_id", "line", "make", "fuel_type", "mileage", "year"]
+    return prep.feature_columns(cleaned(g), columns)
+
+
 @query("SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS k, c_name FROM customer WHERE c_custkey % 3 > 0) c ON CAST(o.o_custkey AS VARCHAR) = c.k")
 def j2_metadata_by_text_key(g):
     known = g("customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").cast("string").alias("k"), "c_name")
@@ -486,7 +504,7 @@ def x3_normal_title(g):
     "titles",
 )
 def x4_parse_title(g):
-    return g.make("titles").select("id", X.parse_title(F.col("title")).alias("t")).select("id", "t.*")
+    return prep.with_parsed_title(g.make("titles")).drop("title")
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS v FROM urls", "urls")

@@ -50,3 +50,33 @@ def test_soft_weights_fall_back_to_the_overall_model(spark):
     r = M.soft_mixture(df, ["a", "b", "c"], k=2, temperature=1.0).first()
     assert r.soft_pred == pytest.approx(0.625 * 10 + 0.375 * 100) and r.soft_top1_segment == "a"
     assert N.price_class(F.lit(1)) is not None
+
+
+def test_scores_from_saved_bundles(rows, spark, tmp_path):
+    pair = M.fit_pair(rows, "sold_price", CATS, NUMS, "linear")
+    facts = {"features": ["make", "mileage"], "linear_weight": 0.4, "log_weight": 0.6, "min_price": 0.0, "max_price": 15_000.0}
+    M.save_bundle(str(tmp_path / "pair"), {"linear": pair[0], "log": pair[1]}, {}, facts, rows)
+    want = {r.id: r.p_blend for r in M.predict_pair(rows, pair, (0.4, 0.6), 0.0, 15_000.0).collect()}
+    got = {r.id: r.p_blend for r in M.scored_by_pair(rows.drop("sold_price"), str(tmp_path / "pair")).collect()}
+    assert got == pytest.approx(want) and max(got.values()) <= 15_000
+    with pytest.raises(ValueError):
+        M.scored_by_pair(rows.drop("mileage"), str(tmp_path / "pair"))
+
+    cls = M.train_classes(rows, "sold_price", CATS, NUMS, numTrees=5, maxDepth=4)
+    experts, overall, counts = M.train_experts(rows, "sold_price", CATS, NUMS, least=150, maxIter=2, maxDepth=3)
+    named = {c: f"expert_{k}" for k, c in enumerate(experts)}
+    facts = {"features": ["make", "mileage"], "experts": named, "top_k": 2, "temperature": 0.8}
+    M.save_bundle(str(tmp_path / "e"), {"classifier": cls, "overall": overall} | {named[c]: m for c, m in experts.items()}, {"counts": counts}, facts, rows)
+    names = M.class_names(cls)
+    direct = M.soft_mixture(M.hard_routed(M.with_expert_predictions(M.with_probabilities(rows, cls), experts, overall), names), names)
+    want = {r.id: (r.soft_pred, r.hard_pred) for r in direct.collect()}
+    got = {r.id: (r.soft_pred, r.hard_pred) for r in M.scored_by_experts(rows.drop("sold_price"), str(tmp_path / "e")).collect()}
+    assert all(got[i] == pytest.approx(w) for i, w in want.items()) and len(got) == 600
+    assert M.class_names(M.load_classifier(spark, str(tmp_path / "e"))) == names
+    own = {r.segment: r for r in M.expert_metrics(rows, experts, counts, "sold_price").collect()}
+    assert set(own) == set(experts) and all(r.train_count >= 150 and r.MAE >= 0 for r in own.values())
+    overall.write().save(str(tmp_path / "bare"))
+    assert M.load_classifier(spark, str(tmp_path / "bare")).stages
+    M.save_bundle(str(tmp_path / "none"), {}, {}, {}, rows)
+    with pytest.raises(ValueError):
+        M.load_classifier(spark, str(tmp_path / "none"))

@@ -210,3 +210,33 @@ def test_page_outcomes(spark):
     assert all(r.want == r.got for r in df.withColumn("got", X.page_outcome(F.col("s"), F.col("h"), F.col("r"), F.col("u"))).collect())
     lists = spark.createDataFrame([('<div class="lot_list">', "valid"), ("vin", "unexpected")], "h string, want string")
     assert all(r.want == r.got for r in lists.withColumn("got", X.page_outcome(F.lit(200), F.col("h"), F.lit(None).cast("string"), listing=True)).collect())
+
+
+def test_files(spark, tmp_path):
+    rows = [(1, 'a "b", c', None), (2, "line", "x")]
+    df = spark.createDataFrame(rows, "k int, t string, u string")
+    T.write_csv(df, str(tmp_path / "c"))
+    T.write_csv(df, str(tmp_path / "c"))
+    assert sorted(map(tuple, T.read_csv(spark, str(tmp_path / "c"), "k int, t string, u string").collect())) == rows
+    for _ in range(2):
+        T.append_fixed(df, str(tmp_path / "a"), ["t", "absent"])
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "a")).collect())) == sorted([('a "b", c', ""), ("line", "")] * 2)
+
+
+def test_scoring_uses_saved_statistics_only(spark):
+    train = spark.createDataFrame([("kia", "rio", 2019.0, 5000.0 + i, 10.0 * i) for i in range(120)], "make string, model string, year double, sold_price double, mileage double")
+    clean = prep.rowwise(train)
+    stats, medians = prep.fit(clean), prep.group_median(clean)
+    overall = clean.agg(F.median("sold_price").alias("median"))
+    asked = spark.createDataFrame([("Kia ", "rio", "2019", "5"), ("new", "x", "2019", None), ("kia", "rio", "1900", "5")], "make string, model string, year string, mileage string")
+    got = prep.scoring_rows(asked, stats, medians, overall)
+    assert got.columns == prep.FEATURES
+    assert {(r.make, r.make_model_year_price_median, r.engine_volume) for r in got.collect()} == {("KIA", 5059.5, 2.0)} | {("OTHER", 5059.5, 2.0) for r in got.collect() if r.make == "OTHER"}
+
+
+def test_parsed_title_beside_the_row(spark):
+    df = spark.createDataFrame([(1, "2019 Ford F 150 XLT", "x"), (2, None, "y")], "id int, title string, make string")
+    out = prep.with_parsed_title(df)
+    assert out.columns == ["id", "title", "year", "make", "model", "rest"]
+    assert [tuple(r)[2:] for r in out.orderBy("id").collect()] == [(2019, "FORD", "F 150", "XLT"), (None, None, None, None)]
+    assert [tuple(r.t) for r in df.select(X.parse_title(F.col("title")).alias("t")).collect()] == [(2019, "FORD", "F 150", "XLT"), (None, None, None, None)]
