@@ -42,7 +42,7 @@ def elements(html: Column, *selectors: str, outer: bool = False) -> Column:
     closes what is still open inside; without one, an element reaches to the end. Comments, scripts and styles hold no elements.
     """
     wanted = [[(step.split(".")[0], set(step.split(".")[1:])) for step in s.split()] for s in selectors]
-    token = re.compile(r"""<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-z][a-z0-9-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.I | re.S)
+    token = re.compile(r"""<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-z][a-z0-9-]*)((?:"[^"]*"|'[^']*'|[^>"']++)*+)>""", re.I | re.S)
     classed = re.compile(r"""(?<![\w-])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
     void = _VOID
 
@@ -58,8 +58,11 @@ def elements(html: Column, *selectors: str, outer: bool = False) -> Column:
         return left == 0
 
     def cut(text):
+        # A page without the classes' names has no such element and isn't gone through.
+        if not text or not any(all(c in text for step in steps for c in step[1]) for steps in wanted):
+            return []
         spans, stack, count, inside = [], [], {}, 0
-        for m in token.finditer(text or ""):
+        for m in token.finditer(text):
             name = (m.group(3) or "").lower()
             if not name or (m.group(2) and not count.get(name)):
                 continue
@@ -94,6 +97,11 @@ def _first(html: Column, *selectors: str) -> Column:
     return F.coalesce(F.try_element_at(elements(html, *selectors), F.lit(1)), F.lit(""))
 
 
+def _of(value: Column, use) -> Column:
+    """use(value), where the value is worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def attribute(element: Column, name: str) -> Column:
     """An attribute of the opening tag at the start of an element; empty without."""
     opening = F.regexp_extract(element, r"""(?s)^<(?:"[^"]*"|'[^']*'|[^>"'])*>""", 0)
@@ -182,10 +190,10 @@ def auction_source(html: Column) -> Column:
     """H7: COPART, IAAI or OTHER by the link, or else the image, in the Auction row of the lot's information; null without."""
     rows = F.filter(elements(_first(html, ".lot_information"), ".lot_information div"), lambda r: _pair(r)["key"] == "auction")
     row = F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit(""))
-    link = F.lower(F.regexp_extract(row, r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']""", 1))
-    image = F.lower(F.regexp_extract(row, r"(?is)<img\b([^>]*)>", 1))
     name = lambda x: F.when(F.contains(x, F.lit("copart")), "COPART").when(F.contains(x, F.lit("iaai")), "IAAI").otherwise("OTHER")
-    return F.when(row.rlike(r"(?i)<a\b[^>]*?\bhref"), name(link)).when(row.rlike(r"(?i)<img\b"), name(image))
+    link = lambda r: name(F.regexp_extract(r, r"""(?s)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']""", 1))
+    image = lambda r: name(F.regexp_extract(r, r"(?s)<img\b([^>]*)>", 1))
+    return _of(F.lower(row), lambda r: F.when(r.rlike(r"<a\b[^>]*?\bhref"), link(r)).when(r.rlike(r"<img\b"), image(r)))
 
 
 def price(lot: Column) -> Column:
@@ -237,7 +245,7 @@ def vehicle_rows(pages: DataFrame) -> DataFrame:
     """H3, H9: one wide record per vehicle page, with a flag where the URL's VIN is another than the page's."""
     html = F.col("html")
     p = pages.select(
-        "url", lot_labels(html).alias("kv"), X.heading(visible(_first(html, "h1"))).alias("h"), currency(html).alias("currency"), auction_source(html).alias("auction_source"),
+        "url", lot_labels(html).alias("kv"), _of(visible(_first(html, "h1")), X.heading).alias("h"), currency(html).alias("currency"), auction_source(html).alias("auction_source"),
         F.nullif(visible(_first(html, ".who_sell")), F.lit("")).alias("seller"), X.join_bar(photo_urls(html, formats=True)).alias("images"),
     )
     kv = lambda k: F.try_element_at(F.col("kv"), F.lit(k))
