@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hammerline.llm.alignment import aligned_texts, linked_counts, sha256_or_empty
 from hammerline.llm.crf_quality import quality_scores
+from hammerline.llm.exact_dedup import equal_texts, folded
 from hammerline.llm.jaccard_join import jaccard_components
 from hammerline.llm.license_scan import license_notices
 from hammerline.llm.multi_index import nearest_vectors
@@ -18,7 +20,7 @@ from hammerline.llm.ppm import score_documents
 from hammerline.llm.quality_rules import quality_verdicts
 from hammerline.llm.suffix_dedup import repeated_bytes
 
-WORD_VOCABULARY, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_VOCABULARY, BYTE_VOCABULARY, PIECE_MODEL = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +71,17 @@ def op10_information_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_secret", "n_found")
 
 
+def op12_radix_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return equal_texts(_table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(folded(F.col("text")).cast("binary"), 256)})
+
+
+def op13_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_MODEL)
+    return linked_counts(aligned_texts(_table(spark, sf_dir, "documents"), *files, groups=sha256_or_empty)).withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_perplexity_rules, op2_count_vector_join, op3_line_field_quality, op4_fuzzy_notices, op5_suffix_dedup, op6_best_fit_packing, op7_partial_matching, op8_inverted_multi_index, op9_distinct_chunks, op10_information_sanitising]
+    found = [op1_perplexity_rules, op2_count_vector_join, op3_line_field_quality, op4_fuzzy_notices, op5_suffix_dedup, op6_best_fit_packing, op7_partial_matching, op8_inverted_multi_index, op9_distinct_chunks, op10_information_sanitising, op12_radix_copies, op13_interval_alignment]
     return {f.__name__: f for f in found}
 
 
@@ -95,5 +106,14 @@ FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN reach r ON r.node
 """
 
 
+_OP12_SQL = r"""
+WITH folded AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+groups AS (
+    SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM folded)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM groups
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_count_vector_join": _OP2_SQL}
+    return {"op2_count_vector_join": _OP2_SQL, "op12_radix_copies": _OP12_SQL}

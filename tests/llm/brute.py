@@ -138,3 +138,76 @@ class PartialMatching:
                 out += math.log10(d / (n + d))
             gone |= set(m)
         return out - math.log10(max(1, 257 - len(self.count[0][()])))
+
+
+def copies(rows):
+    """rows: (id, text); per row (id, keep_id, group_size, kept, sha256)."""
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[low(t)].append(i)
+    keep = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return [(i, keep[low(t)], len(groups[low(t)]), i == keep[low(t)], hashlib.sha256(low(t).encode()).hexdigest()) for i, t in rows]
+
+
+def aligned(rows, a_vocabulary, b_model):
+    """rows: (id, text); per id (n_a, n_b, n_groups, n_links, n_best, count_sum, groups)."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    from tokenizers.decoders import ByteLevel
+
+    a, b = Tokenizer.from_file(a_vocabulary), sentencepiece.SentencePieceProcessor(model_file=b_model)
+    a.encode_special_tokens = True
+    chars = {}
+    for k in range(256):
+        if 0x21 <= k <= 0x7E or 0xA1 <= k <= 0xAC or 0xAE <= k:
+            chars[chr(k)] = k
+    for k in range(256):
+        if k not in set(chars.values()):
+            chars[chr(256 + len(chars) - 188)] = k
+    assert ByteLevel().decode(["".join(c for c in chars if chars[c] < 128)]).encode() == bytes(x for x in chars.values() if x < 128)
+    found, count = {}, collections.Counter()
+    for i, t in rows:
+        if not t:
+            found[i] = None
+            continue
+        ea, eb = a.encode(" " + t, add_special_tokens=False), b.encode(t)
+        ba = [bytes(chars[c] for c in x) for x in ea.tokens]
+        bb = [bytes([int(b.id_to_piece(x)[1:-1], 16)]) if b.is_byte(x) else b.id_to_piece(x).replace("▁", " ").encode() for x in eb]
+        if b"".join(ba) != (" " + t).encode() or b"".join(bb) != (" " + t).encode():
+            found[i] = None
+            continue
+        ends_a, ends_b = _sums(ba), _sums(bb)
+        both = set(ends_a) & set(ends_b)
+        groups, ka, kb, links = [], 0, 0, []
+        for end in sorted(both):
+            ga, gb = [], []
+            while ka < len(ba) and ends_a[ka] <= end:
+                ga.append(ka)
+                ka += 1
+            while kb < len(bb) and ends_b[kb] <= end:
+                gb.append(kb)
+                kb += 1
+            groups.append((ga, gb))
+            links += [(ea.ids[x], eb[y]) for x in ga for y in gb if ends_a[x] - len(ba[x]) < ends_b[y] and ends_b[y] - len(bb[y]) < ends_a[x]]
+        count.update(links)
+        found[i] = (ea.ids, eb, groups, links)
+    best = collections.Counter()
+    for (_, y), n in count.items():
+        best[y] = max(best[y], n)
+    out = {}
+    for i, x in found.items():
+        if x is None:
+            out[i] = (0, 0, 0, 0, 0, 0, "")
+            continue
+        ia, ib, groups, links = x
+        text = ";".join(",".join(str(ia[k]) for k in ga) + "|" + ",".join(str(ib[k]) for k in gb) for ga, gb in groups)
+        out[i] = (len(ia), len(ib), len(groups), len(links), sum(count[p] == best[p[1]] for p in links), sum(count[p] for p in links), text)
+    return out
+
+
+def _sums(parts):
+    out, n = [], 0
+    for p in parts:
+        n += len(p)
+        out.append(n)
+    return out
