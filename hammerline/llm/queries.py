@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hammerline.llm.alignment import aligned_texts, linked_counts, sha256_or_empty
+from hammerline.llm.conversations import repair_conversations
 from hammerline.llm.crf_quality import quality_scores
 from hammerline.llm.exact_dedup import equal_texts, folded
 from hammerline.llm.jaccard_join import jaccard_components
@@ -71,6 +72,10 @@ def op10_information_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_secret", "n_found")
 
 
+def op11_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op12_radix_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equal_texts(_table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(folded(F.col("text")).cast("binary"), 256)})
 
@@ -81,7 +86,7 @@ def op13_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_perplexity_rules, op2_count_vector_join, op3_line_field_quality, op4_fuzzy_notices, op5_suffix_dedup, op6_best_fit_packing, op7_partial_matching, op8_inverted_multi_index, op9_distinct_chunks, op10_information_sanitising, op12_radix_copies, op13_interval_alignment]
+    found = [op1_perplexity_rules, op2_count_vector_join, op3_line_field_quality, op4_fuzzy_notices, op5_suffix_dedup, op6_best_fit_packing, op7_partial_matching, op8_inverted_multi_index, op9_distinct_chunks, op10_information_sanitising, op11_run_length_repair, op12_radix_copies, op13_interval_alignment]
     return {f.__name__: f for f in found}
 
 

@@ -211,3 +211,64 @@ def _sums(parts):
         n += len(p)
         out.append(n)
     return out
+
+
+def repaired(rows):
+    """rows: (conv_id, turn, role, text); per conv_id the report of the damaged and repaired conversation, by one state and turn at a time."""
+    convs = collections.defaultdict(list)
+    for c, n, r, t in rows:
+        own = convs[c]
+        r, t = (" " if r is None else r), (" " if t is None else t)
+        code = zlib.crc32(f"{' ' if c is None else c}:{' ' if n is None else n}".encode()) % 20
+        if code == 0:
+            continue
+        t = "" if code == 1 else re.sub("[.!?]", "", t) if code == 2 else t
+        own += [(n, "user" if code == 4 else r, t)] * (2 if code == 3 else 1)
+    return {c: _repaired(sorted(own, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), x[2].encode()))) for c, own in convs.items()}
+
+
+def _repaired(rows):
+    nothing = hashlib.sha256(b"").hexdigest()
+    if not rows:
+        return 0, 0, 0, 0, 0, 0, "", nothing
+    faults, seen = [], set()
+    for _, r, t in rows:
+        w = re.sub(r"[\x20\x09-\x0D]", "", t)
+        faults.append("b" if not w else "d" if (r, t) in seen else "t" if w[-1] not in ".!?" else "")
+        seen.add((r, t))
+    turns = [n for n, _, _ in rows if n is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum((a[1][:1] + b[1][:1]) not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    def with_inserts(best):
+        for _ in range(4):
+            for q, (c, e, out) in list(best.items()):
+                for r in follow[q].replace("s", ""):
+                    new = c + 2, e + "I", (*out, {"u": "user:", "a": "assistant:"}[r])
+                    if r not in best or new[:2] < best[r][:2]:
+                        best[r] = new
+        return best
+
+    # Costs alone are enough for the least audit only backwards, so whole audits are kept for each state: (cost, audit, lines).
+    best = with_inserts({"": (0, "", ())})
+    for (_, r, t), f in zip(rows, faults):
+        new = {}
+
+        def put(q, x):
+            if q not in new or x[:2] < new[q][:2]:
+                new[q] = x
+
+        for q, (c, e, out) in best.items():
+            put(q, (c + 3, e + "D", out))
+            if f in ("b", "d"):
+                continue
+            cut = f == "t"
+            if r[:1] and r[:1] in follow[q]:
+                put(r[:1], (c + cut, e + "K", (*out, f"{r}:{t}")))
+            for x, name in (("u", "user"), ("a", "assistant")):
+                if x in follow[q]:
+                    put(x, (c + 2 + cut, e + "R", (*out, f"{name}:{t}")))
+        best = with_inserts(new)
+    cost, audit, lines = min((best[q] for q in ("", "a") if q in best), key=lambda x: x[:2])
+    return gaps, faults.count("b"), faults.count("d"), faults.count("t"), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()
