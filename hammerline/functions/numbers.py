@@ -111,3 +111,8 @@ def photo_list(c: Column) -> Column:
     """JS2: a JSON (or single-quoted) list of texts, trimmed, without blanks; anything else is an empty list."""
     items = F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
     return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def json_field(c: Column, name: str, kind: str = "string") -> Column:
+    """JS1: one field of a JSON object; null where the text is none or has no such field of that type."""
+    return F.from_json(c, f"`{name}` {kind}")[name]

@@ -15,13 +15,15 @@ MULTIWORD_MODELS = [
     "MODEL 3", "MODEL S", "MODEL X", "MODEL Y", "CX 3", "CX 5", "CX 9", "MX 5", "QX 50", "QX 60", "QX 80", "RX 350", "RX 450H",
     "ES 350", "IS 250", "IS 350", "GS 350", "A CLASS", "C CLASS", "E CLASS", "S CLASS",
 ]
-TRIM_STARTERS = (
-    "BASE L LE LS LT LT1 LT2 LTZ LX EX EX-L EXL S SE SEL SES SL SLE SLT SV SR SR5 ST STX XLT XL XLE XSE LIMITED PREMIUM "
-    "PRESTIGE PLATINUM TOURING DENALI AT4 ELEVATION TRAILHAWK TRD Z71 ZR2 RST RS SS SRT GT GTS GTI GL GLS HSE HST AUTOBIOGRAPHY PURE "
-    "DYNAMIC X-DYNAMIC LUX LUXURY SIGNATURE OVERLAND ALTITUDE SUMMIT RUBICON MOJAVE SAHARA WILLYS BIG HORN LARAMIE LONGHORN TRADESMAN REBEL "
-    "AWD FWD RWD 4WD 4X4 2WD QUATTRO TFSI TRONIC CVT HYBRID PHEV EV DIESEL TDI TSI V6 V8 I4 I6 250 300 350 450 550 2500 3500 HD "
-    "CLASSIC CABRIOLET COUPE SEDAN"
-).split()
+# Words that begin a trim name.
+TRIM_STARTERS = [
+    "BASE", "L", "LE", "LS", "LT", "LT1", "LT2", "LTZ", "LX", "EX", "EX-L", "EXL", "S", "SE", "SEL", "SES", "SL", "SLE", "SLT", "SV", "SR", "SR5",
+    "ST", "STX", "XLT", "XL", "XLE", "XSE", "LIMITED", "PREMIUM", "PRESTIGE", "PLATINUM", "TOURING", "DENALI", "AT4", "ELEVATION", "TRAILHAWK",
+    "TRD", "Z71", "ZR2", "RST", "RS", "SS", "SRT", "GT", "GTS", "GTI", "GL", "GLS", "HSE", "HST", "AUTOBIOGRAPHY", "PURE", "DYNAMIC", "X-DYNAMIC",
+    "LUX", "LUXURY", "SIGNATURE", "OVERLAND", "ALTITUDE", "SUMMIT", "RUBICON", "MOJAVE", "SAHARA", "WILLYS", "BIG", "HORN", "LARAMIE", "LONGHORN",
+    "TRADESMAN", "REBEL", "AWD", "FWD", "RWD", "4WD", "4X4", "2WD", "QUATTRO", "TFSI", "TRONIC", "CVT", "HYBRID", "PHEV", "EV", "DIESEL", "TDI",
+    "TSI", "V6", "V8", "I4", "I6", "250", "300", "350", "450", "550", "2500", "3500", "HD", "CLASSIC", "CABRIOLET", "COUPE", "SEDAN",
+]
 # Labels that mean no damage.
 NO_DAMAGE = ["", "NONE", "N/A", "NA", "NULL", "NAN"]
 # Damage label to region key; anything else is OTHER.
@@ -33,15 +35,18 @@ DAMAGE_REGION = {
 }
 # Damage label to ordinal score; anything else is 2.
 DAMAGE_SCORE = {
-    0: ["NONE", "UNKNOWN"],
-    1: ["MINOR DENT/SCRATCHES", "NORMAL WEAR & TEAR", "MISSING/ALTERED VIN", "REPLACED VIN", "REPOSSESSION", "CASH FOR CLUNKERS", "HAIL", "VANDALISM", "DAMAGE HISTORY", "PARTIAL REPAIR"],
-    2: ["REAR END", "SIDE", "ROOF", "UNDERCARRIAGE", "SUSPENSION", "STORM DAMAGE"],
-    3: ["FRONT END", "ALL OVER", "FRONT & REAR"],
-    4: ["WATER/FLOOD", "THEFT", "STRIPPED", "MECHANICAL", "ELECTRICAL", "ENGINE DAMAGE", "TRANSMISSION DAMAGE"],
-    5: ["FRAME DAMAGE", "ROLLOVER", "BURN", "BURN - ENGINE", "BURN - INTERIOR", "BIOHAZARD"],
+    "NONE": 0, "UNKNOWN": 0, "MINOR DENT/SCRATCHES": 1, "NORMAL WEAR & TEAR": 1, "MISSING/ALTERED VIN": 1, "REPLACED VIN": 1, "REPOSSESSION": 1,
+    "CASH FOR CLUNKERS": 1, "HAIL": 1, "VANDALISM": 1, "DAMAGE HISTORY": 1, "PARTIAL REPAIR": 1, "REAR END": 2, "SIDE": 2, "ROOF": 2,
+    "UNDERCARRIAGE": 2, "SUSPENSION": 2, "STORM DAMAGE": 2, "FRONT END": 3, "ALL OVER": 3, "FRONT & REAR": 3, "WATER/FLOOD": 4, "THEFT": 4,
+    "STRIPPED": 4, "MECHANICAL": 4, "ELECTRICAL": 4, "ENGINE DAMAGE": 4, "TRANSMISSION DAMAGE": 4, "FRAME DAMAGE": 5, "ROLLOVER": 5, "BURN": 5,
+    "BURN - ENGINE": 5, "BURN - INTERIOR": 5, "BIOHAZARD": 5,
 }
 
 
+#: All white space, as `(?U)\\s` has it.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def collapse(c: Column) -> Column:
     """Runs of whitespace to one space, ends trimmed; null to the empty string."""
     return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
@@ -136,10 +141,11 @@ def page_of_url(url: Column) -> Column:
 
 
 def drive_type(c: Column) -> Column:
-    """X11: AWD, 4WD, FWD or RWD from a description, else the trimmed text."""
+    """X11: AWD, 4WD, FWD or RWD from a description, else the trimmed text; null for an empty one."""
     low = F.lower(c)
     return (
-        F.when(low.rlike("all wheel"), "AWD")
+        F.when(c == "", F.lit(None).cast("string"))
+        .when(low.rlike("all wheel"), "AWD")
         .when(low.rlike("four wheel|4x4"), "4WD")
         .when(low.rlike("front[- ]wheel"), "FWD")
         .when(low.rlike("rear[- ]wheel"), "RWD")
@@ -190,7 +196,7 @@ def damage_region(c: Column) -> Column:
 
 def damage_score(c: Column) -> Column:
     """Ordinal score of a cleaned damage label, 2 for unknown labels."""
-    table = F.create_map(*[F.lit(x) for score, labels in DAMAGE_SCORE.items() for label in labels for x in (label, score)])
+    table = F.create_map(*[F.lit(x) for pair in DAMAGE_SCORE.items() for x in pair])
     return F.coalesce(F.try_element_at(table, c), F.lit(2))
 
 
@@ -233,7 +239,9 @@ def runtime(c: Column) -> Column:
 def natural_key(c: Column) -> Column:
     """A text whose order is the natural order of names: digit runs compare as numbers."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x)), "")
+    # A number is its length, then its digits: of numbers without leading zeros the longer is the larger.
+    number = lambda x: F.concat(F.lpad(F.length(x).cast("string"), 9, "0"), x)
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), number(F.regexp_replace(x, "^0+(?=.)", ""))).otherwise(x)), "")
 
 
 def folder_number(c: Column) -> Column:

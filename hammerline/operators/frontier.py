@@ -43,9 +43,9 @@ def seconds(ts: str) -> Column:
     return F.col(ts).cast("timestamp").cast("double")
 
 
-def throughput(snapshots: DataFrame, by: list[str], ts: str = "ts", done: str = "done") -> DataFrame:
-    """Done per minute between successive snapshots; null for the first."""
-    w = Window.partitionBy(*by).orderBy(ts)
+def throughput(snapshots: DataFrame, by: list[str], ts: str = "ts", done: str = "done", ties: list[str] = ()) -> DataFrame:
+    """Done per minute between successive snapshots; null for the first. Snapshots of one time are in the order of `ties`."""
+    w = Window.partitionBy(*by).orderBy(ts, *ties)
     passed = F.greatest(F.lit(1.0), seconds(ts) - F.lag(seconds(ts)).over(w))
     return snapshots.withColumn("per_minute", (F.col(done) - F.lag(done).over(w)) * 60.0 / passed)
 

@@ -241,6 +241,11 @@ def detail_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+def vin_mismatch(url: Column, shown: Column) -> Column:
+    """H9: whether the URL names another VIN than the page; false where either has none."""
+    return F.coalesce(X.vin_from_url(url) != shown, F.lit(False))
+
+
 def vehicle_rows(pages: DataFrame) -> DataFrame:
     """H3, H9: one wide record per vehicle page, with a flag where the URL's VIN is another than the page's."""
     html = F.col("html")
@@ -255,5 +260,5 @@ def vehicle_rows(pages: DataFrame) -> DataFrame:
         X.record_id(F.col("url")).alias("record_id"), "url", F.coalesce(shown, of_url).alias("vin"), F.col("h.year").alias("year"), F.col("h.raw").alias("raw"), price(F.col("kv")).alias("price"), "currency", "seller", "auction_source",
         miles["value"].alias("mileage"), miles["unit"].alias("mileage_unit"), kv("engine").alias("engine"), kv("fuel").alias("fuel"), kv("transmission").alias("transmission"), kv("color").alias("color"),
         kv("primary damage").alias("damage_primary"), kv("secondary damage").alias("damage_secondary"), X.drive_type(kv("drive")).alias("drive"), kv("key").alias("key"), X.digits_as_int(kv("cost of repair")).alias("cost_of_repair"),
-        X.digits_as_int(kv("market value")).alias("market_value"), "images", F.coalesce(of_url != shown, F.lit(False)).alias("vin_mismatch"),
+        X.digits_as_int(kv("market value")).alias("market_value"), "images", vin_mismatch(F.col("url"), shown).alias("vin_mismatch"),
     )

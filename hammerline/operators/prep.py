@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, FloatType, StringType
 
 from hammerline.functions import numbers as N, text as X
+from hammerline.operators.quantiles import exact_quantiles
 from hammerline.sources import tables as T
 from hammerline.sources.fix import fixed
 
+# The columns of a listing that are texts and numbers, and what a model is given.
 CATEGORIES = ["make", "model", "fuel_type", "transmission", "drive_type", "primary_damage", "secondary_damage", "seller_type", "color"]
 NUMBERS = ["sold_price", "mileage", "year", "engine_volume", "cylinders"]
 FEATURES = ["make", "model", "fuel_type", "transmission", "drive_type", "primary_damage", "color", "mileage", "year", "engine_volume", "cylinders", "primary_damage_severity", "secondary_damage_severity", "make_model_year_price_median"]
@@ -35,8 +37,10 @@ def rowwise(df: DataFrame, rate: float = 0.73) -> DataFrame:
     """M3: categories cleaned, numbers coerced, sentinels to null, prices in USD and their currency relabelled."""
     df = with_missing(df, {c: None for c in [*CATEGORIES, *NUMBERS, "currency", "primary_damage_severity", "secondary_damage_severity"]})
     out = {c: X.clean_category(F.col(c).cast("string")) for c in [*CATEGORIES, "currency"]} | {c: _double(df, c) for c in NUMBERS}
+    # The code of a currency has no inner white space, so its price needs no collapsing of it.
+    out["sold_price"] = N.in_usd(out["sold_price"], F.upper(F.btrim(F.col("currency").cast("string"), F.lit(X.WHITE_SPACE))), rate)
     df = df.withColumns(out)
-    return df.withColumns({"mileage": N.real_mileage(F.col("mileage")), "sold_price": N.in_usd(F.col("sold_price"), F.col("currency"), rate), "currency": F.when(F.col("currency") == "CAD", "USD").otherwise(F.col("currency"))})
+    return df.withColumns({"mileage": N.real_mileage(F.col("mileage")), "currency": F.when(F.col("currency") == "CAD", "USD").otherwise(F.col("currency"))})
 
 
 def plausible_year(c: Column) -> Column:
@@ -70,11 +74,11 @@ class PrepStats:
 def fit(train: DataFrame, keep_at_least: dict[str, int] = KEEP_AT_LEAST) -> PrepStats:
     """M4: statistics of cleaned training rows: A4 and A5 as one aggregate, A6 as one count over all columns; both are made once."""
     rows = train.where(F.col("sold_price").isNotNull() & plausible_year(F.col("year")) & plausible_mileage(F.col("mileage")) & (F.col("sold_price") >= 1000))
-    numbers = rows.agg(
-        F.coalesce(F.percentile("sold_price", F.lit(0.995)), F.lit(100_000.0)).alias("upper_price_quantile"),
-        F.coalesce(F.median("engine_volume"), F.lit(2.0)).alias("engine_volume_median"),
-        F.coalesce(F.median("cylinders"), F.lit(4.0)).alias("cylinders_median"),
-    )
+    # The quantile of each number, and what stands in for it where there is none.
+    wanted = {"sold_price": (0.995, 100_000.0, "upper_price_quantile"), "engine_volume": (0.5, 2.0, "engine_volume_median"), "cylinders": (0.5, 4.0, "cylinders_median")}
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(q).alias("q")) for c, (q, _, _) in wanted.items()])).alias("x")).select("x.*")
+    found = exact_quantiles(values, ["column", "q"], "value", F.col("q"))
+    numbers = found.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("median"))), F.lit(default)).alias(name) for c, (_, default, name) in wanted.items()])
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(n).alias("least")) for c, n in keep_at_least.items()])).alias("x")).select("x.*")
     keep = long.groupBy("column", "value", "least").count().where("count >= least").select("column", "value")
     return PrepStats(fixed(numbers), fixed(keep))
@@ -86,10 +90,15 @@ def checked_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def rare_to_other(df: DataFrame, keep: DataFrame, column: str) -> DataFrame:
-    """Values that are not in the keep table become OTHER."""
-    own = checked_broadcast(keep.where(F.col("column") == column).select(F.col("value").alias("_kept")))
-    return df.join(own, F.col(column).eqNullSafe(F.col("_kept")), "left").withColumn(column, F.when(F.col("_kept").isNull(), "OTHER").otherwise(F.col(column))).drop("_kept")
+def rare_to_other(df: DataFrame, keep: DataFrame, *columns: str) -> DataFrame:
+    """Values that are not in the keep table (column, value) become OTHER; the table's bound is checked once for all columns."""
+    keep = keep.where(F.col("column").isin(*columns))
+    small = (keep := fixed(keep)).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for column in columns:
+        own = keep.where(F.col("column") == column).select(F.col("value").alias("_kept"))
+        df = df.join(F.broadcast(own) if small else own, F.col(column).eqNullSafe(F.col("_kept")), "left")
+        df = df.withColumn(column, F.when(F.col("_kept").isNull(), "OTHER").otherwise(F.col(column))).drop("_kept")
+    return df
 
 
 def apply(df: DataFrame, stats: PrepStats, training: bool) -> DataFrame:
@@ -102,14 +111,32 @@ def apply(df: DataFrame, stats: PrepStats, training: bool) -> DataFrame:
         {c: F.when(electric, F.lit(0.0)).otherwise(F.coalesce(F.col(c), F.col(f"{c}_median"))) for c in ("engine_volume", "cylinders")}
         | {f"{k}_damage_severity": N.repaired_severity(F.col(f"{k}_damage"), F.col(f"{k}_damage_severity").cast("double")) for k in ("primary", "secondary")}
     ).drop("upper_price_quantile", "engine_volume_median", "cylinders_median")
-    for column in KEEP_AT_LEAST:
-        df = rare_to_other(df, stats.keep, column)
+    return rare_to_other(df, stats.keep, *KEEP_AT_LEAST)
+
+
+def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are neither null nor NaN, by conditions that the optimizer can tell from the columns' own rules."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+        if isinstance(df.schema[k].dataType, (DoubleType, FloatType)):
+            df = df.where(~F.isnan(k))
     return df
 
 
 def group_median(df: DataFrame, keys: list[str] = KEYS, target: str = "sold_price") -> DataFrame:
     """A1: exact median per key; rows with a null key are left out."""
-    return df.na.drop(subset=keys).groupBy(*keys).agg(F.median(target).alias("median"))
+    return exact_quantiles(with_keys(df, keys), keys, target)
+
+
+def overall_median(df: DataFrame, target: str = "sold_price") -> DataFrame:
+    """A2: the exact median of all rows, as a one-row table with `median`."""
+    return exact_quantiles(df, [], target)
+
+
+def upper_quantile(df: DataFrame, column: str, q: float = 0.995, default: float | None = None) -> DataFrame:
+    """A4, A5: an exact quantile of all rows, as a one-row table with `q`; the default where no row has a value."""
+    found = exact_quantiles(df, [], column, q, name="q")
+    return found if default is None else found.select(F.coalesce("q", F.lit(default)).alias("q"))
 
 
 def with_group_median(df: DataFrame, medians: DataFrame, overall: DataFrame, keys: list[str] = KEYS, name: str = "make_model_year_price_median") -> DataFrame:
@@ -121,15 +148,18 @@ def with_group_median(df: DataFrame, medians: DataFrame, overall: DataFrame, key
 def oof_group_median(df: DataFrame, fold: Column, k: int, keys: list[str] = KEYS, target: str = "sold_price", name: str = "make_model_year_price_median") -> DataFrame:
     """A3: per row the median of its key over the rows of the other folds, else those rows' overall median.
 
-    Every row is laid out once for each of the k - 1 folds that it teaches, so one
-    aggregation serves all folds; hot keys are pre-aggregated before the shuffle.
+    A key's rows are sorted once for all folds: for each fold the ranks count the
+    rows of the others.
     """
     rows = df.withColumn("_fold", fold)
-    teach = rows.select(*keys, F.col(target).alias("_t"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("_fold"))).alias("_for"))
-    own = teach.na.drop(subset=keys).groupBy(*keys, "_for").agg(F.median("_t").alias("_m")).withColumnRenamed("_for", "_fold")
-    overall = teach.groupBy("_for").agg(F.median("_t").alias("_all")).withColumnRenamed("_for", "_fold")
-    out = rows.join(own, [*keys, "_fold"], "left").join(F.broadcast(overall), "_fold", "left")
-    return out.withColumn(name, F.coalesce("_m", "_all")).select(*df.columns, name)
+    taught = fixed(rows.select(*keys, target, "_fold"))
+    others = {f"_m{i}": F.col("_fold") != i for i in range(k)}
+    by_fold = lambda kind: F.array(*others).alias(kind)
+    own = exact_quantiles(with_keys(taught, keys), keys, target, weights=others, stored=True).select(*keys, by_fold("_own"))
+    overall = exact_quantiles(taught, [], target, weights=others, stored=True).select(by_fold("_all"))
+    out = rows.join(checked_broadcast(own), keys, "left").crossJoin(F.broadcast(overall))
+    at = lambda kind: F.get(F.col(kind), F.col("_fold"))
+    return out.withColumn(name, F.coalesce(at("_own"), at("_all"))).select(*df.columns, name)
 
 
 def feature_columns(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
@@ -170,32 +200,34 @@ def listing_detail_severity(listings: DataFrame, details: DataFrame, severity: D
     return out.join(last.drop(*[c for c in last.columns if c in out.columns and c != "vin"]), "vin", "left")
 
 
+def bucket(key: str, n: int, seed: int | str = 42) -> Column:
+    """A number below n (at most 2**32) by the MD5 of `seed:key`, as other engines have it too; a null key counts as empty."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % n
+
+
 def hash_split(df: DataFrame, key: str, percent: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """M1: train and test by a hash of the key: the same under any partitioning."""
-    test = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < percent
+    test = bucket(key, 100, seed) < percent
     return df.where(~test), df.where(test)
 
 
 def stratified_split(df: DataFrame, cls: str, key: str, percent: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """M2: as hash_split, with the same share of each class.
-
-    The threshold of each class is a percentile of the hash, so that no class is
-    sorted in one task.
-    """
-    rows = df.withColumn("_h", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)))
-    limit = rows.groupBy(cls).agg(F.percentile_approx("_h", percent / 100, 100_000).alias("_limit"))
-    rows = rows.join(F.broadcast(limit.withColumnRenamed(cls, "_cls")), F.col(cls).eqNullSafe(F.col("_cls"))).withColumn("_test", F.col("_h") <= F.col("_limit")).drop("_h", "_limit", "_cls")
+    """M2: as hash_split, with the same share of each class: its test rows are those up to the exact quantile of their hashes."""
+    rows = df.withColumn("_h", bucket(key, 1 << 30, seed))
+    limit = checked_broadcast(exact_quantiles(rows, [cls], "_h", percent / 100, name="_limit").withColumnRenamed(cls, "_cls"))
+    rows = rows.join(limit, F.col(cls).eqNullSafe(F.col("_cls"))).withColumn("_test", F.col("_h") <= F.col("_limit")).drop("_h", "_limit", "_cls")
     return rows.where("not _test").drop("_test"), rows.where("_test").drop("_test")
 
 
 def winsorised(df: DataFrame, column: str, q: float = 0.995) -> DataFrame:
     """Clipped at an exact upper quantile; rows are kept."""
-    top = df.agg(F.percentile(column, F.lit(q)).alias("_top"))
+    top = upper_quantile(df, column, q).withColumnRenamed("q", "_top")
     return df.crossJoin(F.broadcast(top)).withColumn(column, F.when(F.col(column).isNotNull(), F.least(column, "_top"))).drop("_top")
 
 
 def features(train: DataFrame, test: DataFrame, key: str, k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """M6: out-of-fold medians for training rows, full medians for test rows."""
-    fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("fold")), F.lit(k)).cast("int")
-    overall = train.agg(F.median("sold_price").alias("median"))
+    fold = bucket(key, k, f"fold:{seed}").cast("int")
+    overall = overall_median(train)
     return oof_group_median(train, fold, k), with_group_median(test, group_median(train), overall)

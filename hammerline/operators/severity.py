@@ -8,11 +8,13 @@ boxes are one array and everything on them is built-in array expressions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hammerline.functions import numbers as N, text as X
 from hammerline.operators.prep import checked_broadcast
+from hammerline.sources.fix import fixed
 
 # Class weights, and the confidence from which a class counts.
 CLASS_WEIGHT = {"scratch": 0.4, "rub": 0.5, "dent": 1.0, "crack": 1.1, "lamp broken": 1.2, "tire flat": 1.2, "dislocated part": 1.3, "no part": 1.4, "glass shatter": 1.4, "crash": 1.5}
@@ -27,7 +29,7 @@ VIEW_NAMES = {6: {1: "front_left", 2: "rear_left", 3: "rear_right", 4: "front_ri
 
 @dataclass
 class Scoring:
-    """Parameters of the view score, with their usual values."""
+    """Parameters of the view score; their usual values are fixed values."""
 
     base_conf: float = 0.30
     hull_floor: tuple[float, float] = (0.04, 0.10)
@@ -82,30 +84,97 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(w * h, area(a) + area(b) - w * h), F.lit(0.0))
 
 
-def suppressed(df: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """Per view and class the boxes that no better box overlaps beyond the threshold; ties go to the smaller box_id."""
+#: Boxes of one view and class that are compared as one array; more are compared with those in nearby cells only.
+FOLD_BOXES = 256
+
+
+def _folded(df: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     box = F.struct((-F.col("conf")).alias("neg"), "box_id", "conf", "x1", "y1", "x2", "y2")
-    own = df.groupBy(*keys, "class").agg(F.array_sort(F.collect_list(box)).alias("b"))
+    own = df.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("b"))
     empty = F.array().cast("array<struct<neg:double,box_id:bigint,conf:double,x1:double,y1:double,x2:double,y2:double>>")
     fold = F.aggregate("b", empty, lambda kept, x: F.when(F.exists(kept, lambda k: iou(k, x) > threshold), kept).otherwise(F.concat(kept, F.array(x))))
-    return own.withColumn("x", F.explode(fold)).select(*keys, "class", *[F.col(f"x.{c}").alias(c) for c in ("box_id", "conf", "x1", "y1", "x2", "y2")])
+    return own.withColumn("x", F.explode(fold)).select(*keys, *[F.col(f"x.{c}").alias(c) for c in ("box_id", "conf", "x1", "y1", "x2", "y2")])
+
+
+def _gridded(df: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Suppression by rounds over cells: the best undecided box of its surroundings stays, and those that it overlaps go.
+
+    Boxes that overlap beyond the threshold have sides of a ratio under 1 / threshold
+    and near centres, so a box is dealt to one cell by its sides' size classes and
+    its centre, and looks at a bounded number of cells.  In a round it meets only
+    the best box of each, and then the few new ones that stay.
+    """
+    base = 1.01 / threshold
+    far = (1 - threshold if threshold >= 0.5 else 0.5 / threshold - 0.5) * (1 + 1e-9)
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    level = lambda side: F.floor(F.log(base, side)).cast("int")
+    cell = lambda at, lv: F.floor(at / F.pow(F.lit(base), lv + 1))
+    rank = F.struct((-F.col("conf")).alias("neg"), "box_id")
+    rows = df.withColumns({"_w": w, "_h": h, "_cx": (F.col("x1") + F.col("x2")) / 2, "_cy": (F.col("y1") + F.col("y2")) / 2, "_rank": rank})
+    flat = rows.where(~((F.col("_w") > 0) & (F.col("_h") > 0)))  # without area they overlap with nothing
+    rows = rows.where((F.col("_w") > 0) & (F.col("_h") > 0)).withColumns({"_lw": level(F.col("_w")), "_lh": level(F.col("_h"))})
+    rows = fixed(rows.withColumns({"_gx": cell(F.col("_cx"), F.col("_lw")), "_gy": cell(F.col("_cy"), F.col("_lh"))}))
+    where, plain = [*keys, "_lw", "_lh", "_gx", "_gy"], df.columns
+    kept: list[DataFrame] = [flat.select(*plain)]
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = lambda at, side, lv: F.sequence(cell(F.col(at) - far * F.col(side), F.col(lv)), cell(F.col(at) + far * F.col(side), F.col(lv)))
+
+    def looking(boxes: DataFrame) -> DataFrame:
+        out = boxes.drop("_gx", "_gy").withColumn("_n", F.explode(near)).withColumns({"_lw": F.col("_lw") + F.col("_n.i"), "_lh": F.col("_lh") + F.col("_n.j")})
+        return out.withColumn("_gx", F.explode(around("_cx", "_w", "_lw"))).withColumn("_gy", F.explode(around("_cy", "_h", "_lh")))
+
+    while not rows.isEmpty():
+        seen = looking(rows)
+        best = rows.groupBy(*where).agg(F.min("_rank").alias("_best"))
+        top = seen.select(*where, "_rank").join(best, where).groupBy(*keys, "_rank").agg(F.min("_best").alias("_best")).where("_best = _rank").select(*keys, "_rank")
+        new = fixed(rows.join(top, [*keys, "_rank"], "left_semi"))
+        kept.append(new.select(*plain))
+        sides = ("x1", "y1", "x2", "y2")
+        met = seen.join(new.select(*where, F.struct(*sides).alias("_by")), where)
+        gone = met.where(iou(F.col("_by"), F.struct(*sides)) > threshold).select(*keys, "_rank")
+        rows = fixed(rows.join(gone.unionByName(top).distinct(), [*keys, "_rank"], "left_anti"))
+    return reduce(DataFrame.unionByName, kept)
+
+
+def suppressed(df: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+    """Per view and class the boxes that no better box overlaps beyond the threshold; ties go to the smaller box_id.
+
+    Views of up to FOLD_BOXES boxes of a class are one array each; larger ones,
+    at most one for so many rows, are dealt to cells.  Keys and class are not null.
+    """
+    own = [*keys, "class"]
+    df = df.select(*own, "box_id", "conf", "x1", "y1", "x2", "y2")
+    large = df.groupBy(*own).count().where(F.col("count") > FOLD_BOXES).drop("count") if 0.05 <= threshold < 1 else None
+    if large is None or (large := fixed(large)).isEmpty():
+        return _folded(df, own, threshold)
+    large = checked_broadcast(large)
+    return _folded(df.join(large, own, "left_anti"), own, threshold).unionByName(_gridded(df.join(large, own, "left_semi"), own, threshold))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), where the value is worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def union_area(boxes: Column) -> Column:
     """The area that pixel-snapped boxes cover, strip by strip between their x edges."""
-    snap = F.transform(boxes, lambda r: F.struct(F.floor(r["y1"]).alias("y1"), F.ceil(r["y2"]).alias("y2"), F.floor(r["x1"]).alias("x1"), F.ceil(r["x2"]).alias("x2")))
-    snap = F.array_sort(F.filter(snap, lambda r: (r["x2"] > r["x1"]) & (r["y2"] > r["y1"])))
-    xs = F.array_sort(F.array_distinct(F.concat(F.transform(snap, lambda r: r["x1"]), F.transform(snap, lambda r: r["x2"]))))
-    start = F.struct(F.lit(0).cast("long").alias("len"), F.lit(-(1 << 40)).cast("long").alias("hi"))
-
-    def strip(i: Column) -> Column:
-        a, b = F.element_at(xs, i), F.element_at(xs, i + 1)
-        over = F.filter(snap, lambda r: (r["x1"] <= a) & (r["x2"] >= b))
-        grow = lambda acc, r: F.struct((acc["len"] + F.greatest(F.lit(0).cast("long"), r["y2"] - F.greatest(acc["hi"], r["y1"]))).alias("len"), F.greatest(acc["hi"], r["y2"]).alias("hi"))
-        return (b - a) * F.aggregate(over, start, grow)["len"]
-
-    strips = F.when(F.size(xs) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs) - 1, F.lit(1))), strip))
-    return F.coalesce(F.aggregate(strips, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")).cast("double")
+    zero, least = F.lit(0).cast("long"), F.lit(-(1 << 40)).cast("long")
+    start = F.struct(zero.alias("len"), least.alias("hi"))
+    snapped = F.transform(boxes, lambda r: F.struct(F.floor(r["y1"]).alias("y1"), F.ceil(r["y2"]).alias("y2"), F.floor(r["x1"]).alias("x1"), F.ceil(r["x2"]).alias("x2")))
+    snapped = F.array_sort(F.filter(snapped, lambda r: (r["x2"] > r["x1"]) & (r["y2"] > r["y1"])))
+    grow = lambda acc, r: F.struct((acc["len"] + F.greatest(zero, r["y2"] - F.greatest(acc["hi"], r["y1"]))).alias("len"), F.greatest(acc["hi"], r["y2"]).alias("hi"))
+
+    def swept(snap: Column, xs: Column) -> Column:
+        # A strip lies between an edge and the one before it; boxes are in order of their lower y.
+        def strip(b: Column, i: Column) -> Column:
+            a = F.get(xs, i - 1)
+            return F.when(i > 0, (b - a) * F.aggregate(F.filter(snap, lambda r: (r["x1"] < b) & (r["x2"] >= b)), start, grow)["len"]).otherwise(zero)
+
+        return F.aggregate(F.transform(xs, strip), zero, lambda acc, x: acc + x)
+
+    edges = lambda snap: F.array_sort(F.array_distinct(F.concat(F.transform(snap, lambda r: r["x1"]), F.transform(snap, lambda r: r["x2"]))))
+    area = _bound(snapped, lambda snap: _bound(edges(snap), lambda xs: swept(snap, xs)))
+    return F.coalesce(area, zero).cast("double")
 
 
 def hull_area(boxes: Column) -> Column:

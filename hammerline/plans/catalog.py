@@ -187,7 +187,7 @@ def p14_visual_only(g):
 def j1_lookup_with_default(g):
     rows, known = cleaned(g), fitted(g)
     asked = rows.withColumn("make", F.when(F.col("line") == 3, "UNSEEN").otherwise(F.col("make")))
-    out = prep.with_group_median(asked, prep.group_median(known), known.agg(F.median("sold_price").alias("median")), name="price_median")
+    out = prep.with_group_median(asked, prep.group_median(known), prep.overall_median(known), name="price_median")
     return out.select("order_id", "line", F.round("price_median", 6).alias("price_median"))
 
 
@@ -266,7 +266,7 @@ def a1_group_median(g):
 
 @query("SELECT round(median(o_totalprice), 4) AS median FROM orders")
 def a2_global_median(g):
-    return g("orders").agg(r4(F.median("o_totalprice")).alias("median"))
+    return prep.overall_median(g("orders"), "o_totalprice").select(r4("median").alias("median"))
 
 
 @query(
@@ -281,12 +281,13 @@ def a3_oof_group_median(g):
 
 @query("SELECT round(coalesce(quantile_cont(o_totalprice, 0.995), 100000), 4) AS q FROM orders")
 def a4_upper_quantile(g):
-    return g("orders").agg(r4(F.coalesce(F.percentile("o_totalprice", F.lit(0.995)), F.lit(100_000.0))).alias("q"))
+    return prep.upper_quantile(g("orders"), "o_totalprice", 0.995, 100_000.0).select(r4("q").alias("q"))
 
 
 @query("SELECT CAST(coalesce(median(engine_volume), 2) AS DOUBLE) AS e, CAST(coalesce(median(CASE WHEN line > 99 THEN cylinders END), 4) AS DOUBLE) AS c FROM listings", "listings")
 def a5_median_with_default(g):
-    return g.make("listings").agg(F.coalesce(F.median("engine_volume"), F.lit(2.0)).alias("e"), F.coalesce(F.median(F.when(F.col("line") > 99, F.col("cylinders"))), F.lit(4.0)).alias("c"))
+    rows = g.make("listings").select("engine_volume", F.when(F.col("line") > 99, F.col("cylinders")).alias("cylinders"))
+    return prep.upper_quantile(rows, "engine_volume", 0.5, 2.0).withColumnRenamed("q", "e").crossJoin(prep.upper_quantile(rows, "cylinders", 0.5, 4.0).withColumnRenamed("q", "c"))
 
 
 @query(sql_of(CLEANED, FITTED) + "SELECT 'make' AS \"column\", make AS value FROM fitted GROUP BY make HAVING count(*) >= 100 UNION ALL SELECT 'model', model FROM fitted GROUP BY model HAVING count(*) >= 20", "listings")
@@ -373,10 +374,15 @@ def a16_max_over_views(g):
     return g.make("boxes").groupBy("vin").agg(F.max(F.when(S.selects_view(F.lit("FRONT_END"), F.lit(4), F.col("view_no")), F.col("conf"))).alias("worst"))
 
 
-@query(
-    ", v AS (SELECT vin, CAST(box_id % 9 AS DOUBLE) / 2 + 1 AS severity, (box_id % 5 = 0) AS anchor FROM boxes WHERE box_id % 3 > 0), "
+_VEHICLE_SEVERITY = (
+    ", v AS (SELECT vin, CAST(box_id % 9 AS DOUBLE) / 2 + 1 AS severity, (box_id % 5 = 0) AS anchor FROM boxes{}), "
     "a AS (SELECT vin, max(severity) AS hi, min(severity) AS lo, quantile_cont(severity, 0.75) AS q, median(severity) AS mid, count(severity) AS coverage, max(struct_pack(s := severity, a := anchor::INT)) AS top FROM v GROUP BY vin) "
-    "SELECT vin, greatest(1.0::DOUBLE, least(5.0::DOUBLE, round_even(CAST(CASE WHEN top.a = 1 THEN hi WHEN hi - lo >= 1.5 THEN greatest(q - 0.5, mid) ELSE q END AS DOUBLE) * 2, 0) / 2)) AS severity, coverage FROM a",
+    "SELECT vin, greatest(1.0::DOUBLE, least(5.0::DOUBLE, round_even(CAST(CASE WHEN top.a = 1 THEN hi WHEN hi - lo >= 1.5 THEN greatest(q - 0.5, mid) ELSE q END AS DOUBLE) * 2, 0) / 2)) AS severity, coverage FROM a"
+)
+
+
+@query(
+    _VEHICLE_SEVERITY.format(" WHERE box_id % 3 > 0"),
     "boxes",
 )
 def a17_vehicle_severity(g):
@@ -387,9 +393,9 @@ def views(boxes):
     return boxes.select("vin", (F.col("box_id") % 9 / 2 + 1).alias("severity"), (F.col("box_id") % 5 == 0).alias("anchor"))
 
 
-@query()
+@query(_VEHICLE_SEVERITY.format(""), "boxes")
 def a17_vehicle_severity_all(g):
-    """The same over every box: the SQL above is fixed to two thirds of them."""
+    """The same over every box, where the SQL above is fixed to two thirds of them."""
     return S.vehicle_severity(views(g.make("boxes")))
 
 
@@ -403,10 +409,8 @@ def w2_ordered_distinct(g):
 
 @query("SELECT user_id, event_id, round((value - lag(value) OVER w) * 60 / greatest(1, epoch(ts) - lag(epoch(ts)) OVER w), 4) AS per_minute FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def w3_rate_between_snapshots(g):
-    rows = g("events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seconds = F.greatest(F.lit(1.0), W.seconds("ts") - F.lag(W.seconds("ts")).over(w))
-    return rows.select("user_id", "event_id", r4((F.col("value") - F.lag("value").over(w)) * 60 / seconds).alias("per_minute"))
+    out = W.throughput(g("events"), ["user_id"], done="value", ties=["event_id"])
+    return out.select("user_id", "event_id", r4("per_minute").alias("per_minute"))
 
 
 @query("SELECT vec_id, CAST(list_position([a, b, c, d], list_max([a, b, c, d])) - 1 AS INTEGER) AS best FROM probabilities", "probabilities")
@@ -689,7 +693,7 @@ def n14_ramp_saturation_steps(g):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def js1_json_field(g):
-    return g("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return g("events").select("event_id", N.json_field(F.col("props"), "k", "long").alias("k"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || '|' || user_id ELSE '' END AS v FROM events")
@@ -701,9 +705,17 @@ def js2_photo_list(g):
 # Pages
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=')) AS n FROM pages")
+_LINKS = "list_filter(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1), lambda u: contains(u, '/en/car/'))"
+
+
+@query(
+    f"SELECT page_id, '/en/car/' || page_id || '-kia|' || regexp_extract(url, '^(https?://[^/]+)', 1) || '/en/car/x' AS v, len({_LINKS}) AS others FROM pages".replace("'/en/car/' || page_id", "regexp_extract(url, '^(https?://[^/]+)', 1) || '/en/car/' || page_id")
+)
 def h5_listing_links(g):
-    return g("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?i)(<a\b[^>]*?\bhref\s*=)"), 1)).cast("long").alias("n"))
+    more = F.concat(F.lit('<a href="/en/car/'), F.col("page_id"), F.lit('-kia?x=1#t">a</a><a class="y" href="/en/other">b</a><A HREF=\'/en/car/x/\'>c</A><a href="/en/car/'), F.col("page_id"), F.lit('-kia/">again</a>'))
+    rows = g("pages").select("page_id", "url", "html", F.concat(more, "html").alias("all"))
+    own = F.slice(P.listing_links(F.col("all"), F.col("url")), 1, 2)
+    return rows.select("page_id", X.join_bar(own).alias("v"), F.size(P.listing_links(F.col("html"), F.col("url"))).cast("long").alias("others"))
 
 
 _GALLERY = """<div class="mySwiper2 x"><div><img src="/s/1.jpg?w=9"></div></div><img src="/logo.png">"""
@@ -825,7 +837,7 @@ def h8_page_outcome(g):
 
 @query("SELECT page_id, page_id % 10 <> 3 AS mismatch FROM urls", "urls")
 def h9_vin_mismatch(g):
-    return g.make("urls").select("page_id", (X.vin_from_url(F.col("vin_url")) != F.lit("SALWG2RV7KA3")).alias("mismatch"))
+    return g.make("urls").select("page_id", P.vin_mismatch(F.col("vin_url"), F.lit("SALWG2RV7KA3")).alias("mismatch"))
 
 
 # Detections
@@ -842,7 +854,19 @@ def d2_to_image(g):
     return S.to_image(g.make("boxes").withColumns({"wx": F.lit(40), "wy": F.lit(50)})).select("box_id", "x1", "y1", "x2", "y2")
 
 
-@query()
+_W, _H = ("greatest(least(k.{0}2, r.b.{0}2) - greatest(k.{0}1, r.b.{0}1), 0)".format(side) for side in "xy")
+_IOU = f"coalesce({_W} * {_H} / nullif((k.x2 - k.x1) * (k.y2 - k.y1) + (r.b.x2 - r.b.x1) * (r.b.y2 - r.b.y1) - {_W} * {_H}, 0), 0) > 0.5"
+
+
+@query(
+    ", ranked AS (SELECT vin, channel, view_no, class, row_number() OVER (PARTITION BY vin, channel, view_no, class ORDER BY conf DESC, box_id) AS rn, struct_pack(box_id, conf, x1, y1, x2, y2) AS b FROM boxes), "
+    "walk AS (SELECT vin, channel, view_no, class, rn AS i, [b] AS kept FROM ranked WHERE rn = 1 UNION ALL "
+    f"SELECT w.vin, w.channel, w.view_no, w.class, i + 1, CASE WHEN len(list_filter(kept, lambda k: {_IOU})) > 0 THEN kept ELSE list_append(kept, r.b) END "
+    "FROM walk w JOIN ranked r ON r.vin = w.vin AND r.channel = w.channel AND r.view_no = w.view_no AND r.class = w.class AND r.rn = i + 1), "
+    "ends AS (SELECT vin, channel, view_no, class, arg_max(kept, i) AS kept FROM walk GROUP BY ALL), k AS (SELECT vin, channel, view_no, class, unnest(kept) AS x FROM ends) "
+    "SELECT vin, channel, view_no, class, x.box_id AS box_id, x.conf AS conf, x.x1 AS x1, x.y1 AS y1, x.x2 AS x2, x.y2 AS y2 FROM k",
+    "boxes",
+)
 def d3_non_max_suppression(g):
     return S.suppressed(g.make("boxes"), ["vin", "channel", "view_no"])
 
@@ -876,9 +900,16 @@ def areas(boxes):
     return v.select("vin", "view_no", S.union_area(F.col("b")).alias("area"))
 
 
-@query()
+_SWEEP = (
+    ", g AS (SELECT vin, view_no, CAST(floor(x1) AS BIGINT) AS a, CAST(ceil(x2) AS BIGINT) AS b, CAST(floor(y1) AS BIGINT) AS c, CAST(ceil(y2) AS BIGINT) AS d FROM boxes), "
+    "edges AS (SELECT DISTINCT vin, view_no, unnest([a, b]) AS x FROM g), strips AS (SELECT vin, view_no, x AS lo, lead(x) OVER (PARTITION BY vin, view_no ORDER BY x) AS hi FROM edges), "
+    "parts AS (SELECT vin, view_no, lo, hi, c, d, max(d) OVER (PARTITION BY vin, view_no, lo ORDER BY c, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM strips JOIN g USING (vin, view_no) WHERE a <= lo AND b >= hi) "
+)
+
+
+@query(_SWEEP + "SELECT vin, view_no, CAST(sum((hi - lo) * greatest(0, d - greatest(c, coalesce(upto, c)))) AS DOUBLE) AS area FROM parts GROUP BY ALL", "boxes")
 def d5_union_area_all(g):
-    """The same over every box: the SQL above is fixed to a fifth of them."""
+    """The same over every box, where the SQL above is fixed to a fifth of them."""
     return areas(g.make("boxes"))
 
 
@@ -951,19 +982,44 @@ def m5_apply_prep(g):
     return prep.apply(rows, prep.fit(rows), True).select("order_id", "line", r4("sold_price").alias("sold_price"), "engine_volume", "primary_damage_severity")
 
 
-@query()
+_OFTEN = lambda c, n: f"coalesce((SELECT any_value(x.{c}) FROM (SELECT {c} FROM fitted GROUP BY {c} HAVING count(*) >= {n}) x WHERE x.{c} = t.{c}), 'OTHER') AS {c}"
+
+
+@query(sql_of(CLEANED, FITTED, "s AS (SELECT quantile_cont(sold_price, 0.995) AS q FROM fitted)") + f"SELECT order_id, line, {_OFTEN('make', 100)}, {_OFTEN('model', 20)}, 'UNKNOWN' AS color, secondary_damage FROM fitted t, s WHERE sold_price <= q", "listings")
+def m5_rare_values(g):
+    """The texts of prepared rows: rare makes, models and colors are OTHER."""
+    rows = cleaned(g)
+    return prep.apply(rows, prep.fit(rows), True).select("order_id", "line", "make", "model", "color", "secondary_damage")
+
+
+_BUCKET = lambda key, n, seed=42: f"(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT % {n})"
+
+
+@query(f"SELECT CASE WHEN {_BUCKET('o_orderkey', 100)} < 20 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM orders GROUP BY 1")
 def m1_hash_split(g):
     train, test = prep.hash_split(g("orders").select("o_orderkey"), "o_orderkey")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"WITH h AS (SELECT o_orderpriority, {_BUCKET('o_orderkey', 1 << 30)} AS h FROM orders), l AS (SELECT o_orderpriority, quantile_cont(h, 0.2) AS top FROM h GROUP BY 1) "
+    "SELECT o_orderpriority, CASE WHEN h <= top THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM h JOIN l USING (o_orderpriority) GROUP BY ALL"
+)
 def m2_stratified_split(g):
     train, test = prep.stratified_split(g("orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("o_orderpriority", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    sql_of(
+        CLEANED, FITTED, f"parted AS (SELECT *, {_BUCKET('order_id', 100)} < 20 AS test, {_BUCKET('order_id', 5, 'fold:42')} AS part_fold FROM fitted)", "tr AS (SELECT * FROM parted WHERE NOT test)",
+        "om AS (SELECT f.f, t.make, t.model, t.year, median(t.sold_price) AS m FROM tr t JOIN (SELECT unnest(range(5)) AS f) f ON t.part_fold <> f.f GROUP BY ALL)", "oa AS (SELECT f.f, median(t.sold_price) AS a FROM tr t JOIN (SELECT unnest(range(5)) AS f) f ON t.part_fold <> f.f GROUP BY ALL)",
+        "fm AS (SELECT make, model, year, median(sold_price) AS m FROM tr GROUP BY ALL)",
+    )
+    + "SELECT 'train' AS part, count(*) AS n, round(avg(coalesce(om.m, oa.a)), 4) AS mean FROM tr LEFT JOIN om ON om.f = tr.part_fold AND om.make = tr.make AND om.model = tr.model AND om.year = tr.year JOIN oa ON oa.f = tr.part_fold "
+    "UNION ALL SELECT 'test', count(*), round(avg(coalesce(fm.m, (SELECT median(sold_price) FROM tr))), 4) FROM parted LEFT JOIN fm USING (make, model, year) WHERE test",
+    "listings",
+)
 def m6_train_test_features(g):
     train, test = prep.hash_split(fitted(g), "order_id")
     a, b = prep.features(train, test, "order_id")

@@ -50,4 +50,4 @@ def oracle(query: str, *names: str) -> str:
     """The query for DuckDB, with the named stand-ins as common tables; its lists count from 1 and its text type has another name."""
     own = {n: re.sub(r"\{(\w+)\}", r"\1", SQL[n]).replace("AS STRING", "AS VARCHAR") for n in names}
     own = {n: re.sub(r"embedding\[(\d)\]", lambda m: f"embedding[{int(m[1]) + 1}]", s) for n, s in own.items()}
-    return ("WITH " + ", ".join(f"{n} AS ({s})" for n, s in own.items()) + " " if names else "") + query
+    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({s})" for n, s in own.items()) + " " if names else "") + query
