@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Declared schemas (all columns nullable) of the tables that jobs exchange.
 SCHEMAS = {
@@ -107,8 +106,15 @@ def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet folder, or an empty table of that schema where it is absent or unreadable."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], T._parse_datatype_string(schema))
+    """A Parquet folder, or an empty table of that schema where there is no such folder.
+
+    A folder that a writer has not finished, or whose files cannot be read, raises.
+    """
+    from hammerline.sources.buckets import Folder
+
+    folder = Folder(spark, path)
+    if not folder.exists():
+        return spark.createDataFrame([], schema)
+    if not (folder.exists("_SUCCESS") or folder.exists("_spark_metadata")):
+        raise ValueError(f"{path} is no finished table: it has neither _SUCCESS nor a stream's log")
+    return spark.read.schema(schema).parquet(path)

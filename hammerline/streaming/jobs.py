@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hammerline.sources.tables import latest_per_key, read_or_empty, upsert
+from hammerline.sources.buckets import read_table, upsert_table
 
 
 def unseen(stream: DataFrame, key: str, ts: str | None = None, late: str = "1 day") -> DataFrame:
@@ -24,26 +24,22 @@ def per_minute(stream: DataFrame, ts: str = "ts", late: str = "10 minutes", by:
     return counted.select(F.col("w.start").cast(kind).alias("minute"), *by, "n")
 
 
-def upsert_into(stream: DataFrame, path: str, schema: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+def upsert_into(stream: DataFrame, path: str, schema: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """ST2, ST3: each micro-batch replaces the rows of its keys; a batch that is run again gives the same table.
 
-    The table is a chain of versions, one folder for each batch, so a reader never
-    sees a half-written one and a repeated batch starts from its predecessor.
+    Only the buckets that hold a batch's keys are written, and a new manifest
+    makes them the table's, so a reader never sees a half-written one.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = read_or_empty(spark, f"{path}/v={epoch - 1}", schema)
-        upsert(before, latest_per_key(batch, keys, order), keys, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        upsert_table(batch, path, schema, keys, order, epoch, buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest version of an upserted table, empty before the first batch."""
-    versions = read_or_empty(spark, path, f"{schema}, v int")
-    newest = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == F.lit(newest)).drop("v")
+    """The newest version of an upserted table, empty before the first batch; a damaged one raises."""
+    return read_table(spark, path, schema)
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
