@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -14,12 +17,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hammerline.functions import numbers as N, text as X
 from hammerline.operators import metrics as M
+from hammerline.operators.quantiles import exact_quantiles
 from hammerline.sources import tables as T
+from hammerline.sources.buckets import Folder
+from hammerline.sources.fix import fixed, shared_folder
 
 
 def median_table(train: DataFrame, numbers: list[str]) -> DataFrame:
     """M8: exact medians of the numeric columns, one row."""
-    return train.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"{c}_median") for c in numbers])
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in numbers])).alias("x")).select("x.*")
+    found = exact_quantiles(long, ["column"], "value")
+    return found.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("median"))), F.lit(0.0)).alias(f"{c}_median") for c in numbers])
 
 
 def imputed(df: DataFrame, medians: DataFrame, numbers: list[str]) -> DataFrame:
@@ -112,17 +120,35 @@ def with_probabilities(df: DataFrame, model: PipelineModel) -> DataFrame:
     return out.select(*df.columns, vector_to_array("probability").alias("proba"))
 
 
-def train_experts(train: DataFrame, target: str, categories: list[str], numbers: list[str], least: int = 150, kind: str = "boosted", **settings) -> tuple[dict[str, PipelineModel], PipelineModel, DataFrame]:
-    """A regressor for each price class with enough rows, one of all rows, and the classes' counts."""
-    rows = train.withColumn("_cls", N.price_class(F.col(target))).persist()
-    counts = rows.groupBy("_cls").agg(F.count(F.lit(1)).alias("count"))
+def train_experts(train: DataFrame, target: str, categories: list[str], numbers: list[str], least: int = 150, kind: str = "boosted", at_once: int = 4, **settings) -> tuple[dict[str, PipelineModel], PipelineModel, DataFrame]:
+    """A regressor for each price class with enough rows, one of all rows, and the classes' counts.
+
+    The rows are made once, as a table in the shared folder with a folder for each
+    class, so an expert reads its own class alone; up to `at_once` fits run beside
+    one another and share the cluster.
+    """
+    spark = train.sparkSession
+    name = f"experts-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
+    # The class twice: a folder's name would be read back as another type.
+    train.withColumns({"_cls": N.price_class(F.col(target)), "_of": N.price_class(F.col(target))}).write.partitionBy("_of").parquet(folder)
+    rows = spark.read.schema(f"{_kinds(train)}, `_cls` string, `_of` string").parquet(folder)
+    counts = fixed(rows.groupBy("_of").agg(F.count(F.lit(1)).alias("count")).select(F.col("_of").alias("segment"), "count"))
     # The classes are the few that the price edges make.
-    wanted = [r["_cls"] for r in counts.where((F.col("count") >= least) & (F.col("_cls") != "nan")).orderBy("_cls").collect()]
-    one = lambda: pipeline(categories, numbers, regressor(kind, labelCol=target, predictionCol="p", **settings))
-    experts = {label: one().fit(rows.where(F.col("_cls") == label)) for label in wanted}
-    overall = one().fit(rows)
-    rows.unpersist()
-    return experts, overall, counts.withColumnRenamed("_cls", "segment")
+    wanted = [r["segment"] for r in counts.where((F.col("count") >= least) & (F.col("segment") != "nan")).orderBy("segment").collect()]
+
+    def fit(label: str | None) -> PipelineModel:
+        own = rows if label is None else rows.where(F.col("_of") == label)
+        return pipeline(categories, numbers, regressor(kind, labelCol=target, predictionCol="p", **settings)).fit(own)
+
+    with ThreadPool(max(1, at_once)) as pool:
+        overall, *fitted = pool.map(inheritable_thread_target(spark)(fit), [None, *wanted])
+    Folder(spark, folder).remove("")
+    return dict(zip(wanted, fitted, strict=True)), overall, counts
+
+
+def _kinds(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def with_expert_predictions(df: DataFrame, experts: dict[str, PipelineModel], overall: PipelineModel) -> DataFrame:

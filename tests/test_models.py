@@ -80,3 +80,31 @@ def test_scores_from_saved_bundles(rows, spark, tmp_path):
     M.save_bundle(str(tmp_path / "none"), {}, {}, {}, rows)
     with pytest.raises(ValueError):
         M.load_classifier(spark, str(tmp_path / "none"))
+
+
+def test_experts_fitted_beside_one_another(rows, spark):
+    from hammerline.functions.numbers import price_class
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    counted = rows.mapInArrow(seen, rows.schema)
+    experts, overall, counts = M.train_experts(counted, "sold_price", CATS, NUMS, least=150, kind="linear")
+    assert read.value == rows.count()  # however many models, the rows are made once
+    assert len(experts) >= 2 and sum(r["count"] for r in counts.collect()) == 600
+    # Trees bin their columns by the order of rows; a linear fit does not depend on it.
+    one = lambda df: M.pipeline(CATS, NUMS, M.regressor("linear", labelCol="sold_price", predictionCol="p")).fit(df)
+    for label, model in [*experts.items(), (None, overall)]:
+        own = rows if label is None else rows.where(price_class(F.col("sold_price")) == label)
+        want = {r.id: r.p for r in one(own).transform(own).collect()}
+        got = {r.id: r.p for r in model.transform(own).collect()}
+        assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_medians_by_column(spark):
+    df = spark.createDataFrame([(1.0, 5, None), (2.0, None, None), (4.0, 8, None)], "a double, b int, c double")
+    assert tuple(M.median_table(df, ["a", "b", "c"]).first()) == (2.0, 6.5, 0.0)
