@@ -1,6 +1,7 @@
 """Typed rows from stored pages (page_id, url, html).
 
-Elements nest, which no pattern can follow: ``elements`` cuts them out in Arrow batches; everything else is column expressions.
+Elements nest, which no pattern can follow: ``selected`` cuts all that a row needs out of a page at once, in Arrow batches;
+everything else is column expressions.
 Absent fields of list and detail pages are empty strings, those of vehicle records null. A null page is one without elements.
 """
 
@@ -35,66 +36,115 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), 1))
 
 
-def elements(html: Column, *selectors: str, outer: bool = False) -> Column:
-    """Markup of the elements, in order, that a selector names; outer leaves out those inside another one.
+class _Step:
+    """One step of a selector: tag.class.class[attribute], with `:first` for the first such element of the page only."""
+
+    def __init__(self, text: str, child: bool):
+        text, self.first = text.removesuffix(":first"), text.endswith(":first")
+        text, _, attribute = text.partition("[")
+        self.tag, *classes = text.split(".")
+        self.classes, self.attribute, self.child = set(classes), attribute.rstrip("]"), child
+
+    def fits(self, tag: str, classes: set, attributes: str) -> bool:
+        return (not self.tag or self.tag == tag) and self.classes <= classes and self.attribute in attributes
+
+    def may_be_in(self, text: str) -> bool:
+        return self.attribute in text and all(c in text for c in self.classes)
+
 
-    A selector is tag.class.class with its ancestors before it, parted by blanks; the tag may be absent. A closing tag also
-    closes what is still open inside; without one, an element reaches to the end. Comments, scripts and styles hold no elements.
+def _steps(selector: str) -> list[_Step]:
+    words = selector.replace(">", " > ").split()
+    return [_Step(w, i > 0 and words[i - 1] == ">") for i, w in enumerate(words) if w != ">"]
+
+
+def selected(html: Column, parents: str | None = None, outer: bool = False, **selectors: str) -> Column:
+    """One struct with, for each name, the markup of the elements that its selectors (parted by commas) name, in order.
+
+    The page is gone through once for all of them.  A selector is a row of steps,
+    each inside the one before, or right under it after `>`.  `parents` names one
+    of them whose elements' parents come too, as the field `parents`, in the same
+    order, and as `table_rows` what is around a parent that is a table's cell (else
+    empty); outer leaves out what is inside a selected element.  A closing tag also closes what is still open inside; without one, an
+    element reaches to the end.  Comments, scripts and styles hold no elements.
     """
-    wanted = [[(step.split(".")[0], set(step.split(".")[1:])) for step in s.split()] for s in selectors]
+    names = list(selectors)
+    wanted = [(n, _steps(s)) for n in names for s in selectors[n].split(",")]
+    firsts = [step for _, steps in wanted for step in steps if step.first]
     token = re.compile(r"""<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-z][a-z0-9-]*)((?:"[^"]*"|'[^']*'|[^>"']++)*+)>""", re.I | re.S)
     classed = re.compile(r"""(?<![\w-])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
     void = _VOID
-
-    def fits(element, step):
-        return (not step[0] or step[0] == element[0]) and step[1] <= element[1]
-
-    def chosen(element, above, steps):
-        if not fits(element, steps[-1]):
+    fields = [*names, *(["parents", "table_rows"] if parents else [])]
+
+    def chosen(stack, steps):
+        # An open element: tag, classes, attributes, span, the `:first` steps that it is the first of, and whether it is selected.
+        fits = lambda element, step: step.fits(*element[:3]) and (not step.first or step in element[4])
+
+        def holds(k, end):
+            if k < 0:
+                return True
+            if steps[k + 1].child:
+                return end > 0 and fits(stack[end - 1], steps[k]) and holds(k - 1, end - 1)
+            for i in range(end - 1, -1, -1):
+                if fits(stack[i], steps[k]):
+                    # The nearest leaves most above it; only a step that is a child may need a farther one.
+                    if (found := holds(k - 1, i)) or not steps[k].child:
+                        return found
             return False
-        left = len(steps) - 1
-        for other in reversed(above):
-            left -= left > 0 and fits(other, steps[left - 1])
-        return left == 0
+
+        return fits(stack[-1], steps[-1]) and holds(len(steps) - 2, len(stack) - 1)
 
     def cut(text):
-        # A page without the classes' names has no such element and isn't gone through.
-        if not text or not any(all(c in text for step in steps for c in step[1]) for steps in wanted):
-            return []
-        spans, stack, count, inside = [], [], {}, 0
-        for m in token.finditer(text):
-            name = (m.group(3) or "").lower()
-            if not name or (m.group(2) and not count.get(name)):
-                continue
-            if m.group(2):
-                while True:
-                    other, _, span = stack.pop()
-                    count[other] -= 1
-                    if span is not None:
-                        span[1], inside = m.start(), inside - 1
-                    if other == name:
-                        break
-                continue
-            kind = classed.search(m.group(4))
-            element = (name, set("".join(g or "" for g in kind.groups()).split()) if kind else set())
-            span = None
-            if not (outer and inside) and any(chosen(element, stack, steps) for steps in wanted):
+        spans = {n: [] for n in fields}
+        # A page without a selector's classes has no such element; one without any isn't gone through.
+        here = [(n, steps) for n, steps in wanted if text and all(x.may_be_in(text) for x in steps)]
+        if here:
+            stack, count, met, inside = [], {}, set(), 0
+            for m in token.finditer(text):
+                name = (m.group(3) or "").lower()
+                if not name or (m.group(2) and not count.get(name)):
+                    continue
+                if m.group(2):
+                    while True:
+                        other = stack.pop()
+                        count[other[0]] -= 1
+                        other[3][1] = m.start()
+                        inside -= other[5]
+                        if other[0] == name:
+                            break
+                    continue
+                kind = classed.search(m.group(4))
+                classes = set("".join(g or "" for g in kind.groups()).split()) if kind else set()
                 span = [m.start(), m.end() if name in void else len(text)]
-                spans.append(span)
-            if name not in void:
-                stack.append((*element, span))
-                count[name], inside = count.get(name, 0) + 1, inside + (span is not None)
-        return [text[a:b] for a, b in spans]
-
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(cut)
+                own = {step for step in firsts if step not in met and step.fits(name, classes, m.group(4))}
+                met |= own
+                stack.append([name, classes, m.group(4), span, own, False])
+                for n in () if outer and inside else dict.fromkeys(n for n, steps in here if chosen(stack, steps)):
+                    stack[-1][5] = True
+                    spans[n].append(span)
+                    if n == parents:
+                        spans["parents"].append(stack[-2][3] if len(stack) > 1 else span)
+                        spans["table_rows"].append(stack[-3][3] if len(stack) > 2 and stack[-2][0] in ("td", "th") else (0, 0))
+                if name in void:
+                    stack.pop()
+                else:
+                    count[name], inside = count.get(name, 0) + 1, inside + stack[-1][5]
+        return [[text[a:b] for a, b in spans[n]] for n in fields]
+
+    @F.pandas_udf(", ".join(f"`{n}` array<string>" for n in fields))
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(fields, zip(*map(cut, texts), strict=True), strict=True)) if len(texts) else {n: [] for n in fields})
 
     return found(html)
 
 
-def _first(html: Column, *selectors: str) -> Column:
-    return F.coalesce(F.try_element_at(elements(html, *selectors), F.lit(1)), F.lit(""))
+def elements(html: Column, *selectors: str, outer: bool = False) -> Column:
+    """Markup of the elements, in order, that any of the selectors names, as `selected` has them."""
+    return selected(html, outer=outer, found=",".join(selectors))["found"]
+
+
+def _lone(found: Column) -> Column:
+    """The first of some elements, empty without."""
+    return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
 
 
 def _of(value: Column, use) -> Column:
@@ -114,19 +164,30 @@ def listing_links(html: Column, base: Column, path: str = "/en/car/") -> Column:
     return F.array_distinct(F.transform(found, lambda u: X.canonical_url(X.resolve_url(base, u))))
 
 
-def photo_urls(html: Column, formats: bool = False) -> Column:
-    """H4: links of the gallery, or else image sources of the sliders without queries; in order, each once.
+#: What each part of a page is read from, by name; a page is gone through once for all that a row needs.
+_PHOTOS = {"gallery": "a[data-fancybox]", "slides": ".mySwiper2 img, .mySwiper img"}
+_LOT = {"bold": ".lot_information:first b", "sold": ".lot_sold", "ranges": ".lot_price_range .text-left"}
+_CURRENCY = {"shown": ".lot_sold .currency, .lot_price_range .currency"}
+_AUCTION = {"divisions": ".lot_information:first div"}
 
-    With formats, only gallery links that name a jpg, jpeg or png, and no other source.
-    """
-    gallery = F.filter(elements(html, "a"), lambda a: attribute(a, "data-fancybox") == "gallery")
+
+def _photos(found: Column, formats: bool) -> Column:
+    gallery = F.filter(found["gallery"], lambda a: attribute(a, "data-fancybox") == "gallery")
     hrefs = F.array_distinct(F.filter(F.transform(gallery, lambda a: attribute(a, "href")), lambda u: u != ""))
     if formats:
         return F.filter(hrefs, lambda u: u.rlike(r"(?i)\.(jpg|jpeg|png)"))
-    images = F.transform(elements(html, ".mySwiper2 img", ".mySwiper img"), lambda i: X.without_query(attribute(i, "src")))
+    images = F.transform(found["slides"], lambda i: X.without_query(attribute(i, "src")))
     return F.when(F.size(hrefs) > 0, hrefs).otherwise(F.array_distinct(F.filter(images, lambda u: u != "")))
 
 
+def photo_urls(html: Column, formats: bool = False) -> Column:
+    """H4: links of the gallery, or else image sources of the sliders without queries; in order, each once.
+
+    With formats, only gallery links that name a jpg, jpeg or png, and no other source.
+    """
+    return _photos(selected(html, **_PHOTOS), formats)
+
+
 def vehicles_json(html: Column, lists: bool = True) -> Column:
     """The JSON-LD objects of type Vehicle, as structs in order; lists also reads those inside a list."""
     scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*application/ld\+json[^>]*>\s*(.*?)\s*</script>"""), 1)
@@ -149,8 +210,8 @@ def _pair(row: Column) -> Column:
     return F.struct(F.regexp_replace(F.lower(raw), r"[\s:]+$", "").alias("key"), value.alias("value"), (values != "").alias("apart"))
 
 
-def _rows(html: Column, *selectors: str) -> Column:
-    return F.filter(F.transform(F.filter(elements(html, *selectors), lambda r: r.rlike(r"(?i)<b\b")), _pair), lambda p: p["key"] != "")
+def _pairs(rows: Column) -> Column:
+    return F.filter(F.transform(F.filter(rows, lambda r: r.rlike(r"(?i)<b\b")), _pair), lambda p: p["key"] != "")
 
 
 def _labelled(rows: Column, *labels: str) -> Column:
@@ -159,19 +220,32 @@ def _labelled(rows: Column, *labels: str) -> Column:
     return F.coalesce(*[F.nullif(of(x), F.lit("")) for x in labels])
 
 
-def lot_labels(html: Column) -> Column:
-    """JS3: label to value of the lot's information, the last of a label wins, with winning_bet and average_price where the page shows them."""
-    rows = elements(_first(html, ".lot_information"), "div", "li", "tr", "p")
-    own = F.filter(rows, lambda r: r.rlike(r"(?i)^<\w+[^>]*>[^<]*(?:</?(?:td|th|i|a|span|strong|img)\b[^>]*>[^<]*){0,6}<b\b"))
-    pairs = F.filter(F.transform(own, _pair), lambda p: p["key"] != "")
+def _lot_labels(found: Column) -> Column:
+    def behind(label: Column, markup: Column) -> Column:
+        return _of(visible(markup), lambda whole: F.trim(F.when(F.startswith(whole, label), F.substring(whole, F.length(label) + 1, F.length(whole))).otherwise(whole)))
+
+    def pair(x: Column) -> Column:
+        value = lambda label: F.coalesce(F.nullif(behind(label, x["parents"]), F.lit("")), behind(label, x["table_rows"]))
+        return _of(visible(x["bold"]), lambda label: F.struct(F.lower(F.trim(F.regexp_replace(label, ":+$", ""))).alias("key"), value(label).alias("value")))
+
+    pairs = F.filter(F.transform(F.arrays_zip(found["bold"].alias("bold"), found["parents"].alias("parents"), found["table_rows"].alias("table_rows")), pair), lambda p: p["key"] != "")
     amount = lambda text, label: F.trim(F.regexp_extract(text, rf"(?i){label}:\s*\$?\s*([\d\s]+)", 1))
-    ranges = F.transform(elements(html, ".lot_price_range .text-left"), lambda r: amount(visible(r), "average price"))
+    ranges = F.transform(found["ranges"], lambda r: amount(visible(r), "average price"))
     average = F.coalesce(F.try_element_at(F.filter(ranges, lambda a: a != ""), F.lit(1)), F.lit(""))
     extra = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
-    shown = F.array(extra("winning_bet", amount(visible(_first(html, ".lot_sold")), "winning bet")), extra("average_price", average))
-    found = F.concat(F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))), F.filter(shown, lambda p: p["value"] != ""))
+    shown = F.array(extra("winning_bet", amount(visible(_lone(found["sold"])), "winning bet")), extra("average_price", average))
+    every = F.concat(pairs, F.filter(shown, lambda p: p["value"] != ""))
     none = F.array().cast("array<struct<key:string,value:string>>")
-    return F.map_from_entries(F.aggregate(found, none, lambda kept, p: F.concat(F.filter(kept, lambda q: q["key"] != p["key"]), F.array(p))))
+    return F.map_from_entries(F.aggregate(every, none, lambda kept, p: F.concat(F.filter(kept, lambda q: q["key"] != p["key"]), F.array(p))))
+
+
+def lot_labels(html: Column) -> Column:
+    """JS3: label to value of the first lot information on the page, the last of a label wins, with winning_bet and average_price where the page shows them.
+
+    A label is any bold text; its value is the text of the element right around it, without the label at its start.
+    Where that is a table's cell with nothing else, it is the rest of the cell's row.
+    """
+    return _lot_labels(selected(html, parents="bold", **_LOT))
 
 
 def first_filled(*sources: Column) -> Column:
@@ -181,14 +255,21 @@ def first_filled(*sources: Column) -> Column:
 
 def currency(html: Column) -> Column:
     """H6: the first currency of a vehicle's offer, else that of the sale's or the price range's element, else USD; in upper case."""
+    return _currency(html, selected(html, **_CURRENCY))
+
+
+def _currency(html: Column, found: Column) -> Column:
     offers = F.filter(F.transform(vehicles_json(html), lambda v: F.trim(v["offers"]["priceCurrency"])), lambda c: c != "")
-    shown = visible(_first(html, ".lot_sold .currency", ".lot_price_range .currency"))
-    return F.coalesce(F.upper(first_filled(F.try_element_at(offers, F.lit(1)), shown)), F.lit("USD"))
+    return F.coalesce(F.upper(first_filled(F.try_element_at(offers, F.lit(1)), visible(_lone(found["shown"])))), F.lit("USD"))
 
 
 def auction_source(html: Column) -> Column:
     """H7: COPART, IAAI or OTHER by the link, or else the image, in the Auction row of the lot's information; null without."""
-    rows = F.filter(elements(_first(html, ".lot_information"), ".lot_information div"), lambda r: _pair(r)["key"] == "auction")
+    return _auction(selected(html, **_AUCTION))
+
+
+def _auction(found: Column) -> Column:
+    rows = F.filter(found["divisions"], lambda r: _pair(r)["key"] == "auction")
     row = F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit(""))
     name = lambda x: F.when(F.contains(x, F.lit("copart")), "COPART").when(F.contains(x, F.lit("iaai")), "IAAI").otherwise("OTHER")
     link = lambda r: name(F.regexp_extract(r, r"""(?s)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']""", 1))
@@ -204,11 +285,14 @@ def price(lot: Column) -> Column:
 
 def list_rows(pages: DataFrame) -> DataFrame:
     """One row per lot card of a list page, absent fields empty; cards without a link and a VIN are dropped."""
-    c = pages.select("page_id", "url", F.explode(elements(F.col("html"), "div.lot_list div.row.py-2", outer=True)).alias("card"))
-    c = c.select(
-        "page_id", "url", F.col("card"), _rows(F.col("card"), "div.params div.mt-1").alias("kv"), _first(F.col("card"), ".title a.ajax_link").alias("link"), _first(F.col("card"), ".image_box img").alias("image"),
-        visible(_first(F.col("card"), ".title .text-success")).alias("sold_price"), visible(_first(F.col("card"), ".title .badge")).alias("status"), visible(_first(F.col("card"), ".who_sell")).alias("seller_type"),
-        elements(F.col("card"), "a.btn.btn-info.btn-sm").alias("buttons"), elements(F.col("card"), "img").alias("images"),
+    c = pages.select("page_id", "url", F.explode(elements(F.col("html"), "div.lot_list > div.row.py-2")).alias("card"))
+    parts = selected(
+        F.col("card"), rows="div.params div.mt-1", link=".title a.ajax_link", image=".image_box img", price=".title .text-success", badge=".title .badge", seller=".who_sell",
+        buttons="a.btn.btn-info.btn-sm[target]", houses="img[alt]",
+    )
+    c = c.select("page_id", "url", parts.alias("x")).select(
+        "page_id", "url", _pairs(F.col("x.rows")).alias("kv"), _lone(F.col("x.link")).alias("link"), _lone(F.col("x.image")).alias("image"), visible(_lone(F.col("x.price"))).alias("sold_price"),
+        visible(_lone(F.col("x.badge"))).alias("status"), visible(_lone(F.col("x.seller"))).alias("seller_type"), F.col("x.buttons").alias("buttons"), F.col("x.houses").alias("images"),
     )
     kv = lambda k: F.coalesce(_labelled(F.filter("kv", lambda p: p["apart"]), k), F.lit(""))
     href = attribute(F.col("link"), "href")
@@ -227,9 +311,10 @@ def detail_rows(pages: DataFrame) -> DataFrame:
 
     Keeps the page's vin where the table has that column.
     """
-    rows, plain = _rows(F.col("html"), "div.params div.mt-1", "div.params li", "table tr"), _rows(F.col("html"), "div.mt-2", "div.mb-2", "div.mb-4")
     own = [F.col("vin")] if "vin" in pages.columns else []
-    p = pages.select("url", *own, vehicle_json(F.col("html"), lists=False).alias("v"), rows.alias("rows"), plain.alias("plain"), photo_urls(F.col("html")).alias("photos"))
+    parts = selected(F.col("html"), rows="div.params div.mt-1, div.params li, table tr", plain="div.mt-2, div.mb-2, div.mb-4", **_PHOTOS)
+    p = pages.select("url", *own, vehicle_json(F.col("html"), lists=False).alias("v"), parts.alias("x"))
+    p = p.select("url", *own, "v", _pairs(F.col("x.rows")).alias("rows"), _pairs(F.col("x.plain")).alias("plain"), _photos(F.col("x"), False).alias("photos"))
 
     def field(structured: Column, labels: list[str], simple: str) -> Column:
         return F.coalesce(F.nullif(structured, F.lit("")), _labelled(F.col("rows"), *labels), _labelled(F.col("plain"), simple), F.lit(""))
@@ -248,10 +333,11 @@ def vin_mismatch(url: Column, shown: Column) -> Column:
 
 def vehicle_rows(pages: DataFrame) -> DataFrame:
     """H3, H9: one wide record per vehicle page, with a flag where the URL's VIN is another than the page's."""
-    html = F.col("html")
-    p = pages.select(
-        "url", lot_labels(html).alias("kv"), _of(visible(_first(html, "h1")), X.heading).alias("h"), currency(html).alias("currency"), auction_source(html).alias("auction_source"),
-        F.nullif(visible(_first(html, ".who_sell")), F.lit("")).alias("seller"), X.join_bar(photo_urls(html, formats=True)).alias("images"),
+    x, html = F.col("x"), F.col("html")
+    parts = selected(html, parents="bold", heading="h1", seller=".who_sell", **_LOT, **_CURRENCY, **_AUCTION, **_PHOTOS)
+    p = pages.select("url", "html", parts.alias("x")).select(
+        "url", _lot_labels(x).alias("kv"), _of(visible(_lone(x["heading"])), X.heading).alias("h"), _currency(html, x).alias("currency"), _auction(x).alias("auction_source"),
+        F.nullif(visible(_lone(x["seller"])), F.lit("")).alias("seller"), X.join_bar(_photos(x, True)).alias("images"),
     )
     kv = lambda k: F.try_element_at(F.col("kv"), F.lit(k))
     shown = F.nullif(X.normal_vin(first_filled(kv("vin"), F.col("h.vin"))), F.lit(""))
