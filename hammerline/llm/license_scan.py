@@ -9,6 +9,9 @@ single spaces, so punctuation and line breaks do not count as edits.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -96,12 +99,16 @@ class NoticeSearch:
                 if hit:
                     out.add((k, a + hit[0], a + hit[1], hit[2]))
                     done = a + hit[0]
-        # Of overlapping finds the one with the smallest share of edits stays.
-        best: list[tuple[int, int, int, int]] = []
-        for x in sorted(out, key=lambda x: (x[3] / len(self.notices[x[0]].text), x[1], -x[2], x[0])):
-            if all(x[2] <= y[1] or x[1] >= y[2] for y in best):
-                best.append(x)
-        return sorted(best, key=lambda x: (x[1], x[2], x[0]))
+        return self._apart(out)
+
+    def _apart(self, finds: Iterable[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Of overlapping finds the one with the smallest share of edits stays; a find meets its two neighbours among those kept."""
+        kept: list[tuple[int, int, int, int]] = []  # (start, end, notice, edits), which don't overlap and so are in order of their ends too
+        for k, a, b, edits in sorted(finds, key=lambda x: (x[3] / len(self.notices[x[0]].text), x[1], -x[2], x[0])):
+            at = bisect.bisect_left(kept, (b,))
+            if not at or kept[at - 1][1] <= a:
+                kept.insert(at, (a, b, k, edits))
+        return [(k, a, b, edits) for a, b, k, edits in kept]
 
 
 def _joined(t: X.Texts, s: np.ndarray, e: np.ndarray, of: np.ndarray) -> tuple[bytes, np.ndarray]:

@@ -83,3 +83,27 @@ def test_coalescing_of_overlaps():
     ga, gb, left, right = coalesce(a, np.array([2, 5, 6, 9]), b, np.array([1, 3, 5, 9]))
     assert ga.tolist() == [0, 0, 1, 1] and gb.tolist() == [0, 0, 0, 1]
     assert list(zip(left.tolist(), right.tolist(), strict=True)) == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 3), (3, 3)]
+
+
+def test_notices_of_one_text_are_told_apart_in_proportion(spark):
+    import time
+
+    from hammerline.llm.license_scan import NOTICES, CHARS_PER_EDIT, NoticeSearch, license_notices
+
+    search, r = NoticeSearch(NOTICES, CHARS_PER_EDIT), random.Random(3)
+
+    def plain(finds):
+        best = []
+        for x in sorted(finds, key=lambda x: (x[3] / len(search.notices[x[0]].text), x[1], -x[2], x[0])):
+            if all(x[2] <= y[1] or x[1] >= y[2] for y in best):
+                best.append(x)
+        return sorted(best, key=lambda x: (x[1], x[2], x[0]))
+
+    for spread in (30, 300, 3000):
+        finds = {(r.randrange(len(search.notices)), a := r.randrange(spread), a + r.randint(1, 25), r.randint(0, 3)) for _ in range(200)}
+        assert search._apart(finds) == plain(finds)
+    notice = max(search.notices, key=lambda n: len(n.text)).text
+    whole = " ".join(f"{notice} {i}" for i in range(5_000_000 // len(notice)))
+    began = time.perf_counter()
+    out = license_notices(spark.createDataFrame([(1, whole)], "doc_id long, text string")).first()
+    assert len(out.spans) >= 5_000_000 // len(notice) and time.perf_counter() - began < 60
