@@ -14,7 +14,10 @@ search is dealt out first: two sets with Jaccard >= t share a member among the
 first n - ceil(t n) + 1 of each in any common order, so sets meet in the cells
 of those members.  Frequent members come last in that order; which ones count
 as frequent is told by counts kept in the tasks that read the texts, and
-affects cost, not results.
+affects cost, not results.  The first member in that order that two sets share
+has all their overlap from its place on, so a cell also knows how many members
+of each set stand there: form letters, which share frequent members only, meet
+in crowded cells but are told apart there without a comparison of pairs.
 
   1. each set is verified against the cell mate it meets most often, and the
      verified links contract to classes;
@@ -44,6 +47,8 @@ GROUPS_LEAST, GROUPS_MOST = 64, 8192
 LEAF = 16
 #: Sets of a block that is searched at once; classes of a cell's block; queries that go down a tree together.
 BLOCK, CELL_BLOCK, TOGETHER = 512, 1024, 32
+#: Logarithmic width of the size bands that sum up a crowded cell; so many cells' bands are broadcast.
+BAND, BROADCAST_CELLS = 0.04, 5_000
 #: Names of nodes, and places where they are compared, are broadcast up to this many.
 BROADCAST_NODES, BROADCAST_ROUTES = 2_000_000, 500_000
 #: A task counts shingles over so many at a time and reports those it has met so often; so many of them are held as frequent.
@@ -133,36 +138,40 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 class CountTree:
     """An R-tree over count vectors, or over the upper corners of boxes of them, packed bottom-up in size order and searched by overlap bound."""
 
-    def __init__(self, points: np.ndarray, low: np.ndarray, high: np.ndarray):
+    def __init__(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray):
         # Sorting by size and then by the heaviest group keeps boxes tight in the coordinate that prunes most.
         self.order = np.lexsort((points.argmax(1), low))
-        self.levels = [(points[self.order], low[self.order], high[self.order])]
+        self.levels = [(points[self.order], low[self.order], high[self.order], most[self.order])]
         while len(self.levels[-1][0]) > LEAF:
-            p, lo, hi = self.levels[-1]
+            p, lo, hi, rest = self.levels[-1]
             cuts = np.arange(0, len(p), LEAF)
-            self.levels.append((np.maximum.reduceat(p, cuts), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)))
+            self.levels.append((np.maximum.reduceat(p, cuts), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts), np.maximum.reduceat(rest, cuts)))
 
     @classmethod
     def of_sets(cls, sets: list[np.ndarray]) -> CountTree:
         sizes = np.array([len(s) for s in sets])
         groups = groups_for(int(sizes.min()))
-        return cls(np.stack([point(s, groups) for s in sets]), sizes, sizes)
+        return cls(np.stack([point(s, groups) for s in sets]), sizes, sizes, sizes)
 
     @property
     def groups(self) -> int:
         return self.levels[0][0].shape[1]
 
-    def pairs(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, entry, bound) of the entries whose bound allows a link with a query point (or box) of that size."""
+    def pairs(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry, bound) of the entries whose bound allows a link with a query point (or box) of that size.
+
+        No overlap is above the `most` of either side.
+        """
         out = []
         for first in range(0, len(points), TOGETHER):
             n = min(TOGETHER, len(points) - first)
             top = len(self.levels[-1][0])
             q, at = np.repeat(np.arange(first, first + n), top), np.tile(np.arange(top), n)
             for depth in range(len(self.levels) - 1, -1, -1):
-                p, lo, hi = self.levels[depth]
+                p, lo, hi, rest = self.levels[depth]
                 least = np.maximum(lo[at], -(-percent * low[q] // 100))
                 fit = (100 * hi[at] >= percent * low[q]) & (percent * lo[at] <= 100 * high[q])
+                fit &= np.minimum(rest[at], most[q]) >= needed(least, low[q], percent)
                 q, at, least = q[fit], at[fit], least[fit]
                 bound = np.minimum(p[at], points[q]).sum(1, dtype=np.int64)
                 ok = bound >= needed(least, low[q], percent)
@@ -177,7 +186,7 @@ class CountTree:
     def candidates(self, s: np.ndarray, percent: int) -> np.ndarray:
         """Entries that may link with the set s, the highest bound first."""
         size = np.array([len(s)])
-        _, at, bound = self.pairs(point(s, self.groups)[None], size, size, percent)
+        _, at, bound = self.pairs(point(s, self.groups)[None], size, size, size, percent)
         return at[np.argsort(-bound, kind="stable")]
 
 
@@ -221,7 +230,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     total = named.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total * (100 - percent) // 100 // GROUP_ROWS))
     dealt = docs.select("text").mapInArrow(_prefixes(width, percent, parts, frequent), "p int, blob binary")
-    cells = cut(dealt.groupBy("p").applyInArrow(lambda t: _meet(t, frequent), "token long, node long, pivot long"))
+    cells = cut(dealt.groupBy("p").applyInArrow(lambda t: _meet(t, frequent), "token long, node long, pivot long, rest int"))
 
     del dealt
     release(docs.sparkSession)
@@ -302,20 +311,21 @@ def _prefixes(width: int, percent: int, parts: int, frequent):
         seen: set[int] = set()
         tokens: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
+        rests: list[np.ndarray] = []
         often, times = frequent.value
 
         def out() -> pa.RecordBatch:
-            t, node = np.concatenate(tokens), np.concatenate(nodes)
-            tokens.clear()
-            nodes.clear()
+            t, node, rest = (np.concatenate(c) for c in (tokens, nodes, rests))
+            for c in (tokens, nodes, rests):
+                c.clear()
             at, hot = _member(often, t)
             salts = np.ones(len(t), np.uint64)
             salts[hot] += (times[at[hot]] // GROUP_ROWS).astype(np.uint64)
             part = (X.mix(t + X.mix(node.view(np.uint64)) % salts) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             o = np.lexsort((t, part))
-            t, node, part = t[o], node[o], part[o]
+            t, node, rest, part = t[o], node[o], rest[o], part[o]
             head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            blobs = [X.squeezed(t[a:b], node[a:b]) for a, b in zip(head.tolist(), [*head[1:].tolist(), len(t)], strict=True)]
+            blobs = [X.squeezed(t[a:b], node[a:b], rest[a:b]) for a, b in zip(head.tolist(), [*head[1:].tolist(), len(t)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), pa.array(blobs, pa.binary())], ["p", "blob"])
 
         count = 0
@@ -329,10 +339,10 @@ def _prefixes(width: int, percent: int, parts: int, frequent):
                 k = len(s) - -(-percent * len(s) // 100) + 1
                 at, hot = _member(often, s)
                 if hot.any():
-                    rest = s[hot][np.argsort(times[at[hot]], kind="stable")]
-                    s = np.concatenate([s[~hot], rest])
+                    s = np.concatenate([s[~hot], s[hot][np.argsort(times[at[hot]], kind="stable")]])
                 tokens.append(s[:k].copy())
                 nodes.append(np.full(k, node, np.int64))
+                rests.append(len(s) - np.arange(k, dtype=np.int64))
                 count += k
                 if count > COUNTED:
                     yield out()
@@ -344,18 +354,18 @@ def _prefixes(width: int, percent: int, parts: int, frequent):
 
 
 def _meet(table: pa.Table, frequent) -> pa.Table:
-    """(token, node, pivot): the nodes of each token that several share, or that is frequent and may be split, and their smallest."""
-    t, node = (np.concatenate(c) for c in zip(*[X.unsqueezed(x.as_py(), (np.uint64, np.int64)) for x in table.column("blob")], strict=True))
+    """(token, node, pivot, rest): the nodes of each token that several share, or that is frequent and may be split, their smallest, and the members from the token on."""
+    t, node, rest = (np.concatenate(c) for c in zip(*[X.unsqueezed(x.as_py(), (np.uint64, np.int64, np.int64)) for x in table.column("blob")], strict=True))
     o = np.lexsort((node, t))
-    t, node = t[o], node[o]
+    t, node, rest = t[o], node[o], rest[o]
     new = np.concatenate([[True], t[1:] != t[:-1]])
     one = new.copy()
     one[1:] |= node[1:] != node[:-1]
-    t, node, new = t[one], node[one], new[one]
+    t, node, rest, new = t[one], node[one], rest[one], new[one]
     head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(t)))
     keep = np.repeat((n > 1) | _member(frequent.value[0], t[head])[1], n)
-    return pa.table({"token": t[keep].view(np.int64), "node": node[keep], "pivot": np.repeat(node[head], n)[keep]})
+    return pa.table({"token": t[keep].view(np.int64), "node": node[keep], "pivot": np.repeat(node[head], n)[keep], "rest": rest[keep].astype(np.int32)})
 
 
 def _of_nodes(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -404,10 +414,12 @@ def _class_links(docs: DataFrame, named: DataFrame, width: int, cells: DataFrame
     comp = components(links)
     member = cut(points.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("cls")))
     weight = points.select("node", "n").join(member, "node").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    meet = cut(cells.join(member, "node").select("token", "cls").distinct())
-    # Tokens that the same classes share are searched once.
+    meet = cut(cells.join(member, "node").groupBy("token", "cls").agg(F.max("rest").alias("rest")))
+    # Tokens that the same classes share are searched once, with the most that any of them leaves to each class.
     cell = meet.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("m > 1")
-    meet = cut(meet.join(cell.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m"), "token"))
+    meet = cut(meet.join(cell, "token").groupBy("m", "x", "y", "cls").agg(F.min("token").alias("token"), F.max("rest").alias("rest")).drop("x", "y"))
+    if exhaustive:
+        meet = _possible(meet, weight, percent)
     pairs = None
     if not exhaustive:
         sized = meet.join(weight, "cls")
@@ -462,8 +474,34 @@ def _class_links(docs: DataFrame, named: DataFrame, width: int, cells: DataFrame
     return left.groupBy("a", "i", "j").cogroup(right.groupBy("a2", "i2", "j2")).applyInArrow(search, "a long, b long")
 
 
+def _possible(meet: DataFrame, weight: DataFrame, percent: int) -> DataFrame:
+    """meet (m, cls, token, rest) without the classes of a crowded cell that can have no partner in it.
+
+    What a cell holds is told by bands of sizes, a few hundred at most: their least and largest sizes and the most
+    members that a class of them has from the token on.
+    """
+    crowded = F.col("m") > CELL_BLOCK
+    many = cut(meet.where(crowded).join(weight.drop("weight"), "cls"))
+    bands = many.groupBy("token", F.floor(F.log("lo") / BAND).alias("_band")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
+    bands = bands.groupBy("token").agg(F.collect_list(F.struct("_band", "lo", "hi", "rest", "n")).alias("bands"))
+    least = lambda x: F.ceil(x * percent / 100)
+
+    def fits(b):
+        a, c = F.greatest("lo", least(b["lo"])), F.greatest(b["lo"], least(F.col("lo")))
+        enough = F.least("rest", b["rest"]) * (100 + percent) >= percent * (a + c)
+        other = (b["n"] > 1) | (b["_band"] != F.floor(F.log("lo") / BAND))
+        return enough & other & (100 * F.col("hi") >= percent * b["lo"]) & (100 * b["hi"] >= percent * F.col("lo"))
+
+    bands = cut(bands)
+    near = F.broadcast(bands) if bands.count() <= BROADCAST_CELLS else bands
+    left = many.join(near, "token").where(F.exists("bands", fits)).select("token", "cls", "rest")
+    left = cut(left)
+    sizes = left.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return cut(meet.where(~crowded).select("token", "cls", "rest", "m").unionByName(left.join(sizes, "token")))
+
+
 def _cell_pairs(meet: DataFrame, box: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that share a cell of meet (token, cls, m) and whose boxes may hold two linked sets.
+    """The pairs (a, b) of classes that share a cell of meet (token, cls, rest, m) and whose boxes may hold two linked sets.
 
     Each cell is searched through an R-tree over its classes' boxes.  Many small cells share a group; a large one is cut
     to blocks, each of which is searched for every other.
@@ -472,12 +510,12 @@ def _cell_pairs(meet: DataFrame, box: DataFrame, percent: int) -> DataFrame:
     groups = max(1, -(-(meet.count()) // 4096))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("token", "cls", "corner", "lo", "hi", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k")
+    rows = rows.select("token", "cls", "corner", "lo", "hi", "rest", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k")
     key = F.when(F.col("k") == 1, F.pmod(F.xxhash64("token"), F.lit(groups))).otherwise(F.xxhash64("token", "i", "j"))
 
     def search(table: pa.Table) -> pa.Table:
         token, i, j, own, cls = (table.column(c).to_numpy() for c in ("token", "i", "j", "own", "cls"))
-        lo, hi = table.column("lo").to_numpy().astype(np.int64), table.column("hi").to_numpy().astype(np.int64)
+        lo, hi, rest = (table.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "rest"))
         corner = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("corner")]
         o = np.lexsort((cls, j, i, token))
         new = (token[o][1:] != token[o][:-1]) | (i[o][1:] != i[o][:-1]) | (j[o][1:] != j[o][:-1])
@@ -488,7 +526,7 @@ def _cell_pairs(meet: DataFrame, box: DataFrame, percent: int) -> DataFrame:
             # A block against itself, or the first block against the second.
             left, right = own[cell] == i[cell], own[cell] == j[cell]
             x, y = cell[left], cell[right]
-            q, at, _ = CountTree(p[left], lo[x], hi[x]).pairs(p[right], lo[y], hi[y], percent) if len(x) and len(y) else (np.empty(0, np.int64),) * 3
+            q, at, _ = CountTree(p[left], lo[x], hi[x], rest[x]).pairs(p[right], lo[y], hi[y], rest[y], percent) if len(x) and len(y) else (np.empty(0, np.int64),) * 3
             x, y = x[at], y[q]
             once = cls[x] < cls[y] if i[cell[0]] == j[cell[0]] else cls[x] != cls[y]
             x, y = x[once], y[once]

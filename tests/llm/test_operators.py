@@ -157,6 +157,24 @@ def test_near_copies_without_a_common_centre(spark):
     assert got == B.classes({i: B.shingles(t) for i, t in docs})
 
 
+def test_form_letters_are_not_compared_pair_by_pair(spark, monkeypatch):
+    from hammerline.llm import jaccard_join as J
+
+    rng, form = np.random.default_rng(5), [f"w{i}" for i in range(160)]
+    docs = [(i, " ".join(form + [f"v{i}x{k}" for k in range(rng.integers(36, 60))])) for i in range(1500)]
+    # Some do link: near copies of a letter, and letters with little of their own.
+    docs += [(2000 + i, docs[i][1] + " more") for i in range(20)] + [(3000 + i, " ".join(form + [f"u{i}x{k}" for k in range(18)])) for i in range(20)]
+    left = []
+    pairs = J._cell_pairs
+    monkeypatch.setattr(J, "_cell_pairs", lambda *a: left.append(pairs(*a)) or left[-1])
+    for block in (J.CELL_BLOCK, 256):
+        monkeypatch.setattr(J, "CELL_BLOCK", block)
+        got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+        want = {i: i for i, _ in docs} | {2000 + i: i for i in range(20)} | {3000 + i: 3000 for i in range(20)}
+        assert got == want
+    assert all(x.count() < 3000 for x in left)
+
+
 def test_count_tree_bounds():
     from hammerline.llm.jaccard_join import CountTree, linked
 
