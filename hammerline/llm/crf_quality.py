@@ -6,11 +6,15 @@ through a transition matrix.  The field is fitted on a bounded sample of
 labelled documents, read whole, whose lines carry the document's label; its forward-backward
 marginals, averaged with line lengths as weights, give a document's quality, and
 a one-variable logistic fit on the same sample turns that into a probability.
+
+The sample's line features are a table in the shared folder; likelihoods and
+gradients are summed in tasks, and the driver holds parameters only.  Long
+documents are cut to blocks whose transfer matrices are multiplied beside one
+another, so passes over a document of n lines take about the root of n steps.
 """
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
+from hammerline.llm._spark import cut, small_batches
 
 #: The most labelled rows used in fitting, each with all of its lines.
 SAMPLE_ROWS = 8000
-#: Lines fitted at once, of one document at least; lines sent to the driver in a row.
-CHUNK_LINES, SENT_LINES = 200_000, 20_000
-STEPS, RATE, RIDGE = 250, 0.08, 1e-4
+#: Lines of a row of the table that is fitted, of one document at least; so many full rows make a task.
+CHUNK_LINES, CHUNKS_A_TASK = 20_000, 4
+#: Lines of a block of a chain.
+BLOCK_LINES = 1024
+#: Evaluations of the likelihood, steps remembered, the gradient at which the fit ends, and penalties of weights and transitions.
+EVALUATIONS, REMEMBERED, FLAT, RIDGE, STAY = 60, 8, 1e-5, 1e-4, 0.02
 
 FEATURES = 22
 _CLASS = {name: np.zeros(256, bool) for name in ("upper", "letter", "digit", "mark", "stop", "bar", "bang", "other", "at")}
@@ -89,31 +97,58 @@ def neighbours_sums(x: np.ndarray, head: np.ndarray, tail: np.ndarray, r: np.nda
     return np.concatenate([r @ x, before @ x[:-1], after @ x[1:], [r[head].sum(), r[tail].sum(), r.sum()]])
 
 
-def forward_backward(u: np.ndarray, of: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the good label for each line (scores u for good, 0 for bad) and the expected transitions, all chains."""
-    n_lines = np.bincount(of) if len(of) else np.empty(0, int)
-    head = np.cumsum(n_lines) - n_lines
-    by_length = np.argsort(-n_lines, kind="stable")
-    head, n_lines = head[by_length], n_lines[by_length]
-    steps = int(n_lines[0]) if len(n_lines) else 0
-    live = np.searchsorted(-n_lines, -np.arange(1, steps + 1), side="right")
+def forward_backward(u: np.ndarray, of: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all chains (scores u for good, 0 for bad): each line's marginal of the good label, the expected transitions, each
+    weighted as the line it leads to, and each line's part of the logarithm of its chain's normaliser.
+    """
+    head, tail = ends(of)
     emit = np.exp(np.stack([-np.maximum(u, 0), u - np.maximum(u, 0)], 1))
     m = np.exp(trans - trans.max())
-    a, b = np.empty((len(u), 2)), np.ones((len(u), 2))
+    # Blocks: where each begins, its lines, and whether it begins or ends its chain.
+    chain, lines = np.flatnonzero(head), np.diff(np.append(np.flatnonzero(head), len(u)))
+    per = -(-lines // BLOCK_LINES)
+    top = np.cumsum(per) - per
+    nth = np.arange(per.sum()) - np.repeat(top, per)
+    first = np.repeat(chain, per) + BLOCK_LINES * nth
+    size = np.minimum(np.repeat(chain + lines, per) - first, BLOCK_LINES)
+    order = np.argsort(-size, kind="stable")
+    steps = int(size.max()) if len(size) else 0
+    # What meets a block's first scores, and what follows its last line.
+    enter, leave = np.ones((len(first), 2)), np.ones((len(first), 2))
+    if (per > 1).any():
+        inside = order[np.repeat(per > 1, per)[order]]
+        live = np.searchsorted(-size[inside], -np.arange(steps), side="left")
+        product = np.zeros((len(first), 2, 2))
+        for t in range(steps):
+            b = inside[: live[t]]
+            e = emit[first[b] + t]
+            v = (product[b] @ m) * e[:, None, :] if t else e[:, :, None] * np.eye(2)
+            product[b] = v / v.sum((1, 2), keepdims=True)
+        for k in range(1, int(per.max())):
+            b = top[per > k] + k
+            v = np.einsum("bi,bij->bj", enter[b - 1], product[b - 1])
+            enter[b] = v / v.sum(1, keepdims=True) @ m
+            b = (top + per)[per > k] - k
+            v = np.einsum("bij,bj->bi", product[b], leave[b]) @ m.T
+            leave[b - 1] = v / v.sum(1, keepdims=True)
+    a, b, z = np.empty((len(u), 2)), np.empty((len(u), 2)), np.empty(len(u))
+    begin, count = first[order], size[order]
+    live = np.searchsorted(-count, -np.arange(steps), side="left")
     for t in range(steps):
-        i = head[: live[t]] + t
-        v = emit[i] * (a[i - 1] @ m) if t else emit[i]
-        a[i] = v / v.sum(1, keepdims=True)
-    both = np.zeros((2, 2))
+        i = begin[: live[t]] + t
+        v = emit[i] * (a[i - 1] @ m if t else enter[order])
+        z[i] = v.sum(1)
+        a[i] = v / z[i][:, None]
+    b[begin + count - 1] = leave[order]
     for t in range(steps - 1, 0, -1):
-        i = head[: live[t]] + t
-        w = emit[i] * b[i]
-        joint = a[i - 1][:, :, None] * m * w[:, None, :]
-        both += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        v = w @ m.T
+        i = begin[: live[t]] + t
+        v = (emit[i] * b[i]) @ m.T
         b[i - 1] = v / v.sum(1, keepdims=True)
     p = a * b
-    return p[:, 1] / p.sum(1), both
+    to = np.flatnonzero(~head)
+    joint = a[to - 1][:, :, None] * m * (emit[to] * b[to])[:, None, :]
+    joint *= ((1 if weight is None else weight[to]) / joint.sum((1, 2)))[:, None, None]
+    return p[:, 1] / p.sum(1), joint.sum(0), np.log(z) + np.maximum(u, 0) + np.where(head, 0, trans.max())
 
 
 @dataclass
@@ -149,44 +184,106 @@ class LineField:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x, of, length, n) + self.shift, -30, 30)))
 
 
-def fit_field(x: np.ndarray, length: np.ndarray, lines: np.ndarray, labels: np.ndarray) -> LineField:
-    """Maximum likelihood by Adam steps, from all lines of documents of so many lines; each document weighs as the root of that number."""
-    stop = np.cumsum(lines)
-    chunks, a = [], 0
-    while a < len(lines):
-        b = max(a + 1, int(np.searchsorted(stop, stop[a] - lines[a] + CHUNK_LINES, side="right")))
-        chunks.append((slice(a, b), slice(int(stop[a] - lines[a]), int(stop[b - 1])), np.repeat(np.arange(b - a), lines[a:b])))
-        a = b
-    total = np.zeros((2, 3 * x.shape[1] + 3))
-    for _, at, of in chunks:
-        own, one = x[at].astype(np.float64), np.ones(len(of))
-        total += np.stack([neighbours_sums(own, *ends(of), one), neighbours_sums(own**2, *ends(of), one)])
-    mean, square = total / len(x)
+def lowest(f, x: np.ndarray) -> np.ndarray:
+    """A minimum of f (which gives value and gradient) by limited-memory quasi-Newton steps, each shortened until it descends."""
+    value, g = f(x)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    left = EVALUATIONS - 1
+    while left > 0 and np.abs(g).max() > FLAT:
+        d, shares = -g, []
+        for s, y in reversed(kept):
+            shares.append((s @ d) / (s @ y))
+            d = d - shares[-1] * y
+        d = d * ((kept[-1][0] @ kept[-1][1]) / (kept[-1][1] @ kept[-1][1]) if kept else 1 / max(1.0, float(np.linalg.norm(g))))
+        for (s, y), share in zip(kept, reversed(shares), strict=True):
+            d = d + s * (share - (y @ d) / (s @ y))
+        step, slope = 1.0, float(g @ d)
+        while left > 0:
+            new, h = f(x + step * d)
+            left -= 1
+            if new <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = step * d, h - g
+        if s @ y > 1e-12:
+            kept = [*kept, (s, y)][-REMEMBERED:]
+        x, value, g = x + s, new, h
+    return x
+
+
+def _sums(table: DataFrame, of_row) -> np.ndarray:
+    """The sum of what of_row(labels, lines, x, n) gives for the table's rows: one small row a task comes to the driver."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                y, lines, x, n = (np.frombuffer(c.as_buffer(), k) for c, k in zip(row, (np.int64, np.int64, np.float32, np.float64), strict=True))
+                one = of_row(y, lines, x.reshape(-1, FEATURES).astype(np.float64), n)
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    return sum(np.frombuffer(r["v"], np.float64) for r in table.mapInArrow(add, "v binary").collect())
+
+
+def fit_field(table: DataFrame) -> LineField | None:
+    """Maximum likelihood over the table's documents (labels, lines, x, n); each weighs as the root of its number of lines.
+
+    The calibration is fitted on whole documents' scores by Newton steps.  None without labels of both kinds.
+    """
+
+    def moments(y, lines, x, n):
+        of, one = np.repeat(np.arange(len(y)), lines), np.ones(len(x))
+        return np.concatenate([neighbours_sums(x, *ends(of), one), neighbours_sums(x**2, *ends(of), one), [len(x), np.sqrt(lines).sum(), (y == 0).sum(), (y == 1).sum()]])
+
+    total = _sums(table, moments)
+    if np.ndim(total) == 0 or not total[-2:].all():
+        return None
+    k = 3 * FEATURES + 3
+    mean, square = total[:k] / total[-4], total[k : 2 * k] / total[-4]
+    all_weight = total[-3]
     scale = np.sqrt(np.maximum(square - mean**2, 0))
     mean[-1], scale[scale < 1e-6] = 0, 1
-    weight_sum = np.sqrt(lines).sum()
-    # Lines carry their document's label, so labels only follow themselves.
-    seen = np.diag(np.bincount(labels.astype(int), lines - 1, minlength=2))
-    w, trans = np.zeros(len(mean)), np.zeros((2, 2))
-    m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    for k in range(1, STEPS + 1):
-        field, grown, both = LineField(mean, scale, w, trans), np.zeros(len(w)), np.zeros((2, 2))
-        for docs, at, of in chunks:
-            p, met = forward_backward(field.line_scores(x[at], of), of, trans)
-            left = (labels[docs][of] - p) / np.sqrt(lines[docs])[of]
-            grown += (neighbours_sums(x[at], *ends(of), left) - mean * left.sum()) / scale
-            both += met
-        g = np.concatenate([grown / weight_sum - RIDGE * w, ((seen - both) / len(x) - 0.02 * trans).ravel()])
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        step = RATE * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8) * min(1, 3 * (1 - k / (STEPS + 1)))
-        w, trans = w + step[:-4], trans + step[-4:].reshape(2, 2)
-    field = LineField(mean, scale, w, trans)
-    r = np.concatenate([field.raw(x[at], of, length[at], docs.stop - docs.start) for docs, at, of in chunks])
+
+    def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        field = LineField(mean, scale, theta[:k], theta[k:].reshape(2, 2))
+
+        def one(y, lines, x, n):
+            of = np.repeat(np.arange(len(y)), lines)
+            weight = 1 / np.sqrt(lines)
+            u = field.line_scores(x, of)
+            p, met, z = forward_backward(u, of, field.trans, weight[of])
+            left = (y[of] - p) * weight[of]
+            # Lines carry their document's label, so labels only follow themselves.
+            seen = np.diag(np.bincount(y, (lines - 1) * weight, minlength=2))
+            likely = (weight[of] * (y[of] * u - z)).sum() + (seen * field.trans).sum()
+            return np.concatenate([[likely], (neighbours_sums(x, *ends(of), left) - mean * left.sum()) / scale, (seen - met).ravel()])
+
+        got = _sums(table, one) / all_weight
+        penalty = np.concatenate([np.full(k, RIDGE), np.full(4, STAY)]) * theta
+        return float(penalty @ theta / 2 - got[0]), penalty - got[1:]
+
+    theta = lowest(value, np.zeros(k + 4))
+    field = LineField(mean, scale, theta[:k], theta[k:].reshape(2, 2))
+
+    def raw(batches):
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                y, lines, x, n = (np.frombuffer(c.as_buffer(), t) for c, t in zip(row, (np.int64, np.int64, np.float32, np.float64), strict=True))
+                of = np.repeat(np.arange(len(y)), lines)
+                yield pa.RecordBatch.from_arrays([pa.array(field.raw(x.reshape(-1, FEATURES).astype(np.float64), of, n, len(y))), pa.array(y)], ["r", "y"])
+
+    # One number for each document of the sample, which is bounded.
+    got = table.mapInArrow(raw, "r double, y long").toArrow()
+    r, y = got.column("r").to_numpy(), got.column("y").to_numpy().astype(float)
     design, b = np.stack([r, np.ones(len(r))], 1), np.array([1.0, 0.0])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
         h = (design * (q * (1 - q))[:, None]).T @ design + 1e-3 * np.eye(2)
-        b = b + np.linalg.solve(h, design.T @ (labels - q) - 1e-3 * (b - [1, 0]))
+        b = b + np.linalg.solve(h, design.T @ (y - q) - 1e-3 * (b - [1, 0]))
     if b[0] > 0:
         field.slope, field.shift = float(b[0]), float(b[1])
     return field
@@ -202,35 +299,39 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     ids = docs.select("doc_id").where(~held_out()).join(known, "doc_id").distinct()
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = small_batches(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+    most = CHUNK_LINES
+
+    def chunks(batches):
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            y, x, n = zip(*held, strict=True)
+            lines = np.array([len(a) for a in n], np.int64)
+            held.clear()
+            blobs = np.array(y, np.int64), lines, np.concatenate(x), np.concatenate(n)
+            return pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in blobs], ["y", "lines", "x", "n"])
 
-    def lines(batches):
+        count = 0
         for batch in batches:
             for t in X.texts(batch.column(0)):
                 x, of, n = line_features(t)
                 begin = np.searchsorted(of, np.arange(t.n + 1))
                 for d in range(t.n):
-                    for a in range(begin[d], begin[d + 1], SENT_LINES):
-                        b = min(a + SENT_LINES, begin[d + 1])
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(1).slice(t.first + d, 1), pa.array([a == begin[d]]), pa.array([x[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["quality", "first", "x", "n"]
-                        )
-
-    # The lines go to files: whole documents need not fit into memory together.
-    with tempfile.TemporaryFile() as xs, tempfile.TemporaryFile() as ns:
-        y, count = [], []
-        for r in rows.select("text", "quality").mapInArrow(lines, "quality int, first boolean, x binary, n binary").toLocalIterator(prefetchPartitions=True):
-            if r["first"]:
-                y.append(r["quality"])
-                count.append(0)
-            count[-1] += len(r["n"]) // 8
-            xs.write(r["x"])
-            ns.write(r["n"])
-        if len(set(y)) < 2:
-            return None
-        xs.flush()
-        ns.flush()
-        return fit_field(np.memmap(xs, np.float32, "r").reshape(-1, FEATURES), np.memmap(ns, np.float64, "r"), np.array(count), np.array(y, float))
+                    own = slice(begin[d], begin[d + 1])
+                    if held and count + begin[d + 1] - begin[d] > most:
+                        yield out()
+                        count = 0
+                    held.append((batch.column(1)[t.first + d].as_py(), x[own], n[own]))
+                    count += begin[d + 1] - begin[d]
+        if held:
+            yield out()
+
+    table = cut(rows.select("text", "quality").mapInArrow(chunks, "y binary, lines binary, x binary, n binary"))
+    # The sample is read again and again, so its tasks go by its lines and not by the partitions that its documents came from.
+    lines = (table.agg(F.sum(F.length("n"))).first()[0] or 0) // 8
+    parts = max(1, -(-lines // (CHUNK_LINES * CHUNKS_A_TASK)))
+    return fit_field(cut(table.repartitionByRange(parts, F.xxhash64("y", "n")).sortWithinPartitions(F.xxhash64("y", "n"))))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

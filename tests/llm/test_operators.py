@@ -232,6 +232,29 @@ def test_forward_backward():
     assert forward_backward(u, np.array([0, 0, 0, 1, 1]), trans)[0] == pytest.approx(np.concatenate([brute(u[:3]), brute(u[3:])]))
 
 
+def test_forward_backward_in_blocks(monkeypatch):
+    import time
+
+    from hammerline.llm import crf_quality as Q
+
+    rng = np.random.default_rng(1)
+    of, trans = np.repeat(np.arange(40), rng.integers(1, 30, 40)), rng.normal(size=(2, 2))
+    u, weight = rng.normal(size=len(of)) * 3, rng.random(len(of))
+    whole = Q.forward_backward(u, of, trans, weight)
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(Q, "BLOCK_LINES", size)
+        for a, b in zip(Q.forward_backward(u, of, trans, weight), whole, strict=True):
+            assert a == pytest.approx(b)
+    # The normaliser's gradient is the marginals.
+    moved = u.copy()
+    moved[17] += 1e-6
+    assert (Q.forward_backward(moved, of, trans)[2].sum() - whole[2].sum()) / 1e-6 == pytest.approx(whole[0][17], abs=1e-4)
+    monkeypatch.undo()
+    begin = time.time()
+    p = Q.forward_backward(rng.normal(size=1_000_000), np.zeros(1_000_000, np.int64), trans)[0]
+    assert ((p > 0) & (p < 1)).all() and time.time() - begin < 20
+
+
 def test_license_notices(spark, table, rows, empty):
     import re
 
