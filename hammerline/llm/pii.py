@@ -43,6 +43,9 @@ TERM_CHARS = 4
 #: Term tables are broadcast up to this many rows.
 BROADCAST_ROWS = 500_000
 
+#: Finds are gathered in runs of so many parts, so that a text with very many of them is not copied for each.
+RUN = 256
+
 _SPLIT_TERMS = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])"
 
 
@@ -77,6 +80,22 @@ def _valid(kind: str, body: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _gathered(parts: Column, start: dict, empty: Column, step) -> Column:
+    """All finds that step(acc, part) appends to acc["out"], part by part; `start` has the other fields of acc."""
+    runs = _bound(parts, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0)), F.lit(RUN)), lambda k: F.slice(p, k + 1, F.lit(RUN))))
+
+    def over(acc, run):
+        done = F.aggregate(run, F.struct(*[acc[k].alias(k) for k in start], empty.alias("out")), step)
+        return _bound(done, lambda r: F.struct(*[r[k].alias(k) for k in start], F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    return F.flatten(F.aggregate(runs, F.struct(*[v.alias(k) for k, v in start.items()], F.slice(F.array(empty), 1, 0).alias("out")), over)["out"])
+
+
 def found(clean: Column, kind: str, near: bool = False) -> Column:
     """array<struct<s, e, v>>: the kind's valid finds, as code point offsets and the text found.
 
@@ -96,10 +115,12 @@ def found(clean: Column, kind: str, near: bool = False) -> Column:
         return F.struct((acc["at"] + F.length(part) - 1).alias("at"), *kept, F.concat(acc["out"], F.array(find)).alias("out"))
 
     empty = F.array().cast("array<struct<s:int,e:int,v:string" + (",before:string,after:string" if near else "") + ">>")
-    start = F.struct(F.length(marked[0]).alias("at"), *([tail(marked[0]).alias("tail")] if near else []), empty.alias("out"))
-    all_finds = F.aggregate(F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(0))), start, step)["out"]
+    def finds(m):
+        start = {"at": F.length(m[0])} | ({"tail": tail(m[0])} if near else {})
+        return _gathered(F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0))), start, empty, step)
+
     wanted = clean.rlike(HINTS[kind])
-    return F.when(wanted, F.filter(all_finds, lambda x: _valid(kind, x["v"]))).otherwise(empty)
+    return F.when(wanted, F.filter(_bound(marked, finds), lambda x: _valid(kind, x["v"]))).otherwise(empty)
 
 
 def with_base(docs: DataFrame, text: str, near: bool = False) -> DataFrame:
@@ -155,20 +176,28 @@ def with_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", disc
     plain = rows.select(F.col("_key").alias("key"), _clean(F.col(text)).alias("text"))
     terms = _bounded(disclosing_terms(plain, disclosed, places))
     held = plain.select("key", _distinct_terms(F.col("text")).alias("term"))
-    held = held.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("_terms"))
+    # A text's terms are sorted, and a word is sought among them by halving: with steps from the largest power of two down.
+    held = held.join(terms, "term").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
+    held = held.withColumn("_steps", F.filter(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), lambda k: k <= F.size("_terms")))
     # Terms per text are few rows where few terms disclose; their number is checked before they are broadcast.
     held = _bounded(cut(held.withColumnRenamed("key", "_key")))
     out = with_base(rows, text).join(held, "_key", "left")
 
+    def listed(word):
+        halve = lambda at, k: F.when(F.get("_terms", at + k - 1) <= word, at + k).otherwise(at)
+        return F.get("_terms", F.aggregate("_steps", F.lit(0), halve) - 1) == word
+
     def step(acc, part):
-        word = F.regexp_extract(part, r"^[\p{L}\p{N}]+", 0)
-        find = F.struct(acc["at"].alias("s"), (acc["at"] + F.length(word)).alias("e"), word.alias("v"))
-        more = F.when(F.array_contains(F.col("_terms"), F.lower(word)), F.concat(acc["out"], F.array(find))).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(part)).alias("at"), more.alias("out"))
+        def add(word):
+            find = F.struct(acc["at"].alias("s"), (acc["at"] + F.length(word)).alias("e"), word.alias("v"))
+            more = F.when(_bound(F.lower(word), listed), F.concat(acc["out"], F.array(find))).otherwise(acc["out"])
+            return F.struct((acc["at"] + F.length(part)).alias("at"), more.alias("out"))
+
+        return _bound(F.regexp_extract(part, r"^[\p{L}\p{N}]+", 0), add)
 
     empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    own = F.aggregate(_terms(_clean(F.col(text))), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return out.withColumn("find_term", F.when(F.col("_terms").isNotNull(), own).otherwise(empty)).drop("_key", "_terms")
+    own = _gathered(_terms(_clean(F.col(text))), {"at": F.lit(0)}, empty, step)
+    return out.withColumn("find_term", F.when(F.col("_terms").isNotNull(), own).otherwise(empty)).drop("_key", "_terms", "_steps")
 
 
 def _written(kinds) -> Column:
