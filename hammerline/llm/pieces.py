@@ -258,13 +258,19 @@ def word_bpe_ids(vocabulary: str):
 
     Chunks are words, cut where an ASCII letter meets plain punctuation, in lower
     case.  Chunks of ASCII letters alone are one pre-token and go to the model
-    itself; all others go through the whole tokenizer.
+    itself; all others go through the whole tokenizer.  A tokenizer that joins over
+    such a border is refused.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
     model = tokenizer.model
+    letters, marks = ([chr(c) for c in np.flatnonzero(x)] for x in (_LETTER, _MARK))
+    borders = [x + y for a, b in ((letters, marks), (marks, letters)) for x in a for y in b] + [f"{x} {x}" for x in letters + marks]
+    joined = next((x for x in borders if [at for _, at in tokenizer.pre_tokenizer.pre_tokenize_str(x)] != [(0, 1), (len(x) - 1, len(x))]), None)
+    if joined is not None:
+        raise ValueError(f"{vocabulary} does not cut {joined!r}: its tokens can cross the border of a chunk")
     special = [x.content.encode()[:2] for x in tokenizer.get_added_tokens_decoder().values()]
     table = task_table(("word_bpe", vocabulary))
 

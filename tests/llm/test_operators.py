@@ -485,6 +485,23 @@ def disclosing(rows, share=0.8, floor=3, near=200):
     return out
 
 
+def test_a_word_tokenizer_that_joins_over_chunks_is_refused(tmp_path):
+    import json
+
+    from hammerline.llm.pieces import word_bpe_ids
+
+    import public_tokenizers as P
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = json.load(f)
+    for k, pattern in enumerate([r"\S+", r"[\p{L}]+ ?|[\p{N}]|[^\s\p{L}\p{N}]+ ?"]):
+        model["pre_tokenizer"]["pretokenizers"][0].update(pattern={"Regex": pattern})
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(model), encoding="utf-8")
+        with pytest.raises(ValueError, match="chunk"):
+            word_bpe_ids(str(path))
+
+
 def test_terms_that_disclose_rare_entities(spark):
     from hammerline.llm.pii import personal_spans
 
@@ -507,6 +524,30 @@ def test_terms_that_disclose_rare_entities(spark):
     assert set(found) == disclosing(own) and "grumbold" in found
 
 
+def test_terms_of_a_text_with_thousands_of_finds(spark):
+    import time
+
+    from hammerline.llm.pii import personal_spans
+
+    name = lambda i: "zo" + "".join(chr(97 + int(c)) for c in f"{i:06d}")
+    took = {}
+    for n in (1000, 16_000):
+        lines = [f"a{i}@b{i}.eu {name(i)}" for i in range(n)]
+        text, at = "\n".join(lines), 0
+        rows = [(i, text) for i in range(3)] + [(i, "nothing to be told of") for i in range(3, 300)]
+        begun = time.time()
+        got = {r.doc_id: r for r in personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        took[n] = time.time() - begun
+        want = []
+        for x in lines:
+            want.append(f"term:{at + len(x) - 8}:{at + len(x)}")
+            at += len(x) + 1
+        for i in range(3):
+            assert got[i].n_email == n and got[i].spans.split(",")[n:] == want
+    # Sixteen times the finds: far from the square.
+    assert took[16_000] < 60 + 16 * took[1000]
+
+
 def test_rows_without_ids_and_repeated_rows(spark):
     from hammerline.llm import crf_quality, jaccard_join, license_scan, packing, pieces, pii, ppm, quality_rules, suffix_dedup
     import public_tokenizers as P
