@@ -9,7 +9,8 @@ those cells are ranked again by their exact inner product.
 Codebooks, and the share that reaches the wanted recall, are fitted on a
 bounded sample; every vector is indexed.  Cells are gathered to blocks of
 bounded size (a large cell is several blocks), so a task holds one block and
-a bounded number of queries.
+a bounded number of queries.  Queries of one cell, and of neighbouring ones, are
+searched together, and a block is copied only for those that visit it.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from hammerline.llm._spark import cut
 
 #: Rows of the sample, rows of a block, queries of a group and groups that meet a block in one task.
 SAMPLE, BLOCK, GROUP, TOGETHER = 20_000, 4096, 512, 16
-#: Share of true neighbours that the visited cells should hold, measured on the sample, and the vectors always visited.
-TARGET, LEAST = 0.96, 2000
+#: Share of true neighbours that the visited cells should hold, measured on the sample, and how many times the wanted number
+#: of neighbours is visited at least.
+TARGET, LEAST = 0.96, 10
+#: Pairs of a block and the queries that visit it are broadcast up to this many.
+BROADCAST_ROWS = 500_000
 MERGE = 64
 
 
@@ -144,7 +148,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     sample = np.array(got.column("v").to_pylist(), np.float64) if got.num_rows else np.ones((1, 2))
     width = sample.shape[1]
     index = MultiIndex(sample, max(n, 1))
-    wanted = max(LEAST, index.share(sample, top, target) * n)
+    wanted = max(LEAST * top, index.share(sample, top, target) * n)
     plain = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -159,10 +163,22 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     index.lay_out()
     shared = spark.sparkContext.broadcast(index)
 
-    queries = rows.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    groups = max(1, -(-queries.count() // GROUP))
-    meets = -(-groups // TOGETHER)
-    queries = queries.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    queries = rows.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min(F.struct("v", "cell")).alias("q")).select("id", "q.v", "q.cell")
+    queries = cut(queries)
+    asked = np.zeros(index.k**2, np.int64)
+    for r in queries.groupBy("cell").count().collect():
+        asked[r["cell"]] = r["count"]
+    before = spark.sparkContext.broadcast((np.cumsum(asked) - asked, np.maximum(asked, 1)))
+
+    def gather(batches):
+        # Groups follow the order of the cells, and a cell's queries are dealt evenly over its own.
+        first, size = before.value
+        for batch in batches:
+            cell = batch.column(2).to_numpy()
+            spread = (batch.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((first[cell] + spread % size[cell]) // GROUP)], ["id", "v", "grp"])
+
+    queries = queries.mapInArrow(gather, "id long, v binary, grp long")
 
     def route(key, table):
         index, grp = shared.value, key[0].as_py()
@@ -182,7 +198,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
         kinds = [pa.int64()] * 3 + [pa.binary()] * 4
         return pa.table([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=["b2", "m2", "grp", "ids", "x", "cells", "visits"])
 
-    routed = queries.groupBy("grp").applyInArrow(route, "b2 long, m2 long, grp long, ids binary, x binary, cells binary, visits binary")
+    routed = cut(queries.groupBy("grp").applyInArrow(route, "b2 long, m2 long, grp long, ids binary, x binary, cells binary, visits binary"))
 
     def place(batches):
         index = shared.value
@@ -191,7 +207,9 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
             spread = (batch.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(index.first[cell] + spread % index.split[cell]), *batch.columns], ["block", "id", "cell", "v"])
 
-    placed = rows.mapInArrow(place, "block long, id long, cell long, v binary").withColumn("meet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(meets - 1).cast("long"))))
+    visited = routed.select(F.col("b2").alias("block"), F.col("m2").alias("meet")).distinct()
+    visited = F.broadcast(visited) if visited.count() <= BROADCAST_ROWS else visited
+    placed = rows.mapInArrow(place, "block long, id long, cell long, v binary").join(visited, "block").select("block", "id", "cell", "v", "meet")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
