@@ -11,7 +11,7 @@ import re
 
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hammerline.functions import text as X
 
@@ -19,6 +19,8 @@ _VEHICLE = (
     "struct<`@type`:string,vehicleTransmission:string,vehicleEngine:struct<fuelType:string>,driveWheelConfiguration:string,color:string,"
     "knownVehicleDamages:string,offers:struct<priceCurrency:string>>"
 )
+#: Rows and bytes of a batch of pages that goes to a Python worker, which holds two of them and what it cuts out of one.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 # Tags that hold nothing.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -66,7 +68,11 @@ def selected(html: Column, parents: str | None = None, outer: bool = False, **se
     order, and as `table_rows` what is around a parent that is a table's cell (else
     empty); outer leaves out what is inside a selected element.  A closing tag also closes what is still open inside; without one, an
     element reaches to the end.  Comments, scripts and styles hold no elements.
+    From here on the session hands rows to Python in batches of bounded size.
     """
+    conf = SparkSession.active().conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     names = list(selectors)
     wanted = [(n, _steps(s)) for n in names for s in selectors[n].split(",")]
     firsts = [step for _, steps in wanted for step in steps if step.first]

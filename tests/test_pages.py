@@ -1,5 +1,6 @@
 """Selectors in one pass, children and first elements, and labels in any element."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hammerline.operators import pages as P
@@ -32,3 +33,19 @@ def test_labels_in_any_element(spark):
     got = spark.createDataFrame([(html,)], "h string").select(P.lot_labels(F.col("h"))).first()[0]
     assert {k: got[k] for k in ("engine", "fuel", "key", "no start", "color")} == {"engine": "1.6", "fuel": "Gas", "key": "no", "no start": "Drive no start x", "color": "Dark red"}
     assert "other" not in got and "" not in got and got["plain"].startswith("one ")
+
+
+def test_pages_come_in_bounded_batches(spark):
+    """A worker holds a few megabytes of pages at once, however many rows a partition has and however long they are."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(size)
+    html = P.elements(F.col("html"), "b")
+    rows = spark.range(0, 3000, 1, 1).select("id", F.concat(F.lit("<b>x</b>"), F.repeat(F.lit("y"), 20_000)).alias("html"))
+    assert rows.select(F.size(html).alias("n")).where("n = 1").count() == 3000
+
+    @F.pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    assert rows.select(together("html").alias("n")).agg(F.max("n")).first()[0] <= P.BATCH_BYTES + 30_000
+    assert rows.select(together(F.lit("z")).alias("n")).agg(F.max("n")).first()[0] <= P.BATCH_ROWS
