@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
 from hammerline.functions import numbers as N, text as X
-from hammerline.operators.quantiles import exact_quantiles
+from hammerline.operators.quantiles import counted, exact_quantiles
 from hammerline.sources import tables as T
 from hammerline.sources.fix import fixed
 
@@ -148,18 +148,22 @@ def with_group_median(df: DataFrame, medians: DataFrame, overall: DataFrame, key
 def oof_group_median(df: DataFrame, fold: Column, k: int, keys: list[str] = KEYS, target: str = "sold_price", name: str = "make_model_year_price_median") -> DataFrame:
     """A3: per row the median of its key over the rows of the other folds, else those rows' overall median.
 
-    A key's rows are sorted once for all folds: for each fold the ranks count the
-    rows of the others.
+    A key's values are counted and sorted once for all folds: for each fold the
+    ranks count the rows of the others.
     """
     rows = df.withColumn("_fold", fold)
-    taught = fixed(rows.select(*keys, target, "_fold"))
-    others = {f"_m{i}": F.col("_fold") != i for i in range(k)}
+    return _out_of_fold(rows, counted(rows, [*keys, "_fold"], target), k, keys, target, name).select(*df.columns, name)
+
+
+def _out_of_fold(rows: DataFrame, taught: DataFrame, k: int, keys: list[str], target: str, name: str) -> DataFrame:
+    """A3 for rows with a `_fold`, from the counted values of their keys and folds."""
+    others = {f"_m{i}": F.when(F.col("_fold") != i, F.col("_n")).otherwise(0) for i in range(k)}
     by_fold = lambda kind: F.array(*others).alias(kind)
-    own = exact_quantiles(with_keys(taught, keys), keys, target, weights=others, stored=True).select(*keys, by_fold("_own"))
-    overall = exact_quantiles(taught, [], target, weights=others, stored=True).select(by_fold("_all"))
+    own = exact_quantiles(with_keys(taught, keys), keys, target, weights=others).select(*keys, by_fold("_own"))
+    overall = exact_quantiles(taught, [], target, weights=others).select(by_fold("_all"))
     out = rows.join(checked_broadcast(own), keys, "left").crossJoin(F.broadcast(overall))
     at = lambda kind: F.get(F.col(kind), F.col("_fold"))
-    return out.withColumn(name, F.coalesce(at("_own"), at("_all"))).select(*df.columns, name)
+    return out.withColumn(name, F.coalesce(at("_own"), at("_all")))
 
 
 def feature_columns(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
@@ -227,7 +231,9 @@ def winsorised(df: DataFrame, column: str, q: float = 0.995) -> DataFrame:
 
 
 def features(train: DataFrame, test: DataFrame, key: str, k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """M6: out-of-fold medians for training rows, full medians for test rows."""
-    fold = bucket(key, k, f"fold:{seed}").cast("int")
-    overall = overall_median(train)
-    return oof_group_median(train, fold, k), with_group_median(test, group_median(train), overall)
+    """M6: out-of-fold medians for training rows, full medians for test rows; all come from one count of the training rows."""
+    rows = train.withColumn("_fold", bucket(key, k, f"fold:{seed}").cast("int"))
+    taught, name = counted(rows, [*KEYS, "_fold"], "sold_price"), "make_model_year_price_median"
+    times = {"median": F.col("_n")}
+    medians, overall = exact_quantiles(with_keys(taught, KEYS), KEYS, "sold_price", weights=times), exact_quantiles(taught, [], "sold_price", weights=times)
+    return _out_of_fold(rows, taught, k, KEYS, "sold_price", name).select(*train.columns, name), with_group_median(test, medians, overall, name=name)

@@ -1,9 +1,10 @@
 """Exact quantiles of groups of any size, without a buffer of a group's values.
 
-Groups of up to GROUP_ROWS rows are sorted by a window, which spills.  Larger
-ones, of which there are few, are selected from in parallel: their values are
-counted, dealt out by range, and only the partitions in which a wanted rank
-lies are searched.
+Values are counted first, so that equal ones are one row from the tasks that
+read them on.  Groups of up to GROUP_ROWS different values are sorted by a
+window, which spills.  Larger ones, of which there are few, are selected from in
+parallel: their values are dealt out by range, and only the partitions in which
+a wanted rank lies are searched.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hammerline.sources.fix import fixed
 
-#: Rows of a group that one window sorts; larger groups are selected from in parallel.
+#: Different values of a group that one window sorts; larger groups are selected from in parallel.
 GROUP_ROWS = 500_000
 
 
@@ -41,8 +42,7 @@ def _between(found: DataFrame, keys: list[str], weights: list[str]) -> DataFrame
 
 def _large(rows: DataFrame, keys: list[str], weights: list[str], q: Column) -> DataFrame:
     """Selection for groups that are too large for one task: by counts of distinct values in ranges."""
-    counts = rows.groupBy(*keys, "_v").agg(*[F.sum(w).alias(w) for w in weights]).repartitionByRange(*keys, "_v")
-    counts = fixed(counts.withColumn("_part", F.spark_partition_id()))
+    counts = fixed(rows.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
     sums = counts.groupBy(*keys, "_part").agg(*[F.sum(w).alias(w) for w in weights])
     # One row for each key and range, so a key has at most as many as there are partitions.
     upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,22 +60,27 @@ def _large(rows: DataFrame, keys: list[str], weights: list[str], q: Column) -> D
     return _between(found, keys, weights)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, q: float | Column = 0.5, weights: Mapping[str, Column] | None = None, name: str = "median", stored: bool = False) -> DataFrame:
+def counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The different values of each key with their number `_n`, written once: with it as a weight, all quantiles of these rows come from them."""
+    return fixed(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, q: float | Column = 0.5, weights: Mapping[str, Column] | None = None, name: str = "median") -> DataFrame:
     """One row per key with the exact, linearly interpolated quantile of `value`; without keys one row.
 
-    `weights` gives several quantiles of the same rows, each over those where its
-    column (0 or 1) is 1: a leave-one-fold-out median needs no copies of the rows.
+    `weights` gives several quantiles of the same rows, each with a row taken as
+    often as its column says: with 0 and 1, a leave-one-fold-out median needs no
+    copies of the rows.
     q may depend on the keys.  Null values are left out, a null key is a key of its
     own, and of a group without values the quantile is null or the group absent.
-    The keys and values are read several times and so written once, unless the
-    table is `stored` already.
+    The table is read once; the counts of its values are written.
     """
     chosen = {w: c.cast("long") for w, c in (weights or {name: F.lit(1)}).items()}
     q = F.lit(q) if not isinstance(q, Column) else q
     own = keys or ["_all"]
     rows = df.where(F.col(value).isNotNull()).select(*([*keys] if keys else [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"), *[c.alias(w) for w, c in chosen.items()])
-    rows, names = (rows if stored else fixed(rows)), list(chosen)
-    # Few groups can have so many rows: at most one for each GROUP_ROWS rows.
+    rows, names = fixed(rows.groupBy(*own, "_v").agg(*[F.sum(w).alias(w) for w in chosen])), list(chosen)
+    # Few groups can have so many values: at most one for each GROUP_ROWS rows.
     large = fixed(rows.groupBy(*own).count().where(F.col("count") > GROUP_ROWS).select(*[F.col(k).alias(f"_k_{k}") for k in own]))
     whole = Window.partitionBy(*own)
     total = lambda w: F.sum(w).over(whole)
