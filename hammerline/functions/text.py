@@ -58,8 +58,12 @@ def stripped(c: Column) -> Column:
 
 
 def clean_category(c: Column) -> Column:
-    """Collapsed and upper-cased; null or blank to UNKNOWN."""
-    return F.coalesce(F.nullif(F.upper(collapse(c)), F.lit("")), F.lit("UNKNOWN"))
+    """Collapsed and upper-cased; null or blank to UNKNOWN.
+
+    Printable ASCII with single spaces has nothing to collapse: a plain class tells so in a fraction of the time.
+    """
+    single = F.when(c.rlike("[^!-~ ]|  "), collapse(c)).otherwise(F.trim(c))
+    return F.coalesce(F.nullif(F.upper(single), F.lit("")), F.lit("UNKNOWN"))
 
 
 def normal_title(c: Column) -> Column:

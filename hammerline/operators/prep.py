@@ -72,15 +72,17 @@ class PrepStats:
 
 
 def fit(train: DataFrame, keep_at_least: dict[str, int] = KEEP_AT_LEAST) -> PrepStats:
-    """M4: statistics of cleaned training rows: A4 and A5 as one aggregate, A6 as one count over all columns; both are made once."""
+    """M4: statistics of cleaned training rows: A4, A5 and A6 from one count over all columns, made once."""
     rows = train.where(F.col("sold_price").isNotNull() & plausible_year(F.col("year")) & plausible_mileage(F.col("mileage")) & (F.col("sold_price") >= 1000))
     # The quantile of each number, and what stands in for it where there is none.
     wanted = {"sold_price": (0.995, 100_000.0, "upper_price_quantile"), "engine_volume": (0.5, 2.0, "engine_volume_median"), "cylinders": (0.5, 4.0, "cylinders_median")}
-    values = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(q).alias("q")) for c, (q, _, _) in wanted.items()])).alias("x")).select("x.*")
-    found = exact_quantiles(values, ["column", "q"], "value", F.col("q"))
+    # One pass counts the numbers' values and the texts: each row is a struct of (column, q, number) or (column, least, text).
+    part = lambda c, **own: F.struct(F.lit(c).alias("column"), *[own.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("q", "double"), ("number", "double"), ("least", "long"), ("text", "string"))])
+    parts = [part(c, q=F.lit(q), number=F.col(c)) for c, (q, _, _) in wanted.items()] + [part(c, least=F.lit(n), text=F.col(c)) for c, n in keep_at_least.items()]
+    counts = fixed(rows.select(F.explode(F.array(*parts)).alias("x")).select("x.*").groupBy("column", "q", "number", "least", "text").count())
+    found = exact_quantiles(counts.where("q IS NOT NULL"), ["column", "q"], "number", F.col("q"), {"median": F.col("count")})
     numbers = found.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("median"))), F.lit(default)).alias(name) for c, (_, default, name) in wanted.items()])
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(n).alias("least")) for c, n in keep_at_least.items()])).alias("x")).select("x.*")
-    keep = long.groupBy("column", "value", "least").count().where("count >= least").select("column", "value")
+    keep = counts.where("count >= least").select("column", F.col("text").alias("value"))
     return PrepStats(fixed(numbers), fixed(keep))
 
 

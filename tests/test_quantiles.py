@@ -58,3 +58,25 @@ def test_out_of_fold_medians(spark, rows):
     for i, (k, m, f, _) in list(enumerate(rows))[::97]:
         own = plain([v for a, b, g, v in rows if (a, b) == (k, m) and g != f], 0.5) if k is not None and m is not None else None
         assert got[i] == pytest.approx(own if own is not None else plain([v for *_, g, v in rows if g != f], 0.5))
+
+
+def test_equal_values_are_stored_once(spark, monkeypatch):
+    """What is written between the steps grows with the different values, not with the rows."""
+    stored, kept = [], Q.fixed
+
+    def fixed(df):
+        stored.append((out := kept(df)).count())
+        return out
+
+    monkeypatch.setattr(Q, "fixed", fixed)
+    monkeypatch.setattr(prep, "fixed", fixed)
+    rows = spark.range(20_000).select(
+        F.col("id"), F.lit("A").alias("make"), F.concat(F.lit("M"), F.col("id") % 3).alias("model"), F.lit("RED").alias("color"), F.lit(2000.0).alias("year"), F.lit(5.0).alias("mileage"),
+        (1000.0 + F.col("id") % 11).alias("sold_price"), F.when(F.col("id") % 2 == 0, 1.5).alias("engine_volume"), F.lit(4.0).alias("cylinders"),
+    )
+    stats = prep.fit(rows)
+    assert tuple(stats.numbers.first()) == (1010.0, 1.5, 4.0)
+    assert {tuple(r) for r in stats.keep.collect()} == {("make", "A"), ("color", "RED"), ("model", "M0"), ("model", "M1"), ("model", "M2")}
+    a, b = prep.features(rows.where("id < 15000"), rows.where("id >= 15000"), "id")
+    assert a.count() == 15_000 and b.agg(F.min("make_model_year_price_median"), F.max("make_model_year_price_median")).first() == (1005.0, 1005.0)
+    assert max(stored) <= 200
