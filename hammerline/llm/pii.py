@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hammerline.llm._spark import cut
+from hammerline.llm._spark import cut, release
 
 #: The kinds in the order of results, with patterns that find what the leftmost, longest search finds.
 #: Possessive repeats and look-behinds only stop retries that cannot succeed, so long texts stay linear.
@@ -159,6 +159,8 @@ def disclosing_terms(rows: DataFrame, disclosed: float = DISCLOSED, places: int
         held = rows.join(_bounded(again.withColumnRenamed("n", "_times")), "key", "left")
         weight = 1.0 / F.coalesce("_times", F.lit(1))
     df_term = held.select(weight.alias("w"), _distinct_terms(F.col("text")).alias("term")).groupBy("term").agg(F.round(F.sum("w")).alias("df_term"))
+    # The plans and events of the steps so far are garbage on the driver, which grows its heap rather than collect it.
+    release(rows.sparkSession)
     known = df_term.join(_bounded(pairs), "term")
     pmi = F.log(n * F.col("both") / (F.col("df_entity") * (F.col("df_term") + 1)))
     share = known.withColumn("share", F.try_divide(pmi, F.log(n / F.col("df_entity"))))
@@ -181,6 +183,7 @@ def with_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", disc
     held = held.withColumn("_steps", F.filter(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), lambda k: k <= F.size("_terms")))
     # Terms per text are few rows where few terms disclose; their number is checked before they are broadcast.
     held = _bounded(cut(held.withColumnRenamed("key", "_key")))
+    release(docs.sparkSession)
     out = with_base(rows, text).join(held, "_key", "left")
 
     def listed(word):
