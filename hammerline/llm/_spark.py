@@ -48,9 +48,9 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def most_frequent(counts: DataFrame, most: int, key: str = "word", value: str = "n") -> tuple[int, np.ndarray, np.ndarray]:
     """The least count from which on there are at most so many keys; those keys, sorted, and their values."""
-    sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()
+    sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()
     least, held = 100_001, 0
-    for r in sizes:
+    for r in sorted(sizes, key=lambda r: -r["n"]):
         held += r["k"]
         if held > most:
             break
@@ -64,13 +64,13 @@ def most_frequent(counts: DataFrame, most: int, key: str = "word", value: str =
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table as (node, comp), comp the smallest node reachable.
 
-    Alternates large-star and small-star contractions, so the number of rounds
-    grows with the logarithm of the longest path; every round is a pre-aggregated
-    min per node and the links are cut to storage, never collected.
+    Alternates large-star and small-star contractions until all links go straight
+    to the smallest node, so the number of rounds grows with the logarithm of the
+    longest path; every round is a pre-aggregated min per node and the links are
+    cut to storage, never collected.  The edges are read once.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = cut(e)
-    while True:
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every larger neighbour of u links to the least of u's neighbourhood.
@@ -78,10 +78,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: u and its smaller neighbours link to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        changed = new.join(e, ["u", "v"], "left_anti").limit(1).count() + e.join(new, ["u", "v"], "left_anti").limit(1).count()
-        e = new
-        if not changed:
-            return e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(
-                e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-            )
+        e = cut(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each node of the distinct links (u, v), v < u, either has one link, to a smaller node, or only larger neighbours: then v is the least of its component."""
+    end = lambda node, up: F.struct(F.col(node).alias("node"), F.lit(up).alias("up"))
+    ends = e.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("x")).groupBy("x.node").agg(F.sum("x.up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return ends.where("up > 1 or up = 1 and n > 1").isEmpty()

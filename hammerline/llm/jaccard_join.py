@@ -251,13 +251,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
             yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
     pairs = best.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("members2")), "b")
-    links = cut(pairs.select("a", "b", "members", "members2").mapInArrow(verified, "a long, b long").distinct())
+    comp = components(pairs.select("a", "b", "members", "members2").mapInArrow(verified, "a long, b long"))
 
     for exhaustive in (False, True):
         release(docs.sparkSession)
-        links = cut(links.unionByName(_class_links(docs, named, width, cells, points, links, percent, exhaustive)))
+        # A class stays as its links to its smallest node.
+        links = comp.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        comp = components(links.unionByName(_class_links(docs, named, width, cells, points, comp, percent, exhaustive)))
+    release(docs.sparkSession)
 
-    comp = components(links)
     ids = named.join(comp, "node", "left").withColumn("key", F.coalesce("comp", "node"))
     least = ids.where("key is not null").groupBy("key").agg(F.min("id").alias("component_id"))
     # A node can be a third of all rows, so the table is joined to the rows' names as a left side that may be split.
@@ -409,11 +411,10 @@ def _allowed(pairs: DataFrame, box: DataFrame, percent: int) -> DataFrame:
     return cut(both.mapInArrow(test, pairs.schema).distinct())
 
 
-def _class_links(docs: DataFrame, named: DataFrame, width: int, cells: DataFrame, points: DataFrame, links: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
-    """Links (a, b) found between classes that meet in a cell: with its largest class, or (exhaustive) among all."""
-    comp = components(links)
+def _class_links(docs: DataFrame, named: DataFrame, width: int, cells: DataFrame, points: DataFrame, comp: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
+    """Links (a, b) found between classes (node, comp) that meet in a cell: with its largest class, or (exhaustive) among all."""
     member = cut(points.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("cls")))
-    weight = points.select("node", "n").join(member, "node").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    weight = cut(points.select("node", "n").join(member, "node").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi")))
     meet = cut(cells.join(member, "node").groupBy("token", "cls").agg(F.max("rest").alias("rest")))
     # Tokens that the same classes share are searched once, with the most that any of them leaves to each class.
     cell = meet.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("m > 1")

@@ -27,6 +27,7 @@ The removed ranges of a document are joined back to its text.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,21 +91,26 @@ def pieces(t: X.Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return X.mix(core[at[start]]), start, stop - 1 + length, t.text_of(start)
 
 
+def _packed(bits: np.ndarray) -> bytes:
+    """Few bits of a filter are set in small inputs, and what is collected should be as small."""
+    return zlib.compress(np.packbits(bits).tobytes(), 1)
+
+
 def _bit_filter(anchors: DataFrame, name: str) -> np.ndarray:
-    """The values' high bits as a bit set: slices are made in tasks, and joined to one array of fixed size."""
+    """The values' high bits as a bit set: slices are made in tasks, come packed to the driver and are joined to one array of fixed size."""
     shift = 64 - FILTER_BITS
     slices = 64
 
     def slice_of(key, table):
         bits = np.zeros(1 << (FILTER_BITS - 6), bool)
         bits[(table.column("bit").to_numpy() & (len(bits) - 1))] = True
-        return pa.table({"s": [key[0].as_py()], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        return pa.table({"s": [key[0].as_py()], "bits": pa.array([_packed(bits)], pa.binary())})
 
     bit = F.shiftrightunsigned(F.col(name), shift)
     rows = anchors.select(bit.alias("bit")).distinct().withColumn("s", F.shiftrightunsigned("bit", FILTER_BITS - 6).cast("int"))
     out = np.zeros((slices, 1 << (FILTER_BITS - 9)), np.uint8)
     for row in rows.groupBy("s").applyInArrow(slice_of, "s long, bits binary").collect():
-        out[row["s"]] = np.frombuffer(row["bits"], np.uint8)
+        out[row["s"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out.ravel()
 
 

@@ -1,8 +1,11 @@
 """The pipeline's stages against brute force on what each was given."""
 
 import os
+import random
 import sys
 
+import numpy as np
+
 sys.path.insert(0, os.path.dirname(__file__))
 import brute as B
 import corpus_pipeline
@@ -51,5 +54,35 @@ def test_awkward_rows_and_empty_tables(spark):
             assert {r.doc_id for r in out.collect()} == {None, 1, 2, 3, 4, 5}
 
 
+def test_links_contract_in_few_jobs(spark):
+    """Every job leaves events and plans on the driver: stars are done at once, a long path in rounds that grow with its logarithm."""
+    from hammerline.llm._spark import components
+
+    r = random.Random(5)
+    cases = {"stars": [(10 * i, 10 * i + j) for i in range(50) for j in range(1, 5)], "none": [], "loop": [(4, 4)]}
+    cases |= {"path": [(i, i + 1) for i in range(200)], "random": [(r.randrange(300), r.randrange(300)) for _ in range(200)], "two parents": [(1, 3), (2, 3)]}
+    for name, edges in cases.items():
+        want = {x: x for e in edges for x in e if e[0] != e[1]}
+        while any(want[a] != want[b] for a, b in edges if a != b):
+            for a, b in edges:
+                want[a] = want[b] = min(want[a], want[b])
+        spark.sparkContext.setJobGroup(name, name)
+        got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(got) == len(want) and {x.node: x.comp for x in got} == want, name
+        assert jobs <= {"path": 90, "random": 50, "two parents": 30}.get(name, 10), (name, jobs)
+
+
+def test_filters_come_packed_to_the_driver(spark):
+    from hammerline.llm import suffix_dedup as S
+
+    values = [0, 1 << 40, (1 << 63) - 1, -1, -(1 << 50)]
+    bits = S._bit_filter(spark.createDataFrame([(v,) for v in values], "a long"), "a")
+    at = {(v % (1 << 64)) >> (64 - S.FILTER_BITS) for v in values}
+    assert set(np.flatnonzero(np.unpackbits(bits)).tolist()) == at and len(bits) == 1 << (S.FILTER_BITS - 3)
+    assert len(S._packed(np.zeros(1 << 21, bool))) < 10_000
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
