@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hammerline.llm import _text as X
-from hammerline.llm._spark import components, cut, most_frequent, release, small_batches
+from hammerline.llm._spark import contracted, cut, cut_to_tasks, most_frequent, release, small_batches
 
 #: A point has a group for four members or so, a power of two between these.
 GROUPS_LEAST, GROUPS_MOST = 64, 8192
@@ -225,25 +225,25 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (token, times)], ["token", "n"])
 
     often = read.where("n < 0").select("corner", "times").mapInArrow(listed, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    frequent = sc.broadcast(most_frequent(cut(often), FREQUENT_MAX, "token")[1:])
+    frequent = sc.broadcast(most_frequent(cut_to_tasks(often), FREQUENT_MAX, "token")[1:])
 
     total = named.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total * (100 - percent) // 100 // GROUP_ROWS))
     dealt = docs.select("text").mapInArrow(_prefixes(width, percent, parts, frequent), "p int, blob binary")
-    cells = cut(dealt.groupBy("p").applyInArrow(lambda t: _meet(t, frequent), "token long, node long, pivot long, rest int"))
+    cells = cut_to_tasks(dealt.groupBy("p").applyInArrow(lambda t: _meet(t, frequent), "token long, node long, pivot long, rest int"))
 
     del dealt
     release(docs.sparkSession)
 
     # Points are small; sets are made anew only for nodes of pairs that the points leave.
     points = read.where("corner is not null and n > 0").join(cells.select("node").distinct(), "node", "left_semi")
-    points = cut(points.groupBy("node").agg(F.first("corner").alias("corner"), F.first("n").cast("int").alias("n")))
+    points = cut_to_tasks(points.groupBy("node").agg(F.first("corner").alias("corner"), F.first("n").cast("int").alias("n")))
 
     # Step 1: each node with the pivot it meets most often.
     met = cells.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("k"))
     best = met.groupBy("node").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("b")).withColumnRenamed("node", "a")
     best = _allowed(best, points.withColumnRenamed("node", "cls").withColumns({"lo": F.col("n"), "hi": F.col("n")}), percent)
-    sets = cut(_of_nodes(docs, named, best.select(F.col("a").alias("node")).union(best.select("b")).distinct(), width))
+    sets = cut_to_tasks(_of_nodes(docs, named, best.select(F.col("a").alias("node")).union(best.select("b")).distinct(), width))
 
     def verified(batches):
         for batch in batches:
@@ -251,13 +251,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
             yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
     pairs = best.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("members2")), "b")
-    comp = components(pairs.select("a", "b", "members", "members2").mapInArrow(verified, "a long, b long"))
+    comp = contracted(pairs.select("a", "b", "members", "members2").mapInArrow(verified, "a long, b long"))
 
     for exhaustive in (False, True):
         release(docs.sparkSession)
         # A class stays as its links to its smallest node.
-        links = comp.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        comp = components(links.unionByName(_class_links(docs, named, width, cells, points, comp, percent, exhaustive)))
+        links = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        comp = contracted(links.unionByName(_class_links(docs, named, width, cells, points, comp, percent, exhaustive)))
     release(docs.sparkSession)
 
     ids = named.join(comp, "node", "left").withColumn("key", F.coalesce("comp", "node"))
@@ -372,7 +372,7 @@ def _meet(table: pa.Table, frequent) -> pa.Table:
 
 def _of_nodes(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, members) of these nodes, from one text of each; where rows share an id, a node can come once from each task that holds it."""
-    nodes = cut(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("own")))
+    nodes = cut_to_tasks(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("own")))
     # The nodes' names are broadcast only up to a checked count; beyond it the joins shuffle.
     few = (lambda x: F.broadcast(x)) if nodes.count() <= BROADCAST_NODES else (lambda x: x)
 
@@ -408,27 +408,28 @@ def _allowed(pairs: DataFrame, box: DataFrame, percent: int) -> DataFrame:
 
     side = lambda x: box.select(F.col("cls").alias(x), F.col("corner").alias("p" + x), F.col("lo").alias("lo" + x), F.col("hi").alias("hi" + x))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, "pa", "pb", "loa", "hia", "lob", "hib")
-    return cut(both.mapInArrow(test, pairs.schema).distinct())
+    return cut_to_tasks(both.mapInArrow(test, pairs.schema).distinct())
 
 
 def _class_links(docs: DataFrame, named: DataFrame, width: int, cells: DataFrame, points: DataFrame, comp: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
     """Links (a, b) found between classes (node, comp) that meet in a cell: with its largest class, or (exhaustive) among all."""
-    member = cut(points.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("cls")))
-    weight = cut(points.select("node", "n").join(member, "node").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi")))
-    meet = cut(cells.join(member, "node").groupBy("token", "cls").agg(F.max("rest").alias("rest")))
+    sized = cut_to_tasks(points.select("node", "n").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("cls"), "n"))
+    member = sized.drop("n")
+    weight = cut_to_tasks(sized.groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    meet = cut_to_tasks(cells.join(member, "node").groupBy("token", "cls").agg(F.max("rest").alias("rest")))
     # Tokens that the same classes share are searched once, with the most that any of them leaves to each class.
     cell = meet.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("m > 1")
-    meet = cut(meet.join(cell, "token").groupBy("m", "x", "y", "cls").agg(F.min("token").alias("token"), F.max("rest").alias("rest")).drop("x", "y"))
+    meet = cut_to_tasks(meet.join(cell, "token").groupBy("m", "x", "y", "cls").agg(F.min("token").alias("token"), F.max("rest").alias("rest")).drop("x", "y"))
     if exhaustive:
         meet = _possible(meet, weight, percent)
     pairs = None
     if not exhaustive:
-        sized = meet.join(weight, "cls")
-        big = sized.groupBy("token").agg(F.max(F.struct("weight", "cls", "lo", "hi")).alias("top"))
+        rows = meet.join(weight, "cls")
+        big = rows.groupBy("token").agg(F.max(F.struct("weight", "cls", "lo", "hi")).alias("top"))
         # Classes of too different sizes are no pair; that is known before pairs are made.
         like = (100 * F.col("top.hi") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("top.lo"))
-        pairs = sized.join(big, "token").where((F.col("top.cls") != F.col("cls")) & like)
-        pairs = cut(pairs.select(F.col("top.cls").alias("a"), F.col("cls").alias("b")).distinct())
+        pairs = rows.join(big, "token").where((F.col("top.cls") != F.col("cls")) & like)
+        pairs = cut_to_tasks(pairs.select(F.col("top.cls").alias("a"), F.col("cls").alias("b")).distinct())
 
     def merged(batches):
         for batch in batches:
@@ -440,12 +441,12 @@ def _class_links(docs: DataFrame, named: DataFrame, width: int, cells: DataFrame
     # Classes are merged before and after the shuffle; one cut by a batch's end is merged once more below.
     wanted = (meet.select("cls") if exhaustive else pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))).distinct()
     box = points.join(member.join(wanted, "cls", "left_semi"), "node").select("cls", "corner", F.col("n").alias("lo"), F.col("n").alias("hi"))
-    box = cut(box.sortWithinPartitions("cls").mapInArrow(merged, kind).repartition("cls").sortWithinPartitions("cls").mapInArrow(merged, kind))
+    box = cut_to_tasks(box.sortWithinPartitions("cls").mapInArrow(merged, kind).repartition("cls").sortWithinPartitions("cls").mapInArrow(merged, kind))
     kept = _cell_pairs(meet, box, percent) if exhaustive else _allowed(pairs, box, percent)
     weights = lambda x: weight.select(F.col("cls").alias(x), F.col("weight").alias("w" + x))
     kept = kept.join(weights("a"), "a").join(weights("b"), "b")
     turned = F.struct("wa", "a") < F.struct("wb", "b")
-    kept = cut(kept.select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("wa", "wb"), ("wb", "wa"))]).distinct())
+    kept = cut_to_tasks(kept.select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("wa", "wb"), ("wb", "wa"))]).distinct())
 
     # Blocks of the larger class against blocks of the smaller ones that may link with it.
     load = kept.groupBy("a").agg(F.sum("wb").alias("load"), F.max("wa").alias("wa"))
@@ -454,9 +455,9 @@ def _class_links(docs: DataFrame, named: DataFrame, width: int, cells: DataFrame
     left = member.join(load, F.col("cls") == F.col("a")).select("node", "a", F.pmod(F.xxhash64("node"), F.col("na")).cast("int").alias("i"), grid(F.col("nb")).alias("j"))
     right = kept.select("a", "b").join(load, "a").join(member.withColumnRenamed("cls", "b"), "b")
     right = right.select("node", F.col("a").alias("a2"), grid(F.col("na")).alias("i2"), F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("j2"), F.col("b").alias("b2"))
-    left, right = cut(left), cut(right)
+    left, right = cut_to_tasks(left), cut_to_tasks(right)
     # Sets go from where they are made to where they are compared.
-    of = cut(_of_nodes(docs, named, left.select("node").union(right.select("node")).distinct(), width))
+    of = cut_to_tasks(_of_nodes(docs, named, left.select("node").union(right.select("node")).distinct(), width))
     near = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROUTES else x
     left, right = of.join(near(left), "node").drop("node"), of.withColumnRenamed("members", "members2").join(near(right), "node").drop("node")
 
@@ -482,7 +483,7 @@ def _possible(meet: DataFrame, weight: DataFrame, percent: int) -> DataFrame:
     members that a class of them has from the token on.
     """
     crowded = F.col("m") > CELL_BLOCK
-    many = cut(meet.where(crowded).join(weight.drop("weight"), "cls"))
+    many = cut_to_tasks(meet.where(crowded).join(weight.drop("weight"), "cls"))
     bands = many.groupBy("token", F.floor(F.log("lo") / BAND).alias("_band")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
     bands = bands.groupBy("token").agg(F.collect_list(F.struct("_band", "lo", "hi", "rest", "n")).alias("bands"))
     least = lambda x: F.ceil(x * percent / 100)
@@ -496,9 +497,9 @@ def _possible(meet: DataFrame, weight: DataFrame, percent: int) -> DataFrame:
     bands = cut(bands)
     near = F.broadcast(bands) if bands.count() <= BROADCAST_CELLS else bands
     left = many.join(near, "token").where(F.exists("bands", fits)).select("token", "cls", "rest")
-    left = cut(left)
+    left = cut_to_tasks(left)
     sizes = left.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return cut(meet.where(~crowded).select("token", "cls", "rest", "m").unionByName(left.join(sizes, "token")))
+    return cut_to_tasks(meet.where(~crowded).select("token", "cls", "rest", "m").unionByName(left.join(sizes, "token")))
 
 
 def _cell_pairs(meet: DataFrame, box: DataFrame, percent: int) -> DataFrame:
@@ -537,7 +538,7 @@ def _cell_pairs(meet: DataFrame, box: DataFrame, percent: int) -> DataFrame:
             b.append(cls[y[ok]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return cut(rows.withColumn("g", key).groupBy("g").applyInArrow(search, "a long, b long").distinct())
+    return cut_to_tasks(rows.withColumn("g", key).groupBy("g").applyInArrow(search, "a long, b long").distinct())
 
 
 def _box_batches(cls: np.ndarray, corner: list[np.ndarray], lo: np.ndarray, hi: np.ndarray):

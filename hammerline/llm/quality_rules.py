@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hammerline.llm import _text as X
-from hammerline.llm._spark import cut, release, small_batches
+from hammerline.llm._spark import cut, cut_to_tasks, release, small_batches
 
 ORDER = 4
 #: The model is broadcast up to this many n-grams; beyond that, documents meet their language's model in groups.
@@ -145,7 +145,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         low = lower.select("lang", F.col("g").alias("suffix"), F.col("lp").alias("low"))
         own = own.withColumn("suffix", F.col("g").bitwiseAND(mask(16 * (k - 1))))
         own = own.join(low, ["lang", "suffix"]).withColumn("lp", F.log((F.col("n") - F.col("d")) / F.col("total") + F.col("spare") * F.exp("low")))
-        own = cut(own.select("lang", "g", "lp", "ctx", F.log("spare").alias("bo")))
+        own = cut_to_tasks(own.select("lang", "g", "lp", "ctx", F.log("spare").alias("bo")))
         lower = own.select("lang", "g", "lp")
         out.append(own.select("lang", F.lit(k).alias("k"), "g", "lp", F.lit(None).cast("double").alias("bo")))
         out.append(own.select("lang", F.lit(k - 1).alias("k"), F.col("ctx").alias("g"), F.lit(None).cast("double").alias("lp"), "bo").distinct())
@@ -232,7 +232,7 @@ def _scored(batch: pa.RecordBatch, models: dict[str, GramArrays]) -> pa.RecordBa
 def score_documents(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """(id, lang, base counts, log_ppl) per row; the model is fitted on all rows."""
     docs = small_batches(docs)
-    model = cut(kneser_ney(cut(count_grams(docs, text, lang))))
+    model = cut_to_tasks(kneser_ney(cut_to_tasks(count_grams(docs, text, lang))))
     release(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang"))
     kind = f"id {rows.schema['id'].dataType.simpleString()}, lang string, {_STATS}"

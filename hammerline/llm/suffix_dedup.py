@@ -328,7 +328,7 @@ def _runs(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.
 def _crowded_runs(many: DataFrame, told: DataFrame, length: int) -> DataFrame:
     """(anchor, piece, run) of pieces of crowded anchors, string by string."""
     single = told.join(many, ["anchor", "piece"]).select("anchor", "piece", "lo", F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("a"), "bytes")
-    single = single.select("anchor", "piece", "lo", "a", F.sha2(F.substring("bytes", F.col("a") + 1, length), 256).alias("s"))
+    single = single.select("anchor", "piece", "lo", "a", F.unhex(F.sha2(F.substring("bytes", F.col("a") + 1, length), 256)).alias("s"))
     least = single.groupBy("anchor", "s").agg(F.min("lo").alias("least"))
     return single.join(least, ["anchor", "s"]).where("least < lo").select("anchor", "piece", F.shiftleft("a", 16).bitwiseOR(F.lit(length)).alias("run")).distinct()
 

@@ -9,6 +9,7 @@ import numpy as np
 sys.path.insert(0, os.path.dirname(__file__))
 import brute as B
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,6 +75,41 @@ def test_links_contract_in_few_jobs(spark):
         assert jobs <= {"path": 90, "random": 50, "two parents": 30}.get(name, 10), (name, jobs)
 
 
+def test_small_tables_are_read_in_few_tasks(spark):
+    """A task has a cost of its own, so a join of few texts in many parts must not have parts times steps of them."""
+    from hammerline.llm._spark import cut_to_tasks
+    from hammerline.llm.jaccard_join import jaccard_components
+
+    parts, conf = 64, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [(i, f"text {i}" if i % 3 else None, b"x" * i, i / 2) for i in range(200)]
+        table = spark.createDataFrame(rows, "a long, b string, c binary, d double").repartition(parts)
+        small = cut_to_tasks(table)
+        assert small.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert sorted((r.a, r.b, bytes(r.c), r.d) for r in small.collect()) == rows
+        assert cut_to_tasks(table.where("a < 0")).count() == 0
+        wide = spark.range(parts, numPartitions=parts).select("id", F.repeat(F.lit("x"), 2 << 20).alias("s"))
+        assert spark.sparkContext.defaultParallelism < cut_to_tasks(wide).rdd.getNumPartitions() <= 17
+
+        r = random.Random(6)
+        base = [" ".join(str(r.randrange(9999)) for _ in range(60)) for _ in range(10)]
+        docs = [(i, base[i % 10] + " end" * (i % 3)) for i in range(60)]
+        spark.sparkContext.setJobGroup("tasks", "tasks")
+        got = {x.doc_id: x.component_id for x in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("tasks") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+        assert got == B.classes({i: B.shingles(t) for i, t in docs})
+        assert tasks < 12_000, tasks
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_filters_come_packed_to_the_driver(spark):
     from hammerline.llm import suffix_dedup as S
 
